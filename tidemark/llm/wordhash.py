@@ -48,9 +48,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _powers.known = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 
-def _hash_words(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Everything but ASCII letters, digits and bytes of other characters.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def _hash_words(data: np.ndarray, first: np.ndarray, gaps: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of every word of ``data``; ``first`` marks bytes where a new text begins."""
-    inside = ~_SPACE[data]
+    inside = ~gaps[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1] | first[1:]
     ends = inside.copy()
@@ -59,13 +64,16 @@ def _hash_words(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     power, inverse = _powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[data] * power, out=sums[1:])
+    if prefix:
+        stops = np.minimum(stops, starts + prefix)
     return starts, mix((sums[stops] - sums[starts]) * inverse[starts])
 
 
-def hash_texts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def hash_texts(texts: pa.Array, gaps: np.ndarray = _SPACE, prefix: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Word hashes of consecutive texts: (index of the first text, words before each text, hashes).
 
     Text ``i`` of a piece has the words ``hashes[before[i]:before[i + 1]]``.  A null text has none.
+    ``gaps`` are the bytes between words; ``prefix`` hashes so many bytes of each word only.
     """
     texts = texts.cast(pa.large_string())
     if texts.null_count:
@@ -81,28 +89,28 @@ def hash_texts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         upto = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PIECE, "right")) - 1)
         low, high = int(bounds[at]), int(bounds[upto])
         if high - low > PIECE:
-            yield at, *_long_text(data[low:high])
+            yield at, *_long_text(data[low:high], gaps, prefix)
         else:
             first = np.zeros(high - low + 1, bool)
             first[bounds[at:upto] - low] = True
-            starts, hashes = _hash_words(data[low:high], first[:-1])
+            starts, hashes = _hash_words(data[low:high], first[:-1], gaps, prefix)
             yield at, np.searchsorted(starts, bounds[at : upto + 1] - low), hashes
         at = upto
 
 
-def _long_text(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One text of more than ``PIECE`` bytes, hashed from one white space to another."""
+def _long_text(data: np.ndarray, gaps: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """One text of more than ``PIECE`` bytes, hashed from one gap to another."""
     found, at = [], 0
     while at < len(data):
         upto = at + PIECE
         while upto < len(data):
-            gaps = np.flatnonzero(_SPACE[data[at:upto]])
-            if len(gaps):
-                upto = at + int(gaps[-1]) + 1
+            between = np.flatnonzero(gaps[data[at:upto]])
+            if len(between):
+                upto = at + int(between[-1]) + 1
                 break
             upto += PIECE
         piece = data[at : min(upto, len(data))]
-        found.append(_hash_words(piece, np.zeros(len(piece), bool))[1])
+        found.append(_hash_words(piece, np.zeros(len(piece), bool), gaps, prefix)[1])
         at = upto
     hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
     return np.array([0, len(hashes)]), hashes
