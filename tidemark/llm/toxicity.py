@@ -2,14 +2,14 @@
 
 Fitting reads labelled rows only outside the held-out fifth, at most ``max_examples`` a class (the
 lowest key hashes), plus as many for calibration.  Terms are lower-case words and their first
-five bytes; kept are those whose presence goes with the label (chi-square of at least
+four bytes; kept are those whose presence goes with the label (chi-square of at least
 ``least_chi2``, at most ``max_terms``), with the inverse document frequency over all documents.
 
 The index has for each term the largest weight in each block of 64 examples, and the weights
 themselves.  A text's blocks are visited by falling bound (the sum of its term weights times
 the block maxima) until no block can reach the k-th cosine any more; within a block all cosines
-are exact.  Votes of the ``k`` nearest are weighted by 1 / (distance + 0.05), and the share of
-label 1 is calibrated by isotonic regression on labelled rows that are not examples.  A text
+are exact.  Votes of the ``k`` nearest are weighted by the square of
+1 - distance^2 / 2 (the cosine), and the share of label 1 is calibrated by isotonic regression on labelled rows that are not examples.  A text
 that shares no term with any example has no neighbours, and gets the rate of such rows.
 
 Scores use the text only.  Without any labelled rows all scores are 0.  Null text is empty;
@@ -29,12 +29,14 @@ from tidemark.llm.samples import sample_ids, with_texts
 from tidemark.llm.wordhash import PUNCTUATION, hash_texts
 
 BLOCK = 64
+#: Weight of a vote for label 0 that every text starts with: far neighbours alone don't decide.
+DOUBT = 0.5
 _PREFIX = np.uint64(0x5851F42D4C957F2D)
 
 
 def term_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each piece of texts: index of the first, text of each term, term; words and word beginnings alike."""
-    pieces = zip(hash_texts(texts, PUNCTUATION), hash_texts(texts, PUNCTUATION, prefix=5), strict=True)
+    pieces = zip(hash_texts(texts, PUNCTUATION), hash_texts(texts, PUNCTUATION, prefix=4), strict=True)
     for (at, before, words), (_, _, starts) in pieces:
         owner = np.repeat(np.arange(len(before) - 1), np.diff(before))
         yield at, np.concatenate([owner, owner]), np.concatenate([words, starts ^ _PREFIX])
@@ -57,11 +59,11 @@ def choose_terms(examples: DataFrame, max_terms: int, least_chi2: float, counts:
 
     seen = examples.select("label", "text").mapInArrow(presence, "term long, toxic long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     n1, n0 = float(counts[1]), float(counts[0])
-    n = n1 + n0
+    n = n1 + n0  # terms of a group of copies are rare among all examples
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     odds = a * (n0 - b) - b * (n1 - a)
     chi2 = n * odds * odds / ((a + b) * (n - a - b) * n1 * n0)
-    kept = seen.where((a + b >= 3) & (a + b < n)).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
+    kept = seen.where((a + b >= 3 + n // 200) & (a + b < n)).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
     rows = kept.orderBy(F.desc("chi2"), "term").limit(max_terms).select("term").collect()
     return np.sort(np.array([r["term"] for r in rows], np.int64).view(np.uint64))
 
@@ -134,8 +136,8 @@ class BlockMaxIndex:
         return at, cosines
 
     def vote(self, at: np.ndarray, cosines: np.ndarray) -> float:
-        weight = 1 / (np.sqrt(np.maximum(0, 2 - 2 * cosines.astype(float))) + 0.05)
-        return float((weight * self.labels[at]).sum() / weight.sum())
+        weight = cosines.astype(float) ** 2
+        return float((weight * self.labels[at]).sum() / (weight.sum() + DOUBT))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
