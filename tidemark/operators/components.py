@@ -15,9 +15,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     logarithm of the graph's size, and whose edges never outnumber the given ones.  Null ends
     and loops carry no edge; a node with a loop only is its own component.
     """
-    given = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    given = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
+    given = cut(given.distinct())  # the edges may be dear to compute
     loops = given.where("u = v").select(F.col("u").alias("node"))
-    pairs = cut(given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    pairs = given.where("u <> v")
     before = None
     while (state := _state(pairs)) != before:
         before = state
