@@ -7,9 +7,13 @@ overlap of their sets reaches a share of the union.  The matrix product is never
 * Size-derived bounds deal rows into candidate clusters.  Sets of linked documents lie in the
   same or neighbouring size classes, and differ in at most ``d`` n-grams for a class.  Columns
   are cut into d + 1 + spare parts, so that linked sets agree on more than ``spare`` parts; a
-  row sends one hash of each part that holds any of its n-grams.  Should all parts that agree be
-  empty, then both rows have more than ``spare`` empty parts, and such rows send those, too.
-  Rows with a hash in common are joined to the first of them, never in pairs.
+  row sends one hash of each part that holds any of its n-grams.  Rows with a hash in common are
+  joined to the first of them, never in pairs.
+  The most common n-grams (``common_rows`` of them at most, counted over all documents) say
+  little, so that they are left out of the parts at first.  Should all parts that agree be
+  empty without them, then both rows have more than ``spare`` empty parts; such rows send
+  the parts with the common n-grams, and the empty ones, too.  So no link is lost, whichever n-grams
+  count as common.
 * Each cluster's part of the product is computed in blocks of at most ``block`` rows a side,
   adding up overlap counts over slabs of columns.  Pairs whose sizes, or whose count with all
   columns to come, cannot reach the bound are discarded.  A block pair hands on a forest of
@@ -33,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.samples import least_count
 from tidemark.llm.wordhash import distinct, hash_texts, mix, shingles
 from tidemark.operators.components import connected_components
 from tidemark.storage import stored
@@ -41,6 +46,7 @@ _SALT = np.uint64(0xD6E8FEB86659FD93)
 _PART = np.uint64(0xA0761D6478BD642F)
 _CLASS = np.uint64(0xE7037ED1A0B428DB)
 _EMPTY = np.uint64(0x8EBC6AF09C88C6E3)
+_WHOLE = np.uint64(0x589965CC75374CC3)
 #: Bits of the filter that is sent to all tasks: 8 MB, whatever the table's size.
 FILTER_BITS = 1 << 26
 #: Columns of the product that are added up at once.
@@ -85,28 +91,39 @@ class SizeClasses:
         while len(self.starts) < k + 2:
             self._grow()
         differ = (100 - self.percent) * 2 * (self.starts[k + 1] - 1) // (100 + self.percent)
-        spare = 2 + differ // 30
+        spare = 2 + differ // 8
         return differ, spare, differ + 1 + spare
 
 
-def signatures(found: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """Hashes of the parts of a sorted set, for its own class and the one above."""
+def signatures(found: np.ndarray, classes: SizeClasses, common: np.ndarray) -> np.ndarray:
+    """Hashes of the parts of a sorted set, for its own class and the one above; ``common`` is sorted, too."""
     own, out = classes.of(len(found)), []
+    rare = found
+    if len(common):
+        rare = found[common[np.minimum(np.searchsorted(common, found), len(common) - 1)] != found]
     for k in (own, own + 1):
         differ, spare, parts = classes.parts(k)
         if not differ:
             continue
-        part = ((found >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        sums = np.add.reduceat(mix(found ^ _SALT), first)
-        tag = np.uint64(k * int(_CLASS) % 2**64)
-        out.append(mix(sums + part[first] * _PART + tag))
+        first, part = _part_hashes(rare, parts, k * int(_CLASS), out)
         if parts - len(first) > spare:
-            gaps = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
-            out.append(mix(gaps * _PART + np.uint64((int(tag) + int(_EMPTY)) % 2**64)))
+            tag = k * int(_CLASS) + int(_WHOLE)
+            first, part = _part_hashes(found, parts, tag, out)
+            if parts - len(first) > spare:
+                gaps = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
+                out.append(mix(gaps * _PART + np.uint64((tag + int(_EMPTY)) % 2**64)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _part_hashes(grams: np.ndarray, parts: int, tag: int, out: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Adds a hash of each part that isn't empty; gives the first place of each, and the part of all n-grams."""
+    part = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(grams) else np.zeros(0, np.int64)
+    if len(first):
+        out.append(mix(np.add.reduceat(mix(grams ^ _SALT), first) + part[first] * _PART + np.uint64(tag % 2**64)))
+    return first, part
+
+
 def document_sets(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, n_shingles, set): the set as its hash."""
 
@@ -122,9 +139,44 @@ def document_sets(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFra
     return docs.select(doc_id, text).mapInArrow(measure, f"doc_id {kind}, n_shingles long, `set` long")
 
 
-def candidate_edges(docs: DataFrame, size: int, percent: int, text: str) -> DataFrame:
+def common_grams(docs: DataFrame, size: int, text: str, rows: int, least: int = 8) -> np.ndarray:
+    """The n-grams that most sets hold, sorted: at most ``rows``, each in ``least`` sets or more.
+
+    Of every million n-grams a task hands on those that recur, so that counts are a little low.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        sets: list[np.ndarray] = []
+        held = 0
+        for batch in batches:
+            for found in sets_of(batch.column(0), size):
+                own = set_id(found)
+                if own is not None and own not in seen:
+                    seen.add(own)
+                    sets.append(found)
+                    held += len(found)
+                if held > 1 << 20:
+                    yield counted(sets)
+                    sets, held = [], 0
+        if sets:
+            yield counted(sets)
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        grams, times = np.unique(np.concatenate(sets), return_counts=True)
+        often = times > 2
+        return pa.record_batch({"gram": pa.array(grams[often].view(np.int64)), "n": pa.array(times[often])})
+
+    counts = docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = stored(counts.where(F.col("n") >= least), "gram-counts")
+    kept = counts.where(F.col("n") >= least_count(counts, rows)).select("gram").toPandas()
+    return np.sort(kept["gram"].to_numpy(np.int64).view(np.uint64))
+
+
+def candidate_edges(docs: DataFrame, size: int, percent: int, text: str, common_rows: int) -> DataFrame:
     """(src, dst) between sets of which some part agrees: each with the smallest that has the part."""
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    common = docs.sparkSession.sparkContext.broadcast(common_grams(docs, size, text, common_rows))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen = SizeClasses(percent), set()
@@ -135,7 +187,7 @@ def candidate_edges(docs: DataFrame, size: int, percent: int, text: str) -> Data
                 if own is None or own in seen:
                     continue
                 seen.add(own)
-                got = signatures(found, classes)
+                got = signatures(found, classes, common.value)
                 hashes.append(got)
                 owners.append(np.full(len(got), own, np.int64))
                 held += len(got)
@@ -291,17 +343,18 @@ def linked_sets(clustered: DataFrame, percent: int, block: int) -> DataFrame:
     return dealt.groupBy("pack", "low", "high").applyInPandas(multiply, "src long, dst long")
 
 
-def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text", block: int = 512) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text", block: int = 512, common_rows: int = 1 << 17) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; links need 100 * overlap >= percent * union.
 
     component_id is the smallest doc_id that links reach; of an empty set it is its own.
     """
     sets = stored(document_sets(docs, size, doc_id, text), "document-sets")
-    near = connected_components(candidate_edges(docs, size, percent, text))
-    near = stored(near.withColumnRenamed("component", "cluster"), "near-clusters")
+    near = connected_components(candidate_edges(docs, size, percent, text, common_rows))
+    near = near.withColumnRenamed("component", "cluster")
     sizes = near.groupBy("cluster").agg(F.count("*").alias("n_nodes"))
+    near = stored(near.join(sizes, "cluster"), "near-clusters")
     grams = sets_in(docs, near, size, text).groupBy("node").agg(F.first("grams").alias("grams"))
-    linked = linked_sets(grams.join(near, "node").join(sizes, "cluster"), percent, block)
+    linked = stored(linked_sets(grams.join(near, "node"), percent, block), "linked-sets")
 
     # From here on a set goes by the smallest doc_id that has it.
     named = stored(sets.where("`set` IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("name")), "set-names")

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.samples import least_count
 from tidemark.storage import stored
 
 MARK = "▁"
@@ -135,23 +136,10 @@ def chunk_table(docs: DataFrame, model_path: str, text: str = "text", table_rows
             yield pa.record_batch({"chunk": pa.array(words, pa.string()), "ids": pa.array([e[0] for e in entries], pa.string()), "n_ids": pa.array([e[1] for e in entries], pa.int64()), "decoded": pa.array([e[2] for e in entries], pa.string())})
 
     counts = stored(count_chunks(docs, text).where(f"n > 1 and octet_length(chunk) <= {chunk_bytes}"), "chunk-counts")
-    top = counts.where(F.col("n") >= _least_count(counts, table_rows))
+    top = counts.where(F.col("n") >= least_count(counts, table_rows))
     return top.select("chunk").mapInArrow(segment, "chunk string, ids string, n_ids long, decoded string")
 
 
-def _least_count(counts: DataFrame, rows: int) -> int:
-    """The least count, to three digits, that at most ``rows`` chunks reach; there are at most 900 steps a power of ten."""
-    unit = F.pow(F.lit(10), F.greatest(F.length(F.col("n").cast("string")) - 3, F.lit(0))).cast("long")
-    steps = counts.groupBy((F.expr("n") - F.col("n") % unit).alias("step")).count().collect()
-    least, total = 1 << 62, 0
-    for step in sorted(steps, reverse=True):
-        total += step["count"]
-        if total > rows:
-            break
-        least = step["step"]
-    return least
-
-
 def encode_decode(docs: DataFrame, model_path: str, text: str = "text", table_rows: int = 200_000, local_rows: int = 200_000, keep_ids: bool = False) -> DataFrame:
     """``docs`` without ``text``, with n_tokens, ids_sha256, decoded_sha256 and, on request, ids and decoded.
 
