@@ -106,7 +106,7 @@ _AT = r"\s*[\[({<]\s*(?:at|@|chez|arroba)\s*[\])}>]\s*"
 _DOT = r"\s*[\[({<]\s*(?:dot|\.|point|punkt|punto)\s*[\])}>]\s*"
 #: An address spelled with bare words needs both of them, or "at" would be taken in any sentence.
 _BARE = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\s+dot\s+[A-Za-z0-9_%+-]{1,64}){0,4}\s+at\s+(?!(?:the|a|an|this|that)\s)[A-Za-z0-9-]{1,64}(?:\s+dot\s+[A-Za-z0-9-]{1,64})+"
-_SPELLED = rf"(?:\+|plus\s+)?(?<![^\W_])(?:(?:{_WORD}|[0-9])(?![^\W\d_])(?:[\s,()-]{{0,3}}|\s*\.\s*|\s+dot\s+)){{7,40}}"
+_SPELLED = rf"(?:\+|plus\s+)?(?<![^\W_])(?:(?:{_WORD}|[0-9])(?![^\W\d_])(?:(?:\s+dot\s+|\s*\.\s*)(?={_WORD}|[0-9])|[\s,()-]{{0,3}})){{7,40}}"
 _DISGUISE = re.compile(f"(?P<bare>{_BARE})|(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<spelled>{_SPELLED})|(?P<odd>{_ODD.pattern})", re.IGNORECASE)
 _BARE_PARTS = re.compile(r"(?P<at>\s+at\s+)|(?P<dot>\s+dot\s+)", re.IGNORECASE)
 _SPELLED_PARTS = re.compile(rf"(?P<word>{_WORD})|(?P<plus>plus\s+)|(?P<dot>\s+dot\s+|\s*\.\s*)|(?P<gap>[\s,()-]+)", re.IGNORECASE)

@@ -27,6 +27,8 @@ from tidemark.llm.wordhash import hash_texts, shingles
 
 #: Metadata features: log length and its square, hashed source and language.
 SOURCES, LANGUAGES = 32, 16
+#: Widths of the two views.
+CONTENT, META = 14, 2 + SOURCES + LANGUAGES
 _CLASSES = np.zeros((256, 7), np.int64)
 _CLASSES[65:91, 0] = 1
 _CLASSES[97:123, 1] = 1
@@ -44,7 +46,7 @@ def content_features(texts: pa.Array) -> np.ndarray:
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
-    out = np.zeros((n, 14))
+    out = np.zeros((n, CONTENT))
     for i in range(n):
         counts = np.bincount(data[bounds[i] : bounds[i + 1]], minlength=256) @ _CLASSES
         size, letters = max(1, bounds[i + 1] - bounds[i]), max(1, counts[0] + counts[1])
@@ -174,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     sides = []
     for at in (known, ~known):
         part = got[at]
-        sides.append(tuple(np.array(part[c].tolist(), float).reshape(len(part), -1) for c in ("content", "meta")))
+        sides.append(tuple(np.array(part[c].tolist(), float).reshape(len(part), width) for c, width in (("content", CONTENT), ("meta", META))))
     return co_train(sides[0], got["label"][known].to_numpy(float), sides[1], rounds, sure, share)
 
 
