@@ -110,3 +110,18 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes``."""
     ids = nodes.select("node").distinct()
     return edges.join(ids, edges["src"] == ids["node"], "left_semi").join(ids, F.col("dst") == ids["node"], "left_semi")
+
+
+def majority(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """The most frequent value of each group, the smaller of equals, with its share."""
+    counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))
+    best = counts.groupBy(group).agg(F.max(F.struct(F.col("n"), F.lit(0).alias("x"))).alias("top"), F.sum("n").alias("total"))
+    tied = counts.join(best, group).where(F.col("n") == F.col("top.n"))
+    return tied.groupBy(group).agg(F.min(value).alias(value), F.first("n").alias("n"), F.round(F.first(F.col("n") / F.col("total")), 6).alias("share"))
+
+
+def ego(edges: DataFrame, center: DataFrame) -> DataFrame:
+    """(center, src, dst) of the edges that touch each center, by two equi-joins."""
+    ids = center.select(F.col("node").alias("center")).distinct()
+    out = edges.join(ids, F.col("src") == F.col("center")).select("center", "src", "dst")
+    return out.unionByName(edges.join(ids, F.col("dst") == F.col("center")).select("center", "src", "dst")).distinct()

@@ -129,3 +129,21 @@ def topology(records: DataFrame) -> DataFrame:
     """(service, target) edges from addresses that messages name."""
     found = F.regexp_extract_all("message", F.lit(r"(?:https?|redis|kafka|postgres|mysql)://([^\s/]+)"), F.lit(1))
     return records.select("logger", F.explode(found).alias("target")).groupBy(F.col("logger").alias("service"), "target").agg(F.count("*").alias("n"))
+
+
+# Words that mark a step of a failure.
+CAUSAL = ("timeout", "pool", "exhausted", "refused", "deadlock")
+
+
+def causal_lines(records: DataFrame, n: int = 50) -> DataFrame:
+    """The first ``n`` records, by time, whose messages hold a causal word."""
+    return records.where(F.lower("message").rlike("|".join(CAUSAL))).orderBy(F.asc_nulls_last("ts"), "file", "line").limit(n)
+
+
+def relations(records: DataFrame) -> DataFrame:
+    """(subject, verb, object, n): which services use stores, and publish to topics, by the names in messages."""
+    text, parts = F.lower("message"), []
+    for name, verb in (("redis", "uses"), ("postgres", "uses"), ("kafka", "publishes")):
+        parts.append(F.when(text.rlike(rf"\b{name}"), F.struct(F.lit(verb).alias("verb"), F.lit(name).alias("object"))))
+    found = records.select(F.coalesce("logger", F.lit("unknown")).alias("subject"), F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("r"))
+    return found.groupBy("subject", "r.verb", "r.object").agg(F.count("*").alias("n"))

@@ -56,3 +56,24 @@ def routes(texts: DataFrame, keywords: DataFrame, n: int = 6) -> DataFrame:
 def inverted(rows: DataFrame, key: Column, value: str) -> DataFrame:
     """(term, n, first, last) of an inverted index: how many values each key has."""
     return rows.select(F.explode(key).alias("term"), value).distinct().groupBy("term").agg(F.count("*").alias("n"), F.min(value).alias("first"), F.max(value).alias("last"))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, vec_id, cosine, rank) of unit vectors: the ``k`` nearest of a label's rows to each of its query rows.
+
+    Queries are dealt to the rows by label, in blocks of rows, so that a label's size bounds no task.
+    """
+    blocks = 16
+    rows = vectors.select("vec_id", "label", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    asked = queries.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    scored = rows.join(asked, ["label", "block"]).where("vec_id <> query_id").select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("q")), 5).alias("cosine"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def hybrid(text: DataFrame, vector: DataFrame, k: int = 10, text_share: float = 0.6) -> DataFrame:
+    """Two rankings of (query_id, doc_id, score) as one weighted score; a document that one lacks has 0 there."""
+    both = text.select("query_id", "doc_id", F.col("score").alias("a")).join(vector.select("query_id", "doc_id", F.col("score").alias("b")), ["query_id", "doc_id"], "full_outer")
+    score = F.round(text_share * F.coalesce("a", F.lit(0.0)) + (1 - text_share) * F.coalesce("b", F.lit(0.0)), 5)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return both.select("query_id", "doc_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -418,3 +418,55 @@ def document_chunks(spark, folder):
 def stream_windows(spark, folder):
     """Hourly windows of the event stream, run over all files that are there."""
     return streaming.drained(streaming.windowed_counts(streaming.event_stream(spark, folder)), "stream-windows")
+
+
+# The star schema's foreign keys: (table, column, referenced table).
+FOREIGN_KEYS = [("nation", "n_regionkey", "region"), ("customer", "c_nationkey", "nation"), ("supplier", "s_nationkey", "nation"), ("orders", "o_custkey", "customer"), ("lineitem", "l_orderkey", "orders"), ("lineitem", "l_partkey", "part"), ("lineitem", "l_suppkey", "supplier")]
+KEYS_SQL = "SELECT * FROM (VALUES " + ", ".join(str((a, b)) for a, _, b in FOREIGN_KEYS) + ") AS k(src, dst)"
+
+
+@query(f"WITH k AS ({KEYS_SQL}), c AS (SELECT src AS center FROM k UNION SELECT dst FROM k) SELECT DISTINCT center, src, dst FROM c JOIN k ON center = src OR center = dst")
+def catalog_ego(spark, folder):
+    """The part of the foreign-key graph around each table."""
+    keys = spark.createDataFrame([(a, b) for a, _, b in FOREIGN_KEYS], "src string, dst string")
+    return graph.ego(keys, keys.select(F.col("src").alias("node")).unionByName(keys.select(F.col("dst").alias("node"))))
+
+
+@query("WITH c AS (SELECT user_id % 20 AS team, event_type, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY team) AS total, row_number() OVER (PARTITION BY team ORDER BY n DESC, event_type) AS place FROM c) SELECT team, event_type, n, round(n / total, 6) AS share FROM r WHERE place = 1")
+def graph_majority(spark, folder):
+    events = sources.table(spark, folder, "events").select((F.col("user_id") % 20).alias("team"), "event_type")
+    return graph.majority(events, "team", "event_type")
+
+
+@query(f"SELECT file, line, level FROM ({RECORDS}) WHERE regexp_matches(lower(message), 'timeout|pool|exhausted|refused|deadlock') ORDER BY ts NULLS LAST, file, line LIMIT 50")
+def log_causal_lines(spark, folder):
+    return logs.causal_lines(records(spark, folder)).select("file", "line", "level")
+
+
+STORES = "concat(message, CASE user_id % 4 WHEN 0 THEN ' redis get' WHEN 1 THEN ' postgres query' WHEN 2 THEN ' kafka send' ELSE '' END)"
+
+
+@query(f"WITH m AS (SELECT logger AS subject, {STORES} AS message FROM ({RECORDS})), x AS (SELECT subject, 'uses' AS verb, 'redis' AS object FROM m WHERE message LIKE '% redis%' UNION ALL SELECT subject, 'uses', 'postgres' FROM m WHERE message LIKE '% postgres%' UNION ALL SELECT subject, 'publishes', 'kafka' FROM m WHERE message LIKE '% kafka%') SELECT subject, verb, object, count(*) AS n FROM x GROUP BY ALL")
+def log_relations(spark, folder):
+    return logs.relations(records(spark, folder).withColumn("message", F.expr(STORES)))
+
+
+@query(
+    """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(c.embedding, lambda x: x::DOUBLE)), 5) AS cosine FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, vec_id, cosine, rank FROM r WHERE rank <= 10"""
+)
+def search_nearest(spark, folder):
+    """The ten nearest of their label to the query set, every fiftieth vector."""
+    vectors = sources.table(spark, folder, "embeddings")
+    return search.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query()
+def search_hybrid(spark, folder):
+    """BM25 with itself as the second ranking, as long as texts have no vectors of their own."""
+    docs = sources.table(spark, folder, "documents")
+    ranked = search.bm25(docs, sources.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return search.hybrid(ranked, ranked)
+
+
+SQL["search_hybrid"] = f"SELECT query_id, doc_id, round(0.6 * score + 0.4 * score, 5) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(0.6 * score + 0.4 * score, 5) DESC, doc_id) AS INTEGER) AS rank FROM ({SQL['search_bm25']})"
