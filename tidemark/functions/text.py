@@ -106,7 +106,7 @@ def char_entropy(text: Column) -> Column:
     """Shannon entropy of characters over that of a text as long with all of them different; 0 for the empty text."""
     chars = F.split(F.coalesce(text, F.lit("")), "")
     n = F.length(text)
-    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / n)
+    counts = F.transform(F.array_distinct(chars), lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
     bits = F.aggregate(counts, F.lit(0.0), lambda total, p: total - p * F.log2(p))
     most = F.log2(F.least(n, F.lit(256)))
     return F.when(F.coalesce(n, F.lit(0)) == 0, 0.0).otherwise(bits / F.when(most == 0, 1.0).otherwise(most))

@@ -74,6 +74,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 def hybrid(text: DataFrame, vector: DataFrame, k: int = 10, text_share: float = 0.6) -> DataFrame:
     """Two rankings of (query_id, doc_id, score) as one weighted score; a document that one lacks has 0 there."""
     both = text.select("query_id", "doc_id", F.col("score").alias("a")).join(vector.select("query_id", "doc_id", F.col("score").alias("b")), ["query_id", "doc_id"], "full_outer")
-    score = F.round(text_share * F.coalesce("a", F.lit(0.0)) + (1 - text_share) * F.coalesce("b", F.lit(0.0)), 5)
+    score = F.round(text_share * F.coalesce("a", F.lit(0.0)) + (1 - text_share) * F.coalesce("b", F.lit(0.0)), 6)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return both.select("query_id", "doc_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -469,4 +469,4 @@ def search_hybrid(spark, folder):
     return search.hybrid(ranked, ranked)
 
 
-SQL["search_hybrid"] = f"SELECT query_id, doc_id, round(0.6 * score + 0.4 * score, 5) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(0.6 * score + 0.4 * score, 5) DESC, doc_id) AS INTEGER) AS rank FROM ({SQL['search_bm25']})"
+SQL["search_hybrid"] = f"SELECT query_id, doc_id, round(0.6::DOUBLE * score + 0.4::DOUBLE * score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(0.6::DOUBLE * score + 0.4::DOUBLE * score, 6) DESC, doc_id) AS INTEGER) AS rank FROM ({SQL['search_bm25']})"
