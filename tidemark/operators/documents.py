@@ -81,3 +81,74 @@ def markdown_rows(rows: DataFrame, order: str) -> DataFrame:
     """(place, line): a table row of each row, with bars and backslashes escaped; nulls are empty."""
     cells = [F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"([\\|])", r"\\$1"), "\n", " ") for c in rows.columns]
     return rows.select(F.col(order).cast("long").alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def same_site(pages: DataFrame) -> DataFrame:
+    """(page_id, link, inside): absolute targets of a page, and whether they stay at its host or, either way, a subdomain of it."""
+    scheme, host = F.regexp_extract("url", "^([a-z]+)://", 1), F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+    based = links(pages).join(pages.select("page_id", scheme.alias("scheme"), host.alias("host")), "page_id")
+    absolute = F.when(F.col("link").rlike("^[a-z]+://"), F.col("link")).when(F.col("link").startswith("/"), F.concat("scheme", F.lit("://"), "host", "link")).otherwise(F.concat("scheme", F.lit("://"), "host", F.lit("/"), "link"))
+    target = F.regexp_extract(absolute, "^[a-z]+://([^/?#]+)", 1)
+    within = (target == F.col("host")) | target.endswith(F.concat(F.lit("."), "host")) | F.col("host").endswith(F.concat(F.lit("."), target))
+    return based.select("page_id", absolute.alias("link"), (absolute.startswith(F.concat("scheme", F.lit("://"))) & within).alias("inside"))
+
+
+def table_cells(pages: DataFrame, tag: str = "li") -> DataFrame:
+    """(page_id, place, cell): texts of the elements of a tag, in order, without inner tags."""
+    found = F.regexp_extract_all("html", F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))
+    return pages.select("page_id", F.posexplode(found).alias("place", "cell")).withColumn("cell", F.trim(F.regexp_replace("cell", "<[^>]*>", "")))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
+
+
+# Shapes of lines.
+KEY_VALUE = r"^[A-Za-z][A-Za-z0-9 _-]{0,39}:\s+\S"
+BULLET = r"^\s*[-*+]\s+\S"
+NUMBERED = r"^\d+(\.\d+)*\.?\s+\S"
+CAPITALS = r"^[A-Z][A-Z0-9 ]{2,}$"
+FOOTERS = ("confidential", "proprietary", "internal use only")
+
+
+def line_kinds(docs: DataFrame) -> DataFrame:
+    """(kind, n) of all lines: blank, bullet, numbered, heading, pair or text."""
+    t = F.col("text")
+    kind = F.when(F.trim(t) == "", "blank").when(t.rlike(BULLET), "bullet").when(t.rlike(NUMBERED), "numbered").when(t.rlike(CAPITALS), "heading").when(t.rlike(KEY_VALUE), "pair").otherwise("text")
+    return _lines(docs).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def pair_runs(docs: DataFrame, least: int = 1) -> DataFrame:
+    """(doc_id, first_line, n): runs of consecutive ``key: value`` lines, which make one table each."""
+    pairs = _lines(docs).where(F.col("text").rlike(KEY_VALUE))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
+    runs = pairs.withColumn("run", F.col("line") - place).groupBy("doc_id", "run").agg(F.min("line").alias("first_line"), F.count("*").alias("n"))
+    return runs.where(F.col("n") >= least).select("doc_id", "first_line", "n")
+
+
+def without_footers(text: Column) -> Column:
+    """The text without lines that hold nothing but a footer's words."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.lower(F.trim(x)).isin(*FOOTERS)), "\n")
+
+
+def distinct_contents(docs: DataFrame) -> DataFrame:
+    """(digest, doc_id, n): documents of equal bytes as one, under the smallest doc_id."""
+    return docs.groupBy(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
+def clock(milliseconds: Column) -> Column:
+    """h:mm:ss.mmm"""
+    whole = F.floor(milliseconds / 1000)
+    return F.format_string("%d:%02d:%02d.%03d", F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60, milliseconds % 1000)
+
+
+def backlinks(found: DataFrame) -> DataFrame:
+    """(link, n, first, last): how many distinct pages of (page_id, link) hold each link, and the first and last of them."""
+    return found.groupBy("link").agg(F.countDistinct("page_id").alias("n"), F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+
+
+def sections(docs: DataFrame, clip: int = 4000) -> DataFrame:
+    """(doc_id, section, text): Markdown texts without their front matter, split before second-level headings, each cut to ``clip`` characters."""
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?s)\A---\n.*?\n---\n", "")
+    parts = F.filter(F.split(body, r"(?m)^(?=## )"), lambda x: F.trim(x) != "")
+    return docs.select("doc_id", F.posexplode(parts).alias("section", "text")).withColumn("text", F.substring("text", 1, clip))

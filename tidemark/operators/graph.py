@@ -24,8 +24,11 @@ def simple(edges: DataFrame, relations: list[str] | None = None) -> DataFrame:
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, node, depth) of all nodes at most ``depth`` edges from each seed of (node), by the shortest way."""
+    return _walk(edges, seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct(), depth)
+
+
+def _walk(edges: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
     step = edges.select("src", "dst").distinct()
-    seen = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct()
     front = seen
     for k in range(1, depth + 1):
         around = front.join(step, front["node"] == step["src"]).select("seed", F.col("dst").alias("node")).distinct()
@@ -41,6 +44,101 @@ def descendants(edges: DataFrame, seeds: DataFrame, depth: int = 64) -> DataFram
     return reach(edges, seeds, depth).where("node <> seed")
 
 
+def reversed_edges(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def ancestors(edges: DataFrame, seeds: DataFrame, depth: int = 64) -> DataFrame:
+    """Nodes that reach each seed; the seed itself is not among them."""
+    return descendants(reversed_edges(edges), seeds, depth)
+
+
+def impact(edges: DataFrame, seeds: DataFrame, depth: int = 64) -> DataFrame:
+    """(node, depth) of the seeds and all that any of them reaches: one walk for all seeds, not one each."""
+    return _walk(edges, seeds.select(F.lit(0).alias("seed"), "node", F.lit(0).alias("depth")).distinct(), depth).select("node", "depth")
+
+
+def neighbourhood(edges: DataFrame, start: str, depth: int, cap: int) -> DataFrame:
+    """(node, depth) around ``start``, either way along edges, level by level.
+
+    A level is taken in the order of its nodes until ``cap`` nodes are found. A depth of 0 or less
+    sets no limit of levels; an unknown start finds nothing.
+    """
+    pairs = edges.select("src", "dst")
+    both = pairs.unionByName(reversed_edges(pairs)).distinct()
+    seen = cut(both.where(F.col("src") == start).select(F.col("src").alias("node"), F.lit(0).alias("depth")).limit(1))
+    front, found, k = seen, seen.count(), 0
+    while 0 < found < cap and (k < depth or depth <= 0):
+        k += 1
+        near = front.join(both, front["node"] == both["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        front = cut(near.orderBy("node").limit(cap - found).select("node", F.lit(k).alias("depth")))
+        more = front.count()
+        if not more:
+            break
+        seen, found = seen.unionByName(front), found + more
+    return seen
+
+
+def communities(edges: DataFrame, rounds: int = 4) -> DataFrame:
+    """(node, community) by label propagation, a community named by one of its nodes.
+
+    In each round a node takes the label that most of its parallel edges lead to, its own counting
+    once, and the smaller of equals, so that results don't depend on the order of rows.
+    """
+    pairs = edges.select("src", "dst").where("src <> dst")
+    both = pairs.unionByName(reversed_edges(pairs))
+    links = both.groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    nodes = both.select("src").distinct()
+    links = cut(links.unionByName(nodes.select("src", F.col("src").alias("dst"), F.lit(1).cast("long").alias("weight"))))
+    labels = nodes.select(F.col("src").alias("node"), F.col("src").alias("community"))
+    for _ in range(rounds):
+        votes = links.join(labels, links["dst"] == labels["node"]).groupBy("src", "community").agg(F.sum("weight").alias("votes"))
+        labels = cut(votes.groupBy(F.col("src").alias("node")).agg(F.min(F.struct(-F.col("votes"), "community"))["community"].alias("community")))
+    return labels
+
+
+def community_stats(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges inside each community of (node, community), by relation, and the share of calls."""
+    a = labels.select(F.col("node").alias("src"), F.col("community"))
+    b = labels.select(F.col("node").alias("dst"), F.col("community").alias("other"))
+    inside = edges.join(a, "src").join(b, "dst").where("community = other")
+    calls, imports = F.count_if(F.col("relation") == "CALLS"), F.count_if(F.col("relation") == "IMPORTS")
+    return inside.groupBy("community").agg(F.count("*").alias("n"), calls.alias("n_calls"), imports.alias("n_imports"), F.round(calls / F.count("*"), 6).alias("calls_share"))
+
+
+def hot_paths(found: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` paths with the highest scores, ties by path."""
+    return found.orderBy(F.desc("score"), "path").limit(n)
+
+
+def common_prefix(rows: DataFrame, group: str, path: str) -> DataFrame:
+    """(group, prefix, n): the whole leading segments that all paths of a group share.
+
+    What the least and the greatest path share is shared by all between them, so that two values a group do.
+    """
+    parts = F.split(path, "/")
+    ends = rows.groupBy(group).agg(F.min(parts).alias("low"), F.max(parts).alias("high"), F.count(path).alias("n"))
+    lengths = F.sequence(F.lit(0), F.least(F.size("low"), F.size("high")))
+    longest = F.array_max(F.filter(lengths, lambda k: F.slice("low", F.lit(1), k) == F.slice("high", F.lit(1), k)))
+    return ends.select(group, F.array_join(F.slice("low", F.lit(1), longest), "/").alias("prefix"), "n")
+
+
+def shared_references(endpoints: DataFrame) -> DataFrame:
+    """(src, dst) where a response of one endpoint holds a type that a request of another asks for.
+
+    Over (endpoint, responses, requests); the arrays are exploded and joined by equality.
+    """
+    given = endpoints.select(F.col("endpoint").alias("src"), F.explode(F.array_distinct("responses")).alias("ref"))
+    asked = endpoints.select(F.col("endpoint").alias("dst"), F.explode(F.array_distinct("requests")).alias("ref"))
+    return given.join(asked, "ref").where("src <> dst").select("src", "dst").distinct()
+
+
+def mermaid_lines(edges: DataFrame) -> DataFrame:
+    """(line): each edge of (src, dst, relation) as an arrow with a label, for a flow chart."""
+    name = lambda c: F.regexp_replace(c, r"[^A-Za-z0-9_]", "_")
+    return edges.select(F.concat(F.lit("  "), name("src"), F.lit(" -->|"), F.coalesce("relation", F.lit("CALLS")), F.lit("| "), name("dst")).alias("line")).distinct()
+
+
 def roots(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
 

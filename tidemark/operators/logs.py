@@ -147,3 +147,32 @@ def relations(records: DataFrame) -> DataFrame:
         parts.append(F.when(text.rlike(rf"\b{name}"), F.struct(F.lit(verb).alias("verb"), F.lit(name).alias("object"))))
     found = records.select(F.coalesce("logger", F.lit("unknown")).alias("subject"), F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("r"))
     return found.groupBy("subject", "r.verb", "r.object").agg(F.count("*").alias("n"))
+
+
+def first_of_each(records: DataFrame, group: str, n: int) -> DataFrame:
+    """The first ``n`` records of each group by time, file and line, with their place."""
+    order = Window.partitionBy(group).orderBy(F.asc_nulls_last("ts"), "file", "line")
+    return records.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def chunks(records: DataFrame, service_size: int = 30, timeline_size: int = 200) -> DataFrame:
+    """(kind, key, n, text) pieces for retrieval: one an incident, the head of each service, and the head of the whole timeline.
+
+    Sizes bound what a text may hold; every text is in order of time.
+    """
+
+    def joined(rows: DataFrame, kind: str, key: Column) -> DataFrame:
+        told = F.array_sort(F.collect_list(F.struct("place", "message")))
+        return rows.groupBy(F.lit(kind).alias("kind"), key.alias("key")).agg(F.count("*").alias("n"), F.array_join(F.transform(told, lambda r: r["message"]), "\n").alias("text"))
+
+    found = incidents(records).select(F.lit("incident").alias("kind"), F.col("incident_id").alias("key"), "n", F.col("title").alias("text"))
+    service = first_of_each(records.withColumn("service", F.coalesce("logger", F.lit("unknown"))), "service", service_size)
+    head = records.orderBy(F.asc_nulls_last("ts"), "file", "line").limit(timeline_size)
+    timeline = head.withColumn("place", F.struct(F.col("ts").isNull(), "ts", "file", "line"))
+    return found.unionByName(joined(service, "service", F.col("service"))).unionByName(joined(timeline, "timeline", F.lit("all")))
+
+
+def telemetry(records: DataFrame, spans: DataFrame) -> DataFrame:
+    """Records and spans as one table of events: (source, event_id, service, severity, body)."""
+    a = records.select(F.lit("log").alias("source"), F.concat_ws(":", "file", "line").alias("event_id"), F.coalesce("logger", F.lit("unknown")).alias("service"), F.col("level").alias("severity"), F.col("message").alias("body"))
+    return a.unionByName(spans.select(F.lit("span").alias("source"), F.col("span_id").alias("event_id"), "service", F.lit("INFO").alias("severity"), F.col("name").alias("body")))

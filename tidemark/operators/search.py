@@ -77,3 +77,15 @@ def hybrid(text: DataFrame, vector: DataFrame, k: int = 10, text_share: float =
     score = F.round(text_share * F.coalesce("a", F.lit(0.0)) + (1 - text_share) * F.coalesce("b", F.lit(0.0)), 6)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return both.select("query_id", "doc_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def substring_hits(texts: DataFrame, needle: str, score: float = 0.5) -> DataFrame:
+    """(id, score) of texts that hold a string in any case: what a search falls back to."""
+    return texts.where(F.contains(F.lower("text"), F.lit(needle.lower()))).select("id", F.lit(score).alias("score"))
+
+
+def hash_vector(text: Column, size: int = 64) -> Column:
+    """A vector made of the bytes of the text's SHA-256, for tests without a model: (byte - 128) / 128, repeated."""
+    digest = F.sha2(text.cast("binary"), 256)
+    byte = lambda k: F.conv(F.substring(digest, k % 32 * 2 + 1, F.lit(2)), 16, 10).cast("double")
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: (byte(k) - 128) / 128)

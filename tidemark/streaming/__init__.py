@@ -19,6 +19,12 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "30 day
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "event_type", "n")
 
 
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "30 days") -> DataFrame:
+    """(user_id, started, n): a user's events that lie less than ``gap`` apart are a session."""
+    kept = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    return kept.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "n")
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that is there, to a table in the shared folder that holds the last state of each row."""
     spark, out = stream.sparkSession, scratch_path(stream.sparkSession, name)
