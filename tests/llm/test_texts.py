@@ -123,6 +123,26 @@ def test_disguises_map_back(text, kind, covered):
     assert [(s.kind, text[s.start : s.end]) for s in added if not base] == [(kind, covered)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "plain", "whole"),
+    [
+        ("to аlice@example.com now", 0, "lice@example.com", "аlice@example.com"),
+        ("to alice@mail.exаmple.com now", 0, "alice@mail.ex", "alice@mail.exаmple.com"),
+        ("to al\u200bice@example.com now", 0, "ice@example.com", "al\u200bice@example.com"),
+        ("at 192.168.1.1０ now", 1, "192.168.1.1", "192.168.1.1０"),
+        ("call +1 202 555 017８ now", 3, "+1 202 555 017", "+1 202 555 017８"),
+    ],
+)
+def test_half_disguised(spark, text, kind, plain, whole):
+    base, added = personal_data.find_spans(text)
+    assert [(s.kind, text[s.start : s.end]) for s in base] == [(kind, plain)]
+    assert [(s.kind, text[s.start : s.end]) for s in added] == [(kind, whole)]
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert personal_data.redact(docs).first()["text"] == text.replace(whole, f"[{personal_data.KINDS[kind].upper()}]")
+    row = personal_data.find_personal_data(docs).first()
+    assert (row["n_added"], row["base_sha256"]) == (1, sha(personal_data.written(base)))
+
+
 @pytest.mark.parametrize("text", ["we met at the dot com of one two three", "Elle est un peu at home. un deux", "four dots at noon", "at 5 [at] noon"])
 def test_plain_prose_has_no_spans(text):
     assert personal_data.find_spans(text) == ([], [])

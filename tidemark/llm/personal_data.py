@@ -4,7 +4,9 @@ Base detectors find e-mail addresses, IP addresses, card and phone numbers in th
 stands.  A transducer then rewrites disguises (homoglyphs, invisible characters, spelled
 digits, at/dot words) and keeps for every rewritten character the source characters it came
 from; the same detectors run over the rewritten text, and what they find is mapped back to
-source offsets.  Base spans always stay; a mapped span is added where it overlaps none.
+source offsets.  Base spans always stay; a mapped span is added unless it lies wholly inside a
+base span of its kind, so that of a half-disguised identifier both the plain part and the whole
+are listed.  Redaction replaces the union of overlapping spans.
 
 Offsets count code points, ends are exclusive.  Null text counts as empty, and whole texts
 are read, however long; all patterns run in time linear in the text.
@@ -15,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -209,13 +212,15 @@ def find_spans(text: str) -> tuple[list[Span], list[Span]]:
     if not _disguised(text):
         return base, []
     plain, added = rewrite(text), []
-    taken = [(s.start, s.end) for s in base]
-    for kind, (start, end) in ((s.kind, (s.start, s.end)) for s in detect("".join(plain.out))):
-        if any(plain.changed[start:end]):
-            low, high = plain.starts[start], plain.ends[end - 1]
-            if not any(a < high and low < b for a, b in taken):
+    # Spans of a kind never overlap: of those that start at or before a place, the last one reaches furthest.
+    known = [[s for s in base if s.kind == kind] for kind in range(len(KINDS))]
+    for start, kind, end in detect("".join(plain.out)):
+        low, high = plain.starts[start], plain.ends[end - 1]
+        # A rewritten character, or one that was left out, is a disguise.
+        if any(plain.changed[start:end]) or high - low > end - start:
+            k = bisect_right(known[kind], low, key=lambda s: s.start)
+            if not k or known[kind][k - 1].end < high:
                 added.append(Span(low, kind, high))
-                taken.append((low, high))
     return base, sorted(added)
 
 
