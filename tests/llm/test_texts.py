@@ -143,6 +143,28 @@ def test_half_disguised(spark, text, kind, plain, whole):
     assert (row["n_added"], row["base_sha256"]) == (1, sha(personal_data.written(base)))
 
 
+SPELLED = "one,five.five,five(two)three,four,five,six,seven,eight"
+
+
+@pytest.mark.parametrize("text", [f"plus {SPELLED}", f"+{SPELLED}", "+one.five.five.five.two.three.four.five.six.seven.eight", "plus one5 five5,two3,four5,ſix7,eight", "+ONE,FİVE,FIVE,FıVE,TWO,THREE,FOUR,FIVE,SIX,SEVEN,EIGHT"])
+def test_spelled_without_spaces(spark, text):
+    base, added = personal_data.find_spans(f"call {text} ok")
+    assert base == []
+    assert 3 in [s.kind for s in added]
+    docs = spark.createDataFrame([(1, f"call {text} ok")], "doc_id long, text string")
+    assert personal_data.redact(docs).first()["text"].split() == ["call", "[PHONE]", "ok"]
+
+
+PIECES = ["one", "TWO", "ſix", "fİve", "sıx", "zéro", "fünf", "dot", "at", "plus ", "+", "7", "12", "x", "a1", "the", ",", ".", "-", "(", ")", " ", "\n", "\x1c", "_", "é", "[at]", "(dot)", "poİnt", "@", "。", "\u200b", "８"]
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=40).map("".join) | st.lists(st.sampled_from([w + gap for w in [*PIECES[:8], "7"] for gap in (",", ".", " ", "-", ", ")]), min_size=7, max_size=40).map("".join))
+def test_quick_test_passes_every_disguise(text):
+    if not personal_data._disguised(text):
+        assert "".join(personal_data.rewrite(text).out) == text
+
+
 @pytest.mark.parametrize("text", ["we met at the dot com of one two three", "Elle est un peu at home. un deux", "four dots at noon", "at 5 [at] noon"])
 def test_plain_prose_has_no_spans(text):
     assert personal_data.find_spans(text) == ([], [])

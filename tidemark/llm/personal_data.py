@@ -114,9 +114,10 @@ _DISGUISE = re.compile(f"(?P<bare>{_BARE})|(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<spe
 _BARE_PARTS = re.compile(r"(?P<at>\s+at\s+)|(?P<dot>\s+dot\s+)", re.IGNORECASE)
 _SPELLED_PARTS = re.compile(rf"(?P<word>{_WORD})|(?P<plus>plus\s+)|(?P<dot>\s+dot\s+|\s*\.\s*)|(?P<gap>[\s,()-]+)", re.IGNORECASE)
 _SPELLED_WORDS = re.compile(rf"{_WORD}|dot", re.IGNORECASE)
-_GAPS = re.compile(r"[\s,.()+-]+")
-#: Digit words with the punctuation that may stand beside them.
-_ATTACHED = frozenset(a + w + b for w in _DIGIT_WORDS for a in ("", "(") for b in ("", ",", ".", ")", "),", ")."))
+_CASELESS = str.maketrans("İıſ", "iis")
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: What may end a run of spelled digits: all but digits and separators.
+_BREAKS = re.compile(r"[^\W\d_]+|[^\w\s,().-]|_")
 #: A run of digits is spelled if so many of its digits and dots are words.
 _LEAST_SPELLED = 3
 _BRACKETED = re.compile(f"{_AT}|{_DOT}", re.IGNORECASE)
@@ -159,26 +160,33 @@ class _Rewriter:
         at = start
         for m in pattern.finditer(self.text, start, end):
             self.copy(at, m.start())
-            self.put(_DIGIT_WORDS[m.group().lower()] if m.lastgroup == "word" else new[m.lastgroup], m.start(), m.end())
+            self.put(_DIGIT_WORDS[_lower(m.group())] if m.lastgroup == "word" else new[m.lastgroup], m.start(), m.end())
             at = m.end()
         self.copy(at, end)
 
 
+def _lower(text: str) -> str:
+    """The text in lower case, with the three letters that patterns without case take for an ASCII one."""
+    return (text.translate(_CASELESS) if any(c in text for c in "İıſ") else text).lower()
+
+
 def _disguised(text: str) -> bool:
     """A cheap test that no text with a disguise fails."""
     if not text.isascii() and _ODD.search(text):
         return True
-    low = text.lower()
+    low = _lower(text)
     if any(c in low for c in "[({<") and _BRACKETED.search(low):
         return True
-    words = low.split()
-    if "dot" in low and "dot" in words and ("at" in words or _DIGIT.search(low)):
-        return True
-    if sum(map(_ATTACHED.__contains__, words)) < _LEAST_SPELLED and "-" not in low:
+    if "dot" in low:
+        words = low.split()
+        if "dot" in words and ("at" in words or _DIGIT.search(low)):
+            return True
+    # A digit word of a spelled run has no letter beside it, whatever separates the words.
+    if sum(map(_DIGIT_WORDS.__contains__, _LETTERS.findall(low))) < _LEAST_SPELLED:
         return False
     run = 0
-    for part in _GAPS.split(low):
-        run = run + 1 if part in _DIGIT_WORDS else run * (part.isdigit() or part in ("", "dot"))
+    for part in _BREAKS.findall(low):
+        run = run + 1 if part in _DIGIT_WORDS else run * (part == "dot")
         if run >= _LEAST_SPELLED:
             return True
     return False
