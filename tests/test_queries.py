@@ -89,3 +89,20 @@ def test_graph_cases(spark):
     assert sorted(map(tuple, graph.simple(edges).collect())) == [("m", "n"), ("n", "z")]
     seeds = spark.createDataFrame([("m",)], "node string")
     assert {r["node"] for r in graph.descendants(graph.simple(edges), seeds).collect()} == {"n", "z"}
+
+
+def test_incidents_by_whole_message(spark):
+    head = "x" * 80
+    rows = [(k, "ERROR", f"s{k % 2}", f"{head} {end} {k}", f"Traceback\n {k // 2 * 2}" if k < 4 else None) for k, end in enumerate(["pool timeout", "pool timeout", "disk full", "disk full", "once"])]
+    rows += [(9, "INFO", "s9", f"{head} pool timeout 9", None)]
+    data = spark.createDataFrame(rows, "line long, level string, logger string, message string, stacktrace string").withColumn("file", F.lit("f"))
+    got = sorted(logs.incidents(data).collect(), key=lambda r: r["first_line"])
+    assert [(r["n"], r["title"], r["cause"], r["first_line"], r["last_line"], r["services"]) for r in got] == [(2, head, "pool exhaustion", 0, 1, "s0,s1"), (2, head, "dependency", 2, 3, "s0,s1")]
+    assert [list(r["messages"]) for r in got] == [[rows[0][3], rows[1][3]], [rows[2][3], rows[3][3]]]
+    assert [list(r["stacktraces"]) for r in got] == [["Traceback\n 0"], ["Traceback\n 2"]]
+    assert len({r["incident_id"] for r in got}) == 2
+
+
+def test_incidents_of_the_events(spark):
+    got = __spark_entry__.queries()["log_incidents_whole"](spark, FOLDER).collect()
+    assert len(got) > 1 and {r["cause"] for r in got} == {"pool exhaustion"}

@@ -69,10 +69,54 @@ def distinct_messages(records: DataFrame) -> DataFrame:
     return records.groupBy(key.alias("fingerprint")).agg(first.alias("r")).select("fingerprint", "r.*")
 
 
-def incidents(records: DataFrame, least: int = 2) -> DataFrame:
-    """Failures by normalised message: id, title, severity, span of lines, services and messages.
+def incidents(records: DataFrame, least: int = 2, stacks: bool = False) -> DataFrame:
+    """Failures by the hash of the whole normalised message, and of the first stack line if ``stacks``.
 
-    Lists are sets, cut after sorting; a set of services or messages is merged in the tasks before the shuffle.
+    (incident_id, title, n, severity, first_line, last_line, services, cause, messages, stacktraces). The
+    title, of 80 characters, is for display only; the cause is scored on the whole message. The first 8
+    messages and 5 stack traces, by time, file and line, are distinct; they are found by minima and ranks,
+    so that no list of all of a group's texts is held.
+    """
+    for name, kind in (("ts", "timestamp"), ("stacktrace", "string")):
+        records = records if name in records.columns else records.withColumn(name, F.lit(None).cast(kind))
+    whole = F.trim(fn.mask_ips(fn.normalize(F.coalesce("message", F.lit("")))))
+    head = F.trim(fn.mask_ips(fn.normalize(F.substring_index("stacktrace", "\n", 1))))
+    basis = F.concat_ws("|", "whole", F.when(F.col("stacktrace") != "", head)) if stacks else F.col("whole")
+    failures = records.where(F.col("level").isin(*FAILURES)).withColumn("whole", whole).withColumn("fp", fn.stable_hash(basis))
+    grouped = failures.groupBy("fp").agg(
+        F.min("whole").alias("whole"),  # all of a group are equal
+        F.count("*").alias("n"),
+        F.max(fn.severity_score(F.col("level"))).alias("level_part"),
+        F.min("line").alias("first_line"),
+        F.max("line").alias("last_line"),
+        F.array_join(F.array_sort(F.collect_set(F.nullif(F.trim("logger"), F.lit("")))), ",").alias("services"),
+    )
+    grouped = grouped.where(F.col("n") >= least)
+    place = F.struct(F.col("ts").isNull(), "ts", "file", "line")
+
+    def firsts(text: Column, n: int, shown: int, name: str) -> DataFrame:
+        order = Window.partitionBy("fp").orderBy("at", "text")
+        found = failures.select("fp", text.alias("text"), place.alias("at")).where("text <> ''").groupBy("fp", "text").agg(F.min("at").alias("at"))
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+        told = F.array_sort(F.collect_list(F.struct("rank", F.substring("text", 1, shown).alias("text"))))
+        return best.groupBy("fp").agg(F.transform(told, lambda r: r["text"]).alias(name))
+
+    messages = firsts(F.substring(F.replace(F.col("message"), F.lit("\n"), F.lit(" ")), 1, 500), 8, 500, "messages")
+    traces = firsts(F.col("stacktrace"), 5, 4000, "stacktraces")
+    title = F.coalesce(F.nullif(F.trim(F.substring(F.replace(F.col("whole"), F.lit("\n"), F.lit(" ")), 1, 80)), F.lit("")), F.lit("unknown"))
+    severity = F.round(F.col("level_part") + F.least(F.col("n") * 2.0, F.lit(40.0)), 2)
+    none = F.array().cast("array<string>")
+    full = grouped.withColumn("title", title).join(messages, "fp", "left").join(traces, "fp", "left")
+    return full.select(
+        fn.stable_hash(F.concat_ws("|", "fp", "title"), 12).alias("incident_id"), "title", "n", severity.alias("severity"), "first_line", "last_line", "services",
+        _cause(F.col("whole"), F.col("n")).alias("cause"), F.coalesce("messages", none).alias("messages"), F.coalesce("stacktraces", none).alias("stacktraces"),
+    )
+
+
+def incidents_by_title(records: DataFrame, least: int = 2) -> DataFrame:
+    """A coarser roll-up than ``incidents``: failures that share the first 80 characters of the normalised message.
+
+    Different failures with the same title merge, and the cause is scored on the title only.
     """
     failures = records.where(F.col("level").isin(*FAILURES))
     title = F.coalesce(F.nullif(F.substring(fn.mask_ips(fn.normalize(F.col("message"))), 1, 80), F.lit("")), F.lit("unknown"))
@@ -165,7 +209,7 @@ def chunks(records: DataFrame, service_size: int = 30, timeline_size: int = 200)
         told = F.array_sort(F.collect_list(F.struct("place", "message")))
         return rows.groupBy(F.lit(kind).alias("kind"), key.alias("key")).agg(F.count("*").alias("n"), F.array_join(F.transform(told, lambda r: r["message"]), "\n").alias("text"))
 
-    found = incidents(records).select(F.lit("incident").alias("kind"), F.col("incident_id").alias("key"), "n", F.col("title").alias("text"))
+    found = incidents_by_title(records).select(F.lit("incident").alias("kind"), F.col("incident_id").alias("key"), "n", F.col("title").alias("text"))
     service = first_of_each(records.withColumn("service", F.coalesce("logger", F.lit("unknown"))), "service", service_size)
     head = records.orderBy(F.asc_nulls_last("ts"), "file", "line").limit(timeline_size)
     timeline = head.withColumn("place", F.struct(F.col("ts").isNull(), "ts", "file", "line"))

@@ -113,7 +113,13 @@ def log_distinct(spark, folder):
     FROM t GROUP BY title HAVING count(*) >= 2"""
 )
 def log_incidents(spark, folder):
-    """The flagship: failures by normalised message, scored."""
+    """The flagship: failures by title, scored, as its SQL has them; log_incidents_whole tells whole messages apart."""
+    return logs.incidents_by_title(records(spark, folder))
+
+
+@query()
+def log_incidents_whole(spark, folder):
+    """Failures by the whole normalised message, with messages and stack traces."""
     return logs.incidents(records(spark, folder))
 
 
