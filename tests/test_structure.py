@@ -102,3 +102,11 @@ def test_chunks_bound_their_texts(spark):
 def test_hash_vector(spark):
     vector = texts(spark, "", None).select(search.hash_vector(F.col("text")).alias("v")).collect()
     assert len(vector[0]["v"]) == 64 and vector[0]["v"][0] == (0xE3 - 128) / 128 and vector[0]["v"][32] == vector[0]["v"][0]
+
+
+def test_nearest_of_any_label(spark):
+    rows = [(k, k % 2, [1.0 - k / 100, k / 100]) for k in range(40)]
+    data = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    asked = data.where("vec_id = 39")
+    assert [r["vec_id"] for r in search.nearest(data, asked, k=3).orderBy("rank").collect()] == [0, 1, 2]
+    assert [r["vec_id"] for r in search.nearest(data, asked, k=3, subset="label").orderBy("rank").collect()] == [1, 3, 5]

@@ -58,17 +58,19 @@ def inverted(rows: DataFrame, key: Column, value: str) -> DataFrame:
     return rows.select(F.explode(key).alias("term"), value).distinct().groupBy("term").agg(F.count("*").alias("n"), F.min(value).alias("first"), F.max(value).alias("last"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, vec_id, cosine, rank) of unit vectors: the ``k`` nearest of a label's rows to each of its query rows.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, subset: str | None = None) -> DataFrame:
+    """(query_id, vec_id, cosine, rank) of unit vectors: the ``k`` nearest of all rows to each query row.
 
-    Queries are dealt to the rows by label, in blocks of rows, so that a label's size bounds no task.
+    With ``subset``, a column of both, only rows with an equal value count. Every query meets every block
+    of rows, and keeps ``k`` rows of each before the final ranking.
     """
-    blocks = 16
-    rows = vectors.select("vec_id", "label", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    asked = queries.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    scored = rows.join(asked, ["label", "block"]).where("vec_id <> query_id").select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("q")), 5).alias("cosine"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    blocks, keys = 16, [subset] if subset else []
+    rows = vectors.select("vec_id", *keys, "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    asked = queries.select(F.col("vec_id").alias("query_id"), *keys, F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    scored = rows.join(asked, [*keys, "block"]).where("vec_id <> query_id").select("query_id", "block", "vec_id", F.round(dot(F.col("embedding"), F.col("q")), 5).alias("cosine"))
+    best = [F.desc("cosine"), "vec_id"]
+    kept = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*best))).where(F.col("rank") <= k).drop("rank", "block")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k)
 
 
 def hybrid(text: DataFrame, vector: DataFrame, k: int = 10, text_share: float = 0.6) -> DataFrame:

@@ -462,7 +462,17 @@ def log_relations(spark, folder):
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, vec_id, cosine, rank FROM r WHERE rank <= 10"""
 )
 def search_nearest(spark, folder):
-    """The ten nearest of their label to the query set, every fiftieth vector."""
+    """The ten nearest of their label to the query set, every fiftieth vector, as its SQL has them; search_nearest_all has no label."""
+    vectors = sources.table(spark, folder, "embeddings")
+    return search.nearest(vectors, vectors.where("vec_id % 50 = 0"), subset="label")
+
+
+@query(
+    """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(c.embedding, lambda x: x::DOUBLE)), 5) AS cosine FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, vec_id, cosine, rank FROM r WHERE rank <= 10"""
+)
+def search_nearest_all(spark, folder):
+    """The ten nearest of all rows to the query set."""
     vectors = sources.table(spark, folder, "embeddings")
     return search.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
