@@ -110,3 +110,9 @@ def test_nearest_of_any_label(spark):
     asked = data.where("vec_id = 39")
     assert [r["vec_id"] for r in search.nearest(data, asked, k=3).orderBy("rank").collect()] == [0, 1, 2]
     assert [r["vec_id"] for r in search.nearest(data, asked, k=3, subset="label").orderBy("rank").collect()] == [1, 3, 5]
+
+
+def test_long_chain(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(99)], "src long, dst long").coalesce(1)
+    assert [r["depth"] for r in graph.impact(edges, spark.createDataFrame([(0,)], "node long")).orderBy("node").collect()] == list(range(100))
+    assert graph.descendants(edges, spark.createDataFrame([(0,)], "node long"), depth=3).count() == 3

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,24 +23,26 @@ def simple(edges: DataFrame, relations: list[str] | None = None) -> DataFrame:
     return kept.select("src", "dst").distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(seed, node, depth) of all nodes at most ``depth`` edges from each seed of (node), by the shortest way."""
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
+    """(seed, node, depth) of all nodes at most ``depth`` edges from each seed of (node), by the shortest way; None sets no limit."""
     return _walk(edges, seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct(), depth)
 
 
-def _walk(edges: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
+def _walk(edges: DataFrame, seen: DataFrame, depth: int | None) -> DataFrame:
     step = edges.select("src", "dst").distinct()
     front = seen
-    for k in range(1, depth + 1):
+    for k in count(1) if depth is None else range(1, depth + 1):
         around = front.join(step, front["node"] == step["src"]).select("seed", F.col("dst").alias("node")).distinct()
         front = cut(around.join(seen, ["seed", "node"], "left_anti").select("seed", "node", F.lit(k).alias("depth")))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if k % 16 == 0:
+            seen = cut(seen)  # or the plan grows with each step
     return seen
 
 
-def descendants(edges: DataFrame, seeds: DataFrame, depth: int = 64) -> DataFrame:
+def descendants(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """Nodes that a change of each seed reaches; the seed itself is not among them."""
     return reach(edges, seeds, depth).where("node <> seed")
 
@@ -48,12 +51,12 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def ancestors(edges: DataFrame, seeds: DataFrame, depth: int = 64) -> DataFrame:
+def ancestors(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """Nodes that reach each seed; the seed itself is not among them."""
     return descendants(reversed_edges(edges), seeds, depth)
 
 
-def impact(edges: DataFrame, seeds: DataFrame, depth: int = 64) -> DataFrame:
+def impact(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, depth) of the seeds and all that any of them reaches: one walk for all seeds, not one each."""
     return _walk(edges, seeds.select(F.lit(0).alias("seed"), "node", F.lit(0).alias("depth")).distinct(), depth).select("node", "depth")
 
