@@ -4,7 +4,7 @@ Token runs that a document shares with a benchmark item are seeds: the hash of e
 ``least`` tokens is looked up among those of all items.  For each (document, item) pair with
 enough seeds, greedy string tiling marks the longest common runs that don't overlap with marked
 ones, again and again, down to ``least`` tokens; runs are found by running Karp-Rabin over
-unmarked tokens, with a search length that starts long and halves.  Tiles may stand in any
+unmarked tokens (prefix sums give the hash of every run at any width in one pass), with a search length that starts long and halves.  Tiles may stand in any
 order, so that a reordered passage is caught.  A pair counts from a ``coverage`` of the item's
 tokens on.
 
@@ -44,51 +44,74 @@ def _runs(marked: np.ndarray, size: int) -> np.ndarray:
 
 
 def tiles(document: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (start in document, start in item, length) of the marked runs."""
+    """Greedy string tiling: (start in document, start in item, length) of the marked runs, the longest first.
+
+    Of equal lengths the first in the document goes first, then the first in the item.  Runs of
+    one length are marked in one go; where they cut into others, what is left is searched again.
+    """
     marked = [np.zeros(len(document), bool), np.zeros(len(item), bool)]
     found: list[tuple[int, int, int]] = []
     size = max(least, min(len(document), len(item)))
-    while size >= least:
-        matches, longest = _matches(document, item, marked, size)
-        if longest > 2 * size:
-            size = longest
-            continue
-        again = False
-        for length, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if marked[0][i : i + length].any() or marked[1][j : j + length].any():
-                again = True  # what is left of it may still be as long as the search length
-                continue
-            marked[0][i : i + length] = marked[1][j : j + length] = True
-            found.append((i, j, length))
-        if again and matches:
+    while True:
+        i, j, length = _matches(document, item, marked, size)
+        cut = False
+        while len(i) and not cut:
+            n = int(length[0])
+            top = int(np.searchsorted(-length, -n, "right"))
+            at_i, at_j = i[:top], j[:top]
+            while len(at_i):
+                x, y = int(at_i[0]), int(at_j[0])
+                marked[0][x : x + n] = marked[1][y : y + n] = True
+                found.append((x, y, n))
+                rest = (np.abs(at_i - x) >= n) & (np.abs(at_j - y) >= n)
+                cut |= len(at_i) - int(rest.sum()) > 1
+                at_i, at_j = at_i[rest], at_j[rest]
+            i, j, length = i[top:], j[top:], length[top:]
+            whole = _free(marked[0], i, length) & _free(marked[1], j, length)
+            cut |= not whole.all()
+        if cut:
             continue
         if size == least:
-            break
+            return found
         size = max(least, size // 2)
-    return found
 
 
-def _matches(document: np.ndarray, item: np.ndarray, marked: list[np.ndarray], size: int) -> tuple[list[tuple[int, int, int]], int]:
-    """Maximal common runs of at least ``size`` unmarked tokens, and the length of the longest."""
+def _free(marked: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether no token of a run is marked."""
+    sums = np.concatenate(([0], np.cumsum(marked)))
+    return sums[at + length] == sums[at]
+
+
+def _matches(document: np.ndarray, item: np.ndarray, marked: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start in document, start in item, length) of maximal common runs of at least ``size`` unmarked tokens: longest first, then by place."""
     at_item, at_document = _runs(marked[1], size), _runs(marked[0], size)
+    none = np.zeros(0, np.int64)
     if not len(at_item) or not len(at_document):
-        return [], 0
-    places = defaultdict(list)
-    for j, h in zip(at_item.tolist(), shingles(item, size)[at_item].tolist(), strict=True):
-        places[h].append(j)
-    matches, longest = [], 0
-    hashes = shingles(document, size)[at_document]
-    hits = np.isin(hashes, np.fromiter(places, np.uint64, len(places)))
-    for i, h in zip(at_document[hits].tolist(), hashes[hits].tolist(), strict=True):
-        for j in places[h]:
-            if i and j and document[i - 1] == item[j - 1] and not marked[0][i - 1] and not marked[1][j - 1]:
-                continue  # part of the run that began before
-            length = size
-            while i + length < len(document) and j + length < len(item) and document[i + length] == item[j + length] and not marked[0][i + length] and not marked[1][j + length]:
-                length += 1
-            matches.append((length, i, j))
-            longest = max(longest, length)
-    return matches, longest
+        return none, none, none
+    wanted, hashes = shingles(item, size)[at_item], shingles(document, size)[at_document]
+    hits = np.isin(hashes, wanted)
+    at_document, hashes = at_document[hits], hashes[hits]
+    order = np.argsort(hashes, kind="stable")
+    at_document, hashes = at_document[order], hashes[order]
+    low, high = np.searchsorted(hashes, wanted, "left"), np.searchsorted(hashes, wanted, "right")
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for j, x, y in zip(at_item.tolist(), low.tolist(), high.tolist(), strict=True):
+        i = at_document[x:y]
+        if len(i) and j and not marked[1][j - 1]:
+            # Others are parts of runs that began a token before.
+            before = np.maximum(i - 1, 0)
+            i = i[(i == 0) | (document[before] != item[j - 1]) | marked[0][before]]
+        pairs.append((i, np.full(len(i), j)))
+    i, j = (np.concatenate(side) for side in zip(*pairs, strict=True))
+    length = np.full(len(i), size)
+    growing = np.arange(len(i))
+    while len(growing):
+        x, y = i[growing] + length[growing], j[growing] + length[growing]
+        growing, x, y = (v[(x < len(document)) & (y < len(item))] for v in (growing, x, y))
+        growing = growing[(document[x] == item[y]) & ~marked[0][x] & ~marked[1][y]]
+        length[growing] += 1
+    order = np.lexsort((j, i, -length))
+    return i[order], j[order], length[order]
 
 
 def compare(tokens: np.ndarray, hits: np.ndarray, item: Item, coverage: float) -> tuple[int, int] | None:
@@ -145,7 +168,7 @@ class Seeds:
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, least: int, block_bytes: int) -> Iterator[Seeds]:
     """Seeds of the items, block by block; a block's text is bounded but for a single larger item."""
-    sized = benchmark.select(F.col(item_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sized = benchmark.select(F.col(item_id).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
     for k in range(n):
@@ -170,10 +193,11 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
                     rows += [(at + i, item, covered, n) for i, item, covered, n in shared.value.pairs(hashes, before, coverage)]
                 yield pa.RecordBatch.from_pylist(
                     [{"doc_id": batch.column(0)[i].as_py(), "item_id": item.item_id, "item_tokens": len(item.tokens), "covered": covered, "tiles": n, "coverage": covered / len(item.tokens)} for i, item, covered, n in rows],
-                    pa.schema([("doc_id", batch.column(0).type), ("item_id", pa.int64() if kinds[1] == "bigint" else pa.string()), ("item_tokens", pa.int64()), ("covered", pa.int64()), ("tiles", pa.int64()), ("coverage", pa.float64())]),
+                    pa.schema([("doc_id", batch.column(0).type), ("item_id", pa.string()), ("item_tokens", pa.int64()), ("covered", pa.int64()), ("tiles", pa.int64()), ("coverage", pa.float64())]),
                 )
 
-        found = docs.select(doc_id, text).mapInArrow(search, f"doc_id {kinds[0]}, item_id {kinds[1]}, item_tokens long, covered long, tiles long, coverage double")
+        found = docs.select(doc_id, text).mapInArrow(search, f"doc_id {kinds[0]}, item_id string, item_tokens long, covered long, tiles long, coverage double")
+        found = found.withColumn("item_id", F.col("item_id").cast(kinds[1]))
         out = found if out is None else out.unionByName(found)
     return out
 

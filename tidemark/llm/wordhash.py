@@ -24,7 +24,6 @@ _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 _BYTES[65:91] = _BYTES[97:123]
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-_STEPS = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if n > len(_powers.known[0]):
-        size = max(PIECE + 1, n)
+        size = max(PIECE + 1, 2 * n)
         for at, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -117,15 +116,15 @@ def _long_text(data: np.ndarray, gaps: np.ndarray, prefix: int) -> tuple[np.ndar
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` words in order; of fewer words, one of the whole sequence."""
+    """Running hashes of all runs of ``size`` words in order, from prefix sums, so that any width takes one pass; of fewer words, one of the whole sequence."""
     if not len(words):
         return words
     width = min(size, len(words))
     n = len(words) - width + 1
-    total = np.full(n, np.uint64(width), np.uint64)
-    for k in range(width):
-        total += words[k : k + n] * _STEPS[k]
-    return mix(total)
+    power, inverse = _powers(len(words))
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * power, out=sums[1:])
+    return mix((sums[width:] - sums[:n]) * inverse[:n] + np.uint64(width))
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
