@@ -78,8 +78,6 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_50k.json"),
         scratch_path(spark, "token-cache"),
         limit=512,
-        twin=public_tokenizers.path("byte_bpe_50k.tiktoken"),
-        pattern=public_tokenizers.PATTERN,
     )
 
 
@@ -113,10 +111,12 @@ TOPK_SQL = """
 WITH usable AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
   FROM embeddings
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(CASE WHEN len(q.v) = len(c.v) AND len(q.v) > 0 THEN list_inner_product(q.v, c.v)
+              ELSE coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))), 0) END AS BIGINT) AS score
+  FROM (SELECT DISTINCT vec_id, v FROM usable) q JOIN usable c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
 ), ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )

@@ -6,21 +6,20 @@ byte.  Known keys are joined to the stored counts; of the others each distinct c
 encoded once, and its count appended to the cache, which is a Parquet table.  Appending
 writes whole files with the job, so that a lost executor leaves no half entries behind.
 
-Ways to encode by file: ``.json`` tokenizers, ``.model`` sentencepiece, ``.tiktoken``
-tiktoken (with ``pattern`` and ``specials``).  Special strings inside texts are tokens of
-their own where the library's default has it so.  Repeated rows get a row each.  Columns
-besides the id and the text pass through unless they clash with the result's.
+A ``.json`` file is read by the tokenizers library, a ``.model`` by sentencepiece: the counts are
+the library's own.  Special strings inside texts are tokens of their own where the library's default
+has it so.  Repeated rows get a row each.  Columns besides the id and the text pass through unless
+they clash with the result's.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
-import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,37 +27,22 @@ CACHE = "version string, digest string, n_tokens long"
 
 
 @lru_cache(maxsize=4)
-def _counter(path: str, twin: str | None, pattern: str | None) -> Callable[[list[str]], list[int]]:
+def _counter(path: str) -> Callable[[list[str]], list[int]]:
     """A function from texts to their numbers of tokens."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
-    if path.endswith(".json") and twin is None:
-        import os
+    import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
-        own.no_truncation()
-        own.no_padding()
-        return lambda texts: [len(e.ids) for e in own.encode_batch_fast(texts, add_special_tokens=False)]
-    import tiktoken
-
-    with open(twin or path, "rb") as lines:
-        ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=_specials(path))
-    return lambda texts: [len(encoding.encode(text, allowed_special="all")) for text in texts]
-
-
-def _specials(path: str) -> dict[str, int]:
-    """The added tokens that a ``.json`` tokenizer cuts out of texts."""
-    if not path.endswith(".json"):
-        return {}
-    with open(path, encoding="utf-8") as file:
-        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    own = Tokenizer.from_file(path)
+    own.no_truncation()
+    own.no_padding()
+    return lambda texts: [len(e.ids) for e in own.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=8)
@@ -72,23 +56,23 @@ def content_digest(text: Column, version: str) -> Column:
 
 
 def open_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache at ``path``, made empty where there is none yet."""
-    spark.createDataFrame([], CACHE).write.mode("append").parquet(path)
-    return spark.read.schema(CACHE).parquet(path)
-
+    """The cache at ``path``, empty where there is none yet."""
+    try:
+        return spark.read.schema(CACHE).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CACHE)
 
-def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, text: str = "text", limit: int = 512, twin: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``docs`` without ``text``, with n_bytes, n_tokens and over_limit (n_tokens > ``limit``).
 
-    ``twin``: a tiktoken file with the same vocabulary as ``tokenizer``, several times as fast;
-    ``pattern`` is its split pattern.
-    """
+def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, text: str = "text", limit: int = 512) -> DataFrame:
+    """``docs`` without ``text``, with n_bytes, n_tokens and over_limit (n_tokens > ``limit``)."""
     spark, version = docs.sparkSession, tokenizer_version(tokenizer)
     others = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit", "__digest")]
     keyed = docs.withColumn("__digest", content_digest(F.col(text), version))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(tokenizer, twin, pattern)
+        count = _counter(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -96,9 +80,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, text: str = "
                 yield pa.record_batch({"version": pa.array([version] * len(n), pa.string()), "digest": part.column(0), "n_tokens": pa.array(n, pa.int64())})
 
     known = open_cache(spark, cache_path).where(F.col("version") == version).select(F.col("digest").alias("__digest"), "n_tokens")
-    # Copies meet before the join, so that a content that many rows share is moved once a task.
-    contents = keyed.groupBy("__digest").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("__text"))
-    misses = contents.join(known, "__digest", "left_anti")
+    wanted = keyed
+    if not known.isEmpty():
+        # Digests alone are compared with the cache; only texts whose digest is missing move on.
+        fresh = keyed.select("__digest").distinct().join(known, "__digest", "left_anti")
+        wanted = keyed.join(fresh, "__digest", "left_semi")
+    # Copies meet in the tasks, so that a content that many rows share is moved once a task.
+    misses = wanted.groupBy("__digest").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("__text"))
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache_path)
 
     stored = spark.read.schema(CACHE).parquet(cache_path).where(F.col("version") == version)
