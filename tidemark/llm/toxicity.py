@@ -1,12 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Fitting reads labelled rows only outside the held-out fifth, at most ``max_examples`` a class (the
-lowest key hashes), plus as many for calibration.  Terms are lower-case words and their first
-four bytes; kept are those whose presence goes with the label (chi-square of at least
-``least_chi2``, at most ``max_terms``), with the inverse document frequency over all documents.
+lowest key hashes), plus twice as many for calibration.  Terms are the lower-case words of the
+examples and the words' first four bytes, all of them.  A term weighs (1 + ln times) * idf * (FLOOR +
+chi-square), with the inverse document frequency over all documents and the chi-square of the
+term's presence with the label over the examples: all terms count, those that go with the label most.
 
-The index has for each term the largest weight in each block of 64 examples, and the weights
-themselves.  A text's blocks are visited by falling bound (the sum of its term weights times
+The index has postings (example, weight) of each term, cut into blocks of 64 examples, and the largest
+weight of each block.  A text's blocks are visited by falling bound (the sum of its term weights times
 the block maxima) until no block can reach the k-th cosine any more; within a block all cosines
 are exact.  Votes of the ``k`` nearest are weighted by the square of
 1 - distance^2 / 2 (the cosine), and the share of label 1 is calibrated by isotonic regression on labelled rows that are not examples.  A text
@@ -31,6 +32,8 @@ from tidemark.llm.wordhash import PUNCTUATION, hash_texts
 BLOCK = 64
 #: Weight of a vote for label 0 that every text starts with: far neighbours alone don't decide.
 DOUBT = 0.5
+#: What a term weighs that goes with neither label, in units of chi-square.
+FLOOR = 0.05
 _PREFIX = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -46,8 +49,8 @@ def held_out(key: str, folds: int = 5):
     return F.crc32(F.col(key).cast("string")) % folds == 0
 
 
-def choose_terms(examples: DataFrame, max_terms: int, least_chi2: float, counts: tuple[int, int]) -> np.ndarray:
-    """Sorted hashes of the terms that go with the label, from (label, text)."""
+def example_terms(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes of all terms of (label, text), their chi-square with the label); bounded by the examples' texts."""
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,15 +60,15 @@ def choose_terms(examples: DataFrame, max_terms: int, least_chi2: float, counts:
                 y = labels[at + once[1].astype(np.int64)]
                 yield pa.record_batch({"term": pa.array(once[0].view(np.int64)), "toxic": pa.array(y.astype(np.int64))})
 
-    seen = examples.select("label", "text").mapInArrow(presence, "term long, toxic long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    n1, n0 = float(counts[1]), float(counts[0])
-    n = n1 + n0  # terms of a group of copies are rare among all examples
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    seen = examples.select("label", "text").mapInArrow(presence, "term long, toxic long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).toPandas()
+    counts = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
+    n1, n0 = float(counts.get(1, 0)), float(counts.get(0, 0))
+    terms, a, b = (seen[c].to_numpy() for c in ("term", "a", "b"))
+    order = np.argsort(terms.astype(np.int64).view(np.uint64))
+    terms, a, b = terms.astype(np.int64).view(np.uint64)[order], a[order].astype(float), b[order].astype(float)
     odds = a * (n0 - b) - b * (n1 - a)
-    chi2 = n * odds * odds / ((a + b) * (n - a - b) * n1 * n0)
-    kept = seen.where((a + b >= 3 + n // 200) & (a + b < n)).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
-    rows = kept.orderBy(F.desc("chi2"), "term").limit(max_terms).select("term").collect()
-    return np.sort(np.array([r["term"] for r in rows], np.int64).view(np.uint64))
+    chi2 = (n1 + n0) * odds * odds / np.maximum((a + b) * (n1 + n0 - a - b) * n1 * n0, 1.0)
+    return terms, chi2
 
 
 def vectors(texts: pa.Array, terms: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -95,40 +98,64 @@ def document_frequencies(docs: DataFrame, text: str, terms: np.ndarray) -> np.nd
         yield pa.record_batch({"term": pa.array(at, pa.int32()), "n": pa.array(n[at], pa.int64())})
 
     out = np.zeros(len(terms))
-    for row in docs.select(text).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[row["term"]] = row["n"]
+    counts = docs.select(text).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    out[counts["term"].to_numpy(np.int64)] = counts["n"].to_numpy()
     return out
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... of all ranges, one range after another."""
+    before = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)
+
+
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of labelled examples by block, with the largest weight of each term in a block."""
+    """Postings of the unit vectors of labelled examples by term and block, with the largest weight of each such list.
 
-    def __init__(self, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
-        self.idf = idf
+    ``scale`` is what a term weighs, its idf times its association with the label.
+    """
+
+    def __init__(self, scale: np.ndarray, examples: list[tuple[int, str, np.ndarray, np.ndarray]]):
+        self.scale = scale
         weighted = [(y, doc, place, self.weights(place, times)) for y, doc, place, times in examples]
         # Examples with the same label and strongest term stand together, which keeps the maxima tight.
         weighted.sort(key=lambda e: (e[0], int(e[2][np.argmax(e[3])]), e[1]))
-        n = -(-len(weighted) // BLOCK)
-        self.labels = np.array([e[0] for e in weighted] + [0] * (n * BLOCK - len(weighted)), np.int64)
+        self.labels = np.array([e[0] for e in weighted], np.int64)
         self.ids = [e[1] for e in weighted]
-        self.block = np.zeros((n, len(idf), BLOCK), np.float32)
-        for i, (_, _, place, weight) in enumerate(weighted):
-            self.block[i // BLOCK, place, i % BLOCK] = weight
-        self.most = self.block.max(2).T.copy() if n else np.zeros((len(idf), 0), np.float32)
+        self.blocks = -(-len(weighted) // BLOCK)
+        term = np.concatenate([e[2] for e in weighted]) if weighted else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(weighted)), [len(e[2]) for e in weighted])
+        weight = np.concatenate([e[3] for e in weighted]) if weighted else np.zeros(0)
+        order = np.lexsort((owner, term))
+        term, self.owner, self.weight = term[order], owner[order].astype(np.int32), weight[order]
+        # A list is a term's postings in a block; lists of a term lie together.
+        block = self.owner // BLOCK
+        begins = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
+        self.begin, self.size = begins, np.diff(np.append(begins, len(term)))
+        self.block = block[begins]
+        self.most = np.maximum.reduceat(self.weight, begins) if len(begins) else np.zeros(0)
+        self.lists = np.searchsorted(term[begins], np.arange(len(scale) + 1))
 
     def weights(self, place: np.ndarray, times: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(times)) * self.idf[place]
-        return (w / np.sqrt((w * w).sum())).astype(np.float32)
+        w = (1 + np.log(times)) * self.scale[place]
+        return w / np.sqrt((w * w).sum())
 
     def nearest(self, place: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0."""
         w = self.weights(place, times)
-        bound = w @ self.most[place]
-        at, cosines = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        n_lists = self.lists[place + 1] - self.lists[place]
+        lists, own = _ranges(self.lists[place], n_lists), np.repeat(w, n_lists)
+        bound = np.bincount(self.block[lists], own * self.most[lists], self.blocks)
+        by_block = np.argsort(self.block[lists], kind="stable")
+        cuts = np.searchsorted(self.block[lists][by_block], np.arange(self.blocks + 1))
+        at, cosines = np.zeros(0, np.int64), np.zeros(0)
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(at) == k and bound[b] < cosines[-1] - 1e-5:
+            if bound[b] <= 0 or len(at) == k and bound[b] < cosines[-1] - 1e-9:
                 break
-            got = w @ self.block[b, place]
+            some = by_block[cuts[b] : cuts[b + 1]]
+            size = self.size[lists[some]]
+            found = _ranges(self.begin[lists[some]], size)
+            got = np.bincount(self.owner[found] - b * BLOCK, self.weight[found] * np.repeat(own[some], size), BLOCK)
             alive = np.flatnonzero(got > 0)
             at, cosines = np.concatenate([at, b * BLOCK + alive]), np.concatenate([cosines, got[alive]])
             best = np.lexsort((at, -cosines))[:k]
@@ -141,14 +168,15 @@ class BlockMaxIndex:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: rising means of y by x, as corners of a step function."""
-    order = np.argsort(x, kind="stable")
+    """Pool-adjacent-violators: rising means of y by x, as corners of a step function; equal x are one point, whatever their order."""
+    points, place, times = np.unique(x, return_inverse=True, return_counts=True)
+    sums = np.bincount(place, y, len(points))
     pools: list[list[float]] = []
-    for a, b in zip(x[order], y[order], strict=True):
-        pools.append([b, 1, a])
+    for a, b, n in zip(points, sums, times, strict=True):
+        pools.append([b, n, a])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-            total, n, end = pools.pop()
-            pools[-1] = [pools[-1][0] + total, pools[-1][1] + n, end]
+            total, n_last, end = pools.pop()
+            pools[-1] = [pools[-1][0] + total, pools[-1][1] + n_last, end]
     return np.array([p[2] for p in pools]), np.array([p[0] / p[1] for p in pools])
 
 
@@ -169,27 +197,26 @@ class ToxicityModel:
         return float(self.rates[min(np.searchsorted(self.ends, vote), len(self.rates) - 1)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", k: int = 15, max_examples: int = 1024, max_terms: int = 2048, least_chi2: float = 20.0) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", k: int = 15, max_examples: int = 1024) -> ToxicityModel:
     spark = docs.sparkSession
     usable = labels.select(key, F.col(label).alias("label")).where(F.col("label").isin(0, 1) & ~held_out(key)).groupBy(key).agg(F.max("label").alias("label"))
     chosen = sample_ids(usable.where("label = 1"), key, max_examples).unionByName(sample_ids(usable.where("label = 0"), key, max_examples))
     texts = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
     examples = with_texts(texts, chosen, key)
-    counts = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
-    terms = choose_terms(examples, max_terms, least_chi2, (counts.get(0, 0), counts.get(1, 0))) if len(counts) == 2 else np.zeros(0, np.uint64)
+    terms, chi2 = example_terms(examples)
     n_docs = docs.count()
-    idf = np.log((1 + n_docs) / (1 + document_frequencies(docs, text, terms))) + 1 if len(terms) else np.zeros(0)
+    scale = (np.log((1 + n_docs) / (1 + document_frequencies(docs, text, terms))) + 1) * (FLOOR + chi2)
     shared = spark.sparkContext.broadcast(terms)
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(vectors(batch.column(1), shared.value))
             at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.record_batch({"id": batch.column(0).take(at).cast(pa.string()), "label": batch.column(2).take(at).cast(pa.int64()), "place": pa.array([r[1].tolist() for r in rows], pa.list_(pa.int64())), "times": pa.array([r[2].tolist() for r in rows], pa.list_(pa.int64()))})
+            yield pa.record_batch({"id": batch.column(0).take(at).cast(pa.string()), "label": batch.column(2).take(at).cast(pa.int64()), "place": pa.array([r[1].astype(np.int32).tobytes() for r in rows], pa.binary()), "times": pa.array([r[2].astype(np.int32).tobytes() for r in rows], pa.binary())})
 
-    rows = examples.select(key, "text", "label").mapInArrow(embed, "id string, label long, place array<long>, times array<long>").collect()
-    rows = {(r["id"], r["label"], tuple(r["place"]), tuple(r["times"])) for r in rows}
-    index = BlockMaxIndex(idf, [(y, doc, np.array(p), np.array(t)) for doc, y, p, t in sorted(rows)])
+    rows = examples.select(key, "text", "label").mapInArrow(embed, "id string, label long, place binary, times binary").collect()
+    distinct = sorted({(r["id"], r["label"], bytes(r["place"]), bytes(r["times"])) for r in rows})
+    index = BlockMaxIndex(scale, [(y, doc, np.frombuffer(p, np.int32).astype(np.int64), np.frombuffer(t, np.int32)) for doc, y, p, t in distinct])
     model = ToxicityModel(terms, index, k)
     sample = sample_ids(usable.join(chosen.select(key), key, "left_anti"), key, 2 * max_examples, salt=1)
     ready = spark.sparkContext.broadcast(model)
