@@ -9,7 +9,8 @@ base span of its kind, so that of a half-disguised identifier both the plain par
 are listed.  Redaction replaces the union of overlapping spans.
 
 Offsets count code points, ends are exclusive.  Null text counts as empty, and whole texts
-are read, however long; all patterns run in time linear in the text.
+are read, however long; names, hosts and runs of digits may have any length, and all steps run in time
+linear in the text.
 """
 
 from __future__ import annotations
@@ -104,23 +105,30 @@ _DIGIT_WORDS = {
 }
 _INVISIBLE = "­​‌‍⁠﻿"
 _ODD = re.compile("[ ­²³¹Ͱ-ԯ؀-ۿऀ-ॿ -⿿　-〿＀-￯﻿\U0001d400-\U0001d7ff]")
-_WORD = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
-_AT = r"\s*[\[({<]\s*(?:at|@|chez|arroba)\s*[\])}>]\s*"
-_DOT = r"\s*[\[({<]\s*(?:dot|\.|point|punkt|punto)\s*[\])}>]\s*"
-#: An address spelled with bare words needs both of them, or "at" would be taken in any sentence.
-_BARE = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\s+dot\s+[A-Za-z0-9_%+-]{1,64}){0,4}\s+at\s+(?!(?:the|a|an|this|that)\s)[A-Za-z0-9-]{1,64}(?:\s+dot\s+[A-Za-z0-9-]{1,64})+"
-_SPELLED = rf"(?:\+|plus\s+)?(?<![^\W_])(?:(?:{_WORD}|[0-9])(?![^\W\d_])(?:(?:\s+dot\s+|\s*\.\s*)(?={_WORD}|[0-9])|[\s,()-]{{0,3}})){{7,40}}"
-_DISGUISE = re.compile(f"(?P<bare>{_BARE})|(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<spelled>{_SPELLED})|(?P<odd>{_ODD.pattern})", re.IGNORECASE)
-_BARE_PARTS = re.compile(r"(?P<at>\s+at\s+)|(?P<dot>\s+dot\s+)", re.IGNORECASE)
-_SPELLED_PARTS = re.compile(rf"(?P<word>{_WORD})|(?P<plus>plus\s+)|(?P<dot>\s+dot\s+|\s*\.\s*)|(?P<gap>[\s,()-]+)", re.IGNORECASE)
-_SPELLED_WORDS = re.compile(rf"{_WORD}|dot", re.IGNORECASE)
-_CASELESS = str.maketrans("İıſ", "iis")
+#: "at" or "dot" in brackets; white space around it belongs to it.
+_BRACKETED = re.compile(r"[\[({<]\s*+(?:(?P<at>at|@|chez|arroba)|dot|\.|point|punkt|punto)\s*+[\])}>]", re.IGNORECASE)
+#: A bare "at" with what may be a host behind it: labels joined by "dot" or by dots.
+_AT_HOST = re.compile(r"(?<=\s)at\s++(?P<host>[A-Za-z0-9-]++(?:(?:\s++dot\s++|\.)[A-Za-z0-9-]++)++)", re.IGNORECASE)
+_HOST_DOT = re.compile(r"\s++dot\s++", re.IGNORECASE)
+#: The end of a host that is written with plain dots.
+_HOST_END = re.compile(r"\.(?:[a-z]{2,}|[A-Z]{2,})$")
+# Words that no host starts with, and words before "at" that are no one's name.
+_NOT_HOSTS = frozenset("the a an this that www".split())
+_NOT_NAMES = frozenset(
+    "a all and are arrive arrived as available based be been best both buy by call check click contact done even event find follow found get "
+    "go good have help here hosted i in is it join just listed live located look looked looking made me meet more not of offered on only open "
+    "or order out page posted published read reach register seen see shop sign site sold start still store that the them there they this time "
+    "to today up us view visit was we website were what when where with work works you".split()
+)
+_CHUNK = re.compile(r"[^\W_]+")
+_PARTS = re.compile(r"[0-9]+|[^\W\d_]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: What may end a run of spelled digits: all but digits and separators.
-_BREAKS = re.compile(r"[^\W\d_]+|[^\w\s,().-]|_")
-#: A run of digits is spelled if so many of its digits and dots are words.
-_LEAST_SPELLED = 3
-_BRACKETED = re.compile(f"{_AT}|{_DOT}", re.IGNORECASE)
+_DOT_BETWEEN = re.compile(r"\s*+\.\s*+")
+_GAP = re.compile(r"[\s,()-]*+")
+_SPELL_WORDS = frozenset(_DIGIT_WORDS) | {"dot"}
+#: A run with spelled parts counts from so many digits, or dots, on.
+_LEAST_DIGITS, _LEAST_DOTS = 7, 3
+_CASELESS = str.maketrans("İıſ", "iis")
 
 
 @lru_cache(maxsize=4096)
@@ -137,32 +145,41 @@ def _plain(char: str) -> str:
     return char if digit is None else str(digit)
 
 
-class _Rewriter:
-    """Output of the transducer with the source range of each character."""
+class Edit(NamedTuple):
+    start: int
+    end: int
+    new: str
+
+
+class Mapped:
+    """A text made by edits, with the source range of each of its characters, and whether an edit put it there."""
 
     def __init__(self, text: str):
-        self.text, self.out, self.starts, self.ends, self.changed = text, [], [], [], []
-
-    def put(self, new: str, start: int, end: int) -> None:
-        for char in new:
-            self.out.append(char)
-            self.starts.append(start)
-            self.ends.append(end)
-            self.changed.append(True)
-
-    def copy(self, start: int, end: int) -> None:
-        self.out.extend(self.text[start:end])
-        self.starts.extend(range(start, end))
-        self.ends.extend(range(start + 1, end + 1))
-        self.changed.extend([False] * (end - start))
-
-    def parts(self, pattern: re.Pattern, start: int, end: int, new: dict) -> None:
-        at = start
-        for m in pattern.finditer(self.text, start, end):
-            self.copy(at, m.start())
-            self.put(_DIGIT_WORDS[_lower(m.group())] if m.lastgroup == "word" else new[m.lastgroup], m.start(), m.end())
-            at = m.end()
-        self.copy(at, end)
+        self.out, self.starts, self.ends, self.changed = text, range(len(text)), range(1, len(text) + 1), [False] * len(text)
+
+    def edit(self, edits: list[Edit]) -> None:
+        """Puts edits in, in order of their starts; of overlapping ones the first."""
+        out: list[str] = []
+        starts: list[int] = []
+        ends: list[int] = []
+        changed: list[bool] = []
+        at = 0
+        for start, end, new in sorted(edits):
+            if start < at:
+                continue
+            out += (self.out[at:start], new)
+            starts += self.starts[at:start]
+            ends += self.ends[at:start]
+            changed += self.changed[at:start]
+            starts += [self.starts[start]] * len(new)
+            ends += [self.ends[end - 1]] * len(new)
+            changed += [True] * len(new)
+            at = end
+        out.append(self.out[at:])
+        starts += self.starts[at:]
+        ends += self.ends[at:]
+        changed += self.changed[at:]
+        self.out, self.starts, self.ends, self.changed = "".join(out), starts, ends, changed
 
 
 def _lower(text: str) -> str:
@@ -174,44 +191,162 @@ def _disguised(text: str) -> bool:
     """A cheap test that no text with a disguise fails."""
     if not text.isascii() and _ODD.search(text):
         return True
-    low = _lower(text)
-    if any(c in low for c in "[({<") and _BRACKETED.search(low):
+    if any(c in text for c in "[({<") and _BRACKETED.search(text):
         return True
-    if "dot" in low:
-        words = low.split()
-        if "dot" in words and ("at" in words or _DIGIT.search(low)):
-            return True
-    # A digit word of a spelled run has no letter beside it, whatever separates the words.
-    if sum(map(_DIGIT_WORDS.__contains__, _LETTERS.findall(low))) < _LEAST_SPELLED:
-        return False
-    run = 0
-    for part in _BREAKS.findall(low):
-        run = run + 1 if part in _DIGIT_WORDS else run * (part == "dot")
-        if run >= _LEAST_SPELLED:
-            return True
-    return False
-
-
-def rewrite(text: str) -> _Rewriter:
-    """The text with disguises undone."""
-    out, at = _Rewriter(text), 0
-    for m in _DISGUISE.finditer(text):
-        out.copy(at, m.start())
-        start, at = m.span()
-        if m.lastgroup == "bare":
-            out.parts(_BARE_PARTS, start, at, {"at": "@", "dot": "."})
-        elif m.lastgroup == "spelled" and len(_SPELLED_WORDS.findall(m.group())) < _LEAST_SPELLED:
-            out.copy(start, at)
-        elif m.lastgroup == "spelled":
-            out.parts(_SPELLED_PARTS, start, at, {"plus": "+", "dot": ".", "gap": ""})
-            if text[at - 1].isspace():
-                out.put(" ", at - 1, at)
-        elif m.lastgroup == "odd":
-            out.put(_plain(m.group()), start, at)
-        else:
-            out.put("@" if m.lastgroup == "at" else ".", start, at)
-    out.copy(at, len(text))
-    return out
+    if _AT_HOST.search(text):
+        return True
+    return not _SPELL_WORDS.isdisjoint(_LETTERS.findall(_lower(text)))
+
+
+def _bracketed(text: str) -> Iterator[Edit]:
+    """Bracketed words with the white space around them."""
+    done = 0
+    for m in _BRACKETED.finditer(text):
+        start, end = m.span()
+        while start > done and text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and text[end].isspace():
+            end += 1
+        done = end
+        yield Edit(start, end, "@" if m["at"] else ".")
+
+
+def _bare(text: str) -> Iterator[Edit]:
+    """Addresses with a bare "at": ``name dot name at host dot tld``, or ``name at host.tld``.
+
+    A host needs a spelled dot, or an end in letters of one case and a name that isn't a common word
+    before "at", or "at" would be taken in any sentence.
+    """
+    for m in _AT_HOST.finditer(text):
+        host = m["host"]
+        dots = list(_HOST_DOT.finditer(text, m.start("host"), m.end()))
+        if _lower(re.split(r"[\s.]", host, maxsplit=1)[0]) in _NOT_HOSTS or not dots and not _HOST_END.search(host):
+            continue
+        left, parts = m.start(), []
+        while True:  # names joined by "dot", from right to left
+            end = left
+            while end and text[end - 1].isspace():
+                end -= 1
+            start = end
+            while start and text[start - 1] in _LOCAL:
+                start -= 1
+            if start == end:
+                break
+            if not parts:
+                if not dots and _lower(text[start:end].rstrip(".,")) in _NOT_NAMES:
+                    break
+                parts.append(Edit(end, m.start("host"), "@"))
+            before = _dot_before(text, start)
+            if before is None:
+                break
+            parts.append(Edit(before, start, "."))
+            left = before
+        if parts:
+            yield from parts
+            yield from (Edit(d.start(), d.end(), ".") for d in dots)
+
+
+def _dot_before(text: str, at: int) -> int | None:
+    """Where a name ends that a word "dot", with white space on both sides, joins to what starts at ``at``."""
+    end = at
+    while end and text[end - 1].isspace():
+        end -= 1
+    start = before = end - 3
+    if end == at or start < 2 or _lower(text[start:end]) != "dot":
+        return None
+    while before and text[before - 1].isspace():
+        before -= 1
+    return before if before < start and before and text[before - 1] in _LOCAL else None
+
+
+class _Run:
+    """Digits and digit words with separators between them, up to the next thing that is neither."""
+
+    def __init__(self, start: int):
+        self.start, self.digits, self.dots, self.spelled, self.edits = start, 0, 0, 0, []
+
+    def counts(self) -> bool:
+        return self.spelled > 0 and (self.digits >= _LEAST_DIGITS or self.dots >= _LEAST_DOTS)
+
+
+def _digits(text: str, start: int, end: int) -> tuple[int, list[Edit]] | None:
+    """How many digits a word holds, and its spelled ones; None if it holds anything else."""
+    n, edits = 0, []
+    for part in _PARTS.finditer(text, start, end):
+        if part.group()[0] in "0123456789":
+            n += part.end() - part.start()
+            continue
+        digit = _DIGIT_WORDS.get(_lower(part.group()))
+        if digit is None:
+            return None
+        n += 1
+        edits.append(Edit(part.start(), part.end(), digit))
+    return (n, edits) if n else None
+
+
+def _spelled(text: str) -> Iterator[Edit]:
+    """Spelled digits, with the separators between digits taken out and dots between them put in."""
+    run: _Run | None = None
+    last, dot = 0, False  # where the run ends so far, and whether a word "dot" stands behind it
+
+    def closed() -> list[Edit]:
+        if run is None or not run.counts():
+            return []
+        edits, start = run.edits, run.start
+        at = start
+        while at and text[at - 1].isspace():
+            at -= 1
+        if at < start and _lower(text[max(0, at - 4) : at])[-4:] == "plus" and (at == 4 or not text[at - 5].isalnum()):
+            edits.append(Edit(at - 4, start, "+"))
+        return edits
+
+    for m in _CHUNK.finditer(text):
+        start, end = m.span()
+        got = _digits(text, start, end)
+        if got is None:
+            if run is not None and not dot and end - start == 3 and _lower(m.group()) == "dot" and last < start and text[last:start].isspace():
+                dot, dot_end = True, end
+                continue
+            yield from closed()
+            run, dot = None, False
+            continue
+        if run is not None:
+            new = ""
+            if dot:
+                joined = dot_end < start and text[dot_end:start].isspace()
+                new = "."
+            elif _DOT_BETWEEN.fullmatch(text, last, start):
+                joined, new = True, "."
+            else:
+                joined = _GAP.fullmatch(text, last, start) is not None
+            if not joined:
+                yield from closed()
+                run = None
+            else:
+                run.dots += new == "."
+                run.spelled += dot
+                if text[last:start] != new:
+                    run.edits.append(Edit(last, start, new))
+        if run is None:
+            run = _Run(start)
+        run.digits += got[0]
+        run.spelled += len(got[1])
+        run.edits += got[1]
+        last, dot = end, False
+    yield from closed()
+
+
+def rewrite(text: str) -> Mapped:
+    """The text with disguises undone: single characters first, then words."""
+    plain = Mapped(text)
+    if not text.isascii():
+        odd = [Edit(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := _plain(m.group())) != m.group()]
+        if odd:
+            plain.edit(odd)
+    words = [*_bracketed(plain.out), *_bare(plain.out), *_spelled(plain.out)]
+    if words:
+        plain.edit(words)
+    return plain
 
 
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
@@ -222,7 +357,7 @@ def find_spans(text: str) -> tuple[list[Span], list[Span]]:
     plain, added = rewrite(text), []
     # Spans of a kind never overlap: of those that start at or before a place, the last one reaches furthest.
     known = [[s for s in base if s.kind == kind] for kind in range(len(KINDS))]
-    for start, kind, end in detect("".join(plain.out)):
+    for start, kind, end in detect(plain.out):
         low, high = plain.starts[start], plain.ends[end - 1]
         # A rewritten character, or one that was left out, is a disguise.
         if any(plain.changed[start:end]) or high - low > end - start:
