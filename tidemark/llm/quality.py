@@ -1,34 +1,46 @@
 """Quality classifier by co-training of two views.
 
-The content view sees features of the text; the metadata view sees source, language and length
-as recorded.  Both are logistic regressions.  In each round either one labels the unlabelled rows that
-it is surest of, and hands them to the other as training rows.  Then both are calibrated on labelled
-rows kept out of training, and a logistic combination of their log odds, fitted on the same rows,
-scores all documents.
-
-Fitting reads at most ``max_labelled`` labelled and ``max_unlabelled`` unlabelled rows (the lowest
-key hashes); scoring reads every whole text where it stands.  Without both classes among the
-labelled rows all scores are the rate of label 1, or 1 without any.  Null text is empty, null
-metadata is a value of its own.
+The content view sees the text: shares of kinds of characters, repetition, and hashed words and word pairs.
+The metadata view sees source, language and length as recorded; length is in no other view.  Both are
+logistic regressions, fitted on labelled rows first.  In each round every document of the table is scored by
+both views; where one is sure, its label counts as a training row of the other.  Tasks add these rows up to
+the gradient and curvature that the other view's next Newton step needs, so that the pool is the whole table and
+no row of it leaves its task; together the pool weighs as much as the labelled rows at most.  Then both views
+are calibrated on labelled rows kept out of training, and a logistic combination of their log odds, fitted on
+the same rows, scores all documents.
+
+Fitting reads at most ``max_labelled`` labelled rows (the lowest key hashes); pool and scores cover every
+whole text.  Without both classes among the labelled rows all scores are the rate of label 1, or 1
+without any.  Null text is empty, null metadata is a value of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.samples import sample_ids, with_texts
-from tidemark.llm.wordhash import hash_texts, shingles
+from tidemark.llm.wordhash import hash_texts, mix, shingles
+
+#: Sums of tasks are added up in so many groups.
+SLOTS = 32
 
 #: Metadata features: log length and its square, hashed source and language.
 SOURCES, LANGUAGES = 32, 16
+#: Content features: shape of the text, then hashed words and hashed word pairs.
+SHAPE, HASHED = 11, 64
 #: Widths of the two views.
-CONTENT, META = 14, 2 + SOURCES + LANGUAGES
+CONTENT, META = SHAPE + 2 * HASHED, 2 + SOURCES + LANGUAGES
+_BUCKET = np.uint64(64 - 6)
+HASHED_RIDGE = 30.0
 _CLASSES = np.zeros((256, 7), np.int64)
 _CLASSES[65:91, 0] = 1
 _CLASSES[97:123, 1] = 1
@@ -50,7 +62,7 @@ def content_features(texts: pa.Array) -> np.ndarray:
     for i in range(n):
         counts = np.bincount(data[bounds[i] : bounds[i + 1]], minlength=256) @ _CLASSES
         size, letters = max(1, bounds[i + 1] - bounds[i]), max(1, counts[0] + counts[1])
-        out[i, :7] = np.log1p(bounds[i + 1] - bounds[i]), counts[0] / letters, counts[2] / size, counts[3] / size, counts[4] / size, counts[5] / size, counts[6] / size
+        out[i, :6] = counts[0] / letters, counts[2] / size, counts[3] / size, counts[4] / size, counts[5] / size, counts[6] / size
     for at, before, words in hash_texts(texts):
         for i in range(len(before) - 1):
             own = words[before[i] : before[i + 1]]
@@ -58,15 +70,21 @@ def content_features(texts: pa.Array) -> np.ndarray:
                 continue
             _, times = np.unique(own, return_counts=True)
             triples = shingles(own, 3)
-            out[at + i, 7:] = (
-                np.log1p(len(own)),
+            out[at + i, 6:SHAPE] = (
                 len(times) / len(own),
                 times.max() / len(own),
                 (own[1:] == own[:-1]).mean() if len(own) > 1 else 0,
                 len(np.unique(triples)) / len(triples),
                 (bounds[at + i + 1] - bounds[at + i]) / len(own) / 10,
-                len(times) / np.sqrt(len(own)) / 10,
             )
+        n_texts, n_words = len(before) - 1, np.diff(before)
+        owner = np.repeat(np.arange(n_texts), n_words)
+        pairs = mix(words[:-1] + (words[1:] << np.uint64(1)))[owner[1:] == owner[:-1]]
+        sides = ((owner, words), (owner[1:][owner[1:] == owner[:-1]], pairs))
+        for k, (text, hashes) in enumerate(sides):
+            counts = np.bincount(text * HASHED + (hashes >> _BUCKET).astype(np.int64), minlength=n_texts * HASHED).reshape(n_texts, HASHED)
+            first = SHAPE + k * HASHED
+            out[at : at + n_texts, first : first + HASHED] = np.sqrt(counts / np.maximum(n_words, 1)[:, None])
     return out
 
 
@@ -84,30 +102,42 @@ def metadata_features(source: list, lang: list, n_chars: list) -> np.ndarray:
 
 
 class Logistic:
-    """Logistic regression with standardised features and a small ridge, by Newton steps."""
+    """Logistic regression with standardised features and a small ridge, by Newton steps.
+
+    The first ``squared`` features count with their squares, too.
+    """
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, expand: bool = False):
-        self.expand = expand
+    def __init__(self, x: np.ndarray, y: np.ndarray, squared: int | None = None):
+        self.squared = 0 if squared is None else squared
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
-        z = self._design(x)
+        z = self.design(x)
         self.w = np.zeros(z.shape[1])
-        penalty = np.full(z.shape[1], ridge)
-        penalty[-1] = 1e-6
+        # One hashed word tells little by itself.
+        self.ridge = np.ones(len(self.w))
+        self.ridge[self.squared : x.shape[1]] = 1.0 if squared is None else HASHED_RIDGE
+        self.ridge[-1] = 1e-6
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-            gradient = z.T @ (p - y) + penalty * self.w
-            step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty), gradient)
-            self.w -= step * min(1, 5 / (np.abs(step).max() + 1e-12))
-            if np.abs(step).max() < 1e-6:
+            if self.step(*self.sums(z, y)) < 1e-6:
                 break
 
-    def _design(self, x: np.ndarray) -> np.ndarray:
+    def design(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
-        parts = [z, z**2 / 4] if self.expand else [z]
-        return np.column_stack([*parts, np.ones(len(x))])
+        return np.column_stack([z, z[:, : self.squared] ** 2 / 4, np.ones(len(x))])
+
+    def sums(self, z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the loss of some rows."""
+        p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
+        return z.T @ (p - y), (z * (p * (1 - p) + 1e-9)[:, None]).T @ z
+
+    def step(self, gradient: np.ndarray, curvature: np.ndarray) -> float:
+        """A damped Newton step; gives its largest part."""
+        step = np.linalg.solve(curvature + np.diag(self.ridge), gradient + self.ridge * self.w)
+        most = float(np.abs(step).max())
+        self.w = self.w - step * min(1, 5 / (most + 1e-12))
+        return most
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self._design(x) @ self.w, -30, 30)
+        return np.clip(self.design(x) @ self.w, -30, 30)
 
 
 class CoTrained:
@@ -123,28 +153,41 @@ class CoTrained:
         return 1 / (1 + np.exp(-self.both.odds(odds)))
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int, sure: float, share: float) -> CoTrained:
-    """Rows come in a random order; every third labelled row is kept for calibration."""
+class View(NamedTuple):
+    """A view's model, and how sure its odds are on labelled rows that it wasn't trained on."""
+
+    model: Logistic
+    checked: Logistic
+
+    def sure(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.checked.odds(self.model.odds(x)[:, None])))
+
+
+def pool_sums(views: list[View], sides: tuple[np.ndarray, np.ndarray], sure: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For each view, of the rows that the other one is sure of: how many, gradient and curvature."""
+    out = []
+    for taker in (0, 1):
+        p = views[1 - taker].sure(sides[1 - taker])
+        rows = (p >= sure) | (p <= 1 - sure)
+        model = views[taker].model
+        out.append((int(rows.sum()), *model.sums(model.design(sides[taker][rows]), (p[rows] >= 0.5).astype(float))))
+    return out
+
+
+def co_train(sides: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: Callable[[list[View]], list[tuple[int, np.ndarray, np.ndarray]]], rounds: int) -> CoTrained:
+    """Labelled rows come in a random order, and every third is kept for calibration; ``pool`` gives the sums of the whole table for a round's views."""
     rate = float(y.mean()) if len(y) else 1.0
     kept = np.arange(len(y)) % 3 == 2
     if len(y) < 12 or len(set(y[kept])) < 2 or len(set(y[~kept])) < 2:
         return CoTrained(None, None, None, rate)
-    sets = [(x[~kept], y[~kept]) for x in views]
-    free = [np.ones(len(pool[0]), bool) for _ in views]
-    models = [Logistic(*s, expand=k == 0) for k, s in enumerate(sets)]
+    models = [Logistic(x[~kept], y[~kept], squared=(SHAPE, None)[k]) for k, x in enumerate(sides)]
     for _ in range(rounds):
-        # A view hands on labels only as sure as its odds are on rows that it wasn't trained on.
-        checked = [Logistic(m.odds(x[kept])[:, None], y[kept]) for m, x in zip(models, views, strict=True)]
-        for giver, taker in ((0, 1), (1, 0)):
-            p = 1 / (1 + np.exp(-checked[giver].odds(models[giver].odds(pool[giver])[:, None])))
-            most = max(1, int(share * len(p)))
-            for label, confidence in ((1.0, p), (0.0, 1 - p)):
-                surest = np.argsort(-confidence, kind="stable")[: max(1, int(most * (rate if label else 1 - rate)))]
-                new = surest[(confidence[surest] >= sure) & free[taker][surest]]
-                free[taker][new] = False
-                sets[taker] = (np.concatenate([sets[taker][0], pool[taker][new]]), np.concatenate([sets[taker][1], np.full(len(new), label)]))
-        models = [Logistic(*s, expand=k == 0) for k, s in enumerate(sets)]
-    odds = np.column_stack([m.odds(x[kept]) for m, x in zip(models, views, strict=True)])
+        views = [View(m, Logistic(m.odds(x[kept])[:, None], y[kept])) for m, x in zip(models, sides, strict=True)]
+        for model, x, (n, gradient, curvature) in zip(models, sides, pool(views), strict=True):
+            own = model.sums(model.design(x[~kept]), y[~kept])
+            weight = min(1.0, (~kept).sum() / n) if n else 0.0
+            model.step(own[0] + weight * gradient, own[1] + weight * curvature)
+    odds = np.column_stack([m.odds(x[kept]) for m, x in zip(models, sides, strict=True)])
     return CoTrained(models[0], models[1], Logistic(odds, y[kept]), rate)
 
 
@@ -156,28 +199,47 @@ def _views(batch: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, np.ndar
     return content_features(batch.column(names.index("text"))), metadata_features(*meta)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", max_labelled: int = 6000, max_unlabelled: int = 6000, rounds: int = 4, sure: float = 0.95, share: float = 0.1) -> CoTrained:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", max_labelled: int = 6000, rounds: int = 3, sure: float = 0.95) -> CoTrained:
     used = [c for c in ("text", *_META) if c in docs.columns]
     usable = labels.select(key, F.col(label).alias("label")).where(F.col("label").isin(0, 1)).groupBy(key).agg(F.max("label").cast("int").alias("label"))
-    some = sample_ids(usable, key, max_labelled)
-    # Twice as many ids as wanted, for some of them have labels.
-    others = sample_ids(docs.select(key), key, 2 * max_unlabelled, salt=1).join(usable.select(key), key, "left_anti").distinct()
-    chosen = some.unionByName(others.select(key, F.lit(None).cast("int").alias("label")))
+    chosen = sample_ids(usable, key, max_labelled)
+    rows = docs.select(*[F.col(c) for c in dict.fromkeys((key, *used))])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             content, meta = _views(batch, used)
             yield pa.RecordBatch.from_arrays([batch.column(len(used)), batch.column(len(used) + 1), pa.array(content.tolist(), pa.list_(pa.float64())), pa.array(meta.tolist(), pa.list_(pa.float64()))], names=["place", "label", "content", "meta"])
 
-    rows = with_texts(docs.select(key, *used), chosen, key).select(*used, F.xxhash64(key).alias("place"), "label")
-    got = rows.mapInArrow(measure, "place long, label int, content array<double>, meta array<double>").toPandas()
+    labelled = with_texts(rows, chosen.withColumnRenamed("label", "__label"), key).select(*used, F.xxhash64(key).alias("place"), F.col("__label").alias("label"))
+    got = labelled.mapInArrow(measure, "place long, label int, content array<double>, meta array<double>").toPandas()
     got = got.sort_values("place", kind="stable")
-    known = got["label"].notna().to_numpy()
-    sides = []
-    for at in (known, ~known):
-        part = got[at]
-        sides.append(tuple(np.array(part[c].tolist(), float).reshape(len(part), width) for c, width in (("content", CONTENT), ("meta", META))))
-    return co_train(sides[0], got["label"][known].to_numpy(float), sides[1], rounds, sure, share)
+    sides = tuple(np.array(got[c].tolist(), float).reshape(len(got), width) for c, width in (("content", CONTENT), ("meta", META)))
+
+    def pool(views: list[View]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        shared = docs.sparkSession.sparkContext.broadcast(views)
+        sizes = [len(v.model.w) for v in views]
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(sum(1 + d + d * d for d in sizes))
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    total += np.concatenate([np.concatenate(([n], g, c.ravel())) for n, g, c in pool_sums(shared.value, _views(batch.slice(at, 512), used), sure)])
+            yield pa.record_batch({"slot": pa.array([TaskContext.get().partitionId() % SLOTS], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+        def added(part: pd.DataFrame) -> pd.DataFrame:
+            total = np.sum([np.frombuffer(s) for s in part["sums"]], axis=0)
+            return pd.DataFrame({"sums": [total.tobytes()]})
+
+        # Sums meet in a few tasks before the driver adds up at most SLOTS of them.
+        parts = rows.select(*used).mapInArrow(add, "slot int, sums binary").groupBy("slot").applyInPandas(added, "sums binary").collect()
+        total = np.sum([np.frombuffer(r["sums"]) for r in parts], axis=0) if parts else np.zeros(sum(1 + d + d * d for d in sizes))
+        out = []
+        for d in sizes:
+            own, total = total[: 1 + d + d * d], total[1 + d + d * d :]
+            out.append((int(own[0]), own[1 : 1 + d], own[1 + d :].reshape(d, d)))
+        return out
+
+    return co_train(sides, got["label"].to_numpy(float), pool, rounds)
 
 
 def score(docs: DataFrame, model: CoTrained, threshold: float = 0.5) -> DataFrame:
