@@ -8,19 +8,22 @@ overlap of their sets reaches a share of the union.  The matrix product is never
   same or neighbouring size classes, and differ in at most ``d`` n-grams for a class.  Columns
   are cut into d + 1 + spare parts, so that linked sets agree on more than ``spare`` parts; a
   row sends one hash of each part that holds any of its n-grams.  Rows with a hash in common are
-  joined to the first of them, never in pairs.
+  joined to the first of them, never in pairs: first in the task, which hands on one row a hash, then
+  over all tasks.
   The most common n-grams (``common_rows`` of them at most, counted over all documents) say
   little, so that they are left out of the parts at first.  Should all parts that agree be
   empty without them, then both rows have more than ``spare`` empty parts; such rows send
   the parts with the common n-grams, and the empty ones, too.  So no link is lost, whichever n-grams
   count as common.
-* Each cluster's part of the product is computed in blocks of at most ``block`` rows a side,
-  adding up overlap counts over slabs of columns.  Pairs whose sizes, or whose count with all
-  columns to come, cannot reach the bound are discarded.  A block pair hands on a forest of
-  its links, not all of them.
+* A cluster's part of the product is computed in blocks of bounded rows and bytes a side.  Blocks of a
+  large cluster hold sets of one size class, and meet blocks of the same and the neighbouring classes only.
+  Overlap counts add up column by column: those that few rows hold as a sparse product, the others in slabs.
+  Pairs whose sizes, or whose count with all columns to come, cannot reach the bound are discarded.  A
+  block pair hands on a forest of its links, not all of them.
 
 Each step is linear in rows of the tables, but for the block products inside a cluster, which are
-dealt over the cluster as tasks of bounded size.  Nothing is capped.
+dealt over the cluster as tasks of bounded size.  How many groups the shuffles have follows from the bytes in
+the tables.  Nothing is capped.
 
 Words: A-Z count as a-z, cut at white space.  Shingles: runs of ``size`` words; of fewer words
 the whole sequence; of none the empty set, which links with nothing.  N-grams and sets stand
@@ -49,8 +52,12 @@ _EMPTY = np.uint64(0x8EBC6AF09C88C6E3)
 _WHOLE = np.uint64(0x589965CC75374CC3)
 #: Bits of the filter that is sent to all tasks: 8 MB, whatever the table's size.
 FILTER_BITS = 1 << 26
-#: Columns of the product that are added up at once.
-SLAB = 4096
+#: Columns of the product that are added up at once, and pairs of the sparse product.
+SLAB, PAIRS = 4096, 1 << 22
+#: A column counts as dense from this share of all pairs of rows on.
+DENSE = 1 / 32
+#: Bytes of a shuffle's group, and of a block of sets.
+GROUP_BYTES, BLOCK_BYTES = 32 << 20, 8 << 20
 
 
 def needed(total: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -173,9 +180,32 @@ def common_grams(docs: DataFrame, size: int, text: str, rows: int, least: int =
     return np.sort(kept["gram"].to_numpy(np.int64).view(np.uint64))
 
 
-def candidate_edges(docs: DataFrame, size: int, percent: int, text: str, common_rows: int) -> DataFrame:
+def _firsts(value: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, smallest owner of each, pairs of that owner and each other one)."""
+    order = np.lexsort((owner, value))
+    value, owner = value[order], owner[order]
+    begins = np.concatenate(([True], value[1:] != value[:-1])) if len(value) else np.zeros(0, bool)
+    first = owner[begins]
+    pairs = np.stack([np.repeat(first, np.diff(np.append(np.flatnonzero(begins), len(value)))), owner])
+    return value[begins], first, _distinct_pairs(pairs[:, pairs[0] != pairs[1]])
+
+
+def _distinct_pairs(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+    return pairs[:, np.concatenate(([True], (pairs[:, 1:] != pairs[:, :-1]).any(0)))] if pairs.shape[1] else pairs
+
+
+def _groups(frame: DataFrame, bytes_: float | None, size: int) -> int:
+    """How many groups of ``size`` bytes there are, and no fewer than shuffle partitions."""
+    return max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((bytes_ or 0) // size) + 1)
+
+
+def candidate_edges(docs: DataFrame, sets: DataFrame, size: int, percent: int, text: str, common_rows: int) -> DataFrame:
     """(src, dst) between sets of which some part agrees: each with the smallest that has the part."""
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A set sends at most a hash a part, or an n-gram, of two classes, twice where its parts run empty.
+    n = F.col("n_shingles")
+    sent = sets.agg(F.sum(16.0 * 4 * F.least(n, n * (3 * (100 - percent)) / percent + 4))).first()[0]
+    buckets = _groups(docs, sent, GROUP_BYTES)
     common = docs.sparkSession.sparkContext.broadcast(common_grams(docs, size, text, common_rows))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,29 +228,35 @@ def candidate_edges(docs: DataFrame, size: int, percent: int, text: str, common_
             yield packed(hashes, owners)
 
     def packed(hashes: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
-        """A row a bucket: all hashes that fall there, then their sets."""
-        value, owner = np.concatenate(hashes), np.concatenate(owners)
-        bucket = (value % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        value, owner, bucket = value[order], owner[order], bucket[order]
-        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-        cells = [value[a:b].tobytes() + owner[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.record_batch({"bucket": pa.array(bucket[cuts[:-1]], pa.int32()), "cells": pa.array(cells, pa.binary())})
-
-    def meet(cells: pd.DataFrame) -> pd.DataFrame:
-        values, owners = [], []
-        for cell in cells["cells"]:
-            values.append(np.frombuffer(cell, np.uint64, len(cell) // 16))
-            owners.append(np.frombuffer(cell, np.int64, len(cell) // 16, len(cell) // 2))
-        value, owner = np.concatenate(values), np.concatenate(owners)
-        order = np.lexsort((owner, value))
-        value, owner = value[order], owner[order]
-        begins = np.concatenate(([True], value[1:] != value[:-1]))
-        first = owner[np.flatnonzero(begins)][np.cumsum(begins) - 1]
-        pairs = np.unique(np.stack([first, owner])[:, first != owner], axis=1)
+        """A row a bucket: hashes that fall there with their first owners, and pairs of owners, which may go to any bucket."""
+        value, first, pairs = _firsts(np.concatenate(hashes), np.concatenate(owners))
+        cells = _dealt((value % np.uint64(buckets)).astype(np.int32), value, first)
+        edges = _dealt((pairs[1].view(np.uint64) % np.uint64(buckets)).astype(np.int32), *pairs)
+        keys = sorted(cells.keys() | edges.keys())
+        return pa.record_batch({"bucket": pa.array(keys, pa.int32()), "cells": pa.array([cells.get(k, b"") for k in keys], pa.binary()), "edges": pa.array([edges.get(k, b"") for k in keys], pa.binary())})
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        value, owner = _undealt(rows["cells"])
+        _, _, pairs = _firsts(value.view(np.uint64), owner)
+        pairs = _distinct_pairs(np.concatenate([pairs, np.stack(_undealt(rows["edges"]))], axis=1))
         return pd.DataFrame({"src": pairs[0], "dst": pairs[1]})
 
-    return docs.select(text).mapInArrow(send, "bucket int, cells binary").groupBy("bucket").applyInPandas(meet, "src long, dst long").distinct()
+    sent_rows = docs.select(text).mapInArrow(send, "bucket int, cells binary, edges binary").repartition(buckets, "bucket")
+    return sent_rows.groupBy("bucket").applyInPandas(meet, "src long, dst long").distinct()
+
+
+def _dealt(bucket: np.ndarray, left: np.ndarray, right: np.ndarray) -> dict[int, bytes]:
+    """Two columns of 64-bit values by bucket: the left values, then the right ones."""
+    order = np.argsort(bucket, kind="stable")
+    left, right, bucket = left[order], right[order], bucket[order]
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(1, np.int64)
+    return {int(bucket[a]): left[a:b].tobytes() + right[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
+
+
+def _undealt(cells: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    sides = [np.frombuffer(cell, np.int64).reshape(2, -1) for cell in cells]
+    whole = np.concatenate(sides, axis=1)
+    return whole[0], whole[1]
 
 
 def _filter_bits(nodes: DataFrame) -> bytes:
@@ -282,6 +318,29 @@ def link_product(rows: list[np.ndarray], percent: int, split: int | None = None)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     left = np.bincount(owner, minlength=len(rows))
+    # Columns that few rows hold: the sparse product, an entry of one side with those of the other in its column.
+    edge = len(rows) if split is None else split
+    n_columns = int(column[-1]) + 1 if len(column) else 0
+    on_a, on_b = owner < edge, (owner >= edge) if split is not None else np.ones(len(owner), bool)
+    in_a, in_b = (np.bincount(column[side], minlength=n_columns) for side in (on_a, on_b))
+    sparse = in_a * in_b <= DENSE * total.size
+    some = np.flatnonzero(on_a & sparse[column])
+    places_b = np.flatnonzero(on_b)
+    first_b = np.searchsorted(column[places_b], np.arange(n_columns))
+    cost = np.cumsum(in_b[column[some]])
+    at = 0
+    while at < len(some):
+        upto = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + PAIRS, "right")))
+        part = some[at:upto]
+        n = in_b[column[part]]
+        before = np.cumsum(n) - n
+        others = places_b[np.arange(int(n.sum())) + np.repeat(first_b[column[part]] - before, n)]
+        cell = np.repeat(owner[part], n) * total.shape[1] + owner[others] - (0 if split is None else split)
+        counts += np.bincount(cell, minlength=total.size).reshape(total.shape)
+        at = upto
+    left = left - np.bincount(owner[sparse[column]], minlength=len(rows))
+    owner, column = owner[~sparse[column]], column[~sparse[column]]
+    column = (np.cumsum(~sparse) - 1)[column]
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, SLAB):
         alive &= counts + np.minimum(left[a][:, None], left[b][None, :]) >= need
         if not alive.any():
@@ -312,34 +371,47 @@ def forest(links: np.ndarray, ids: np.ndarray, split: int | None = None) -> list
         label = lower
 
 
-def linked_sets(clustered: DataFrame, percent: int, block: int) -> DataFrame:
-    """(src, dst) that connect linked sets; ``clustered``: (node, grams, cluster, n_nodes)."""
-    spark = clustered.sparkSession
-    packs = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = F.ceil(F.col("n_nodes") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = clustered.withColumn("blocks", blocks).withColumn("b", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    # Small clusters share a task; a large one has a task for each pair of its blocks.
-    alone = F.col("blocks") == 1
-    dealt = dealt.select(
-        F.when(alone, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(F.col("cluster")).alias("pack"),
-        F.when(alone, -1).otherwise(F.least("b", "other")).alias("low"),
-        F.when(alone, -1).otherwise(F.greatest("b", "other")).alias("high"),
-        "cluster", "b", "node", "grams",
+def linked_sets(grams: DataFrame, near: DataFrame, percent: int, block: int) -> DataFrame:
+    """(src, dst) that connect linked sets; ``grams``: (node, grams), ``near``: (node, cluster, n), n the size of the set."""
+    classes, most = SizeClasses(percent), near.agg(F.max("n")).first()[0] or 1
+    classes.of(most)
+    kind = F.size(F.filter(F.array(*[F.lit(s) for s in classes.starts]), lambda s: s <= F.col("n")))
+    sized = near.withColumn("k", kind)
+    need = lambda rows, size: F.ceil(F.greatest(rows / block, size / BLOCK_BYTES)).cast("int")
+    whole = sized.groupBy("cluster").agg(need(F.count("*"), 8 * F.sum("n")).alias("blocks"))
+    large = whole.where("blocks > 1").select("cluster")
+    parts = sized.join(large, "cluster").groupBy("cluster", "k").agg(need(F.count("*"), 8 * F.sum("n")).alias("blocks"), (8 * F.sum("n")).alias("bytes"))
+    beside = [parts.select("cluster", (F.col("k") - step).alias("k"), F.col("blocks").alias(name)) for step, name in ((-1, "below"), (1, "above"))]
+    parts = stored(parts.join(beside[0], ["cluster", "k"], "left").join(beside[1], ["cluster", "k"], "left").fillna(0, ["below", "above"]), "cluster-parts")
+    small = sized.join(large, "cluster", "left_anti").agg(F.sum(8 * F.col("n"))).first()[0] or 0
+    sent = parts.agg(F.sum(F.col("bytes") * (F.col("blocks") + F.col("below") + F.col("above")))).first()[0] or 0
+    packs = _groups(near, small, GROUP_BYTES)
+
+    # Small clusters share a task; of a large one a task has two blocks, of one size class or of neighbours.
+    key = lambda k, b: k.cast("long") * (1 << 32) + b
+    block_of = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = sized.join(parts.drop("bytes"), ["cluster", "k"], "left").withColumn("own", F.coalesce(key(F.col("k"), block_of), F.lit(-1)))
+    to = lambda step, n: F.transform(F.filter(F.sequence(F.lit(0), F.col(n)), lambda b: b < F.col(n)), lambda b: key(F.col("k") + step, b))
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.concat(to(-1, "below"), to(0, "blocks"), to(1, "above")))
+    dealt = dealt.withColumn("other", F.explode(others)).select(
+        F.when(F.col("own") < 0, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(F.col("cluster")).alias("pack"),
+        F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "cluster", "own", "node",
     )
 
     def multiply(rows: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
         low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
-        for _, cluster in rows.sort_values(["cluster", "b"], kind="stable").groupby("cluster", sort=False):
+        for _, cluster in rows.sort_values(["cluster", "own"], kind="stable").groupby("cluster", sort=False):
             ids = cluster["node"].to_numpy(np.int64)
-            grams = [np.frombuffer(g, np.uint64) for g in cluster["grams"]]
-            split = None if low == high else int((cluster["b"] == low).sum())
+            sets = [np.frombuffer(g, np.uint64) for g in cluster["grams"]]
+            split = None if low == high else int((cluster["own"] == low).sum())
             if len(ids) < 2 or split in (0, len(ids)):
                 continue
-            found += forest(link_product(grams, percent, split), ids, split)
+            found += forest(link_product(sets, percent, split), ids, split)
         return pd.DataFrame(found, columns=["src", "dst"]).astype("int64")
 
+    tasks = _groups(near, small + sent, GROUP_BYTES)
+    dealt = grams.join(dealt, "node").repartition(tasks, "pack", "low", "high")
     return dealt.groupBy("pack", "low", "high").applyInPandas(multiply, "src long, dst long")
 
 
@@ -349,15 +421,13 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, doc_id
     component_id is the smallest doc_id that links reach; of an empty set it is its own.
     """
     sets = stored(document_sets(docs, size, doc_id, text), "document-sets")
-    near = connected_components(candidate_edges(docs, size, percent, text, common_rows))
-    near = near.withColumnRenamed("component", "cluster")
-    sizes = near.groupBy("cluster").agg(F.count("*").alias("n_nodes"))
-    near = stored(near.join(sizes, "cluster"), "near-clusters")
+    # From here on a set goes by its hash, and in the end by the smallest doc_id that has it.
+    named = stored(sets.where("`set` IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("name"), F.min("n_shingles").alias("n_shingles")), "set-names")
+    near = connected_components(candidate_edges(docs, named, size, percent, text, common_rows))
+    near = near.select("node", F.col("component").alias("cluster")).join(named.select(F.col("set").alias("node"), F.col("n_shingles").alias("n")), "node")
+    near = stored(near, "near-clusters")
     grams = sets_in(docs, near, size, text).groupBy("node").agg(F.first("grams").alias("grams"))
-    linked = stored(linked_sets(grams.join(near, "node"), percent, block), "linked-sets")
-
-    # From here on a set goes by the smallest doc_id that has it.
-    named = stored(sets.where("`set` IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("name")), "set-names")
+    linked = stored(linked_sets(grams, near, percent, block), "linked-sets")
     ends = linked.join(named.select(F.col("set").alias("src"), F.col("name").alias("u")), "src").join(named.select(F.col("set").alias("dst"), F.col("name").alias("v")), "dst")
     components = connected_components(ends, "u", "v").select(F.col("node").alias("name"), F.col("component").alias("component_id"))
     of_set = named.join(components, "name", "left").select("set", F.coalesce("component_id", "name").alias("component_id"))
