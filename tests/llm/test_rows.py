@@ -12,12 +12,12 @@ from tidemark.llm import chat_format, quality, sharding, topk_search, toxicity
 
 
 def brute_top(rows, k):
-    usable = {}
+    usable = []
     for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            usable[(i, tuple(math.floor(64 * x) for x in v))] = None
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            usable.append((i, tuple(math.floor(64 * x) for x in v)))
     out = []
-    for q, a in usable:
+    for q, a in dict.fromkeys(usable):
         if q % 20 == 0:
             scored = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in usable if c != q)
             out += [(q, n, c, -s) for n, (s, c) in enumerate(scored[:k], 1)]
@@ -75,7 +75,7 @@ def test_chat_round_trip(spark):
     assert chat_format.format_and_read(spark.createDataFrame([], turns.schema)).collect() == []
 
 
-def test_shards_fit(spark):
+def test_shards_fit(spark, tmp_path):
     rng = random.Random(6)
     rows = [(k, rng.choice([1, 10, 500]), "x") for k in range(400)] + [(7, 90, "x")] * 60 + [(None, 5, "x"), (401, None, "x"), (402, 5000, "x")]
     frame = spark.createDataFrame(rows, "doc_id long, n_bytes long, shard string")
@@ -94,6 +94,12 @@ def test_shards_fit(spark):
         above = [x for n, s in shards.items() if n.startswith(a[:-1]) for x in s]
         assert not a or sum(above) > 1000
     assert sharding.assign_shards(frame.limit(0), "doc_id", F.col("n_bytes"), 1000).collect() == []
+    joined = sharding.assign_shards(frame, "doc_id", F.col("n_bytes"), 1000, sent_rows=0).collect()
+    assert sorted(map(str, joined)) == sorted(map(str, got))
+    path = str(tmp_path / "shards")
+    sharding.write_shards(spark.createDataFrame(got, "doc_id long, n_bytes long, shard string, shard_bytes long, shard_rows long"), path)
+    back = spark.read.parquet(path).collect()
+    assert sorted((r["shard"], r["n_bytes"] or 0) for r in back) == sorted(("s" + r["shard"], r["n_bytes"] or 0) for r in got)
 
 
 def labelled(spark, n=600):
@@ -115,7 +121,7 @@ def labelled(spark, n=600):
 
 def test_toxicity(spark):
     docs, labels, truth = labelled(spark)
-    model = toxicity.fit(docs, labels, max_examples=60, least_chi2=12.0)
+    model = toxicity.fit(docs, labels, max_examples=60)
     got = toxicity.score(docs, model).collect()
     assert len(got) == docs.count()
     expected = {d: t for d, _, t in truth}
@@ -124,10 +130,17 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
     # Block-max search finds the same neighbours as all cosines do.
     index = model.index
+    weights = np.zeros((len(index.ids), len(model.terms)))
+    for term in range(len(model.terms)):
+        for n in range(index.lists[term], index.lists[term + 1]):
+            some = slice(index.begin[n], index.begin[n] + index.size[n])
+            assert index.most[n] == index.weight[some].max() and (index.owner[some] // toxicity.BLOCK == index.block[n]).all()
+            weights[index.owner[some], term] = index.weight[some]
+    assert np.allclose((weights**2).sum(1), 1)
     for _, place, times in toxicity.vectors(pa.array([r["text"] for r in docs.collect()]), model.terms):
         at, cosines = index.nearest(place, times, 5)
         w = index.weights(place, times)
-        every = np.concatenate([w @ index.block[b, place] for b in range(len(index.block))])
+        every = weights[:, place] @ w
         best = [i for i in np.lexsort((np.arange(len(every)), -every))[:5] if every[i] > 0]
         assert at.tolist() == best and np.allclose(cosines, every[best])
     nothing = toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).select("score").distinct().collect()
@@ -139,6 +152,9 @@ def test_toxicity(spark):
 def test_isotonic_rises():
     ends, rates = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([0.0, 1, 0, 1, 1]))
     assert ends.tolist() == [0.1, 0.3, 0.5] and rates.tolist() == [0.0, 0.5, 1.0]
+    for y in ([0.0, 1.0], [1.0, 0.0]):  # ties are one point
+        ends, rates = toxicity.isotonic(np.array([0.5, 0.5]), np.array(y))
+        assert ends.tolist() == [0.5] and rates.tolist() == [0.5]
 
 
 def test_quality(spark):

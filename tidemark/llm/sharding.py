@@ -56,20 +56,32 @@ def directory(rows: DataFrame, limit: int, step: int = 12) -> DataFrame:
         depth = upto
 
 
-def assign_shards(frame: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
-    """``frame`` with shard (its bit prefix, empty for a single shard), shard_bytes and shard_rows."""
+def assign_shards(frame: DataFrame, key: str, size: Column, limit: int, sent_rows: int = 100_000) -> DataFrame:
+    """``frame`` with shard (its bit prefix, empty for a single shard), shard_bytes and shard_rows.
+
+    Rows are stored with their bits first, so that all passes see the same positions.  A directory
+    of up to ``sent_rows`` shards is sent to the tasks, a larger one is joined by prefix.
+    """
     taken = [c for c in frame.columns if c not in ("shard", "shard_bytes", "shard_rows")]
     keyed = frame.select(*taken, F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__key"), F.coalesce(size, F.lit(0)).cast("long").alias("__size"), F.monotonically_increasing_id().cast("string").alias("__row"))
-    keyed = keyed.withColumn("__bits", F.concat(_sixty_bits(F.col("__key")), _sixty_bits(F.col("__row")))).drop("__key", "__row")
+    keyed = stored(keyed.withColumn("__bits", F.concat(_sixty_bits(F.col("__key")), _sixty_bits(F.col("__row")))).drop("__key", "__row"), "shard-rows")
     found = stored(directory(keyed.select(F.col("__bits").alias("bits"), F.col("__size").alias("size")), limit), "shard-directory")
-    depths = [r["depth"] for r in found.select("depth").distinct().collect()]
+    sizes = found.groupBy("depth").count().collect()
+    depths = sorted(r["depth"] for r in sizes)
+    if sum(r["count"] for r in sizes) <= sent_rows:
+        placed = keyed
+        for d in depths:
+            level = found.where(F.col("depth") == d).select(F.col("prefix").alias(f"__p{d}"), F.col("n_bytes").alias(f"__b{d}"), F.col("n_rows").alias(f"__n{d}"))
+            placed = placed.join(F.broadcast(level), F.substring("__bits", 1, d) == F.col(f"__p{d}"), "left")
+        first = lambda c, kind: F.coalesce(*[F.col(f"__{c}{d}") for d in depths], F.lit(None).cast(kind))
+        return placed.select(*taken, first("p", "string").alias("shard"), first("b", "long").alias("shard_bytes"), first("n", "long").alias("shard_rows"))
     # A row has one shard; it is looked up by its prefix of each depth that occurs, at most ALL_BITS of them.
-    probes = F.array(*[F.substring("__bits", 1, d) for d in sorted(depths)]) if depths else F.array(F.lit(""))
-    probed = keyed.select("__bits", F.explode(probes).alias("prefix"))
+    probed = keyed.select("__bits", F.explode(F.array(*[F.substring("__bits", 1, d) for d in depths])).alias("prefix"))
     placed = probed.join(found.select("prefix", "n_bytes", "n_rows"), "prefix").select("__bits", F.col("prefix").alias("shard"), F.col("n_bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"))
     return keyed.join(placed, "__bits").drop("__bits", "__size")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder a shard, below ``path``; a shard is within the limit and so one task's work."""
-    sharded.repartition("shard").write.partitionBy("shard").parquet(path)
+    """One folder a shard, below ``path``, named by a letter and the bits, so that leading zeros read back; a shard is within the limit and so one task's work."""
+    named = sharded.withColumn("shard", F.concat(F.lit("s"), "shard"))
+    named.repartition("shard").write.partitionBy("shard").parquet(path)

@@ -13,12 +13,12 @@ only for survivors of all levels, in integers.
 
 Work is dealt out as (query block, candidate block) pairs: each side is sent once per block of
 the other side, a pair is one task's bounded work, and each pair hands on k rows a query.
-Blocks hold at most ``block_rows`` rows on average, whatever the table's size; there are no
-caps, and results are exact.
+Blocks hold at most ``block_rows`` rows and ``block_bytes`` bytes on average, whatever the table's size;
+there are no caps, and results are exact.
 
-Vectors that are null, empty, or hold null or non-finite components take no part.  Shorter vectors count
-as filled up with zeros.  Rows repeated with the same id and vector count once; a row is no
-candidate of a query with its own id.  Scores beyond 64 bits are cut to the nearest long.
+Vectors that are null or hold null or non-finite components take no part.  Shorter vectors count
+as filled up with zeros, so that an empty one scores 0.  Every row is a candidate, repeated ones each,
+but for rows with the query's own id; a query that is repeated with the same vector asks once.  Scores beyond 64 bits are cut to the nearest long.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ LEVELS = (4, 16)
 def whole_parts(vector: Column, scale: float = 64.0) -> Column:
     """floor(scale * x) of every component, null if any is null or not finite."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.when(finite & (F.size(vector) > 0), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
+    return F.when(finite, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -59,7 +59,7 @@ def _statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 def search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best rows of one candidate block for each query of one block."""
-    width = max(max(map(len, queries["v"])), max(map(len, rows["v"])))
+    width = max(1, max(map(len, queries["v"])), max(map(len, rows["v"])))
     q, x = _matrix(queries["v"], width), _matrix(rows["v"], width)
     q_ids, ids = queries["id"].to_numpy(np.int64), rows["id"].to_numpy(np.int64)
     # Whole numbers are exact in doubles up to 2**53.
@@ -94,7 +94,7 @@ def search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFr
     return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), parts, strict=True)))
 
 
-def top_k(vectors: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", is_query: Column | None = None, scale: float = 64.0, block_rows: int = 65_536) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", is_query: Column | None = None, scale: float = 64.0, block_rows: int = 65_536, block_bytes: int = 64 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows with the largest integer inner product, ties to smaller ids.
 
     ``is_query`` picks the queries among the rows, by default those whose id is divisible by 20.
@@ -104,7 +104,9 @@ def top_k(vectors: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str =
     if is_query is None:
         is_query = F.col("id") % 20 == 0
     asked = usable.where(is_query)
-    total, n_queries = usable.count(), asked.count()
+    total, widest = usable.agg(F.count("*"), F.max(F.size("v"))).first()
+    n_queries = asked.count()
+    block_rows = max(1, min(block_rows, block_bytes // (8 * max(1, widest or 0))))
     row_blocks = max(-(-total // block_rows), 2 * spark.sparkContext.defaultParallelism)
     query_blocks = max(1, -(-n_queries // block_rows))
 
@@ -118,11 +120,8 @@ def top_k(vectors: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str =
     def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        sides = []
-        for side in (queries, rows):
-            repeated = pd.Series(list(zip(side["id"], map(bytes, side["v"].map(lambda v: np.asarray(v, np.int64))), strict=True))).duplicated()
-            sides.append(side[~repeated.to_numpy()].reset_index(drop=True))
-        return search_block(sides[0], sides[1], k)
+        repeated = pd.Series(list(zip(queries["id"], map(bytes, queries["v"].map(lambda v: np.asarray(v, np.int64))), strict=True))).duplicated()
+        return search_block(queries[~repeated.to_numpy()].reset_index(drop=True), rows, k)
 
     best = queries.groupBy("qb", "rb").cogroup(rows.groupBy("qb", "rb")).applyInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
