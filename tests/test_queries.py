@@ -10,7 +10,7 @@ import __spark_entry__
 from tidemark.functions import text as fn
 from tidemark.operators import documents, graph, logs
 from tidemark.operators.components import connected_components
-from tidemark.plans import structure as plans
+from tidemark.plans import registry as plans
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,13 @@ CLASSES = {"pii_detected": r"\b[\w.+-]+@[\w.-]+\.\w+\b", "auth_failure": r"(?i)\
 SEVERITY_RANK = {"FATAL": 60, "ERROR": 50, "WARN": 40, "INFO": 30, "DEBUG": 20, "TRACE": 10}
 SEVERITY_SCORE = {"FATAL": 60.0, "ERROR": 50.0, "WARN": 40.0, "WARNING": 40.0, "INFO": 20.0, "DEBUG": 10.0, "TRACE": 5.0}
 UNKNOWN_LEVEL = 25
+LEVEL_WORD = r"(?i)\b(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b"
+#: Ids in messages, in the order in which they are looked for.
+CORRELATION_IDS = (r"(?i)\btraceId[=:]?\s*([\w-]+)", r"(?i)\bspanId[=:]?\s*([\w-]+)", r"(?i)\brequestId[=:]?\s*([\w-]+)", r"(?i)\bcorrelation[_-]?id[=:]?\s*([\w-]+)")
+FIELD = r"(?i)\b{head}[_-]?{tail}[=:]?\s*([\w-]+)"
+#: Lines of a stack trace: a frame, a cause, a line of the runtime, an exception's head, or a count of frames left out.
+STACK_LINES = (r"^\s*at ", r"^\s*Caused by:", r"^java\.lang\.", r"\.reflect\.", r"^\s*[a-zA-Z][\w.$]*(?:Exception|Error)(?::|\s*$)", r"^\.\.\. .* more")
+TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS][,SSS]", "yyyy/MM/dd HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss Z", "yyyy-MM-dd")
 
 
 def mask_numbers(text: Column) -> Column:
@@ -95,18 +104,58 @@ def tags(text: Column, table: dict[str, str]) -> Column:
 def field(text: Column, name: str) -> Column:
     """The value behind ``name`` or ``name_`` variants such as trace_id=, null if there is none."""
     head, tail = name.split("_")
-    return F.nullif(F.regexp_extract(text, rf"(?i)\b{head}[_-]?{tail}[=:]?\s*([\w-]+)", 1), F.lit(""))
+    return _first_group(text, FIELD.format(head=head, tail=tail))
+
+
+def _first_group(text: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+
+
+def correlation_id(text: Column) -> Column:
+    """The first of the ids that a message holds: of trace, span, request or correlation."""
+    return F.coalesce(*[_first_group(text, p) for p in CORRELATION_IDS])
+
+
+def scan_level(text: Column) -> Column:
+    """The first level that a text names, in capitals; WARNING is WARN, none is null."""
+    word = F.upper(_first_group(text, LEVEL_WORD))
+    return F.when(word == "WARNING", "WARN").otherwise(word)
+
+
+def without_level(text: Column) -> Column:
+    """The text without the first level that it names."""
+    rest = F.regexp_replace(text, r"(?is)^(.*?)\b(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b", "$1")
+    return F.regexp_replace(rest, r"^\s+|\s+$", "")
+
+
+def parse_timestamp(text: Column) -> Column:
+    """A timestamp in the first of ``TIME_FORMATS`` that fits, null if none does."""
+    trimmed = F.trim(text)
+    return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in TIME_FORMATS])
 
 
 def is_stack_line(text: Column) -> Column:
-    return text.rlike(r"^\s+at\s+[\w$.]+\([^)]*\)") | text.rlike(r"^\s*Caused by:\s*") | text.rlike(r"^Traceback \(most recent call last\)") | text.rlike(r'^\s+File "')
+    found = F.lit(False)
+    for pattern in STACK_LINES:
+        found = found | text.rlike(pattern)
+    return (F.trim(text) != "") & found
+
+
+def _entropy(text: str | None) -> float:
+    if not text:
+        return 0.0
+    _, times = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+    p = times / len(text)
+    return float(-(p * np.log2(p)).sum() / (np.log2(min(len(text), 256)) or 1.0))
 
 
 def char_entropy(text: Column) -> Column:
-    """Shannon entropy of characters over that of a text as long with all of them different; 0 for the empty text."""
-    chars = F.split(F.coalesce(text, F.lit("")), "")
-    n = F.length(text)
-    counts = F.transform(F.array_distinct(chars), lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
-    bits = F.aggregate(counts, F.lit(0.0), lambda total, p: total - p * F.log2(p))
-    most = F.log2(F.least(n, F.lit(256)))
-    return F.when(F.coalesce(n, F.lit(0)) == 0, 0.0).otherwise(bits / F.when(most == 0, 1.0).otherwise(most))
+    """Shannon entropy of characters over that of a text as long with all of them different; 0 for the empty text.
+
+    Counting characters has no built-in function, so that texts go through Arrow.
+    """
+
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(_entropy).astype("float64")
+
+    return F.pandas_udf(of, "double")(text)

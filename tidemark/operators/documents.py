@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,14 +16,16 @@ def titles(pages: DataFrame) -> DataFrame:
 
 def links(pages: DataFrame) -> DataFrame:
     """(page_id, link, place): distinct link targets of a page in order, without fragments."""
-    found = F.regexp_extract_all("html", F.lit(r'(?i)href="([^"]*)"'), F.lit(1))
+    found = F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']([^"']*)["']"""), F.lit(1))
     cleaned = F.transform(found, lambda x: F.regexp_replace(x, "#.*$", ""))
     kept = F.array_distinct(F.filter(cleaned, lambda x: x != ""))
     return pages.select("page_id", F.posexplode(kept).alias("place", "link"))
 
 
 def main_text(html: Column) -> Column:
-    """Text outside script, style, nav, header and footer, with space collapsed."""
+    """Text of main, or else article, or else the whole page, outside script, style, nav, header and footer, with space collapsed."""
+    whole = [F.nullif(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1), F.lit("")) for tag in ("main", "article", "body")]
+    html = F.coalesce(*whole, html)
     for tag in ("script", "style", "noscript", "nav", "header", "footer"):
         html = F.regexp_replace(html, rf"(?is)<{tag}\b.*?</{tag}>", " ")
     html = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
@@ -47,21 +50,28 @@ def longest_prefix(rows: DataFrame, path: Column, hints: DataFrame) -> DataFrame
     return probed.groupBy(*rows.columns).agg(F.max_by("label", F.length("prefix")).alias("label"))
 
 
+def _packed(text: str | None, size: int) -> list[str]:
+    done, held, length = [], [], 0
+    for line in (text or "").split("\n"):
+        if held and length + 1 + len(line) > size:
+            done.append("\n".join(held))
+            held, length = [], 0
+        length += len(line) + bool(held)
+        held.append(line)
+    return [*done, "\n".join(held)]
+
+
 def chunks(docs: DataFrame, size: int = 2000) -> DataFrame:
-    """(doc_id, chunk, text): lines packed greedily into chunks of at most ``size`` characters; a longer line is a chunk."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
-
-    def pack(state: Column, line: Column) -> Column:
-        fits = F.length(state["open"]) + 1 + F.length(line) <= size
-        return (
-            F.when(state["open"].isNull(), F.struct(state["done"].alias("done"), line.alias("open")))
-            .when(fits, F.struct(state["done"].alias("done"), F.concat_ws("\n", state["open"], line).alias("open")))
-            .otherwise(F.struct(F.concat(state["done"], F.array(state["open"])).alias("done"), line.alias("open")))
-        )
-
-    packed = F.aggregate(lines, start, pack, lambda s: F.concat(s["done"], F.array(s["open"])))
-    return docs.select("doc_id", F.posexplode(packed).alias("chunk", "text"))
+    """(doc_id, chunk, text): lines packed greedily into chunks of at most ``size`` characters; a longer line is a chunk.
+
+    Packing has a state from line to line, so that it runs over Arrow batches, linear in the text.
+    """
+
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _packed(t, size))
+
+    pack = F.pandas_udf(packed, "array<string>")
+    return docs.select("doc_id", F.posexplode(pack("text")).alias("chunk", "text"))
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:

@@ -29,7 +29,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
 
 
 def _walk(edges: DataFrame, seen: DataFrame, depth: int | None) -> DataFrame:
-    step = edges.select("src", "dst").distinct()
+    step = cut(edges.select("src", "dst").distinct())  # every level reads it
     front = seen
     for k in count(1) if depth is None else range(1, depth + 1):
         around = front.join(step, front["node"] == step["src"]).select("seed", F.col("dst").alias("node")).distinct()
@@ -68,7 +68,7 @@ def neighbourhood(edges: DataFrame, start: str, depth: int, cap: int) -> DataFra
     sets no limit of levels; an unknown start finds nothing.
     """
     pairs = edges.select("src", "dst")
-    both = pairs.unionByName(reversed_edges(pairs)).distinct()
+    both = cut(pairs.unionByName(reversed_edges(pairs)).distinct())
     seen = cut(both.where(F.col("src") == start).select(F.col("src").alias("node"), F.lit(0).alias("depth")).limit(1))
     front, found, k = seen, seen.count(), 0
     while 0 < found < cap and (k < depth or depth <= 0):
@@ -175,9 +175,10 @@ def paths(edges: DataFrame, start: str, end: str, depth: int) -> DataFrame:
     return found.select(F.array_join("nodes", ">").alias("path"), F.round(F.exp("log_p"), 6).alias("probability"), F.col("total").alias("score"))
 
 
-def merged(edges: DataFrame) -> DataFrame:
-    """Parallel edges of a relation as one: all conditions, the least confidence, how many."""
-    return edges.groupBy("src", "dst", "relation").agg(F.array_join(F.array_sort(F.collect_set("condition")), "|").alias("conditions"), F.min("confidence").alias("confidence"), F.count("*").alias("n"))
+def merged(edges: DataFrame, *flags: str) -> DataFrame:
+    """Parallel edges of a relation as one: all conditions, the least confidence, how many, and of each flag whether any edge has it."""
+    any_of = [F.bool_or(f).alias(f) for f in flags]
+    return edges.groupBy("src", "dst", "relation").agg(F.array_join(F.array_sort(F.collect_set("condition")), "|").alias("conditions"), F.min("confidence").alias("confidence"), F.count("*").alias("n"), *any_of)
 
 
 def upsert(stored: DataFrame, scan: DataFrame, scan_id: int, keys: list[str]) -> DataFrame:

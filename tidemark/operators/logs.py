@@ -11,23 +11,50 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import text as fn
 
+# Shapes of structured lines, as (pattern, group of the time, level, logger, message).
 LINE = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d) ([A-Z]+) \[([^\]]*)\] (.*)$"
+LOGBACK = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)[.,]\d{3} \[[^\]]*\] ([A-Z]+)\s+(\S+) - (.*)$"
 FAILURES = ("ERROR", "FATAL")
 
 
-def sessionize(lines: DataFrame, pattern: str = LINE) -> DataFrame:
+def _structured(text: Column, patterns: tuple[str, ...], group: int) -> Column:
+    """A group of the first pattern that fits, empty if none does."""
+    return F.coalesce(*[F.when(text.rlike(p), F.regexp_extract(text, p, group)) for p in patterns], F.lit(""))
+
+
+def _opened(lines: DataFrame, patterns: tuple[str, ...], block: int) -> DataFrame:
+    """``lines`` with opens, and record, the line that opened the record that a line belongs to.
+
+    A file is cut into blocks of ``block`` lines, each with a window of its own; a block's first lines
+    take the last opening line of the blocks before, of which there is one number a block.
+    """
+    opens = _structured(F.col("text"), patterns, 2) != ""
+    marked = lines.withColumn("opens", opens).withColumn("block", F.floor(F.col("line") / block))
+    start = F.when(F.col("opens"), F.col("line"))
+    blocks = marked.groupBy("file", "block").agg(F.max(start).alias("last"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select("file", "block", F.max("last").over(before).alias("carried"))
+    inside = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("own", F.max(start).over(inside)).join(carried, ["file", "block"]).withColumn("record", F.coalesce("own", "carried")).drop("own", "carried", "block")
+
+
+def malformed(lines: DataFrame, patterns: tuple[str, ...] = (LINE, LOGBACK), block: int = 100_000) -> DataFrame:
+    """(file, n) of the lines before the first structured one of a file, blank ones aside."""
+    lost = _opened(lines, patterns, block).where("record IS NULL AND trim(text) <> ''")
+    return lost.groupBy("file").agg(F.count("*").alias("n"))
+
+
+def sessionize(lines: DataFrame, patterns: tuple[str, ...] = (LINE, LOGBACK), block: int = 100_000) -> DataFrame:
     """Records from (file, line, text): a structured line opens one, stack lines and others join the open one.
 
-    Lines before the first structured line of a file belong to no record.
+    Lines before the first structured line of a file belong to no record; ``malformed`` counts them.
     """
-    opened = F.regexp_extract("text", pattern, 2) != ""
-    order = Window.partitionBy("file").orderBy("line")
-    marked = lines.withColumn("opens", opened).withColumn("record", F.sum(F.col("opens").cast("long")).over(order)).where("record > 0")
+    marked = _opened(lines, patterns, block).where("record IS NOT NULL")
     part = F.struct("line", "text")
     stack = F.array_sort(F.collect_list(F.when(~F.col("opens") & fn.is_stack_line(F.col("text")), part)))
     rest = F.array_sort(F.collect_list(F.when(~F.col("opens") & ~fn.is_stack_line(F.col("text")), part)))
     whole = marked.groupBy("file", "record").agg(F.min("line").alias("line"), F.min_by("text", "line").alias("head"), stack.alias("stack"), rest.alias("rest"))
-    head = [F.regexp_extract("head", pattern, k) for k in (1, 2, 3, 4)]
+    head = [_structured(F.col("head"), patterns, k) for k in (1, 2, 3, 4)]
     joined = F.array_join(F.concat(F.array(head[3]), F.transform("rest", lambda x: x["text"])), "\n")
     stacktrace = F.nullif(F.array_join(F.transform("stack", lambda x: x["text"]), "\n"), F.lit(""))
     return whole.select("file", F.col("line").cast("long").alias("line"), head[0].alias("ts_text"), head[1].alias("level"), head[2].alias("logger"), joined.alias("message"), stacktrace.alias("stacktrace"))
@@ -169,10 +196,22 @@ def tagged(records: DataFrame) -> DataFrame:
     return records.select("line", F.array_join(fn.tags(text, fn.PATTERN_TAGS), ",").alias("tags"), F.array_join(fn.tags(text, fn.CLASSES), ",").alias("classes"), fn.severity_rank(F.col("level")).alias("rank"))
 
 
+# What names another service in a message.
+TARGETS = (r"(?i)\bhttps?://([^\s/]+)", r"(?i)\b(?:redis|kafka|postgres|mysql)://([^\s/]+)", r"(?i)\bconnected to ([a-z0-9._-]+)")
+
+
 def topology(records: DataFrame) -> DataFrame:
-    """(service, target) edges from addresses that messages name."""
-    found = F.regexp_extract_all("message", F.lit(r"(?:https?|redis|kafka|postgres|mysql)://([^\s/]+)"), F.lit(1))
-    return records.select("logger", F.explode(found).alias("target")).groupBy(F.col("logger").alias("service"), "target").agg(F.count("*").alias("n"))
+    """(service, target, n) edges from the addresses that messages name."""
+    found = F.concat(*[F.regexp_extract_all("message", F.lit(p), F.lit(1)) for p in TARGETS])
+    return records.select(F.coalesce("logger", F.lit("app")).alias("service"), F.explode(found).alias("target")).groupBy("service", "target").agg(F.count("*").alias("n"))
+
+
+def topology_lines(edges: DataFrame) -> DataFrame:
+    """(part, line) of a flow chart over (service, target): a line a node, then a line an edge, names cut to 40 characters."""
+    name = lambda c: F.substring(F.regexp_replace(c, "[-.]", "_"), 1, 40)
+    nodes = edges.select(F.col("service").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct()
+    shown = nodes.select(F.lit(0).alias("part"), F.concat(F.lit("    "), name("node"), F.lit("["), F.substring("node", 1, 40), F.lit("]")).alias("line"))
+    return shown.unionByName(edges.select(F.lit(1).alias("part"), F.concat(F.lit("    "), name("service"), F.lit(" --> "), name("target")).alias("line")).distinct())
 
 
 # Words that mark a step of a failure.
@@ -209,7 +248,7 @@ def chunks(records: DataFrame, service_size: int = 30, timeline_size: int = 200)
         told = F.array_sort(F.collect_list(F.struct("place", "message")))
         return rows.groupBy(F.lit(kind).alias("kind"), key.alias("key")).agg(F.count("*").alias("n"), F.array_join(F.transform(told, lambda r: r["message"]), "\n").alias("text"))
 
-    found = incidents_by_title(records).select(F.lit("incident").alias("kind"), F.col("incident_id").alias("key"), "n", F.col("title").alias("text"))
+    found = incidents(records).select(F.lit("incident").alias("kind"), F.col("incident_id").alias("key"), "n", F.concat_ws("\n", F.array("title"), "messages").alias("text"))
     service = first_of_each(records.withColumn("service", F.coalesce("logger", F.lit("unknown"))), "service", service_size)
     head = records.orderBy(F.asc_nulls_last("ts"), "file", "line").limit(timeline_size)
     timeline = head.withColumn("place", F.struct(F.col("ts").isNull(), "ts", "file", "line"))
@@ -220,3 +259,74 @@ def telemetry(records: DataFrame, spans: DataFrame) -> DataFrame:
     """Records and spans as one table of events: (source, event_id, service, severity, body)."""
     a = records.select(F.lit("log").alias("source"), F.concat_ws(":", "file", "line").alias("event_id"), F.coalesce("logger", F.lit("unknown")).alias("service"), F.col("level").alias("severity"), F.col("message").alias("body"))
     return a.unionByName(spans.select(F.lit("span").alias("source"), F.col("span_id").alias("event_id"), "service", F.lit("INFO").alias("severity"), F.col("name").alias("body")))
+
+
+def _text(records: DataFrame) -> Column:
+    stack = F.coalesce("stacktrace", F.lit("")) if "stacktrace" in records.columns else F.lit("")
+    return F.concat(F.coalesce("message", F.lit("")), F.lit(" "), stack)
+
+
+def requests(records: DataFrame) -> DataFrame:
+    """(request_id, correlation_id, session_id, n, first_line, last_line, lines): records that share a request or correlation id.
+
+    The key is the request id of the text, or else the correlation id. The other ids are those of the first
+    record; ``lines`` are the first 20 lines, found by rank, so that no list of all is held.
+    """
+    text = _text(records)
+    keyed = records.withColumn("correlation_id", fn.field(text, "correlation_id")).withColumn("session_id", fn.field(text, "session_id"))
+    keyed = keyed.withColumn("request_id", F.coalesce(fn.field(text, "request_id"), "correlation_id", fn.correlation_id(F.col("message")))).where("request_id IS NOT NULL")
+    found = keyed.groupBy("request_id").agg(F.min_by(F.struct("correlation_id", "session_id"), "line").alias("first"), F.count("*").alias("n"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy("line"))
+    shown = keyed.withColumn("place", place).where("place <= 20").groupBy("request_id").agg(F.array_join(F.array_sort(F.collect_list("line")), ",").alias("lines"))
+    return found.join(shown, "request_id").select("request_id", "first.correlation_id", "first.session_id", "n", "first_line", "last_line", "lines")
+
+
+def trace_links(records: DataFrame) -> DataFrame:
+    """(trace_id, span_id, n): records by trace, with the last span id that they name."""
+    text = _text(records)
+    keyed = records.withColumn("trace_id", fn.field(text, "trace_id")).where("trace_id IS NOT NULL").withColumn("span", fn.field(text, "span_id"))
+    return keyed.groupBy("trace_id").agg(F.max_by("span", "line").alias("span_id"), F.count("*").alias("n"))
+
+
+def keyword_alarms(records: DataFrame, words: tuple[str, ...], least: int = 3) -> DataFrame:
+    """Services of which at least ``least`` messages hold one of ``words``."""
+    held = F.count_if(F.lower("message").rlike("|".join(words)))
+    return records.groupBy("logger").agg(held.alias("n")).where(F.col("n") >= least)
+
+
+def throughput(records: DataFrame) -> DataFrame:
+    """(file, n, n_chars, seconds, per_second) of each file: how many records its span of time holds."""
+    span = F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))
+    found = records.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.length("message")).alias("n_chars"), span.alias("seconds"))
+    return found.withColumn("per_second", F.round(F.col("n") / F.greatest("seconds", F.lit(1)), 6))
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], name: str = "seq") -> DataFrame:
+    """``rows`` with a number of four digits or more in each group, by ``order``."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return rows.withColumn(name, F.format_string("%04d", place))
+
+
+def first_distinct(rows: DataFrame, group: str, value: str, order: str, n: int) -> DataFrame:
+    """(group, value, place): the first ``n`` distinct values of each group in order, found by minima."""
+    firsts = rows.groupBy(group, value).agg(F.min(order).alias("at"))
+    return firsts.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("at", value))).where(F.col("place") <= n).select(group, value, "place")
+
+
+def cross_source(links: DataFrame, n: int = 100) -> DataFrame:
+    """The ``n`` links of (line, trace_id, span_id, score) that score highest."""
+    return links.orderBy(F.desc("score"), "line", "span_id").limit(n)
+
+
+def stack_chunks(records: DataFrame, clip: int = 4000) -> DataFrame:
+    """(key, n, text): distinct stack traces by their hash, each cut to ``clip`` characters for display."""
+    traced = records.where("stacktrace <> ''")
+    return traced.groupBy(fn.stable_hash(F.col("stacktrace")).alias("key")).agg(F.count("*").alias("n"), F.min(F.substring("stacktrace", 1, clip)).alias("text"))
+
+
+def incident_documents(found: DataFrame, n: int = 500) -> DataFrame:
+    """(name, text): a Markdown document with front matter for each of the ``n`` gravest incidents."""
+    best = found.orderBy(F.desc("severity"), "incident_id").limit(n)
+    listed = F.array_join(F.transform("messages", lambda m: F.concat(F.lit("- "), m)), "\n")
+    head = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("incident_id: "), "incident_id"), F.concat(F.lit("occurrences: "), F.col("n").cast("string")), F.concat(F.lit("severity: "), F.col("severity").cast("string")), F.lit("---"))
+    return best.select(F.concat(F.lit("incident-"), "incident_id", F.lit(".md")).alias("name"), F.concat_ws("\n", head, F.lit(""), F.concat(F.lit("# "), "title"), F.lit(""), listed).alias("text"))

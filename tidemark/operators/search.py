@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.storage import stored
+
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
@@ -17,10 +19,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
     Only terms of queries are counted past the scan; idf = ln(1 + (N - n + 0.5) / (n + 0.5)).
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    sized = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    size = sized.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("avg_size"))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    size = docs.agg(F.count("*").alias("n_docs"), F.avg(F.regexp_count(low, F.lit("[a-z0-9]+"))).alias("avg_size"))
     terms = asked.select("term").distinct()
-    tf = sized.select("doc_id", F.size("words").alias("size"), F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    words = docs.select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("size"), F.explode("words").alias("term"))
+    # Counts of query terms are stored, for both their frequency and their weight read them.
+    tf = stored(words.join(terms, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size")), "term-counts")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("avg_size")))
@@ -58,16 +62,16 @@ def inverted(rows: DataFrame, key: Column, value: str) -> DataFrame:
     return rows.select(F.explode(key).alias("term"), value).distinct().groupBy("term").agg(F.count("*").alias("n"), F.min(value).alias("first"), F.max(value).alias("last"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, subset: str | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, subset: str | None = None, apart: bool = True) -> DataFrame:
     """(query_id, vec_id, cosine, rank) of unit vectors: the ``k`` nearest of all rows to each query row.
 
     With ``subset``, a column of both, only rows with an equal value count. Every query meets every block
-    of rows, and keeps ``k`` rows of each before the final ranking.
+    of rows, and keeps ``k`` rows of each before the final ranking. ``apart`` leaves out rows with the query's id.
     """
     blocks, keys = 16, [subset] if subset else []
     rows = vectors.select("vec_id", *keys, "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
     asked = queries.select(F.col("vec_id").alias("query_id"), *keys, F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    scored = rows.join(asked, [*keys, "block"]).where("vec_id <> query_id").select("query_id", "block", "vec_id", F.round(dot(F.col("embedding"), F.col("q")), 5).alias("cosine"))
+    scored = rows.join(asked, [*keys, "block"]).where("vec_id <> query_id" if apart else "true").select("query_id", "block", "vec_id", F.round(dot(F.col("embedding"), F.col("q")), 5).alias("cosine"))
     best = [F.desc("cosine"), "vec_id"]
     kept = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*best))).where(F.col("rank") <= k).drop("rank", "block")
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k)
@@ -81,9 +85,18 @@ def hybrid(text: DataFrame, vector: DataFrame, k: int = 10, text_share: float =
     return both.select("query_id", "doc_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def substring_hits(texts: DataFrame, needle: str, score: float = 0.5) -> DataFrame:
-    """(id, score) of texts that hold a string in any case: what a search falls back to."""
-    return texts.where(F.contains(F.lower("text"), F.lit(needle.lower()))).select("id", F.lit(score).alias("score"))
+def word_shapes(docs: DataFrame, key: str, size: int = 64) -> DataFrame:
+    """(key, vector): unit vectors of word shapes, a word counting at (31 * first letter + length) mod ``size``; texts without words have none."""
+    word = docs.select(key, F.explode(tokens(F.col("text"))).alias("w")).select(key, ((F.ascii("w") * 31 + F.length("w")) % size).alias("at"))
+    counts = word.groupBy(key, "at").agg(F.count("*").alias("n"))
+    held = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("n"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("n", i), F.lit(0)) / F.col("norm")).alias("vector"))
+
+
+def substring_hits(texts: DataFrame, needle: str, score: float = 0.5, n: int | None = None) -> DataFrame:
+    """(id, score) of texts that hold a string in any case: what a search falls back to; the first ``n`` by id, if given."""
+    found = texts.where(F.contains(F.lower("text"), F.lit(needle.lower()))).select("id", F.lit(score).alias("score"))
+    return found.orderBy("id").limit(n) if n else found
 
 
 def hash_vector(text: Column, size: int = 64) -> Column:

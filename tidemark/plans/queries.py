@@ -105,6 +105,49 @@ def log_distinct(spark, folder):
     return logs.distinct_messages(records(spark, folder))
 
 
+STACK = "CASE WHEN event_type = 'error' THEN concat('java.lang.IllegalStateException: pool ', event_id % 2, chr(10), chr(9), 'at com.example.Pool(Pool.java:', event_id % 3, ')') END"
+STACKED = f"SELECT *, {STACK.replace('event_id', 'line')} AS stacktrace FROM ({RECORDS})"
+
+
+def stacked(spark: SparkSession, folder: str) -> DataFrame:
+    """The records, with a stack trace behind each failure."""
+    return records(spark, folder).withColumn("stacktrace", F.expr(STACK.replace("event_id", "line").replace("chr(9)", "char(9)").replace("chr(10)", "char(10)")))
+
+
+def incidents_sql(rows: str, stacks: bool) -> str:
+    whole, head = (f"trim({mask(normal(x), fn.IP, 'IP')})" for x in ("coalesce(message, '')", "split_part(stacktrace, chr(10), 1)"))
+    basis = f"concat_ws('|', whole, CASE WHEN stacktrace <> '' THEN {head} END)" if stacks else "whole"
+    first = "min([CAST(ts IS NULL AS VARCHAR), strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), file, lpad(CAST(line AS VARCHAR), 12, '0')])"
+    lists = ", ".join(
+        f"{name}_f AS (SELECT fp, {text} AS t, {first} AS moment FROM w WHERE {text} <> '' GROUP BY fp, t), {name}_k AS (SELECT fp, t, row_number() OVER (PARTITION BY fp ORDER BY moment, t) AS k FROM {name}_f), "
+        f"{name}_l AS (SELECT fp, string_agg(substr(t, 1, {shown}), chr(10) ORDER BY k) AS {name} FROM {name}_k WHERE k <= {n} GROUP BY fp)"
+        for name, text, n, shown in (("messages", "substr(replace(message, chr(10), ' '), 1, 500)", 8, 500), ("stacktraces", "stacktrace", 5, 4000))
+    )
+    return f"""WITH v AS (SELECT *, {whole} AS whole FROM ({rows}) WHERE level IN ('ERROR', 'FATAL')), w AS (SELECT *, substr(sha256({basis}), 1, 16) AS fp FROM v),
+    g AS (SELECT fp, min(whole) AS whole, count(*) AS n, min(line) AS first_line, max(line) AS last_line, string_agg(DISTINCT logger, ',' ORDER BY logger) AS services FROM w GROUP BY fp HAVING count(*) >= 2),
+    t AS (SELECT *, coalesce(nullif(trim(substr(replace(whole, chr(10), ' '), 1, 80)), ''), 'unknown') AS title FROM g), {lists}
+    SELECT substr(sha256(concat_ws('|', fp, title)), 1, 12) AS incident_id, title, n, round(50 + least(n * 2.0, 40.0)::DOUBLE, 2) AS severity, first_line, last_line, services,
+    CASE WHEN (CASE WHEN regexp_matches(whole, '(?i)timeout') THEN 40 ELSE 0 END) + (CASE WHEN regexp_matches(whole, '(?i)pool|connection') THEN 30 ELSE 0 END) + (CASE WHEN n >= 3 THEN 10 ELSE 0 END) >= 50 THEN 'pool exhaustion' ELSE 'dependency' END AS cause,
+    coalesce(messages, '') AS messages, coalesce(stacktraces, '') AS stacktraces FROM t LEFT JOIN messages_l USING (fp) LEFT JOIN stacktraces_l USING (fp)"""
+
+
+def told(found: DataFrame) -> DataFrame:
+    """Incidents with their lists as texts."""
+    return found.withColumns({c: F.array_join(c, "\n") for c in ("messages", "stacktraces")})
+
+
+@query(incidents_sql(STACKED, True))
+def log_incidents(spark, folder):
+    """The flagship: failures by the whole normalised message and the first stack line, with messages and stack traces."""
+    return told(logs.incidents(stacked(spark, folder), stacks=True))
+
+
+@query(incidents_sql(STACKED, False))
+def log_incidents_whole(spark, folder):
+    """Failures by the whole normalised message alone."""
+    return told(logs.incidents(stacked(spark, folder)))
+
+
 @query(
     f"""WITH r AS ({RECORDS}), t AS (SELECT *, substr({mask(normal("message"), fn.IP, "IP")}, 1, 80) AS title FROM r WHERE level IN ('ERROR', 'FATAL'))
     SELECT substr(sha256(title), 1, 12) AS incident_id, title, count(*) AS n, round(50 + least(count(*) * 2.0, 40.0)::DOUBLE, 2) AS severity, min(line) AS first_line, max(line) AS last_line,
@@ -112,17 +155,11 @@ def log_distinct(spark, folder):
     CASE WHEN (CASE WHEN regexp_matches(title, '(?i)timeout') THEN 40 ELSE 0 END) + (CASE WHEN regexp_matches(title, '(?i)pool|connection') THEN 30 ELSE 0 END) + (CASE WHEN count(*) >= 3 THEN 10 ELSE 0 END) >= 50 THEN 'pool exhaustion' ELSE 'dependency' END AS cause
     FROM t GROUP BY title HAVING count(*) >= 2"""
 )
-def log_incidents(spark, folder):
-    """The flagship: failures by title, scored, as its SQL has them; log_incidents_whole tells whole messages apart."""
+def log_incident_titles(spark, folder):
+    """The coarser roll-up of failures by title."""
     return logs.incidents_by_title(records(spark, folder))
 
 
-@query()
-def log_incidents_whole(spark, folder):
-    """Failures by the whole normalised message, with messages and stack traces."""
-    return logs.incidents(records(spark, folder))
-
-
 @query(f"SELECT line, {normal('message')} AS normalized, substr(sha256(concat_ws('|', level, message)), 1, 16) AS fingerprint FROM ({RECORDS})")
 def log_normalize(spark, folder):
     return records(spark, folder).select("line", fn.normalize(F.col("message")).alias("normalized"), fn.record_fingerprint(F.col("level"), F.col("message")).alias("fingerprint"))
@@ -170,9 +207,22 @@ def log_tags(spark, folder):
     return logs.tagged(records(spark, folder))
 
 
-@query(f"SELECT logger AS service, target, count(*) AS n FROM (SELECT logger, unnest(regexp_extract_all(message, '(?:https?|redis|kafka|postgres|mysql)://([^\\s/]+)', 1)) AS target FROM ({RECORDS})) GROUP BY ALL")
+CONNECTED = "concat(message, CASE WHEN event_id % 5 = 0 THEN concat(' connected to Cache-', event_id % 3, ' via redis://cache:6379/0') ELSE '' END)".replace("event_id", "line")
+TARGETS_SQL = "list_concat(list_concat(" + ", ".join(f"regexp_extract_all(m, '{p}', 1)" for p in logs.TARGETS[:2]) + f"), regexp_extract_all(m, '{logs.TARGETS[2]}', 1))"
+TOPOLOGY = f"SELECT logger AS service, target, count(*) AS n FROM (SELECT logger, unnest({TARGETS_SQL}) AS target FROM (SELECT logger, {CONNECTED} AS m FROM ({RECORDS}))) GROUP BY ALL"
+
+
+@query(TOPOLOGY)
 def log_topology(spark, folder):
-    return logs.topology(records(spark, folder))
+    return logs.topology(records(spark, folder).withColumn("message", F.expr(CONNECTED)))
+
+
+NODE = "substr(regexp_replace({0}, '[-.]', '_', 'g'), 1, 40)"
+
+
+@query(f"WITH e AS ({TOPOLOGY}), n AS (SELECT service AS node FROM e UNION SELECT target FROM e) SELECT 0 AS part, concat('    ', {NODE.format('node')}, '[', substr(node, 1, 40), ']') AS line FROM n UNION ALL SELECT DISTINCT 1, concat('    ', {NODE.format('service')}, ' --> ', {NODE.format('target')}) FROM e")
+def log_topology_lines(spark, folder):
+    return logs.topology_lines(log_topology(spark, folder))
 
 
 @query(
@@ -311,9 +361,10 @@ def graph_match(spark, folder):
     return graph.match(vertices, edges(spark, folder), ["CONTAINS", "CALLS"], regions.agg(F.min("r_name")).first()[0])
 
 
-@query("SELECT node, min(region) AS component FROM (SELECT concat('n', n_nationkey) AS node, concat('n', min(CAST(n_nationkey AS VARCHAR)) OVER (PARTITION BY n_regionkey)) AS region FROM nation UNION ALL SELECT concat('r', n_regionkey), concat('n', min(CAST(n_nationkey AS VARCHAR)) OVER (PARTITION BY n_regionkey)) FROM nation) GROUP BY node")
+@query()
 def graph_components(spark, folder):
-    return connected_components(edges(spark, folder).where("src LIKE 'r%'"))
+    """Components of the whole graph; plain union-find is slow in SQL, so that tests hold them against one on small graphs."""
+    return connected_components(edges(spark, folder))
 
 
 @query(f"WITH e AS (SELECT DISTINCT * FROM ({EDGES}) WHERE relation = 'CONTAINS'), ids AS (SELECT concat('n', n_nationkey) AS node FROM nation WHERE n_regionkey = 0) SELECT * FROM e WHERE src IN (SELECT node FROM ids) OR dst IN (SELECT node FROM ids)")
@@ -378,7 +429,7 @@ def page_links(spark, folder):
     return documents.links(sources.table(spark, folder, "pages"))
 
 
-@query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?is)<noscript\\b.*?</noscript>', ' ', 'g'), '(?is)<nav\\b.*?</nav>', ' ', 'g'), '(?is)<header\\b.*?</header>', ' ', 'g'), '(?is)<footer\\b.*?</footer>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS main_text FROM pages""")
+@query("""WITH w AS (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<main\\b[^>]*>(.*)</main>', 1), ''), nullif(regexp_extract(html, '(?is)<article\\b[^>]*>(.*)</article>', 1), ''), nullif(regexp_extract(html, '(?is)<body\\b[^>]*>(.*)</body>', 1), ''), html) AS html FROM pages) SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?is)<noscript\\b.*?</noscript>', ' ', 'g'), '(?is)<nav\\b.*?</nav>', ' ', 'g'), '(?is)<header\\b.*?</header>', ' ', 'g'), '(?is)<footer\\b.*?</footer>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS main_text FROM w""")
 def page_main_text(spark, folder):
     return sources.table(spark, folder, "pages").select("page_id", documents.main_text(F.col("html")).alias("main_text"))
 
@@ -457,32 +508,45 @@ def log_relations(spark, folder):
     return logs.relations(records(spark, folder).withColumn("message", F.expr(STORES)))
 
 
-@query(
-    """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(c.embedding, lambda x: x::DOUBLE)), 5) AS cosine FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+NEAREST = """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(c.embedding, lambda x: x::DOUBLE)), 5) AS cosine FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id {0} WHERE q.vec_id % 50 = 0),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, vec_id, cosine, rank FROM r WHERE rank <= 10"""
-)
+
+
+@query(NEAREST.format(""))
 def search_nearest(spark, folder):
-    """The ten nearest of their label to the query set, every fiftieth vector, as its SQL has them; search_nearest_all has no label."""
+    """The ten nearest of all rows to the query set, every fiftieth vector."""
     vectors = sources.table(spark, folder, "embeddings")
-    return search.nearest(vectors, vectors.where("vec_id % 50 = 0"), subset="label")
+    return search.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-@query(
-    """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(c.embedding, lambda x: x::DOUBLE)), 5) AS cosine FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, vec_id, cosine, rank FROM r WHERE rank <= 10"""
-)
-def search_nearest_all(spark, folder):
-    """The ten nearest of all rows to the query set."""
+@query(NEAREST.format("AND q.label = c.label"))
+def search_nearest_of_label(spark, folder):
+    """The ten nearest inside the query's own subset, which is its label."""
     vectors = sources.table(spark, folder, "embeddings")
-    return search.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+    return search.nearest(vectors, vectors.where("vec_id % 50 = 0"), subset="label")
 
 
-@query()
+SHAPES = """SELECT {0} AS {1}, (ascii(w) * 31 + length(w)) % 64 AS shape, count(*) AS n FROM (SELECT {0}, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM {2}) GROUP BY ALL"""
+HYBRID = f"""WITH b AS ({SQL["search_bm25"]}), d AS ({SHAPES.format("doc_id", "doc_id", "documents")}), q AS ({SHAPES.format("item_id", "query_id", "benchmark")}),
+    dn AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM d GROUP BY doc_id), qn AS (SELECT query_id, sqrt(sum(n * n)) AS norm FROM q GROUP BY query_id),
+    c AS (SELECT query_id, doc_id, round(sum(d.n * q.n) / (any_value(dn.norm) * any_value(qn.norm)), 5) AS score FROM d JOIN q USING (shape) JOIN dn USING (doc_id) JOIN qn USING (query_id) GROUP BY ALL),
+    v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c) WHERE rank <= 10),
+    h AS (SELECT query_id, doc_id, round(0.6 * coalesce(b.score, 0) + 0.4 * coalesce(v.score, 0), 6) AS score FROM b FULL JOIN v USING (query_id, doc_id)),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM h)
+    SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10"""
+
+
+@query(HYBRID)
 def search_hybrid(spark, folder):
-    """BM25 with itself as the second ranking, as long as texts have no vectors of their own."""
-    docs = sources.table(spark, folder, "documents")
-    ranked = search.bm25(docs, sources.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
-    return search.hybrid(ranked, ranked)
+    """BM25 with the cosines of word-shape vectors, which stand in for those of a model."""
+    docs, asked = sources.table(spark, folder, "documents"), sources.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    vectors = search.word_shapes(docs, "doc_id").select(F.concat(F.lit("d"), "doc_id").alias("vec_id"), "doc_id", F.col("vector").alias("embedding"))
+    queries = search.word_shapes(asked, "query_id").select(F.concat(F.lit("q"), "query_id").alias("vec_id"), F.col("vector").alias("embedding"))
+    near = search.nearest(vectors.select(F.col("doc_id").alias("vec_id"), "embedding"), queries.select(F.substring("vec_id", 2, 20).cast("long").alias("vec_id"), "embedding"), apart=False)
+    return search.hybrid(search.bm25(docs, asked), near.select("query_id", F.col("vec_id").alias("doc_id"), F.col("cosine").alias("score")))
 
 
-SQL["search_hybrid"] = f"SELECT query_id, doc_id, round(0.6::DOUBLE * score + 0.4::DOUBLE * score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(0.6::DOUBLE * score + 0.4::DOUBLE * score, 6) DESC, doc_id) AS INTEGER) AS rank FROM ({SQL['search_bm25']})"
+@query(NEAREST.format(""))
+def search_nearest_all(spark, folder):
+    """As search_nearest, under its older name."""
+    return search_nearest(spark, folder)

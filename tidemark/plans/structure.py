@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import sources, streaming
 from tidemark.functions.nested import json_leaves
 from tidemark.operators import documents, graph, logs, search
-from tidemark.plans.queries import EDGES, FOREIGN_KEYS, KEYS_SQL, QUERIES, RECORDS, SHARES, SQL, edges, query, records, transitions
+from tidemark.plans.queries import EDGES, FOREIGN_KEYS, KEYS_SQL, QUERIES, RECORDS, SHARES, SQL, STACKED, edges, incidents_sql, query, records, stacked, transitions
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -86,13 +86,13 @@ def graph_common_prefix(spark, folder):
     return graph.common_prefix(pages, "scheme", "url")
 
 
-ENDPOINTS = "SELECT concat('/', event_type, '/', user_id % 10) AS endpoint, event_type, event_id % 29 AS ref FROM events WHERE value < 20"
+ENDPOINTS = "SELECT concat('/', event_type, '/', user_id % 10) AS endpoint, event_type, event_id % 29 AS ref FROM events"
 
 
 @query(f"SELECT DISTINCT a.endpoint AS src, b.endpoint AS dst FROM ({ENDPOINTS}) a JOIN ({ENDPOINTS}) b USING (ref) WHERE a.event_type IN ('view', 'click') AND b.event_type NOT IN ('view', 'click') AND a.endpoint <> b.endpoint")
 def graph_shared_references(spark, folder):
     """Endpoints whose answers hold what others ask for; the numbers of events stand in for types."""
-    events = sources.table(spark, folder, "events").where("value < 20").selectExpr("concat('/', event_type, '/', user_id % 10) AS endpoint", "event_type IN ('view', 'click') AS answers", "event_id % 29 AS ref")
+    events = sources.table(spark, folder, "events").selectExpr("concat('/', event_type, '/', user_id % 10) AS endpoint", "event_type IN ('view', 'click') AS answers", "event_id % 29 AS ref")
     held = events.groupBy("endpoint").agg(F.collect_set(F.when(F.col("answers"), F.col("ref"))).alias("responses"), F.collect_set(F.when(~F.col("answers"), F.col("ref"))).alias("requests"))
     return graph.shared_references(held)
 
@@ -104,7 +104,7 @@ def graph_mermaid(spark, folder):
 
 # Catalog
 
-CATALOG = ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
+CATALOG = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
 
 
 @query(f"SELECT table_name, column_name, CAST(ordinal_position AS INTEGER) AS place FROM information_schema.columns WHERE table_name IN {CATALOG}")
@@ -130,17 +130,17 @@ def catalog_per_schema(spark, folder):
 
 # Logs and telemetry
 
-TITLE = SQL["log_incidents"]
+INCIDENTS = incidents_sql(STACKED, False)
 
 
 @query(
     f"""WITH r AS ({RECORDS}), s AS (SELECT *, row_number() OVER (PARTITION BY logger ORDER BY ts NULLS LAST, file, line) AS place FROM r), t AS (SELECT * FROM r ORDER BY ts NULLS LAST, file, line LIMIT 200)
-    SELECT 'incident' AS kind, incident_id AS key, n, title AS text FROM ({TITLE})
+    SELECT 'incident' AS kind, incident_id AS key, n, concat(title, chr(10), messages) AS text FROM ({INCIDENTS})
     UNION ALL SELECT 'service', coalesce(logger, 'unknown'), count(*), string_agg(message, chr(10) ORDER BY place) FROM s WHERE place <= 30 GROUP BY 2
     UNION ALL SELECT 'timeline', 'all', count(*), string_agg(message, chr(10) ORDER BY ts NULLS LAST, file, line) FROM t"""
 )
 def log_chunks(spark, folder):
-    return logs.chunks(records(spark, folder))
+    return logs.chunks(stacked(spark, folder))
 
 
 @query(f"SELECT 'log' AS source, concat(file, ':', line) AS event_id, logger AS service, level AS severity, message AS body FROM ({RECORDS}) UNION ALL SELECT 'span', CAST(event_id AS VARCHAR), concat('svc-', user_id % 5), 'INFO', event_type FROM events")

@@ -15,7 +15,7 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events") -> Data
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "30 days") -> DataFrame:
-    """Counts by window and type; rows later than the watermark are dropped once a window has closed."""
+    """Counts by window and type; in append mode (``resumed``) rows later than the watermark are dropped once a window has closed."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "event_type", "n")
 
 
@@ -35,3 +35,35 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", scratch_path(spark, name + "-offsets")).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out)
+
+
+def resumed(stream: DataFrame, out: str, offsets: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is new since the last call with the same ``offsets`` folder, and give all rows so far.
+
+    In append mode a window's state goes once the watermark has passed it, and later rows for it are dropped.
+    A batch is written below its own number, so that a batch that is run again after a failure takes its own place.
+    """
+    spark = stream.sparkSession
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", offsets).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.option("basePath", out).schema(stream.schema).parquet(out)
+
+
+def first_of_key(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
+    """Events without those that repeat a key inside the watermark."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
+def source(spark: SparkSession, kind: str, **options: str) -> DataFrame:
+    """A stream by kind: ``tail`` follows text files of a folder, ``files`` Parquet files, ``rate`` makes rows, ``kafka`` needs its package."""
+    if kind == "tail":
+        return spark.readStream.format("text").load(options["path"])
+    if kind == "files":
+        return spark.readStream.schema(options["schema"]).parquet(options["path"])
+    if kind in ("rate", "kafka"):
+        return spark.readStream.format(kind).options(**options).load()
+    raise ValueError(f"no such stream: {kind}")
