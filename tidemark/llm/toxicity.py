@@ -6,10 +6,11 @@ examples and the words' first four bytes, all of them.  A term weighs (1 + ln ti
 chi-square), with the inverse document frequency over all documents and the chi-square of the
 term's presence with the label over the examples: all terms count, those that go with the label most.
 
-The index has postings (example, weight) of each term, cut into blocks of 64 examples, and the largest
-weight of each block.  A text's blocks are visited by falling bound (the sum of its term weights times
-the block maxima) until no block can reach the k-th cosine any more; within a block all cosines
-are exact.  Votes of the ``k`` nearest are weighted by the square of
+The index has postings (example, weight) of each term, cut into blocks of ``BLOCK`` examples, and the largest
+weight of each block.  Terms that at least one in ``DENSE`` examples hold are columns of a matrix instead, whose
+product with some texts gives a known part of all their cosines at once.  A text's blocks are visited by falling
+bound (the largest known part in it, and the sum of the other term weights times the block maxima) until no block
+can reach the k-th cosine any more; within a block all cosines are exact.  Votes of the ``k`` nearest are weighted by the square of
 1 - distance^2 / 2 (the cosine), and the share of label 1 is calibrated by isotonic regression on labelled rows that are not examples.  A text
 that shares no term with any example has no neighbours, and gets the rate of such rows.
 
@@ -20,6 +21,7 @@ whole texts are read; repeated rows are scored each.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.samples import sample_ids, with_texts
 from tidemark.llm.wordhash import PUNCTUATION, hash_texts
 
-BLOCK = 64
+BLOCK, DENSE = 256, 8
+#: Texts whose known parts are found at once.
+TEXTS = 256
 #: Weight of a vote for label 0 that every text starts with: far neighbours alone don't decide.
 DOUBT = 0.5
 #: What a term weighs that goes with neither label, in units of chi-square.
@@ -126,6 +130,12 @@ class BlockMaxIndex:
         term = np.concatenate([e[2] for e in weighted]) if weighted else np.zeros(0, np.int64)
         owner = np.repeat(np.arange(len(weighted)), [len(e[2]) for e in weighted])
         weight = np.concatenate([e[3] for e in weighted]) if weighted else np.zeros(0)
+        often = np.bincount(term, minlength=len(scale)) * DENSE >= max(1, len(weighted))
+        self.column = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense = np.zeros((int(often.sum()), self.blocks * BLOCK))
+        known = often[term]
+        self.dense[self.column[term[known]], owner[known]] = weight[known]
+        term, owner, weight = term[~known], owner[~known], weight[~known]
         order = np.lexsort((owner, term))
         term, self.owner, self.weight = term[order], owner[order].astype(np.int32), weight[order]
         # A list is a term's postings in a block; lists of a term lie together.
@@ -140,14 +150,22 @@ class BlockMaxIndex:
         w = (1 + np.log(times)) * self.scale[place]
         return w / np.sqrt((w * w).sum())
 
-    def nearest(self, place: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine above 0."""
-        w = self.weights(place, times)
+    def known(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The part of the cosines of texts (terms, weights) with all examples that comes from the matrix."""
+        columns = np.zeros((len(rows), len(self.dense)))
+        for i, (place, w) in enumerate(rows):
+            at = self.column[place]
+            columns[i, at[at >= 0]] = w[at >= 0]
+        return columns @ self.dense
+
+    def nearest(self, place: np.ndarray, w: np.ndarray, part: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest with a cosine above 0; ``part`` is what ``known`` gives of the text."""
         n_lists = self.lists[place + 1] - self.lists[place]
         lists, own = _ranges(self.lists[place], n_lists), np.repeat(w, n_lists)
-        bound = np.bincount(self.block[lists], own * self.most[lists], self.blocks)
-        by_block = np.argsort(self.block[lists], kind="stable")
-        cuts = np.searchsorted(self.block[lists][by_block], np.arange(self.blocks + 1))
+        block = self.block[lists]
+        bound = np.bincount(block, own * self.most[lists], self.blocks) + part.reshape(self.blocks, BLOCK).max(1)
+        by_block = np.argsort(block, kind="stable")
+        cuts = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
         at, cosines = np.zeros(0, np.int64), np.zeros(0)
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or len(at) == k and bound[b] < cosines[-1] - 1e-9:
@@ -155,8 +173,8 @@ class BlockMaxIndex:
             some = by_block[cuts[b] : cuts[b + 1]]
             size = self.size[lists[some]]
             found = _ranges(self.begin[lists[some]], size)
-            got = np.bincount(self.owner[found] - b * BLOCK, self.weight[found] * np.repeat(own[some], size), BLOCK)
-            alive = np.flatnonzero(got > 0)
+            got = np.bincount(self.owner[found] - b * BLOCK, self.weight[found] * np.repeat(own[some], size), BLOCK) + part[b * BLOCK : (b + 1) * BLOCK]
+            alive = np.flatnonzero(got > 0 if len(at) < k else got >= cosines[-1])
             at, cosines = np.concatenate([at, b * BLOCK + alive]), np.concatenate([cosines, got[alive]])
             best = np.lexsort((at, -cosines))[:k]
             at, cosines = at[best], cosines[best]
@@ -188,10 +206,13 @@ class ToxicityModel:
         self.ends, self.rates, self.rest = np.array([1.0]), np.array([0.0]), 0.0
 
     def votes(self, texts: pa.Array) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
-        for i, place, times in vectors(texts, self.terms):
-            at, cosines = self.index.nearest(place, times, self.k)
-            if len(at):
-                yield i, self.index.vote(at, cosines), at, cosines
+        rows = vectors(texts, self.terms)
+        while some := [(i, place, self.index.weights(place, times)) for i, place, times in islice(rows, TEXTS)]:
+            parts = self.index.known([(place, w) for _, place, w in some])
+            for (i, place, w), part in zip(some, parts, strict=True):
+                at, cosines = self.index.nearest(place, w, part, self.k)
+                if len(at):
+                    yield i, self.index.vote(at, cosines), at, cosines
 
     def calibrated(self, vote: float) -> float:
         return float(self.rates[min(np.searchsorted(self.ends, vote), len(self.rates) - 1)])
