@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -28,8 +29,8 @@ def test_codec_equals_library(spark):
     rows = list(enumerate(TEXTS * 2))
     docs = spark.createDataFrame([(d, t, "old") for d, t in rows], "doc_id long, text string, n_tokens string")
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    for table_rows in (0, 3, 1000):
-        got = {r["doc_id"]: r for r in piece_codec.encode_decode(docs, MODEL, table_rows=table_rows, local_rows=2).collect()}
+    for slab_bytes, held in ((1, 2), (40, 5), (1 << 20, 1000)):
+        got = {r["doc_id"]: r for r in piece_codec.encode_decode(docs, MODEL, slab_bytes=slab_bytes, held=held).collect()}
         assert len(got) == len(rows)
         for d, t in rows:
             ids = model.encode(t or "")
@@ -40,10 +41,16 @@ def test_codec_equals_library(spark):
 @given(st.text(alphabet=st.one_of(st.sampled_from("ab  ▁\n"), st.characters(exclude_categories=["Cs"])), max_size=30))
 def test_chunks_are_exact(text):
     model = piece_codec._model(MODEL)
-    entries = piece_codec._Lookup(MODEL, {}, 100)(piece_codec.chunks(text))
+    slab = piece_codec.Slab([text, "other a b", None], 3)
+    words = [w for cell in slab.cells for w in piece_codec._unpacked(cell)]
+    assert len(words) == len(set(words))
+    places = np.frombuffer(zlib.decompress(slab.places[0]), np.uint32)
+    assert [words[p] for p in places] == piece_codec.chunks(text)
+    table = piece_codec._entries(model, words)
+    entries = [table[p] for p in places]
     ids = model.encode(text)
     assert ",".join(e[0] for e in entries) == ",".join(map(str, ids))
-    assert "".join(e[2] for e in entries)[1:] == model.decode(ids)
+    assert "".join(e[1] for e in entries)[1:] == model.decode(ids)
 
 
 def test_counts_and_cache(spark, tmp_path):
@@ -60,6 +67,23 @@ def test_counts_and_cache(spark, tmp_path):
     assert spark.read.parquet(path).count() == len(TEXTS)
 
 
+def test_very_long_texts(spark, tmp_path):
+    """Long runs of one kind, through every operator over texts."""
+    n = 300_000
+    texts = [" " * n, "a" * n, "!?" * (n // 2), "ab " * (n // 3), "\n" * n, "one " * (n // 4), "é" * (n // 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    own, model = Tokenizer.from_file(BPE), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_cache.count_tokens(docs, BPE, str(tmp_path / "c")).collect()}
+    pieces = {r["doc_id"]: r["ids_sha256"] for r in piece_codec.encode_decode(docs, MODEL).collect()}
+    for d, t in enumerate(texts):
+        assert counts[d] == len(own.encode(t, add_special_tokens=False).ids)
+        assert pieces[d] == sha(",".join(map(str, model.encode(t))))
+    spans = personal_data.find_personal_data(docs).select("spans").distinct().collect()
+    assert [r[0] for r in spans] == [""]
+    bench = spark.createDataFrame([(1, "a a a a a a b"), (2, "one one one one one one")], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated_pairs(docs, bench).collect()] == [(5, 2)]
+
+
 def test_text_operators_on_empty_tables(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     bench = spark.createDataFrame([], "item_id long, text string")

@@ -4,15 +4,16 @@ A chunk is a run of white space markers with the characters up to the next marke
 piece of the model has a marker behind another character, no merge crosses a chunk's border,
 so that a text's ids are its chunks' ids in order of position.
 
-Two passes:
+Three steps, each of bounded memory:
 
-1. every task counts the distinct chunks of its texts, Spark adds the counts up, and the
-   chunks that recur most are segmented once each; this table is bounded in rows and bytes
-   by ``table_rows`` and ``chunk_bytes``, and only for that reason it is broadcast;
-2. every task looks the chunks of its texts up by position; a chunk outside the table is
-   segmented where it occurs, and kept in a local table of bounded size.
+1. texts are taken in slabs of about ``slab_bytes``.  A slab's distinct chunks go out in cells by
+   bucket of their hash; of a text only the places of its chunks in the slab's list stay.  Both are written once;
+2. cells meet by bucket, so that a chunk of the whole table stands in one bucket, where it is segmented
+   once (beyond ``held`` chunks of a bucket the bucket's table starts anew), and the cell goes back with ids and decoded texts;
+3. cells and texts of a slab meet, and ids are joined by position.
 
-So every text is encoded whole, whatever the table holds.  Null text counts as empty.  Rows
+The number of buckets rises with the square root of the bytes, as that of distinct words does or less.
+Nothing is broadcast.  Every text is encoded whole.  Null text counts as empty.  Rows
 are kept as they are, repeated ones too; other columns pass through unless their names clash
 with the result's, in which case the result's win.
 """
@@ -20,17 +21,20 @@ with the result's, in which case the result's win.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import math
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.samples import least_count
 from tidemark.storage import stored
 
 MARK = "▁"
@@ -76,71 +80,56 @@ def _segment(model: sentencepiece.SentencePieceProcessor, words: list[str]) -> l
     return [ids if word else [marker] for word, ids in zip(words, model.encode(words, num_threads=1), strict=True)]
 
 
-class _Lookup:
-    """Chunk to (ids as text, number of ids, decoded text); misses are segmented and kept in part."""
-
-    def __init__(self, path: str, table: dict, local_rows: int):
-        self.model, self.table, self.local, self.local_rows = _model(path), table, {}, local_rows
-
-    def __call__(self, words: list[str]) -> list[tuple[str, int, str]]:
-        known, local = self.table, self.local
-        found = [known.get(word) or local.get(word) for word in words]
-        if None in found:
-            missing = list({word for word, entry in zip(words, found, strict=True) if entry is None})
-            fresh = dict(zip(missing, _entries(self.model, missing), strict=True))
-            found = [entry or fresh[word] for word, entry in zip(words, found, strict=True)]
-            if len(local) > self.local_rows:
-                local.clear()
-            local.update((word, entry) for word, entry in fresh.items() if len(word) <= 64)
-        return found
-
-
-def _entries(model: sentencepiece.SentencePieceProcessor, words: list[str]) -> list[tuple[str, int, str]]:
-    """Decoding keeps a chunk's first marker as a space when another id stands before it."""
+def _entries(model: sentencepiece.SentencePieceProcessor, words: list[str]) -> list[tuple[str, str]]:
+    """(ids as text, decoded text) of each chunk.  Decoding keeps a chunk's first marker as a space when another id stands before it."""
     before = model.piece_to_id(MARK + "a")
     ids = _segment(model, words)
     decoded = model.decode([[before, *one] for one in ids], num_threads=1) if ids else []
-    return [(",".join(map(str, one)), len(one), text[1:]) for one, text in zip(ids, decoded, strict=True)]
-
+    return [(",".join(map(str, one)), text[1:]) for one, text in zip(ids, decoded, strict=True)]
 
-def count_chunks(docs: DataFrame, text: str = "text", held: int = 400_000) -> DataFrame:
-    """(chunk, n) over all texts; tasks add up before the shuffle."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                found.update(chunks(value or ""))
-                if len(found) > held:
-                    yield _counted(found)
-                    found = Counter()
-        yield _counted(found)
+def _packed(texts: list[str]) -> bytes:
+    """Texts as bytes: how many, their lengths, then all of them."""
+    lengths = np.fromiter(map(len, texts), np.uint32, len(texts))
+    return zlib.compress(np.uint32(len(texts)).tobytes() + lengths.tobytes() + "".join(texts).encode(), 1)
 
-    kind = T.StructType([T.StructField("chunk", T.StringType()), T.StructField("n", T.LongType())])
-    return docs.select(text).mapInArrow(count, kind).groupBy("chunk").agg(F.sum("n").alias("n"))
 
+def _unpacked(data: bytes) -> list[str]:
+    raw = zlib.decompress(data)
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    ends = np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64).tolist()
+    whole = raw[4 + 4 * n :].decode()
+    return [whole[x:y] for x, y in zip([0, *ends], ends, strict=False)]
 
-def _counted(found: Counter) -> pa.RecordBatch:
-    return pa.record_batch({"chunk": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
+class Slab:
+    """The distinct chunks of some texts in order of bucket, and the places of each text's chunks among them."""
 
-def chunk_table(docs: DataFrame, model_path: str, text: str = "text", table_rows: int = 200_000, chunk_bytes: int = 48) -> DataFrame:
-    """(chunk, ids, n_ids, decoded) of the chunks that recur most, each segmented once; at most
-    ``table_rows`` chunks of at most ``chunk_bytes`` bytes."""
+    def __init__(self, texts: list[str | None], buckets: int):
+        known: dict[str, int] = {}
+        places = [np.fromiter([known.setdefault(c, len(known)) for c in chunks(t or "")], np.uint32) for t in texts]
+        words = list(known)
+        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int32, len(words))
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
+        self.places = [zlib.compress(rank[p].tobytes(), 1) for p in places]
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+        self.buckets = bucket[order][cuts].tolist()
+        self.cells = [_packed([words[i] for i in order[x:y]]) for x, y in zip(cuts, [*cuts[1:], len(words)], strict=True)]
 
-    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(model_path)
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            entries = _entries(model, words)
-            yield pa.record_batch({"chunk": pa.array(words, pa.string()), "ids": pa.array([e[0] for e in entries], pa.string()), "n_ids": pa.array([e[1] for e in entries], pa.int64()), "decoded": pa.array([e[2] for e in entries], pa.string())})
 
-    counts = stored(count_chunks(docs, text).where(f"n > 1 and octet_length(chunk) <= {chunk_bytes}"), "chunk-counts")
-    top = counts.where(F.col("n") >= least_count(counts, table_rows))
-    return top.select("chunk").mapInArrow(segment, "chunk string, ids string, n_ids long, decoded string")
+def _slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of texts of about ``size`` bytes; a longer text is a run."""
+    ends = np.cumsum([0 if t is None else t for t in pc.binary_length(texts).to_pylist()])
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield at, upto - at
+        at = upto
 
 
-def encode_decode(docs: DataFrame, model_path: str, text: str = "text", table_rows: int = 200_000, local_rows: int = 200_000, keep_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep_ids: bool = False, slab_bytes: int = 8 << 20, held: int = 2_000_000) -> DataFrame:
     """``docs`` without ``text``, with n_tokens, ids_sha256, decoded_sha256 and, on request, ids and decoded.
 
     ids_sha256 is the digest of the decimal ids joined by commas, decoded_sha256 that of the
@@ -149,30 +138,79 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", table_ro
     """
     if not chunkable(model_path):
         raise ValueError("pieces of this model cross white space markers; chunks would change the ids")
-    rows = chunk_table(docs, model_path, text, table_rows).collect()
-    table = docs.sparkSession.sparkContext.broadcast({r["chunk"]: (r["ids"], r["n_ids"], r["decoded"]) for r in rows})
-    others = [f for f in docs.schema.fields if f.name != text and f.name not in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")]
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, 4 * math.isqrt(total >> 20))
+    others = [T.StructField(f.name, f.dataType) for f in docs.schema.fields if f.name != text and f.name not in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded", "__slab", "__bucket", "__data")]
+    names = [f.name for f in others]
+    keys = [T.StructField("__slab", T.StringType()), T.StructField("__bucket", T.IntegerType()), T.StructField("__data", T.BinaryType())]
+    held_names = [*names, *[k.name for k in keys]]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for start, length in _slices(batch.column(len(names)), slab_bytes):
+                rows, name = batch.slice(start, length), f"{part}-{n}"
+                n += 1
+                slab = Slab(rows.column(len(names)).to_pylist(), buckets)
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], pa.array([name] * length), pa.array([-1] * length, pa.int32()), pa.array(slab.places, pa.binary())], names=held_names)
+                empty = [pa.nulls(len(slab.cells), c.type) for c in rows.columns[: len(names)]]
+                yield pa.RecordBatch.from_arrays([*empty, pa.array([name] * len(slab.cells), pa.string()), pa.array(slab.buckets, pa.int32()), pa.array(slab.cells, pa.binary())], names=held_names)
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(model_path)
+        table: dict[str, tuple[str, str]] = {}
+        for batch in batches:
+            out = []
+            for cell in batch.column(2):
+                words = _unpacked(cell.as_py())
+                missing = [w for w in words if w not in table]
+                if len(table) + len(missing) > held:
+                    table, missing = {}, words
+                table.update(zip(missing, _entries(model, missing), strict=True))
+                entries = [table[w] for w in words]
+                out.append(_packed([e[0] for e in entries] + [e[1] for e in entries]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["__slab", "__bucket", "__data"])
+
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if keep_ids:
         added += [T.StructField("ids", T.StringType()), T.StructField("decoded", T.StringType())]
-    names = [f.name for f in others]
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = _Lookup(model_path, table.value, local_rows)
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slab, ids, decoded, counts = None, [], [], []
         for batch in batches:
+            rows: list[int] = []
             out: dict[str, list] = {f.name: [] for f in added}
-            for value in batch.column(len(names)):
-                entries = look(chunks(value.as_py() or ""))
-                ids = ",".join([e[0] for e in entries])
-                decoded = "".join([e[2] for e in entries])[1:]
-                out["n_tokens"].append(sum([e[1] for e in entries]))
-                out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+            keyed = zip(*(batch.column(len(names) + k).to_pylist() for k in range(3)), strict=True)
+            for row, (name, bucket, data) in enumerate(keyed):
+                if name != slab:
+                    slab, ids, decoded, counts = name, [], [], []
+                if bucket >= 0:  # a slab's cells come first, in order
+                    cell = _unpacked(data)
+                    half = len(cell) // 2
+                    ids += cell[:half]
+                    decoded += cell[half:]
+                    counts += [i.count(",") + 1 for i in cell[:half]]
+                    continue
+                places = np.frombuffer(zlib.decompress(data), np.uint32).tolist()
+                own = ",".join([ids[p] for p in places])
+                plain = "".join([decoded[p] for p in places])[1:]
+                rows.append(row)
+                out["n_tokens"].append(sum([counts[p] for p in places]))
+                out["ids_sha256"].append(hashlib.sha256(own.encode()).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(plain.encode()).hexdigest())
                 if keep_ids:
-                    out["ids"].append(ids)
-                    out["decoded"].append(decoded)
+                    out["ids"].append(own)
+                    out["decoded"].append(plain)
+            kept = batch.take(pa.array(rows, pa.int64()))
             kinds = {"n_tokens": pa.int64()}
-            columns = batch.columns[: len(names)] + [pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, *out])
-
-    return docs.select(*[F.col(f"`{n}`") for n in names], F.col(text)).mapInArrow(encode, T.StructType([*others, *added]))
+            yield pa.RecordBatch.from_arrays([*kept.columns[: len(names)], *[pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()]], names=[*names, *out])
+
+    slabs = stored(docs.select(*[F.col(f"`{n}`") for n in names], F.col(text)).mapInArrow(cut, T.StructType([*others, *keys])), "slabs")
+    cells = slabs.where("__bucket >= 0").select("__slab", "__bucket", "__data").repartition(buckets, "__bucket").mapInArrow(segment, T.StructType(keys))
+    texts = slabs.where("__bucket < 0")
+    both = texts.unionByName(cells.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in others], "__slab", "__bucket", "__data"))
+    last = F.when(F.col("__bucket") < 0, F.lit(2**31 - 1)).otherwise(F.col("__bucket"))
+    met = both.repartition(max(least, (total >> 25) + 1), "__slab").sortWithinPartitions("__slab", last)
+    return met.mapInArrow(join, T.StructType([*others, *added]))
