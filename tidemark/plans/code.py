@@ -115,18 +115,18 @@ def code_changed_symbols(spark, folder):
     return codegraph.symbols_in(symbols(spark, folder), changed)
 
 
-ASKED = "SELECT concat(l_orderkey, '-', l_linenumber) AS call, concat('n', l_partkey % 50) AS label, {0} AS file_path FROM lineitem".format(_path("l_partkey"))
+ASKED = "SELECT concat(l_orderkey, '-', l_linenumber) AS call, concat('n', l_partkey % 5000) AS label, {0} AS file_path FROM lineitem".format(_path("l_partkey"))
 
 
 @query(
-    f"""WITH s AS (SELECT id, concat('n', CAST(substr(method_name, 2) AS INT) % 50) AS label, file_path AS in_file FROM ({SYMBOLS})), j AS (SELECT call, s.id AS callee, CASE WHEN in_file = file_path THEN 2 ELSE 0 END AS score FROM ({ASKED}) a JOIN s USING (label))
+    f"""WITH s AS (SELECT id, concat('n', CAST(substr(method_name, 2) AS INT) % 5000) AS label, file_path AS in_file FROM ({SYMBOLS})), j AS (SELECT call, s.id AS callee, CASE WHEN in_file = file_path THEN 2 ELSE 0 END AS score FROM ({ASKED}) a JOIN s USING (label))
     SELECT call, callee FROM (SELECT *, row_number() OVER (PARTITION BY call ORDER BY score DESC, length(callee), callee) AS k FROM j) WHERE k = 1"""
 )
 def code_best_callees(spark, folder):
     """The symbol that each call most likely means."""
-    named = symbols(spark, folder).withColumn("method_name", F.expr("concat('n', CAST(substring(method_name, 2) AS INT) % 50)"))
+    named = symbols(spark, folder).withColumn("method_name", F.expr("concat('n', CAST(substring(method_name, 2) AS INT) % 5000)"))
     rows = sources.table(spark, folder, "lineitem")
-    asked = rows.select(F.expr("concat(l_orderkey, '-', l_linenumber)").alias("call"), F.expr("concat('n', l_partkey % 50)").alias("label"), F.expr(_path("l_partkey")).alias("file_path"))
+    asked = rows.select(F.expr("concat(l_orderkey, '-', l_linenumber)").alias("call"), F.expr("concat('n', l_partkey % 5000)").alias("label"), F.expr(_path("l_partkey")).alias("file_path"))
     return codegraph.best_callees(asked, named)
 
 
