@@ -4,7 +4,7 @@ The content view sees the text: shares of kinds of characters, repetition, and h
 The metadata view sees source, language and length as recorded; length is in no other view.  Both are
 logistic regressions, fitted on labelled rows first.  In each round every document of the table is scored by
 both views; where one is sure, its label counts as a training row of the other.  Tasks add these rows up to
-the gradient and curvature that the other view's next Newton step needs, so that the pool is the whole table and
+the gradient and the bound of the curvature that the other view's next step needs, a step a round, so that the pool is the whole table and
 no row of it leaves its task; together the pool weighs as much as the labelled rows at most.  Then both views
 are calibrated on labelled rows kept out of training, and a logistic combination of their log odds, fitted on
 the same rows, scores all documents.
@@ -122,12 +122,16 @@ class Logistic:
 
     def design(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
+        if self.squared:  # one frequent word shouldn't outweigh the shape of a text
+            z[:, self.squared :] = np.clip(z[:, self.squared :], -2, 2)
         return np.column_stack([z, z[:, : self.squared] ** 2 / 4, np.ones(len(x))])
 
-    def sums(self, z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradient and curvature of the loss of some rows."""
+    def sums(self, z: np.ndarray, y: np.ndarray, bound: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the loss of some rows; or, as ``bound``, the most that the curvature can be
+        anywhere, with which a step never overshoots."""
         p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-        return z.T @ (p - y), (z * (p * (1 - p) + 1e-9)[:, None]).T @ z
+        weight = np.full(len(z), 0.25) if bound else p * (1 - p) + 1e-9
+        return z.T @ (p - y), (z * weight[:, None]).T @ z
 
     def step(self, gradient: np.ndarray, curvature: np.ndarray) -> float:
         """A damped Newton step; gives its largest part."""
@@ -170,7 +174,7 @@ def pool_sums(views: list[View], sides: tuple[np.ndarray, np.ndarray], sure: flo
         p = views[1 - taker].sure(sides[1 - taker])
         rows = (p >= sure) | (p <= 1 - sure)
         model = views[taker].model
-        out.append((int(rows.sum()), *model.sums(model.design(sides[taker][rows]), (p[rows] >= 0.5).astype(float))))
+        out.append((int(rows.sum()), *model.sums(model.design(sides[taker][rows]), (p[rows] >= 0.5).astype(float), bound=True)))
     return out
 
 
@@ -184,7 +188,7 @@ def co_train(sides: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: Callable
     for _ in range(rounds):
         views = [View(m, Logistic(m.odds(x[kept])[:, None], y[kept])) for m, x in zip(models, sides, strict=True)]
         for model, x, (n, gradient, curvature) in zip(models, sides, pool(views), strict=True):
-            own = model.sums(model.design(x[~kept]), y[~kept])
+            own = model.sums(model.design(x[~kept]), y[~kept], bound=True)
             weight = min(1.0, (~kept).sum() / n) if n else 0.0
             model.step(own[0] + weight * gradient, own[1] + weight * curvature)
     odds = np.column_stack([m.odds(x[kept]) for m, x in zip(models, sides, strict=True)])
