@@ -169,3 +169,20 @@ def test_quality(spark):
     assert {r["quality_score"] for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {1.0}
     empty = docs.limit(0)
     assert quality.score(empty, quality.fit(empty, labels.limit(0))).collect() == []
+
+
+def test_long_texts_and_clashing_columns(spark):
+    """Very long texts, ties in votes, and columns that are named like those of results."""
+    n = 200_000
+    texts = [" " * n, "a" * n, "!?" * (n // 2), "one " * (n // 4), "é" * (n // 2), None, ""]
+    texts += [f"word{k % 7} word{k % 11} idiot" if k % 2 else f"word{k % 7} word{k % 11} fine" for k in range(60)]
+    rows = [(d, t, "en", "s", 1, 0.5, True, "x", "y") for d, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, quality_score double, keep boolean, label string, evidence string")
+    labels = spark.createDataFrame([(d, int(d % 2 == 0), d % 2) for d in range(7, len(texts))], "doc_id long, quality int, toxic int")
+    scored = quality.score(docs, quality.fit(docs, labels))
+    assert scored.columns == [*(c for c in docs.columns if c not in ("quality_score", "keep")), "quality_score", "keep"] and scored.count() == len(texts)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, toxicity.fit(docs, labels, max_examples=20)).collect()}
+    assert [got[d] for d in range(7, len(texts))] == [d % 2 for d in range(7, len(texts))]
+    turns = docs.select((F.col("doc_id") % 3).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("user").alias("role"), "text")
+    read = {r["conv_id"]: r["turns_sha256"] for r in chat_format.format_and_read(turns).collect()}
+    assert read == {c: sha("".join(f"user\n{t or ''}\n" for d, t in enumerate(texts) if d % 3 == c)) for c in range(3)}
