@@ -9,8 +9,8 @@ Three steps, each of bounded memory:
 1. texts are taken in slabs of about ``slab_bytes``.  A slab's distinct chunks go out in cells by
    bucket of their hash; of a text only the places of its chunks in the slab's list stay.  Both are written once;
 2. cells meet by bucket, so that a chunk of the whole table stands in one bucket, where it is segmented
-   once (beyond ``held`` chunks of a bucket the bucket's table starts anew), and the cell goes back with ids and decoded texts;
-3. cells and texts of a slab meet, and ids are joined by position.
+   once (beyond ``held`` chunks of a bucket the bucket's table starts anew), and the cell goes back with ids in its place;
+3. cells and texts of a slab meet, the ids of each of its chunks are decoded, and both are joined by position.
 
 The number of buckets rises with the square root of the bytes, as that of distinct words does or less.
 Nothing is broadcast.  Every text is encoded whole.  Null text counts as empty.  Rows
@@ -38,6 +38,8 @@ from pyspark.sql import types as T
 from tidemark.storage import stored
 
 MARK = "▁"
+#: In place of a bucket: the row with the buckets of a slab's chunks, and rows of its texts, which come last.
+ORDER, TEXT = -1, 2**31 - 1
 
 
 @lru_cache(maxsize=2)
@@ -80,12 +82,10 @@ def _segment(model: sentencepiece.SentencePieceProcessor, words: list[str]) -> l
     return [ids if word else [marker] for word, ids in zip(words, model.encode(words, num_threads=1), strict=True)]
 
 
-def _entries(model: sentencepiece.SentencePieceProcessor, words: list[str]) -> list[tuple[str, str]]:
-    """(ids as text, decoded text) of each chunk.  Decoding keeps a chunk's first marker as a space when another id stands before it."""
+def _decoded(model: sentencepiece.SentencePieceProcessor, ids: list[list[int]]) -> list[str]:
+    """The decoded text of each chunk's ids.  Decoding keeps a chunk's first marker as a space when another id stands before it."""
     before = model.piece_to_id(MARK + "a")
-    ids = _segment(model, words)
-    decoded = model.decode([[before, *one] for one in ids], num_threads=1) if ids else []
-    return [(",".join(map(str, one)), text[1:]) for one, text in zip(ids, decoded, strict=True)]
+    return [text[1:] for text in model.decode([[before, *one] for one in ids], num_threads=1)] if ids else []
 
 
 def _packed(texts: list[str]) -> bytes:
@@ -102,23 +102,55 @@ def _unpacked(data: bytes) -> list[str]:
     return [whole[x:y] for x, y in zip([0, *ends], ends, strict=False)]
 
 
+def _numbers(values: np.ndarray) -> bytes:
+    """Numbers below 2**32, mostly small ones: all their first bytes, then all their second ones and so on, compressed."""
+    return zlib.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _of_numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _id_lists(data: bytes) -> list[list[int]]:
+    """What ``_numbers`` made of how many lists there are, their lengths, and all their numbers."""
+    values = _of_numbers(data)
+    n = int(values[0])
+    ends = np.cumsum(values[1 : n + 1], dtype=np.int64).tolist()
+    flat = values[n + 1 :].tolist()
+    return [flat[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+
+
+def _of_id_lists(lists: list[list[int]]) -> bytes:
+    lengths = np.fromiter(map(len, lists), np.uint32, len(lists))
+    flat = np.fromiter((i for one in lists for i in one), np.uint32, int(lengths.sum()))
+    return _numbers(np.concatenate([np.array([len(lists)], np.uint32), lengths, flat]))
+
+
 class Slab:
-    """The distinct chunks of some texts in order of bucket, and the places of each text's chunks among them."""
+    """The distinct chunks of some texts in order of first occurrence: the bucket of each, the places of each text's
+    chunks among them, and by bucket the chunks themselves."""
 
     def __init__(self, texts: list[str | None], buckets: int):
         known: dict[str, int] = {}
-        places = [np.fromiter([known.setdefault(c, len(known)) for c in chunks(t or "")], np.uint32) for t in texts]
+        self.places = [_numbers(np.fromiter([known.setdefault(c, len(known)) for c in chunks(t or "")], np.uint32)) for t in texts]
         words = list(known)
-        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int32, len(words))
+        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.uint32, len(words))
         order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(words), np.uint32)
-        rank[order] = np.arange(len(words), dtype=np.uint32)
-        self.places = [zlib.compress(rank[p].tobytes(), 1) for p in places]
-        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+        cuts = np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1)).tolist()
+        self.order = _numbers(bucket)
         self.buckets = bucket[order][cuts].tolist()
         self.cells = [_packed([words[i] for i in order[x:y]]) for x, y in zip(cuts, [*cuts[1:], len(words)], strict=True)]
 
 
+def in_order(order: bytes, cells: list[list]) -> list:
+    """Entries of a slab's cells, given by rising bucket, in the order of its chunks."""
+    bucket = _of_numbers(order)
+    out = [None] * len(bucket)
+    for at, entry in zip(np.argsort(bucket, kind="stable").tolist(), (e for cell in cells for e in cell), strict=True):
+        out[at] = entry
+    return out
+
+
 def _slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
     """(start, length) of runs of texts of about ``size`` bytes; a longer text is a run."""
     ends = np.cumsum([0 if t is None else t for t in pc.binary_length(texts).to_pylist()])
@@ -129,7 +161,7 @@ def _slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
         at = upto
 
 
-def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep_ids: bool = False, slab_bytes: int = 8 << 20, held: int = 2_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep_ids: bool = False, slab_bytes: int = 24 << 20, held: int = 2_000_000) -> DataFrame:
     """``docs`` without ``text``, with n_tokens, ids_sha256, decoded_sha256 and, on request, ids and decoded.
 
     ids_sha256 is the digest of the decimal ids joined by commas, decoded_sha256 that of the
@@ -154,13 +186,14 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep_ids
                 rows, name = batch.slice(start, length), f"{part}-{n}"
                 n += 1
                 slab = Slab(rows.column(len(names)).to_pylist(), buckets)
-                yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], pa.array([name] * length), pa.array([-1] * length, pa.int32()), pa.array(slab.places, pa.binary())], names=held_names)
-                empty = [pa.nulls(len(slab.cells), c.type) for c in rows.columns[: len(names)]]
-                yield pa.RecordBatch.from_arrays([*empty, pa.array([name] * len(slab.cells), pa.string()), pa.array(slab.buckets, pa.int32()), pa.array(slab.cells, pa.binary())], names=held_names)
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], pa.array([name] * length), pa.array([TEXT] * length, pa.int32()), pa.array(slab.places, pa.binary())], names=held_names)
+                cells = [(ORDER, slab.order), *zip(slab.buckets, slab.cells, strict=True)]
+                empty = [pa.nulls(len(cells), c.type) for c in rows.columns[: len(names)]]
+                yield pa.RecordBatch.from_arrays([*empty, pa.array([name] * len(cells), pa.string()), pa.array([c[0] for c in cells], pa.int32()), pa.array([c[1] for c in cells], pa.binary())], names=held_names)
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_path)
-        table: dict[str, tuple[str, str]] = {}
+        table: dict[str, list[int]] = {}
         for batch in batches:
             out = []
             for cell in batch.column(2):
@@ -168,9 +201,8 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep_ids
                 missing = [w for w in words if w not in table]
                 if len(table) + len(missing) > held:
                     table, missing = {}, words
-                table.update(zip(missing, _entries(model, missing), strict=True))
-                entries = [table[w] for w in words]
-                out.append(_packed([e[0] for e in entries] + [e[1] for e in entries]))
+                table.update(zip(missing, _segment(model, missing), strict=True))
+                out.append(_of_id_lists([table[w] for w in words]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["__slab", "__bucket", "__data"])
 
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
@@ -178,22 +210,27 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep_ids
         added += [T.StructField("ids", T.StringType()), T.StructField("decoded", T.StringType())]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slab, ids, decoded, counts = None, [], [], []
+        model, slab, cells, order = _model(model_path), None, [], b""
+        ids: list[str] = []
+        decoded: list[str] = []
+        counts: list[int] = []
         for batch in batches:
             rows: list[int] = []
             out: dict[str, list] = {f.name: [] for f in added}
             keyed = zip(*(batch.column(len(names) + k).to_pylist() for k in range(3)), strict=True)
             for row, (name, bucket, data) in enumerate(keyed):
                 if name != slab:
-                    slab, ids, decoded, counts = name, [], [], []
-                if bucket >= 0:  # a slab's cells come first, in order
-                    cell = _unpacked(data)
-                    half = len(cell) // 2
-                    ids += cell[:half]
-                    decoded += cell[half:]
-                    counts += [i.count(",") + 1 for i in cell[:half]]
+                    slab, cells = name, []
+                if bucket == ORDER:
+                    order = data
+                    continue
+                if bucket != TEXT:  # a slab's cells come before its texts, by bucket
+                    cells.append(_id_lists(data))
                     continue
-                places = np.frombuffer(zlib.decompress(data), np.uint32).tolist()
+                if cells is not None:
+                    lists = in_order(order, cells)
+                    ids, decoded, counts, cells = [",".join(map(str, one)) for one in lists], _decoded(model, lists), [len(one) for one in lists], None
+                places = _of_numbers(data).tolist()
                 own = ",".join([ids[p] for p in places])
                 plain = "".join([decoded[p] for p in places])[1:]
                 rows.append(row)
@@ -208,9 +245,8 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep_ids
             yield pa.RecordBatch.from_arrays([*kept.columns[: len(names)], *[pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()]], names=[*names, *out])
 
     slabs = stored(docs.select(*[F.col(f"`{n}`") for n in names], F.col(text)).mapInArrow(cut, T.StructType([*others, *keys])), "slabs")
-    cells = slabs.where("__bucket >= 0").select("__slab", "__bucket", "__data").repartition(buckets, "__bucket").mapInArrow(segment, T.StructType(keys))
-    texts = slabs.where("__bucket < 0")
+    cells = slabs.where(F.col("__bucket").between(0, TEXT - 1)).select("__slab", "__bucket", "__data").repartition(buckets, "__bucket").mapInArrow(segment, T.StructType(keys))
+    texts = slabs.where(~F.col("__bucket").between(0, TEXT - 1))
     both = texts.unionByName(cells.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in others], "__slab", "__bucket", "__data"))
-    last = F.when(F.col("__bucket") < 0, F.lit(2**31 - 1)).otherwise(F.col("__bucket"))
-    met = both.repartition(max(least, (total >> 25) + 1), "__slab").sortWithinPartitions("__slab", last)
+    met = both.repartition(max(least, (total >> 25) + 1), "__slab").sortWithinPartitions("__slab", "__bucket")
     return met.mapInArrow(join, T.StructType([*others, *added]))
