@@ -42,12 +42,12 @@ def test_codec_equals_library(spark):
 def test_chunks_are_exact(text):
     model = piece_codec._model(MODEL)
     slab = piece_codec.Slab([text, "other a b", None], 3)
-    words = piece_codec.in_order(slab.order, [piece_codec._unpacked(cell) for cell in slab.cells])
-    assert len(words) == len(set(words)) and [zlib.crc32(w.encode()) % 3 for w in words] == piece_codec._of_numbers(slab.order).tolist()
-    assert [words[p] for p in piece_codec._of_numbers(slab.places[0])] == piece_codec.chunks(text)
+    words = piece_codec.in_order(slab.order(), [piece_codec._unpacked(cell) for _, cell in slab.cells()])
+    assert len(words) == len(set(words)) and [zlib.crc32(w.encode()) % 3 for w in words] == piece_codec._of_numbers(slab.order()).tolist()
+    assert [words[p] for p in piece_codec._of_numbers(slab.places()[0])] == piece_codec.chunks(text)
     lists = piece_codec._id_lists(piece_codec._of_id_lists(piece_codec._segment(model, words)))
     entries = list(zip(lists, piece_codec._decoded(model, lists), strict=True))
-    entries = [(",".join(map(str, entries[p][0])), entries[p][1]) for p in piece_codec._of_numbers(slab.places[0])]
+    entries = [(",".join(map(str, entries[p][0])), entries[p][1]) for p in piece_codec._of_numbers(slab.places()[0])]
     ids = model.encode(text)
     assert ",".join(e[0] for e in entries) == ",".join(map(str, ids))
     assert "".join(e[1] for e in entries)[1:] == model.decode(ids)

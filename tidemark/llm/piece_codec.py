@@ -7,7 +7,9 @@ so that a text's ids are its chunks' ids in order of position.
 Three steps, each of bounded memory:
 
 1. texts are taken in slabs of about ``slab_bytes``.  A slab's distinct chunks go out in cells by
-   bucket of their hash; of a text only the places of its chunks in the slab's list stay.  Both are written once;
+   bucket of their hash; of a text only the places of its chunks in the slab's list move on.  Either is made in a pass of its
+   own over the texts, so that neither has to be written besides the shuffle; a slab is named by its place and
+   the digest of its chunks;
 2. cells meet by bucket, so that a chunk of the whole table stands in one bucket, where it is segmented
    once (beyond ``held`` chunks of a bucket the bucket's table starts anew), and the cell goes back with ids in its place;
 3. cells and texts of a slab meet, the ids of each of its chunks are decoded, and both are joined by position.
@@ -15,7 +17,8 @@ Three steps, each of bounded memory:
 The number of buckets rises with the square root of the bytes, as that of distinct words does or less.
 Nothing is broadcast.  Every text is encoded whole.  Null text counts as empty.  Rows
 are kept as they are, repeated ones too; other columns pass through unless their names clash
-with the result's, in which case the result's win.
+with the result's, in which case the result's win.  The texts must be the same when they are read again, as those of
+a table are; should a slab differ between the passes, the job fails instead of joining other ids.
 """
 
 from __future__ import annotations
@@ -35,7 +38,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.storage import stored
 
 MARK = "▁"
 #: In place of a bucket: the row with the buckets of a slab's chunks, and rows of its texts, which come last.
@@ -132,14 +134,23 @@ class Slab:
 
     def __init__(self, texts: list[str | None], buckets: int):
         known: dict[str, int] = {}
-        self.places = [_numbers(np.fromiter([known.setdefault(c, len(known)) for c in chunks(t or "")], np.uint32)) for t in texts]
-        words = list(known)
-        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.uint32, len(words))
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1)).tolist()
-        self.order = _numbers(bucket)
-        self.buckets = bucket[order][cuts].tolist()
-        self.cells = [_packed([words[i] for i in order[x:y]]) for x, y in zip(cuts, [*cuts[1:], len(words)], strict=True)]
+        self.of_texts = [np.fromiter([known.setdefault(c, len(known)) for c in chunks(t or "")], np.uint32) for t in texts]
+        self.words = list(known)
+        self.bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in self.words), np.uint32, len(self.words))
+        self.digest = hashlib.sha256("\n".join(map(repr, self.words)).encode()).hexdigest()[:16]
+
+    def places(self) -> list[bytes]:
+        return [_numbers(p) for p in self.of_texts]
+
+    def order(self) -> bytes:
+        return _numbers(self.bucket)
+
+    def cells(self) -> Iterator[tuple[int, bytes]]:
+        """(bucket, its chunks), by rising bucket."""
+        order = np.argsort(self.bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(self.bucket[order].astype(np.int64), prepend=-1)).tolist()
+        for x, y in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            yield int(self.bucket[order[x]]), _packed([self.words[i] for i in order[x:y]])
 
 
 def in_order(order: bytes, cells: list[list]) -> list:
@@ -179,17 +190,25 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep_ids
     keys = [T.StructField("__slab", T.StringType()), T.StructField("__bucket", T.IntegerType()), T.StructField("__data", T.BinaryType())]
     held_names = [*names, *[k.name for k in keys]]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, str, Slab]]:
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for start, length in _slices(batch.column(len(names)), slab_bytes):
-                rows, name = batch.slice(start, length), f"{part}-{n}"
+            for start, length in _slices(batch.column(batch.num_columns - 1), slab_bytes):
+                rows = batch.slice(start, length)
+                slab = Slab(rows.column(rows.num_columns - 1).to_pylist(), buckets)
+                yield rows, f"{part}-{n}-{slab.digest}", slab
                 n += 1
-                slab = Slab(rows.column(len(names)).to_pylist(), buckets)
-                yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], pa.array([name] * length), pa.array([TEXT] * length, pa.int32()), pa.array(slab.places, pa.binary())], names=held_names)
-                cells = [(ORDER, slab.order), *zip(slab.buckets, slab.cells, strict=True)]
-                empty = [pa.nulls(len(cells), c.type) for c in rows.columns[: len(names)]]
-                yield pa.RecordBatch.from_arrays([*empty, pa.array([name] * len(cells), pa.string()), pa.array([c[0] for c in cells], pa.int32()), pa.array([c[1] for c in cells], pa.binary())], names=held_names)
+
+    def cut_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, name, slab in slabs(batches):
+            cells = list(slab.cells())
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(cells), pa.string()), pa.array([c[0] for c in cells], pa.int32()), pa.array([c[1] for c in cells], pa.binary())], names=["__slab", "__bucket", "__data"])
+
+    def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, name, slab in slabs(batches):
+            n = rows.num_rows
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], pa.array([name] * n), pa.array([TEXT] * n, pa.int32()), pa.array(slab.places(), pa.binary())], names=held_names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, c.type) for c in rows.columns[: len(names)]], pa.array([name]), pa.array([ORDER], pa.int32()), pa.array([slab.order()], pa.binary())], names=held_names)
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_path)
@@ -244,9 +263,10 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep_ids
             kinds = {"n_tokens": pa.int64()}
             yield pa.RecordBatch.from_arrays([*kept.columns[: len(names)], *[pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()]], names=[*names, *out])
 
-    slabs = stored(docs.select(*[F.col(f"`{n}`") for n in names], F.col(text)).mapInArrow(cut, T.StructType([*others, *keys])), "slabs")
-    cells = slabs.where(F.col("__bucket").between(0, TEXT - 1)).select("__slab", "__bucket", "__data").repartition(buckets, "__bucket").mapInArrow(segment, T.StructType(keys))
-    texts = slabs.where(~F.col("__bucket").between(0, TEXT - 1))
+    # Both passes read the same columns, or a shuffle above could deal rows differently.
+    read = docs.select(*[F.col(f"`{n}`") for n in names], F.col(text))
+    cells = read.mapInArrow(cut_cells, T.StructType(keys)).repartition(buckets, "__bucket").mapInArrow(segment, T.StructType(keys))
+    texts = read.mapInArrow(cut_texts, T.StructType([*others, *keys]))
     both = texts.unionByName(cells.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in others], "__slab", "__bucket", "__data"))
     met = both.repartition(max(least, (total >> 25) + 1), "__slab").sortWithinPartitions("__slab", "__bucket")
     return met.mapInArrow(join, T.StructType([*others, *added]))
