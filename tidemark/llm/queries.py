@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import chat_format, decontaminate, ngram_join, personal_data, piece_codec, quality, sharding, token_cache, topk_search, toxicity
+from tidemark.llm import chat_format, contract_sql, decontaminate, divergence, filter_audit, ngram_join, personal_data, piece_codec, quality, sharding, token_cache, topk_search, toxicity, warc
 from tidemark.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,21 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.find_personal_data(_read(spark, folder, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """How the sources of each language differ from each other, and the terms that each is rich in."""
+    return divergence.audit(_read(spark, folder, "documents"), least=3, terms=200)
+
+
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages as archives in the shared folder, read back."""
+    return warc.write_and_read(spark, _read(spark, folder, "pages"), scratch_path(spark, "warc"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters removes from each language, in every order."""
+    return filter_audit.audit(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_topk_search": op1_topk_search,
@@ -98,13 +113,22 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_personal_data": op9_personal_data,
         "op10_quality": op10_quality,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_warc": op12_warc,
+        "op13_filter_audit": op13_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL expresses at whole tables; tests hold the others against plain versions."""
-    return {"op1_topk_search": TOPK_SQL, "op4_sharding": SHARDS_SQL}
+    return {
+        "op1_topk_search": TOPK_SQL,
+        "op4_sharding": SHARDS_SQL,
+        "op11_source_divergence": contract_sql.DIVERGENCE_SQL,
+        "op12_warc": contract_sql.ARCHIVES_SQL,
+        "op13_filter_audit": contract_sql.FILTERS_SQL,
+    }
 
 
 TOPK_SQL = """
