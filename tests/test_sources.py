@@ -150,13 +150,6 @@ def test_presets(tmp_path):
     assert {k: v.split("/")[-2] for k, v in found.items()} == {"a": "one", "b": "one", "c": "two"}
 
 
-def test_markup_of_odd_texts(spark):
-    rows = spark.createDataFrame([(None,), ("",), ("{broken",), ("[]",), ('{"a":[1,{"b":2}]}',), ("<a><b>1</b><b>2</b></a>",)], "t string")
-    got = rows.select(markup.json_markdown(F.col("t")).alias("j"), markup.xml_markdown(F.col("t")).alias("x")).collect()
-    assert [r["j"] for r in got][:4] == [None, None, None, ""] and got[4]["j"] == "## A\n- 1\n\n- **B:** 2"
-    assert got[5]["x"] == "## A\n\n### B\n\n1\n\n### B\n\n2"
-
-
 def test_control_flow(spark):
     code = "def f(x):\n    for i in x:\n        if i:\n            break\n        g(i)\n    else:\n        return 1\n    raise ValueError('n')\n"
     got = flow.control_flow(spark.createDataFrame([("a.py", code), ("b.py", "def (")], "path string, text string")).collect()

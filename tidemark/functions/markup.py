@@ -1,130 +1,10 @@
-"""JSON and XML documents as Markdown, and front matter: small functions over one document each, run over Arrow batches."""
+"""Front matter of Markdown documents."""
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Callable
-from xml.etree import ElementTree
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.nested import leaves
-
-
-def _title(name: str) -> str:
-    return re.sub(r"[_\s-]+", " ", name).strip().title()
-
-
-def _cell(value: object) -> str:
-    if value is None:
-        return ""
-    shown = json.dumps(value, ensure_ascii=False) if isinstance(value, (dict, list)) else str(value)
-    return shown.replace("|", "\\|").replace("\n", " ")
-
-
-def _table(keys: list[str], rows: list[list[str]]) -> list[str]:
-    """A block of table lines between blank lines."""
-    return ["", *("| " + " | ".join(cells) + " |" for cells in (keys, ["---"] * len(keys), *rows)), ""]
-
-
-def _heading(title: str, level: int) -> list[str]:
-    return ["", f"{'#' * max(2, min(6, level))} {title}"]
-
-
-def _blocks(value: object, name: str | None, level: int) -> list[str]:
-    """Lines of a JSON value: objects as headings, lists of objects with equal keys as tables, other lists as bullets."""
-    if not isinstance(value, (dict, list)):
-        return [] if name is None else [f"- **{_title(name)}:** {_cell(value)}"]
-    lines = [] if name is None else _heading(_title(name), level)
-    below = level + (name is not None)
-    if isinstance(value, dict):
-        for key, inner in value.items():
-            lines += _blocks(inner, key, below)
-    elif value and all(isinstance(v, dict) and v.keys() == value[0].keys() for v in value) and value[0]:
-        keys = list(value[0])
-        lines += _table([_title(k).replace("|", "\\|") for k in keys], [[_cell(v[k]) for k in keys] for v in value])
-    else:
-        for item in value:
-            lines += ["", *_blocks(item, None, below)] if isinstance(item, dict) else [f"- {_cell(item)}"]
-        lines += [""] if value else []
-    return lines
-
-
-def _joined(lines: list[str]) -> str:
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
-
-
-def _json_text(text: str) -> str:
-    return _joined(_blocks(json.loads(text), None, 2))
-
-
-def _flat_text(text: str) -> str:
-    """Leaves by path under a heading for each first segment."""
-    groups: dict[str, list[tuple[str, str]]] = {}
-    for path, value in leaves(json.loads(text, parse_int=str, parse_float=str)):
-        first, _, rest = path.partition(".")
-        groups.setdefault(first, []).append((rest, value))
-    lines: list[str] = []
-    for first in sorted(groups):
-        lines += _heading(_title(re.sub(r"\[\d+\]", "", first)), 2)
-        lines += [f"- **{rest}:** {value}" if rest else f"- {value}" for rest, value in sorted(groups[first])]
-    return _joined(lines)
-
-
-def _name(element: ElementTree.Element) -> str:
-    return element.tag.rpartition("}")[2]
-
-
-def _element(element: ElementTree.Element, level: int) -> list[str]:
-    """Lines of an XML element: attributes as bullets, siblings of one shape as a table, others as headings."""
-    lines = _heading(_title(_name(element)), level)
-    lines += [f"- **{key.rpartition('}')[2]}:** {value}" for key, value in sorted(element.attrib.items())]
-    own = (element.text or "").strip()
-    lines += ["", own] if own else []
-    children = list(element)
-    shapes = {(_name(c), tuple(sorted(_name(sub) for sub in c))) for c in children}
-    if len(children) > 1 and len(shapes) == 1 and len(children[0]):
-        keys = sorted({_name(sub) for sub in children[0]})
-        rows = [{_name(sub): "".join(sub.itertext()).strip() for sub in c} for c in children]
-        return lines + _table(keys, [[row.get(k, "").replace("|", "\\|") for k in keys] for row in rows])
-    for child in children:
-        lines += _element(child, level + 1)
-    return lines
-
-
-def _xml_text(text: str) -> str:
-    return _joined(_element(ElementTree.fromstring(text), 2))
-
-
-def _over(text: Column, render: Callable[[str], str]) -> Column:
-    """``render`` of each text; null where it is null or doesn't parse."""
-
-    def one(value: str | None) -> str | None:
-        try:
-            return None if value is None else render(value)
-        except (ValueError, RecursionError, ElementTree.ParseError):
-            return None
-
-    def every(values: pd.Series) -> pd.Series:
-        return values.map(one)
-
-    return F.pandas_udf(every, "string")(text)
-
-
-def json_markdown(text: Column) -> Column:
-    return _over(text, _json_text)
-
-
-def flat_markdown(text: Column) -> Column:
-    return _over(text, _flat_text)
-
-
-def xml_markdown(text: Column) -> Column:
-    return _over(text, _xml_text)
-
 
 def front_matter(fields: dict[str, Column]) -> Column:
     """A block of ``key: value`` lines in order of keys between dashes; nulls are left out."""

@@ -24,7 +24,8 @@ def leaves(value: object, path: str = "") -> Iterator[tuple[str, str]]:
 def json_leaves(text: Column) -> Column:
     """An array of (path, value): paths such as a.b[0].c with their values as text.
 
-    Numbers stay as written, empty objects and lists too, null is ``null``. Texts that aren't JSON give no paths.
+    Numbers stay as written, empty objects and lists too, null is ``null``; a plain document's path is ``value``.
+    Texts that aren't JSON give no paths, nor does an empty container as a whole document.
     """
 
     def of(text: str | None) -> list[dict]:
@@ -32,7 +33,9 @@ def json_leaves(text: Column) -> Column:
             value = json.loads(text or "", parse_int=str, parse_float=str)
         except (ValueError, RecursionError):
             return []
-        return [{"path": p, "value": v} for p, v in leaves(value)]
+        if value in ({}, []):
+            return []
+        return [{"path": p or "value", "value": v} for p, v in leaves(value)]
 
     def all_of(texts: pd.Series) -> pd.Series:
         return texts.map(of)

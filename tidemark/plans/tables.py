@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import sources
 from tidemark.functions import markup
-from tidemark.operators import graph, openapi, tables
+from tidemark.operators import graph, openapi, tables, trees
 from tidemark.plans.queries import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -148,13 +148,13 @@ ORDER_JSON = """concat('{"order_key":', o_orderkey, ',"who":{"cust":', o_custkey
 )
 def json_markdown(spark, folder):
     """JSON documents as headings, bullets and tables."""
-    return sources.table(spark, folder, "orders").select("o_orderkey", markup.json_markdown(F.expr(ORDER_JSON)).alias("text"))
+    return trees.json_markdown(sources.table(spark, folder, "orders").select("o_orderkey", F.expr(ORDER_JSON).alias("text")), "o_orderkey")
 
 
-@query("SELECT o_orderkey, concat('## Items', chr(10), '- **k:** 1', chr(10), '- **v:** a|b', chr(10), chr(10), '## Items', chr(10), '- **k:** 2', chr(10), '- **v:** c', chr(10), chr(10), '## Order Key', chr(10), '- ', o_orderkey, chr(10), chr(10), '## Tags', chr(10), '- x', chr(10), chr(10), '## Tags', chr(10), '- ', o_orderkey % 3, chr(10), chr(10), '## Who', chr(10), '- **cust:** ', o_custkey, chr(10), '- **none:** null') AS text FROM orders")
+@query("SELECT o_orderkey, concat('## Items 0', chr(10), '- **k:** 1', chr(10), '- **v:** a|b', chr(10), chr(10), '## Items 1', chr(10), '- **k:** 2', chr(10), '- **v:** c', chr(10), chr(10), '## Order Key', chr(10), '- ', o_orderkey, chr(10), chr(10), '## Tags 0', chr(10), '- x', chr(10), chr(10), '## Tags 1', chr(10), '- ', o_orderkey % 3, chr(10), chr(10), '## Who', chr(10), '- **cust:** ', o_custkey, chr(10), '- **none:** null') AS text FROM orders")
 def json_flat_markdown(spark, folder):
     """Flattened JSON under a heading for each first segment."""
-    return sources.table(spark, folder, "orders").select("o_orderkey", markup.flat_markdown(F.expr(ORDER_JSON)).alias("text"))
+    return trees.flat_markdown(sources.table(spark, folder, "orders").select("o_orderkey", F.expr(ORDER_JSON).alias("text")), "o_orderkey")
 
 
 ORDER_XML = "concat('<order id=\"', o_orderkey, '\"><who>c', o_custkey, '</who><items><item><k>1</k><v>a|b</v></item><item><k>2</k><v>c</v></item></items></order>')"
@@ -163,7 +163,7 @@ ORDER_XML = "concat('<order id=\"', o_orderkey, '\"><who>c', o_custkey, '</who><
 @query("SELECT o_orderkey, concat('## Order', chr(10), '- **id:** ', o_orderkey, chr(10), chr(10), '### Who', chr(10), chr(10), 'c', o_custkey, chr(10), chr(10), '### Items', chr(10), chr(10), '| k | v |', chr(10), '| --- | --- |', chr(10), '| 1 | a', chr(92), '|b |', chr(10), '| 2 | c |') AS text FROM orders")
 def xml_markdown(spark, folder):
     """XML documents as headings, bullets and tables."""
-    return sources.table(spark, folder, "orders").select("o_orderkey", markup.xml_markdown(F.expr(ORDER_XML)).alias("text"))
+    return trees.xml_markdown(sources.table(spark, folder, "orders").select("o_orderkey", F.expr(ORDER_XML).alias("text")), "o_orderkey")
 
 
 @query("SELECT doc_id, concat('---', chr(10), 'lang: ', lang, chr(10), 'source: ', source, chr(10), '---', chr(10)) AS head, lang FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
