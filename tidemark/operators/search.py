@@ -2,38 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.storage import stored
-
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score, rank) over docs (doc_id, text) and queries (query_id, text), a query term once.
-
-    Only terms of queries are counted past the scan; idf = ln(1 + (N - n + 0.5) / (n + 0.5)).
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    low = F.lower(F.coalesce("text", F.lit("")))
-    size = docs.agg(F.count("*").alias("n_docs"), F.avg(F.regexp_count(low, F.lit("[a-z0-9]+"))).alias("avg_size"))
-    terms = asked.select("term").distinct()
-    words = docs.select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("size"), F.explode("words").alias("term"))
-    # Counts of query terms are stored, for both their frequency and their weight read them.
-    tf = stored(words.join(terms, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size")), "term-counts")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("avg_size")))
-    weighted = tf.join(df, "term").crossJoin(F.broadcast(size)).select("doc_id", "term", weight.alias("weight"))
-    scores = asked.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda total, x: total + x)
 
@@ -62,19 +42,45 @@ def inverted(rows: DataFrame, key: Column, value: str) -> DataFrame:
     return rows.select(F.explode(key).alias("term"), value).distinct().groupBy("term").agg(F.count("*").alias("n"), F.min(value).alias("first"), F.max(value).alias("last"))
 
 
+#: Rows and queries in a block of the products of ``nearest``.
+ROW_BLOCK, QUERY_BLOCK = 2048, 512
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, subset: str | None = None, apart: bool = True) -> DataFrame:
     """(query_id, vec_id, cosine, rank) of unit vectors: the ``k`` nearest of all rows to each query row.
 
-    With ``subset``, a column of both, only rows with an equal value count. Every query meets every block
-    of rows, and keeps ``k`` rows of each before the final ranking. ``apart`` leaves out rows with the query's id.
+    With ``subset``, a column of both, only rows with an equal value count. ``apart`` leaves out rows with the query's id.
+    Blocks of queries meet blocks of rows as matrix products, each of which gives ``k`` rows a query; both kinds of block
+    have a bounded number of rows on average. Null and empty vectors, and those with nulls, take no part; all others are of one length.
     """
-    blocks, keys = 16, [subset] if subset else []
-    rows = vectors.select("vec_id", *keys, "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    asked = queries.select(F.col("vec_id").alias("query_id"), *keys, F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    scored = rows.join(asked, [*keys, "block"]).where("vec_id <> query_id" if apart else "true").select("query_id", "block", "vec_id", F.round(dot(F.col("embedding"), F.col("q")), 5).alias("cosine"))
-    best = [F.desc("cosine"), "vec_id"]
-    kept = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*best))).where(F.col("rank") <= k).drop("rank", "block")
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k)
+    keys = [subset] if subset else []
+    usable = F.coalesce((F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull()), F.lit(False))
+    rows, asked = vectors.where(usable), queries.where(usable)
+    n_rows, n_queries = rows.count(), asked.count()
+    blocks, query_blocks = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    vector = F.col("embedding").cast("array<double>").alias("v")
+    left = rows.select("vec_id", *keys, vector, block(blocks).alias("block")).withColumn("query_block", every(query_blocks))
+    right = asked.select(F.col("vec_id").alias("query_id"), *keys, vector, block(query_blocks).alias("query_block")).withColumn("block", every(blocks))
+    kind = T.StructType([T.StructField("query_id", queries.schema["vec_id"].dataType), T.StructField("vec_id", vectors.schema["vec_id"].dataType), T.StructField("cosine", T.DoubleType())])
+
+    def best(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if one.empty or two.empty:
+            return pd.DataFrame({"query_id": two["query_id"][:0], "vec_id": one["vec_id"][:0], "cosine": np.zeros(0)})
+        one = one.sort_values("vec_id")
+        ids = one["vec_id"].to_numpy()
+        scores = np.round(np.stack(two["v"].to_numpy()) @ np.stack(one["v"].to_numpy()).T, 5)
+        if apart:
+            scores[two["query_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+        # A stable sort leaves equal cosines in the order of ids.
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        at = np.arange(len(two))[:, None]
+        found = pd.DataFrame({"query_id": np.repeat(two["query_id"].to_numpy(), order.shape[1]), "vec_id": ids[order].ravel(), "cosine": scores[at, order].ravel()})
+        return found[found["cosine"] > -np.inf]
+
+    met = left.groupBy("block", "query_block", *keys).cogroup(right.groupBy("block", "query_block", *keys)).applyInPandas(best, kind)
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).where(F.col("rank") <= k)
 
 
 def hybrid(text: DataFrame, vector: DataFrame, k: int = 10, text_share: float = 0.6) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark import sources, streaming
 from tidemark.functions import text as fn
-from tidemark.operators import documents, graph, logs, search
+from tidemark.operators import documents, graph, logs, search, search_index
 from tidemark.operators.components import connected_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -389,7 +389,7 @@ WORDS = "SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+
 )
 def search_bm25(spark, folder):
     docs = sources.table(spark, folder, "documents")
-    return search.bm25(docs, sources.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return search_index.bm25(docs, sources.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
 @query(
@@ -543,10 +543,4 @@ def search_hybrid(spark, folder):
     vectors = search.word_shapes(docs, "doc_id").select(F.concat(F.lit("d"), "doc_id").alias("vec_id"), "doc_id", F.col("vector").alias("embedding"))
     queries = search.word_shapes(asked, "query_id").select(F.concat(F.lit("q"), "query_id").alias("vec_id"), F.col("vector").alias("embedding"))
     near = search.nearest(vectors.select(F.col("doc_id").alias("vec_id"), "embedding"), queries.select(F.substring("vec_id", 2, 20).cast("long").alias("vec_id"), "embedding"), apart=False)
-    return search.hybrid(search.bm25(docs, asked), near.select("query_id", F.col("vec_id").alias("doc_id"), F.col("cosine").alias("score")))
-
-
-@query(NEAREST.format(""))
-def search_nearest_all(spark, folder):
-    """As search_nearest, under its older name."""
-    return search_nearest(spark, folder)
+    return search.hybrid(search_index.bm25(docs, asked), near.select("query_id", F.col("vec_id").alias("doc_id"), F.col("cosine").alias("score")))
