@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -137,6 +138,13 @@ def test_base_spans(text):
         ("card 4495 1148 2761 29 seven two.", 2, "4495 1148 2761 29 seven two"),
         ("write to john at example.com today", 0, "john at example.com"),
         ("ip 10 dot 0 dot 0 dot 1 yes", 1, "10 dot 0 dot 0 dot 1"),
+        ("ip 192 . 168 . 0 . 1 yes", 1, "192 . 168 . 0 . 1"),
+        ("to john_at_example_dot_com now", 0, "john_at_example_dot_com"),
+        ("to john_dot_doe_AT_mail_dot_example_dot_com now", 0, "john_dot_doe_AT_mail_dot_example_dot_com"),
+        ("to john at-sign example.com now", 0, "john at-sign example.com"),
+        ("to look at sign example dot com now", 0, "look at sign example dot com"),
+        ("contact at example.com", 0, "contact at example.com"),
+        ("write to john at Example.Com today", 0, "john at Example.Com"),
         ("plus one     two seven four\n\n\n\n\nfive five five nine six two nine", 3, "plus one     two seven four\n\n\n\n\nfive five five nine six two nine"),
     ],
 )
@@ -180,6 +188,47 @@ def test_spelled_without_spaces(spark, text):
 PIECES = ["one", "TWO", "ſix", "fİve", "sıx", "zéro", "fünf", "dot", "at", "plus ", "+", "7", "12", "x", "a1", "the", ",", ".", "-", "(", ")", " ", "\n", "\x1c", "_", "é", "[at]", "(dot)", "poİnt", "@", "。", "\u200b", "８"]
 
 
+def plain_transducer(text, edits):
+    """Each character of the edited text with the source characters it stands for, and whether an edit put it there."""
+    out, at = [], 0
+    for start, end, new in sorted(edits):
+        if start >= at:
+            out += [(text[k][0], text[k][1], text[k][2], text[k][3]) for k in range(at, start)]
+            out += [(c, text[start][1], text[end - 1][2], True) for c in new]
+            at = end
+    return out + text[at:]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.data())
+def test_added_spans_equal_a_plain_transducer(data):
+    """Places mapped by bisection are those of a list of characters that carries them along."""
+    text = data.draw(st.lists(st.sampled_from([*PIECES, "john", "example", " at ", " dot com", ".com", "_at_x_dot_", " . "]), max_size=40).map("".join))
+    cells = [(c, k, k + 1, False) for k, c in enumerate(text)]
+    cells = plain_transducer(cells, [(k, k + 1, personal_data._plain(c)) for k, c in enumerate(text) if personal_data._ODD.match(c) and personal_data._plain(c) != c])
+    middle = "".join(c[0] for c in cells)
+    words = [*personal_data._bracketed(middle), *personal_data._underscored(middle), *personal_data._bare(middle), *personal_data._spelled(middle)]
+    cells = plain_transducer(cells, words)
+    base = plain_spans(text)
+    want = set()
+    for start, kind, end in plain_spans("".join(c[0] for c in cells)):
+        low, high = cells[start][1], cells[end - 1][2]
+        if (any(c[3] for c in cells[start:end]) or high - low > end - start) and not any(k == kind and s <= low and high <= e for s, k, e in base):
+            want.add((low, kind, high))
+    found = personal_data.find_spans(text)
+    assert [tuple(s) for s in found[0]] == base and set(map(tuple, found[1])) == want
+
+
+def test_memory_of_a_long_disguised_text():
+    text = "Elle a un peu de temps, six fois. " * 90_000 + "mail john [at] example [dot] com " + "1 2 3 " * 10_000
+    tracemalloc.start()
+    base, added = personal_data.find_spans(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [text[s.start : s.end] for s in added] == ["john [at] example [dot] com"] and base == []
+    assert len(text) > 3_000_000 and peak < 40_000_000
+
+
 @settings(max_examples=2000, deadline=None)
 @given(st.lists(st.sampled_from(PIECES), max_size=40).map("".join) | st.lists(st.sampled_from([w + gap for w in [*PIECES[:8], "7"] for gap in (",", ".", " ", "-", ", ")]), min_size=7, max_size=40).map("".join))
 def test_quick_test_passes_every_disguise(text):

@@ -18,9 +18,12 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import merge
+from io import StringIO
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -107,17 +110,22 @@ _INVISIBLE = "­​‌‍⁠﻿"
 _ODD = re.compile("[ ­²³¹Ͱ-ԯ؀-ۿऀ-ॿ -⿿　-〿＀-￯﻿\U0001d400-\U0001d7ff]")
 #: "at" or "dot" in brackets; white space around it belongs to it.
 _BRACKETED = re.compile(r"[\[({<]\s*+(?:(?P<at>at|@|chez|arroba)|dot|\.|point|punkt|punto)\s*+[\])}>]", re.IGNORECASE)
-#: A bare "at" with what may be a host behind it: labels joined by "dot" or by dots.
-_AT_HOST = re.compile(r"(?<=\s)at\s++(?P<host>[A-Za-z0-9-]++(?:(?:\s++dot\s++|\.)[A-Za-z0-9-]++)++)", re.IGNORECASE)
+#: A bare "at", or "at sign", with what may be a host behind it: labels joined by "dot" or by dots.
+_AT_HOST = re.compile(r"(?<=\s)at(?P<sign>[-\s]sign)?\s++(?P<host>[A-Za-z0-9-]++(?:(?:\s++dot\s++|\.)[A-Za-z0-9-]++)++)", re.IGNORECASE)
+#: The same with underscores for blanks, where the dots are spelled, too.
+_UNDERSCORED = re.compile(r"(?<=[A-Za-z0-9])_++at_++(?P<host>[A-Za-z0-9-]++(?:_++dot_++[A-Za-z0-9-]++)++)", re.IGNORECASE)
+_UNDERSCORED_DOT = re.compile(r"_++dot_++", re.IGNORECASE)
 _HOST_DOT = re.compile(r"\s++dot\s++", re.IGNORECASE)
+# Ends of hosts that count in any mixture of cases.
+_KNOWN_ENDS = "com org net edu gov info biz name io co eu de fr es it nl be ch at uk us ca au pt pl se"
 #: The end of a host that is written with plain dots.
-_HOST_END = re.compile(r"\.(?:[a-z]{2,}|[A-Z]{2,})$")
+_HOST_END = re.compile(rf"\.(?:[a-z]{{2,}}|[A-Z]{{2,}}|(?i:{_KNOWN_ENDS.replace(' ', '|')}))$")
 # Words that no host starts with, and words before "at" that are no one's name.
 _NOT_HOSTS = frozenset("the a an this that www".split())
 _NOT_NAMES = frozenset(
-    "a all and are arrive arrived as available based be been best both buy by call check click contact done even event find follow found get "
+    "a all and are arrive arrived as available based be been best both buy by call check click done even event find follow found get "
     "go good have help here hosted i in is it join just listed live located look looked looking made me meet more not of offered on only open "
-    "or order out page posted published read reach register seen see shop sign site sold start still store that the them there they this time "
+    "or out page posted published read reach register seen see site sold start still that the them there they this time "
     "to today up us view visit was we website were what when where with work works you".split()
 )
 _CHUNK = re.compile(r"[^\W_]+")
@@ -129,6 +137,14 @@ _SPELL_WORDS = frozenset(_DIGIT_WORDS) | {"dot"}
 #: A run with spelled parts counts from so many digits, or dots, on.
 _LEAST_DIGITS, _LEAST_DOTS = 7, 3
 _CASELESS = str.maketrans("İıſ", "iis")
+#: Letters of Latin-1 in lower case, blanks for all else; what Latin-1 lacks comes as a question mark, and parts words, too.
+_LATIN_WORDS = bytes(ord(c.lower()) if (c := chr(b)).isalpha() and ord(c.lower()) < 256 else 32 for b in range(256))
+_SPELL_BYTES = frozenset(w.encode("latin-1") for w in _SPELL_WORDS)
+#: The same with digits as they are, blanks for what may stand inside a run, bars for the rest.
+_LATIN_PARTS = bytes(b if 48 <= b <= 57 else 32 if chr(b) in ",()-." or chr(b).isspace() else _LATIN_WORDS[b] if _LATIN_WORDS[b] != 32 else 124 for b in range(256))
+_DIGIT_BYTE = re.compile(rb"[0-9]")
+#: A dot between digits that has blanks before it.
+_SPACED_DOT = re.compile(r"[0-9]\s++\.\s*+[0-9]")
 
 
 @lru_cache(maxsize=4096)
@@ -151,35 +167,67 @@ class Edit(NamedTuple):
     new: str
 
 
+class _Stage:
+    """Edits by their places in the text before and after them: what maps a place back, in some 32 bytes an edit."""
+
+    def __init__(self) -> None:
+        self.starts, self.ends, self.new_starts, self.new_ends = array("q"), array("q"), array("q"), array("q")
+
+    def low(self, at: int) -> int:
+        """Where the character at a place starts in the text before."""
+        k = bisect_right(self.new_starts, at) - 1
+        if k < 0:
+            return at
+        return self.starts[k] if at < self.new_ends[k] else at - self.new_ends[k] + self.ends[k]
+
+    def high(self, at: int) -> int:
+        """Where the character at a place ends in the text before."""
+        k = bisect_right(self.new_starts, at) - 1
+        if k < 0:
+            return at + 1
+        return self.ends[k] if at < self.new_ends[k] else at - self.new_ends[k] + self.ends[k] + 1
+
+    def within(self, start: int, end: int) -> bool:
+        """Whether an edit put any of the characters of a range there."""
+        k = bisect_right(self.new_ends, start)
+        while k < len(self.starts) and self.new_starts[k] < end:
+            if self.new_ends[k] > self.new_starts[k]:
+                return True
+            k += 1
+        return False
+
+
 class Mapped:
-    """A text made by edits, with the source range of each of its characters, and whether an edit put it there."""
+    """A text made by stages of edits, whose ranges map back to the source."""
 
     def __init__(self, text: str):
-        self.out, self.starts, self.ends, self.changed = text, range(len(text)), range(1, len(text) + 1), [False] * len(text)
-
-    def edit(self, edits: list[Edit]) -> None:
-        """Puts edits in, in order of their starts; of overlapping ones the first."""
-        out: list[str] = []
-        starts: list[int] = []
-        ends: list[int] = []
-        changed: list[bool] = []
-        at = 0
-        for start, end, new in sorted(edits):
+        self.out, self.stages = text, []
+
+    def edit(self, edits: Iterable[Edit]) -> None:
+        """Puts edits in, given in order of their starts; of overlapping ones the first."""
+        stage, out, at, size = _Stage(), StringIO(), 0, 0
+        for start, end, new in edits:
             if start < at:
                 continue
-            out += (self.out[at:start], new)
-            starts += self.starts[at:start]
-            ends += self.ends[at:start]
-            changed += self.changed[at:start]
-            starts += [self.starts[start]] * len(new)
-            ends += [self.ends[end - 1]] * len(new)
-            changed += [True] * len(new)
+            out.write(self.out[at:start])
+            out.write(new)
+            size += start - at
+            for column, value in ((stage.starts, start), (stage.ends, end), (stage.new_starts, size), (stage.new_ends, size + len(new))):
+                column.append(value)
+            size += len(new)
             at = end
-        out.append(self.out[at:])
-        starts += self.starts[at:]
-        ends += self.ends[at:]
-        changed += self.changed[at:]
-        self.out, self.starts, self.ends, self.changed = "".join(out), starts, ends, changed
+        if stage.starts:
+            out.write(self.out[at:])
+            self.out = out.getvalue()
+            self.stages.append(stage)
+
+    def source(self, start: int, end: int) -> tuple[int, int, bool]:
+        """The source range of a range, and whether any of its characters was put there by an edit."""
+        changed = False
+        for stage in reversed(self.stages):
+            changed = changed or stage.within(start, end)
+            start, end = stage.low(start), stage.high(end - 1)
+        return start, end, changed
 
 
 def _lower(text: str) -> str:
@@ -187,15 +235,49 @@ def _lower(text: str) -> str:
     return (text.translate(_CASELESS) if any(c in text for c in "İıſ") else text).lower()
 
 
+def _may_spell(text: str) -> bool:
+    """Whether a text can hold a run with spelled parts: no such run lacks a digit word, or a "dot", beside another one or a digit."""
+    if any(c in text for c in "İıſ"):
+        text = _lower(text)
+    at, last = 0, 0  # last: 1 if a digit word ends what has been read, 2 if a digit
+    while at < len(text):
+        end = min(at + 65536, len(text))
+        most = min(end + 64, len(text))
+        while end < most and text[end].isalnum():  # longer than any digit word
+            end += 1
+        piece, at = text[at:end].encode("latin-1", "replace"), end
+        parts = piece.translate(_LATIN_PARTS)
+        if _SPELL_BYTES.isdisjoint(piece.translate(_LATIN_WORDS).split()):
+            ended = parts.rstrip()
+            if ended:
+                # A piece that starts with a digit may follow on a digit word of the one before it.
+                if last == 1 and parts.lstrip()[:1].isdigit():
+                    return True
+                last = 2 if ended[-1:].isdigit() else 0
+            continue
+        for part in parts.replace(b"|", b" | ").split():
+            if part in _SPELL_BYTES:
+                if last:
+                    return True
+                last = 1
+            elif part.isalpha() or not _DIGIT_BYTE.search(part):
+                last = 0
+            else:  # with digits
+                if last == 1 or not part.isdigit() and not _SPELL_BYTES.isdisjoint(part.translate(_LATIN_WORDS).split()):
+                    return True
+                last = 2
+    return False
+
+
 def _disguised(text: str) -> bool:
     """A cheap test that no text with a disguise fails."""
     if not text.isascii() and _ODD.search(text):
         return True
     if any(c in text for c in "[({<") and _BRACKETED.search(text):
         return True
-    if _AT_HOST.search(text):
+    if _AT_HOST.search(text) or "_" in text and _UNDERSCORED.search(text):
         return True
-    return not _SPELL_WORDS.isdisjoint(_LETTERS.findall(_lower(text)))
+    return _may_spell(text) or _SPACED_DOT.search(text) is not None
 
 
 def _bracketed(text: str) -> Iterator[Edit]:
@@ -211,16 +293,24 @@ def _bracketed(text: str) -> Iterator[Edit]:
         yield Edit(start, end, "@" if m["at"] else ".")
 
 
+def _underscored(text: str) -> Iterator[Edit]:
+    """``name_at_host_dot_tld``."""
+    for m in _UNDERSCORED.finditer(text):
+        yield Edit(m.start(), m.start("host"), "@")
+        yield from (Edit(d.start(), d.end(), ".") for d in _UNDERSCORED_DOT.finditer(text, m.start("host"), m.end()))
+
+
 def _bare(text: str) -> Iterator[Edit]:
     """Addresses with a bare "at": ``name dot name at host dot tld``, or ``name at host.tld``.
 
-    A host needs a spelled dot, or an end in letters of one case and a name that isn't a common word
-    before "at", or "at" would be taken in any sentence.
+    A host needs a spelled dot, or "at sign" before it, or an end in letters of one case (or a common one) and a name
+    that isn't a common word before "at", or "at" would be taken in any sentence.
     """
     for m in _AT_HOST.finditer(text):
         host = m["host"]
         dots = list(_HOST_DOT.finditer(text, m.start("host"), m.end()))
-        if _lower(re.split(r"[\s.]", host, maxsplit=1)[0]) in _NOT_HOSTS or not dots and not _HOST_END.search(host):
+        sure = dots or m["sign"]
+        if _lower(re.split(r"[\s.]", host, maxsplit=1)[0]) in _NOT_HOSTS or not sure and not _HOST_END.search(host):
             continue
         left, parts = m.start(), []
         while True:  # names joined by "dot", from right to left
@@ -233,7 +323,7 @@ def _bare(text: str) -> Iterator[Edit]:
             if start == end:
                 break
             if not parts:
-                if not dots and _lower(text[start:end].rstrip(".,")) in _NOT_NAMES:
+                if not sure and _lower(text[start:end].rstrip(".,")) in _NOT_NAMES:
                     break
                 parts.append(Edit(end, m.start("host"), "@"))
             before = _dot_before(text, start)
@@ -260,13 +350,30 @@ def _dot_before(text: str, at: int) -> int | None:
 
 
 class _Run:
-    """Digits and digit words with separators between them, up to the next thing that is neither."""
+    """Digits and digit words with separators between them, up to the next thing that is neither.
 
-    def __init__(self, start: int):
-        self.start, self.digits, self.dots, self.spelled, self.edits = start, 0, 0, 0, []
+    Edits wait in an array, three numbers each, until the run is sure to count.
+    """
+
+    def __init__(self, text: str, start: int):
+        self.digits = self.dots = self.spelled = self.spaced = 0
+        self.waiting = array("q")
+        at = start
+        while at and text[at - 1].isspace():
+            at -= 1
+        if at < start and _lower(text[max(0, at - 4) : at])[-4:] == "plus" and (at == 4 or not text[at - 5].isalnum()):
+            self.put(at - 4, start, "+")
+
+    def put(self, start: int, end: int, new: str) -> None:
+        self.waiting.extend((start, end, ord(new) if new else -1))
 
-    def counts(self) -> bool:
-        return self.spelled > 0 and (self.digits >= _LEAST_DIGITS or self.dots >= _LEAST_DOTS)
+    def take(self) -> Iterator[Edit]:
+        """The edits that wait, once the run counts."""
+        if self.spelled and (self.digits >= _LEAST_DIGITS or self.dots >= _LEAST_DOTS) or self.spaced and self.dots >= _LEAST_DOTS:
+            for k in range(0, len(self.waiting), 3):
+                start, end, new = self.waiting[k : k + 3]
+                yield Edit(start, end, "" if new < 0 else chr(new))
+            self.waiting = array("q")
 
 
 def _digits(text: str, start: int, end: int) -> tuple[int, list[Edit]] | None:
@@ -288,18 +395,6 @@ def _spelled(text: str) -> Iterator[Edit]:
     """Spelled digits, with the separators between digits taken out and dots between them put in."""
     run: _Run | None = None
     last, dot = 0, False  # where the run ends so far, and whether a word "dot" stands behind it
-
-    def closed() -> list[Edit]:
-        if run is None or not run.counts():
-            return []
-        edits, start = run.edits, run.start
-        at = start
-        while at and text[at - 1].isspace():
-            at -= 1
-        if at < start and _lower(text[max(0, at - 4) : at])[-4:] == "plus" and (at == 4 or not text[at - 5].isalnum()):
-            edits.append(Edit(at - 4, start, "+"))
-        return edits
-
     for m in _CHUNK.finditer(text):
         start, end = m.span()
         got = _digits(text, start, end)
@@ -307,7 +402,6 @@ def _spelled(text: str) -> Iterator[Edit]:
             if run is not None and not dot and end - start == 3 and _lower(m.group()) == "dot" and last < start and text[last:start].isspace():
                 dot, dot_end = True, end
                 continue
-            yield from closed()
             run, dot = None, False
             continue
         if run is not None:
@@ -320,32 +414,29 @@ def _spelled(text: str) -> Iterator[Edit]:
             else:
                 joined = _GAP.fullmatch(text, last, start) is not None
             if not joined:
-                yield from closed()
                 run = None
             else:
                 run.dots += new == "."
                 run.spelled += dot
+                run.spaced += new == "." and text[last].isspace()
                 if text[last:start] != new:
-                    run.edits.append(Edit(last, start, new))
+                    run.put(last, start, new)
         if run is None:
-            run = _Run(start)
+            run = _Run(text, start)
         run.digits += got[0]
         run.spelled += len(got[1])
-        run.edits += got[1]
+        for edit in got[1]:
+            run.put(*edit)
+        yield from run.take()
         last, dot = end, False
-    yield from closed()
 
 
 def rewrite(text: str) -> Mapped:
     """The text with disguises undone: single characters first, then words."""
     plain = Mapped(text)
     if not text.isascii():
-        odd = [Edit(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := _plain(m.group())) != m.group()]
-        if odd:
-            plain.edit(odd)
-    words = [*_bracketed(plain.out), *_bare(plain.out), *_spelled(plain.out)]
-    if words:
-        plain.edit(words)
+        plain.edit(Edit(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := _plain(m.group())) != m.group())
+    plain.edit(merge(_bracketed(plain.out), _underscored(plain.out), sorted(_bare(plain.out)), _spelled(plain.out)))
     return plain
 
 
@@ -358,9 +449,9 @@ def find_spans(text: str) -> tuple[list[Span], list[Span]]:
     # Spans of a kind never overlap: of those that start at or before a place, the last one reaches furthest.
     known = [[s for s in base if s.kind == kind] for kind in range(len(KINDS))]
     for start, kind, end in detect(plain.out):
-        low, high = plain.starts[start], plain.ends[end - 1]
+        low, high, changed = plain.source(start, end)
         # A rewritten character, or one that was left out, is a disguise.
-        if any(plain.changed[start:end]) or high - low > end - start:
+        if changed or high - low > end - start:
             k = bisect_right(known[kind], low, key=lambda s: s.start)
             if not k or known[kind][k - 1].end < high:
                 added.append(Span(low, kind, high))
