@@ -22,16 +22,6 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(kept).alias("place", "link"))
 
 
-def main_text(html: Column) -> Column:
-    """Text of main, or else article, or else the whole page, outside script, style, nav, header and footer, with space collapsed."""
-    whole = [F.nullif(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1), F.lit("")) for tag in ("main", "article", "body")]
-    html = F.coalesce(*whole, html)
-    for tag in ("script", "style", "noscript", "nav", "header", "footer"):
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b.*?</{tag}>", " ")
-    html = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", " "), r"\s+", " "))
-
-
 def schema_of(rows: DataFrame, column: str) -> DataFrame:
     """(path, types) of flat JSON objects: the types that occur at each key, joined by |."""
     pairs = rows.select(F.explode(F.from_json(column, "map<string,string>")).alias("path", "value"))
@@ -93,16 +83,6 @@ def markdown_rows(rows: DataFrame, order: str) -> DataFrame:
     return rows.select(F.col(order).cast("long").alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
-def same_site(pages: DataFrame) -> DataFrame:
-    """(page_id, link, inside): absolute targets of a page, and whether they stay at its host or, either way, a subdomain of it."""
-    scheme, host = F.regexp_extract("url", "^([a-z]+)://", 1), F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
-    based = links(pages).join(pages.select("page_id", scheme.alias("scheme"), host.alias("host")), "page_id")
-    absolute = F.when(F.col("link").rlike("^[a-z]+://"), F.col("link")).when(F.col("link").startswith("/"), F.concat("scheme", F.lit("://"), "host", "link")).otherwise(F.concat("scheme", F.lit("://"), "host", F.lit("/"), "link"))
-    target = F.regexp_extract(absolute, "^[a-z]+://([^/?#]+)", 1)
-    within = (target == F.col("host")) | target.endswith(F.concat(F.lit("."), "host")) | F.col("host").endswith(F.concat(F.lit("."), target))
-    return based.select("page_id", absolute.alias("link"), (absolute.startswith(F.concat("scheme", F.lit("://"))) & within).alias("inside"))
-
-
 def table_cells(pages: DataFrame, tag: str = "li") -> DataFrame:
     """(page_id, place, cell): texts of the elements of a tag, in order, without inner tags."""
     found = F.regexp_extract_all("html", F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))

@@ -182,4 +182,4 @@ def search(index: SearchIndex, queries: DataFrame, k: int = 10, k1: float = 1.5,
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """A search of texts that have no index yet: it is made in the shared folder first."""
-    return search(build(docs, scratch_path(docs.sparkSession, "search-index")), queries, k)
+    return search(build(docs, scratch_path(docs.sparkSession, "search-index"), buckets=16), queries, k)

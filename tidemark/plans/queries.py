@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark import sources, streaming
 from tidemark.functions import text as fn
-from tidemark.operators import documents, graph, logs, search, search_index
+from tidemark.operators import documents, graph, html, logs, search, search_index
 from tidemark.operators.components import connected_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,9 +429,9 @@ def page_links(spark, folder):
     return documents.links(sources.table(spark, folder, "pages"))
 
 
-@query("""WITH w AS (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<main\\b[^>]*>(.*)</main>', 1), ''), nullif(regexp_extract(html, '(?is)<article\\b[^>]*>(.*)</article>', 1), ''), nullif(regexp_extract(html, '(?is)<body\\b[^>]*>(.*)</body>', 1), ''), html) AS html FROM pages) SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?is)<noscript\\b.*?</noscript>', ' ', 'g'), '(?is)<nav\\b.*?</nav>', ' ', 'g'), '(?is)<header\\b.*?</header>', ' ', 'g'), '(?is)<footer\\b.*?</footer>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS main_text FROM w""")
+@query("""WITH w AS (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<main\\b[^>]*>(.*)</main>', 1), ''), nullif(regexp_extract(html, '(?is)<article\\b[^>]*>(.*)</article>', 1), ''), nullif(regexp_extract(html, '(?is)<body\\b[^>]*>(.*)</body>', 1), ''), html) AS html FROM pages) SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?is)<noscript\\b.*?</noscript>', ' ', 'g'), '(?is)<nav\\b.*?</nav>', ' ', 'g'), '(?is)<header\\b.*?</header>', ' ', 'g'), '(?is)<footer\\b.*?</footer>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&') AS main_text FROM w""")
 def page_main_text(spark, folder):
-    return sources.table(spark, folder, "pages").select("page_id", documents.main_text(F.col("html")).alias("main_text"))
+    return html.main_text(sources.table(spark, folder, "pages"))
 
 
 @query("SELECT path, types, n FROM (SELECT key AS path, string_agg(DISTINCT CASE WHEN regexp_matches(v, '^-?\\d+$') THEN 'int' WHEN regexp_matches(v, '^-?\\d+\\.\\d+$') THEN 'float' WHEN v IN ('true', 'false') THEN 'bool' ELSE 'string' END, '|') AS types, count(*) AS n FROM (SELECT key, json_extract_string(props, concat('$.', key)) AS v FROM (SELECT props, unnest(json_keys(props)) AS key FROM events)) GROUP BY key)")

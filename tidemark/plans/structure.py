@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import sources, streaming
 from tidemark.functions.nested import json_leaves
-from tidemark.operators import documents, graph, logs, search
+from tidemark.operators import documents, graph, html, logs, search
 from tidemark.plans.queries import EDGES, FOREIGN_KEYS, KEYS_SQL, QUERIES, RECORDS, SHARES, SQL, STACKED, edges, incidents_sql, query, records, stacked, transitions
 
 __all__ = ["QUERIES", "SQL"]
@@ -178,7 +178,7 @@ HOST = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
 
 @query(f"SELECT p.page_id, CASE WHEN regexp_matches(link, '^[a-z]+://') THEN link WHEN starts_with(link, '/') THEN concat(split_part(url, '://', 1), '://', {HOST}, link) ELSE concat(split_part(url, '://', 1), '://', {HOST}, '/', link) END AS link, NOT regexp_matches(link, '^[a-z]+://') AS inside FROM ({SQL['page_links']}) l JOIN pages p USING (page_id)")
 def page_same_site(spark, folder):
-    return documents.same_site(sources.table(spark, folder, "pages"))
+    return html.links(sources.table(spark, folder, "pages")).select("page_id", "link", "inside")
 
 
 @query(f"SELECT link, count(DISTINCT page_id) AS n, min(page_id) AS first, max(page_id) AS last FROM ({SQL['page_links']}) GROUP BY link")
