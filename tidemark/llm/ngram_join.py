@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.samples import least_count
 from tidemark.llm.wordhash import distinct, hash_texts, mix, shingles
+from tidemark.llm.workers import trim, trimmed
 from tidemark.operators.components import connected_components
 from tidemark.storage import stored
 
@@ -56,6 +57,8 @@ FILTER_BITS = 1 << 26
 SLAB, PAIRS = 4096, 1 << 22
 #: A column counts as dense from this share of all pairs of rows on.
 DENSE = 1 / 32
+#: Values of a group from which on its task trims its memory.
+LARGE = 1 << 18
 #: Bytes of a shuffle's group, and of a block of sets.
 GROUP_BYTES, BLOCK_BYTES = 32 << 20, 8 << 20
 
@@ -143,7 +146,7 @@ def document_sets(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "n_shingles", "set"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(measure, f"doc_id {kind}, n_shingles long, `set` long")
+    return docs.select(doc_id, text).mapInArrow(trimmed(measure), f"doc_id {kind}, n_shingles long, `set` long")
 
 
 def common_grams(docs: DataFrame, size: int, text: str, rows: int, least: int = 8) -> np.ndarray:
@@ -174,7 +177,7 @@ def common_grams(docs: DataFrame, size: int, text: str, rows: int, least: int =
         often = times > 2
         return pa.record_batch({"gram": pa.array(grams[often].view(np.int64)), "n": pa.array(times[often])})
 
-    counts = docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = docs.select(text).mapInArrow(trimmed(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counts = stored(counts.where(F.col("n") >= least), "gram-counts")
     kept = counts.where(F.col("n") >= least_count(counts, rows)).select("gram").toPandas()
     return np.sort(kept["gram"].to_numpy(np.int64).view(np.uint64))
@@ -239,9 +242,11 @@ def candidate_edges(docs: DataFrame, sets: DataFrame, size: int, percent: int, t
         value, owner = _undealt(rows["cells"])
         _, _, pairs = _firsts(value.view(np.uint64), owner)
         pairs = _distinct_pairs(np.concatenate([pairs, np.stack(_undealt(rows["edges"]))], axis=1))
+        if len(value) > LARGE:
+            trim()
         return pd.DataFrame({"src": pairs[0], "dst": pairs[1]})
 
-    sent_rows = docs.select(text).mapInArrow(send, "bucket int, cells binary, edges binary").repartition(buckets, "bucket")
+    sent_rows = docs.select(text).mapInArrow(trimmed(send), "bucket int, cells binary, edges binary").repartition(buckets, "bucket")
     return sent_rows.groupBy("bucket").applyInPandas(meet, "src long, dst long").distinct()
 
 
@@ -299,7 +304,7 @@ def sets_in(docs: DataFrame, nodes: DataFrame, size: int, text: str) -> DataFram
                     ids, grams, held = [], [], 0
             yield pa.record_batch({"node": pa.array(ids, pa.int64()), "grams": pa.array(grams, pa.binary())})
 
-    return docs.select(text).mapInArrow(pick, "node long, grams binary")
+    return docs.select(text).mapInArrow(trimmed(pick), "node long, grams binary")
 
 
 def link_product(rows: list[np.ndarray], percent: int, split: int | None = None) -> np.ndarray:
@@ -408,6 +413,8 @@ def linked_sets(grams: DataFrame, near: DataFrame, percent: int, block: int) ->
             if len(ids) < 2 or split in (0, len(ids)):
                 continue
             found += forest(link_product(sets, percent, split), ids, split)
+        if sum(map(len, rows["grams"])) > 8 * LARGE:
+            trim()
         return pd.DataFrame(found, columns=["src", "dst"]).astype("int64")
 
     tasks = _groups(near, small + sent, GROUP_BYTES)

@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.workers import trimmed
+
 
 MARK = "▁"
 #: In place of a bucket: the row with the buckets of a slab's chunks, and rows of its texts, which come last.
@@ -172,7 +174,7 @@ def _slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
         at = upto
 
 
-def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep_ids: bool = False, slab_bytes: int = 24 << 20, held: int = 2_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep_ids: bool = False, slab_bytes: int = 16 << 20, held: int = 1_000_000) -> DataFrame:
     """``docs`` without ``text``, with n_tokens, ids_sha256, decoded_sha256 and, on request, ids and decoded.
 
     ids_sha256 is the digest of the decimal ids joined by commas, decoded_sha256 that of the
@@ -265,8 +267,8 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep_ids
 
     # Both passes read the same columns, or a shuffle above could deal rows differently.
     read = docs.select(*[F.col(f"`{n}`") for n in names], F.col(text))
-    cells = read.mapInArrow(cut_cells, T.StructType(keys)).repartition(buckets, "__bucket").mapInArrow(segment, T.StructType(keys))
-    texts = read.mapInArrow(cut_texts, T.StructType([*others, *keys]))
+    cells = read.mapInArrow(trimmed(cut_cells), T.StructType(keys)).repartition(buckets, "__bucket").mapInArrow(trimmed(segment), T.StructType(keys))
+    texts = read.mapInArrow(trimmed(cut_texts), T.StructType([*others, *keys]))
     both = texts.unionByName(cells.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in others], "__slab", "__bucket", "__data"))
     met = both.repartition(max(least, (total >> 25) + 1), "__slab").sortWithinPartitions("__slab", "__bucket")
-    return met.mapInArrow(join, T.StructType([*others, *added]))
+    return met.mapInArrow(trimmed(join), T.StructType([*others, *added]))
