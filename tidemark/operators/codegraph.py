@@ -170,6 +170,50 @@ def resolved_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
     return kept.where("src <> dst").join(known, ["src", "dst"], "left_anti")
 
 
+def _external_module(dst: Column) -> Column:
+    """The module of ``external::module`` or ``repo::external::module``, null for other ids."""
+    return F.when(dst.startswith("external::"), F.expr("substring(dst, 11)")).when(F.contains(dst, F.lit("::external::")), F.regexp_extract(dst, r"(?s)^.*?::external::(.*)$", 1))
+
+
+def cross_repo_imports(nodes: DataFrame, edges: DataFrame, hints: DataFrame) -> DataFrame:
+    """(src, dst, relation, confidence, resolved_from, hint_prefix): imports of outer modules that stand for one file or class of another repository.
+
+    ``nodes``: (id, repo, language) of merged repositories; ``hints``: (prefix, repo), of which the longest that a module starts with, by
+    whole segments, names the repository; it must be one of the graph and not the import's own. The file is the only one there among
+    those that the module may stand for; failing that, the class is the only one there of the module's last name. Of several
+    imports that lead to one target the first by module counts.
+    """
+    of_nodes = nodes.select("id", F.nullif(F.trim("repo"), F.lit("")).alias("repo"), F.coalesce("language", F.lit("mixed")).alias("told"))
+    asked = edges.where("relation = 'IMPORTS'").select("src", "dst", F.coalesce("confidence", F.lit(0.75)).alias("confidence"), _external_module(F.col("dst")).alias("module"))
+    asked = asked.where("module IS NOT NULL AND module <> '' AND module <> '*' AND NOT startswith(module, 'relative::') AND NOT endswith(module, '.*') AND NOT contains(module, '::*')")
+    own = asked.join(of_nodes.where("repo IS NOT NULL"), F.col("src") == F.col("id")).drop("id")
+    parts = F.split("module", r"\.")
+    probed = own.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))))
+    known = hints.select(F.trim("prefix").alias("prefix"), F.trim(F.col("repo")).alias("target")).where("prefix <> '' AND target <> ''")
+    hit = probed.join(known, "prefix").groupBy("src", "dst", "module", "repo", "told").agg(F.max("confidence").alias("confidence"), F.max_by(F.struct("prefix", "target"), F.struct(F.length("prefix"), "target")).alias("h"))
+    led = hit.select("src", "dst", "module", "told", "confidence", "h.prefix", "h.target", "repo").where("target <> repo").drop("repo")
+    led = led.join(of_nodes.select(F.col("repo").alias("target")).where("target IS NOT NULL").distinct(), "target", "left_semi")
+
+    path = F.regexp_extract("src", "(?s)::file:(.*)$", 1)
+    lang = F.when(path != "", language(path)).otherwise(F.col("told"))
+    java = (lang == "java") | (lang == "mixed") & F.contains("module", F.lit(".")) & ~F.contains("module", F.lit("/")) & ~F.endswith("module", F.lit(".py"))
+    base = F.replace(F.substring_index("module", "$", 1), F.lit("."), F.lit("/"))
+    outer = F.when(java, F.array(F.concat(base, F.lit(".java")), F.concat(base, F.lit(".kt")))).otherwise(F.array().cast("array<string>"))
+    plain = lambda column: F.coalesce(column, F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(outer, plain(module_files(F.col("module"), F.when(lang == "mixed", "python").otherwise(lang))), plain(module_files(F.col("module"), F.lit("typescript")))))
+    files = nodes.where("contains(id, '::file:')").select(F.col("id").alias("found"), F.substring_index("id", "::file:", 1).alias("target"), F.replace(F.regexp_extract("id", "(?s)^.*?::file:(.*)$", 1), F.lit("\\"), F.lit("/")).alias("path"))
+    keys = ["src", "dst"]
+    by_file = led.withColumn("path", F.explode(every)).join(files, ["target", "path"]).groupBy(*keys).agg(F.countDistinct("found").alias("n"), F.min("found").alias("found")).where("n = 1").drop("n")
+    # A class is asked for by its last name where no single file was found.
+    simple = F.when(~F.contains("module", F.lit("/")) & ~F.startswith("module", F.lit("@")) & F.contains("module", F.lit(".")), F.substring_index("module", ".", -1))
+    classes = nodes.where("id LIKE '%::class:%'").select(F.col("id").alias("class"), F.substring_index("id", "::class:", 1).alias("target"), F.substring_index("id", "::", -1).alias("simple")).distinct()
+    rest = led.join(by_file, keys, "left_anti").withColumn("simple", simple).join(classes, ["target", "simple"])
+    by_class = rest.groupBy(*keys).agg(F.count("*").alias("n"), F.min("class").alias("found")).where("n = 1").drop("n")
+    ends = led.join(by_file.unionByName(by_class), keys).groupBy("src", "found").agg(F.min_by(F.struct("confidence", "dst", "prefix"), F.struct("module", "dst")).alias("e"))
+    told = F.round(F.least(F.lit(0.95), F.col("e.confidence") + 0.05), 6)
+    return ends.select("src", F.col("found").alias("dst"), F.lit("CROSS_REPO_IMPORT").alias("relation"), told.alias("confidence"), F.col("e.dst").alias("resolved_from"), F.col("e.prefix").alias("hint_prefix"))
+
+
 def in_repo(frame: DataFrame, repo: str, columns: list[str]) -> DataFrame:
     """``frame`` with ids written ``repo::id``, where they aren't yet, and the repo's name."""
     own = lambda c: F.when(F.col(c).startswith(repo + "::"), F.col(c)).otherwise(F.concat(F.lit(repo + "::"), c))

@@ -17,7 +17,7 @@ LOGBACK = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)[.,]\d{3} \[[^\]]*\] ([A-Z]+)\s+(\S
 FAILURES = ("ERROR", "FATAL")
 
 
-def _structured(text: Column, patterns: tuple[str, ...], group: int) -> Column:
+def structured(text: Column, patterns: tuple[str, ...], group: int) -> Column:
     """A group of the first pattern that fits, empty if none does."""
     return F.coalesce(*[F.when(text.rlike(p), F.regexp_extract(text, p, group)) for p in patterns], F.lit(""))
 
@@ -28,7 +28,7 @@ def _opened(lines: DataFrame, patterns: tuple[str, ...], block: int) -> DataFram
     A file is cut into blocks of ``block`` lines, each with a window of its own; a block's first lines
     take the last opening line of the blocks before, of which there is one number a block.
     """
-    opens = _structured(F.col("text"), patterns, 2) != ""
+    opens = structured(F.col("text"), patterns, 2) != ""
     marked = lines.withColumn("opens", opens).withColumn("block", F.floor(F.col("line") / block))
     start = F.when(F.col("opens"), F.col("line"))
     blocks = marked.groupBy("file", "block").agg(F.max(start).alias("last"))
@@ -54,7 +54,7 @@ def sessionize(lines: DataFrame, patterns: tuple[str, ...] = (LINE, LOGBACK), bl
     stack = F.array_sort(F.collect_list(F.when(~F.col("opens") & fn.is_stack_line(F.col("text")), part)))
     rest = F.array_sort(F.collect_list(F.when(~F.col("opens") & ~fn.is_stack_line(F.col("text")), part)))
     whole = marked.groupBy("file", "record").agg(F.min("line").alias("line"), F.min_by("text", "line").alias("head"), stack.alias("stack"), rest.alias("rest"))
-    head = [_structured(F.col("head"), patterns, k) for k in (1, 2, 3, 4)]
+    head = [structured(F.col("head"), patterns, k) for k in (1, 2, 3, 4)]
     joined = F.array_join(F.concat(F.array(head[3]), F.transform("rest", lambda x: x["text"])), "\n")
     stacktrace = F.nullif(F.array_join(F.transform("stack", lambda x: x["text"]), "\n"), F.lit(""))
     return whole.select("file", F.col("line").cast("long").alias("line"), head[0].alias("ts_text"), head[1].alias("level"), head[2].alias("logger"), joined.alias("message"), stacktrace.alias("stacktrace"))

@@ -8,6 +8,9 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidemark.storage import stored
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +36,21 @@ def split_lines(spark: SparkSession, path: str, suffixes: str = "log,txt") -> Da
     return lines.select(F.col("_metadata.file_path").alias("file"), place.alias("line"), F.col("value").alias("text"))
 
 
+def numbered_lines(spark: SparkSession, path: str, suffixes: str = "log,txt") -> DataFrame:
+    """(file, line, text) where a large file is read by several tasks, and lines count from 1 by ones in each file.
+
+    A first pass counts the lines of each part of a file; sums over the parts before give each its first number. Both
+    passes split the files alike, which must stay as they are meanwhile. A file of any size needs no task of its own, and
+    no line is moved.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + suffixes + "}").text(path)
+    rows = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("text"))
+    parts = stored(rows.groupBy("file", "start").agg(F.min("place").alias("first"), F.count("*").alias("n")), "line-counts")
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("file", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return rows.join(offsets, ["file", "start"]).select("file", (F.col("place") + F.col("shift")).alias("line"), "text")
+
+
 # Names of the fields of a JSON log line, in the order in which they count.
 LOG_FIELDS = {
     "level": ["level", "severity", "severityText", "log.level", "level.name", "level.severity"],
@@ -50,14 +68,15 @@ def json_log(raw: DataFrame, column: str) -> DataFrame:
 
     The level is INFO by default and in capitals; user and ip are put behind the message. Lines that are no JSON object are left out.
     """
-    lines = raw.where(F.trim(column).startswith("{") & F.try_parse_json(column).isNotNull())
-    held = lambda p: F.get_json_object(column, f"${p}" if p.startswith("[") else f"$.{p}")
+    # A line is parsed once; all names are looked up in what it holds.
+    lines = raw.withColumn("__held", F.when(F.trim(column).startswith("{"), F.try_parse_json(column))).where("__held IS NOT NULL")
+    held = lambda p: F.try_variant_get("__held", f"${p}" if p.startswith("[") else f"$.{p}", "string")
     plain = lambda p: F.when(~F.coalesce(held(p), F.lit("")).startswith("{"), F.nullif(held(p), F.lit("")))
     got = {name: F.coalesce(*map(plain, paths)) for name, paths in LOG_FIELDS.items()}
     behind = [F.concat(F.lit(f"{name}="), got[name]) for name in ("user", "ip")]
     got["message"] = F.concat_ws(" ", F.nullif(F.trim(got["message"]), F.lit("")), *behind)
     got["level"] = F.upper(F.coalesce(got["level"], F.lit("INFO")))
-    return lines.select("*", *[c.alias(name) for name, c in got.items()])
+    return lines.select(*raw.columns, *[c.alias(name) for name, c in got.items()])
 
 
 def span_files(spark: SparkSession, path: str) -> DataFrame:
