@@ -195,11 +195,6 @@ def test_clusters(spark):
     assert [r["features"].numNonzeros() for r in learning.tf_idf(docs).orderBy("doc_id").collect()] == [1, 1, 0]
 
 
-def test_long_chain(spark):
-    edges = spark.createDataFrame([(f"n{k:03}", f"n{k + 1:03}") for k in range(80)], "src string, dst string")
-    assert graph.descendants(edges, spark.createDataFrame([("n000",)], "node string")).count() == 80
-
-
 def test_sections_and_footers(spark):
     text = "---\na: b\n---\nintro\n## One\nx\n## Two\ny"
     got = documents.sections(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("section").collect()

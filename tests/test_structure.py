@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.code import call_edges, python_symbols
 from tidemark.functions.nested import json_leaves
-from tidemark.operators import documents, graph, html, logs, search
+from tidemark.operators import codegraph, documents, graph, html, logs, search
 from tidemark.sources.archives import archive_members, decoded
 
 
@@ -66,6 +66,27 @@ def test_lines(spark):
     assert [r[0] for r in times] == ["0:00:00.000", "1:02:03.004"]
 
 
+def test_hints_and_tags(spark):
+    asked = {"who calls `a.b` or `c`": "c", "impact for `x y`": "x y", "impact FOR m :: n now": "m :: n", "called by 'q'": "q", "called by Svc.run today": "Svc.run", "what is affected downstream of the Parser": "Parser", "show me the calls": None, "": None}
+    got = spark.createDataFrame([(q,) for q in asked], "q string").select("q", codegraph.target_hint(F.col("q")).alias("h")).collect()
+    assert {r["q"]: r["h"] for r in got} == asked
+    rows = spark.createDataFrame([(1, "ERROR", "plain", "java.net: connection refused"), (2, "INFO", "timed out", None)], "line long, level string, message string, stacktrace string")
+    assert {r["line"]: r["tags"] for r in logs.tagged(rows).collect()} == {1: "network", 2: "timeout"}
+
+
+def test_cross_repo_imports(spark):
+    nodes = [("aa::file:app/main.py", "aa", "python"), ("aa::file:J.java", "aa", "java"), ("aa::x", "aa", None), ("aa::external::com.other.util", None, None), ("bb::file:com/other/util.py", "bb", "python")]
+    nodes += [("bb::file:com/other/twice.py", "bb", None), ("bb::file:com/other/twice/__init__.py", "bb", None), ("bb::class:p/T.java::Thing", "bb", "java"), ("bb::class:a::Two", "bb", "java"), ("bb::class:b::Two", "bb", "java"), ("bb::file:com/other/K.kt", "bb", "kotlin"), ("lone", " ", None)]
+    main, java = "aa::file:app/main.py", "aa::file:J.java"
+    edges = [(main, "aa::external::com.other.util", "IMPORTS", 0.8), (main, "external::com.other.twice", "IMPORTS", 0.8), (java, "aa::external::com.other.deep.Thing", "IMPORTS", 0.99), (java, "external::com.other.Two", "IMPORTS", None)]
+    edges += [(java, "external::com.other.K$Inner", "IMPORTS", None), (main, "external::com.otherwise", "IMPORTS", 0.8), (main, "external::com.other.*", "IMPORTS", 0.8), (main, "external::relative::com.other.util", "IMPORTS", 0.8), (main, "external::own.util", "IMPORTS", 0.8), (main, "external::com.gone.util", "IMPORTS", 0.8), (main, "bb::file:com/other/util.py", "CALLS", 0.8), ("lone", "external::com.other.util", "IMPORTS", 0.8)]
+    hints = [("com.other", "bb"), ("own", "aa"), ("com.gone", "cc"), (" ", "bb"), ("com", "aa")]
+    got = codegraph.cross_repo_imports(spark.createDataFrame(nodes, "id string, repo string, language string"), spark.createDataFrame(edges, "src string, dst string, relation string, confidence double"), spark.createDataFrame(hints, "prefix string, repo string")).collect()
+    assert sorted((r["src"], r["dst"], r["relation"], r["confidence"], r["hint_prefix"]) for r in got) == [
+        (java, "bb::class:p/T.java::Thing", "CROSS_REPO_IMPORT", 0.95, "com.other"), (java, "bb::file:com/other/K.kt", "CROSS_REPO_IMPORT", 0.8, "com.other"), (main, "bb::file:com/other/util.py", "CROSS_REPO_IMPORT", 0.85, "com.other"),
+    ]
+
+
 def test_same_site(spark):
     pages = spark.createDataFrame([(1, "https://a.example/x", '<a href="/y#f">1</a><a href="https://m.a.example/z">2</a><a href="http://a.example/">3</a><a href="https://ba.example/">4</a><a href="q">5</a>'), (2, None, None)], "page_id long, url string, html string")
     got = {r["link"]: r["inside"] for r in html.links(pages).collect()}

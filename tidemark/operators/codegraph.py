@@ -31,7 +31,7 @@ ROLES = (
     ("controller", "controller layer"), ("service", "service layer"), ("repository", "repository / persistence"), ("repo", "repository / persistence"),
     ("handler", "handler"), ("consumer", "consumer"), ("producer", "producer"), ("listener", "event listener"),
 )
-#: Questions in words: intents by the words that show them, the first that fits counts.
+# Questions in words, intents by the words that show them; the first that fits counts.
 INTENTS = (
     ("called_by", ("called by", "who calls")),
     ("impact", ("impact", "affected", "downstream")),
@@ -369,10 +369,19 @@ def intent(question: Column) -> Column:
     return out
 
 
+#: Intents that are about a symbol.
+ABOUT_SYMBOLS = ("called_by", "impact", "references")
+# Where a question names its symbol, in the order in which they count, and words that are no names.
+HINTS = (r"(?i)for\s+`([^`]+)`", r"(?i)for\s+['\"]([^'\"]+)['\"]", r"(?i)for\s+([\w.]+(?:\s*::\s*[\w.]+)?)", r"(?i)by\s+`([^`]+)`", r"(?i)by\s+['\"]([^'\"]+)['\"]", r"(?i)by\s+([\w.]+)")
+NO_NAMES = ("the", "a", "an", "for", "to", "of", "in", "on", "by", "is", "are", "what", "which", "who", "how", "find", "show", "list", "get", "me", "methods", "method", "flows", "flow", "calls", "call")
+
+
 def target_hint(question: Column) -> Column:
-    """The name that a question is about: what follows ``for`` or ``by``, or stands in back quotes."""
-    patterns = (r"(?i)\bfor\s+[`'\"]([^`'\"]+)[`'\"]", r"(?i)\bfor\s+([\w.]+(?:::[\w.]+)?)", r"(?i)\bby\s+[`'\"]([^`'\"]+)[`'\"]", r"(?i)\bby\s+([\w.]+)", r"`([^`]+)`")
-    return F.coalesce(*[F.nullif(F.regexp_extract(question, p, 1), F.lit("")) for p in patterns])
+    """The name that a question is about: what follows ``for`` or ``by``, or else stands last in back quotes, or else is its last word that may be a name."""
+    said = [F.nullif(F.trim(F.regexp_extract(question, p, 1)), F.lit("")) for p in HINTS]
+    quoted = F.trim(F.try_element_at(F.regexp_extract_all(question, F.lit("`([^`]+)`"), F.lit(1)), F.lit(-1)))
+    words = F.filter(F.regexp_extract_all(question, F.lit(r"(?U)[\w.]+"), F.lit(0)), lambda w: ~F.lower(w).isin(*NO_NAMES) & (F.length(w) > 1))
+    return F.coalesce(*said, quoted, F.try_element_at(words, F.lit(-1)))
 
 
 def resolved_hints(hints: DataFrame, symbols: DataFrame, n: int = 50) -> DataFrame:

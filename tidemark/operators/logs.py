@@ -191,9 +191,10 @@ def capped_by_level(records: DataFrame, cap: int = 5000) -> DataFrame:
 
 
 def tagged(records: DataFrame) -> DataFrame:
-    """Records with the names of the patterns and classes that their messages match."""
+    """Records with the names of the patterns that their messages and stacks match, and the classes that their messages match."""
     text = F.col("message")
-    return records.select("line", F.array_join(fn.tags(text, fn.PATTERN_TAGS), ",").alias("tags"), F.array_join(fn.tags(text, fn.CLASSES), ",").alias("classes"), fn.severity_rank(F.col("level")).alias("rank"))
+    whole = F.concat_ws("\n", "message", "stacktrace") if "stacktrace" in records.columns else text
+    return records.select("line", F.array_join(fn.tags(whole, fn.PATTERN_TAGS), ",").alias("tags"), F.array_join(fn.tags(text, fn.CLASSES), ",").alias("classes"), fn.severity_rank(F.col("level")).alias("rank"))
 
 
 # What names another service in a message.

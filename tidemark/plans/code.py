@@ -289,7 +289,7 @@ QUESTION = "CASE p_partkey % 6 WHEN 0 THEN concat('Who calls `m', p_partkey, '`?
 def graph_questions(spark, folder):
     """Questions in words: what they ask for, and of which symbol."""
     asked = sources.table(spark, folder, "part").select(F.col("p_partkey").alias("question"), F.expr(QUESTION).alias("t"))
-    asked = asked.select("question", codegraph.intent(F.col("t")).alias("intent"), codegraph.target_hint(F.col("t")).alias("hint"))
+    asked = asked.select("question", codegraph.intent(F.col("t")).alias("intent"), F.when(codegraph.intent(F.col("t")).isin(*codegraph.ABOUT_SYMBOLS), codegraph.target_hint(F.col("t"))).alias("hint"))
     found = codegraph.resolved_hints(asked.where("hint IS NOT NULL").select("question", "hint"), symbols(spark, folder))
     return asked.join(found, "question", "left").select("question", "intent", "hint", "node")
 
