@@ -66,6 +66,20 @@ def test_lines(spark):
     assert [r[0] for r in times] == ["0:00:00.000", "1:02:03.004"]
 
 
+def test_reach_counts(spark):
+    pairs = [(f"n{k}", f"n{k + 1}") for k in range(70)] + [("n70", "n60"), ("n5", "x"), ("x", "n5"), ("y", "y")]
+    seeds = [f"n{k}" for k in range(71)] + ["y", "absent"]
+    got = graph.reach_counts(edges(spark, *pairs), seeds)
+    want = {}
+    for s in seeds:
+        found, front = {s}, [s]
+        while front:
+            front = [b for a, b in pairs if a in front and b not in found]
+            found |= set(front)
+        want[s] = len(found) - 1
+    assert got == want and graph.reach_counts(edges(spark, *pairs), []) == {}
+
+
 def test_hints_and_tags(spark):
     asked = {"who calls `a.b` or `c`": "c", "impact for `x y`": "x y", "impact FOR m :: n now": "m :: n", "called by 'q'": "q", "called by Svc.run today": "Svc.run", "what is affected downstream of the Parser": "Parser", "show me the calls": None, "": None}
     got = spark.createDataFrame([(q,) for q in asked], "q string").select("q", codegraph.target_hint(F.col("q")).alias("h")).collect()

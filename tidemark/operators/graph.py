@@ -47,6 +47,31 @@ def descendants(edges: DataFrame, seeds: DataFrame, depth: int | None = None) ->
     return reach(edges, seeds, depth).where("node <> seed")
 
 
+#: Seeds in a number of a mask.
+_BITS = 62
+
+
+def reach_counts(edges: DataFrame, seeds: list[str]) -> dict[str, int]:
+    """How many other nodes each of a few hundred seeds reaches.
+
+    A node carries one mask of the seeds that reach it, which is or-ed along the edges until no bit is new: a row a node, whatever the number of seeds.
+    """
+    spark, masks = edges.sparkSession, [f"m{k}" for k in range(-(-len(seeds) // _BITS))]
+    if not seeds:
+        return {}
+    step = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    start = [(seed, *[1 << at % _BITS if at // _BITS == k else 0 for k in range(len(masks))]) for at, seed in enumerate(seeds)]
+    seen = front = cut(spark.createDataFrame(start, ", ".join(["node string", *[f"{m} long" for m in masks]])))
+    while not front.isEmpty():
+        flow = front.join(step, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(*[F.bit_or(m).alias(m) for m in masks])
+        known = seen.select("node", *[F.col(m).alias(f"old_{m}") for m in masks])
+        fresh = flow.join(known, "node", "left").select("node", *[F.col(m).bitwiseAND(F.bitwise_not(F.coalesce(f"old_{m}", F.lit(0).cast("long")))).alias(m) for m in masks])
+        front = cut(fresh.where(" OR ".join(f"{m} <> 0" for m in masks)))
+        seen = cut(seen.unionByName(front).groupBy("node").agg(*[F.bit_or(m).alias(m) for m in masks]))
+    counts = seen.agg(*[F.sum(F.shiftright(F.col(masks[at // _BITS]), at % _BITS).bitwiseAND(F.lit(1).cast("long"))).alias(f"n{at}") for at in range(len(seeds))]).first()
+    return {seed: counts[at] - 1 for at, seed in enumerate(seeds)}
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 

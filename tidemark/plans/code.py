@@ -254,9 +254,9 @@ def code_flow_tree(spark, folder):
     return codegraph.flow_tree(steps, "view", 3)
 
 
-@query(f"SELECT node, CAST(place AS INTEGER) AS place, concat('- `', dst, '` (', relation, ')') AS line FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY relation, dst) AS place FROM (SELECT DISTINCT src AS node, coalesce(relation, 'CALLS') AS relation, dst FROM ({CALLS}))) WHERE place <= 4")
+@query(f"SELECT node, CAST(place AS INTEGER) AS place, concat('- `', dst, '` (', relation, ')') AS line FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY relation, dst) AS place FROM (SELECT DISTINCT src AS node, coalesce(relation, 'CALLS') AS relation, dst FROM ({CALLS}))) WHERE place <= 20")
 def code_dependency_bullets(spark, folder):
-    return codegraph.dependency_bullets(calls(spark, folder), 4)
+    return codegraph.dependency_bullets(calls(spark, folder), 20)
 
 
 @query(f"WITH n AS (SELECT id FROM ({SYMBOLS}) ORDER BY id LIMIT 40) SELECT src, dst, relation, condition FROM ({CALLS}) WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)")
@@ -294,11 +294,11 @@ def graph_questions(spark, folder):
     return asked.join(found, "question", "left").select("question", "intent", "hint", "node")
 
 
-@query(f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({CALLS}) WHERE src <> dst), d AS (SELECT src AS node FROM ({CALLS}) WHERE src <> dst GROUP BY src ORDER BY count(*) DESC, src LIMIT 30), w AS (SELECT node AS seed, node FROM d UNION SELECT w.seed, e.dst FROM w JOIN e ON e.src = w.node) SELECT seed, count(*) - 1 AS n_reached FROM w GROUP BY seed HAVING n_reached > 0 ORDER BY n_reached DESC, seed LIMIT 10")
+@query(f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({CALLS}) WHERE src <> dst), d AS (SELECT src AS node FROM ({CALLS}) WHERE src <> dst GROUP BY src ORDER BY count(*) DESC, src LIMIT 300), w AS (SELECT node AS seed, node FROM d UNION SELECT w.seed, e.dst FROM w JOIN e ON e.src = w.node) SELECT seed, count(*) - 1 AS n_reached FROM w GROUP BY seed HAVING n_reached > 0 ORDER BY n_reached DESC, seed LIMIT 10")
 def graph_top_impacted(spark, folder):
-    """Of the thirty symbols that call most, those whose change reaches most."""
+    """Of the 300 symbols that call most, those whose change reaches most."""
     links = calls(spark, folder).where("src <> dst")
-    return codegraph.top_impacted(links, links.select(F.col("src").alias("node")).distinct(), candidates=30)
+    return codegraph.top_impacted(links, links.select(F.col("src").alias("node")).distinct())
 
 
 @query("SELECT l_orderkey AS src, l_partkey AS dst, string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) AS conditions, min(l_discount) AS confidence, bool_or(l_linestatus = 'O') AS is_async, count(*) AS n FROM lineitem GROUP BY ALL")

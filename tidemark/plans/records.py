@@ -137,11 +137,11 @@ def log_cross_source(spark, folder):
 @query(
     f"""WITH r AS ({RECORDS}), c AS (SELECT level, count(*) AS n FROM r GROUP BY level), k AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY line, file) AS place FROM r)
     SELECT 'summary.md' AS name, concat('# Levels', chr(10), chr(10), string_agg(concat('- ', level, ': ', n), chr(10) ORDER BY n DESC, level)) AS text FROM c
-    UNION ALL SELECT concat('raw/', lower(level), '.md'), concat('# ', level, chr(10), chr(10), string_agg(concat('- ', message), chr(10) ORDER BY place) FILTER (place <= 50), CASE WHEN count(*) > 50 THEN concat(chr(10), chr(10), count(*) - 50, ' more') ELSE '' END) FROM k GROUP BY level"""
+    UNION ALL SELECT concat('raw/', lower(level), '.md'), concat('# ', level, chr(10), chr(10), string_agg(concat('- ', message), chr(10) ORDER BY place) FILTER (place <= 5000), CASE WHEN count(*) > 5000 THEN concat(chr(10), chr(10), count(*) - 5000, ' more') ELSE '' END) FROM k GROUP BY level"""
 )
 def log_markdown_tree(spark, folder):
     """Documents of a report: the counts, and the first records of each level."""
-    return sinks.markdown_tree(records(spark, folder), cap=50)
+    return sinks.markdown_tree(records(spark, folder), cap=5000)
 
 
 @query("SELECT user_id, event_type AS kind, substr(props, 1, 4) AS detail, min(event_id) AS first_event FROM events GROUP BY ALL")
