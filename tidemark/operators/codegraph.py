@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from tidemark.operators import graph
 from tidemark.operators.tables import language
-from tidemark.storage import cut
+from tidemark.storage import cut, stored
 
 # Kinds of paths, the first that fits counts; ranks of entries; roles by a word of the name.
 PATH_KINDS = (
@@ -128,11 +128,20 @@ def symbols_in(symbols: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def best_callees(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(call, callee) of each call of (call, label, file_path): of the symbols whose name is the label, one of the same file, then the shortest, then the first id."""
-    named = symbols.select(F.col("id").alias("callee"), F.col("method_name").alias("label"), F.col("file_path").alias("in_file"))
-    found = calls.join(named, "label")
-    same = F.when(F.col("in_file") == F.col("file_path"), 2).otherwise(0) + F.when(symbol_tail(F.col("callee")) == F.col("label"), 1).otherwise(0)
-    return found.groupBy("call").agg(F.min(F.struct(-same, F.length("callee"), "callee"))["callee"].alias("callee"))
+    """(call, callee) of each call of (call, label, file_path): of the symbols whose name is the label, one of the same file, then the shortest, then the first id.
+
+    One of the same file goes before all others, so that the best symbol of each label and of each label and file will do; a call never meets all symbols of its name.
+    """
+    tail = F.when(symbol_tail(F.col("id")) == F.col("method_name"), 1).otherwise(0)
+    named = symbols.select(F.col("method_name").alias("label"), F.col("file_path").alias("in_file"), F.struct((-tail).alias("score"), F.length("id").alias("size"), F.col("id").alias("callee")).alias("best"))
+    in_files = stored(named.groupBy("label", "in_file").agg(F.min("best").alias("here")), "best-of-files")
+    anywhere = in_files.groupBy("label").agg(F.min("here").alias("best"))
+    asked = calls.select("label", "file_path").distinct().join(anywhere, "label")
+    known = asked.join(in_files.withColumnRenamed("label", "name"), (F.col("label") == F.col("name")) & (F.col("file_path") == F.col("in_file")), "left")
+    top = F.when(F.col("here").isNotNull(), F.struct((F.col("here.score") - 2).alias("score"), "here.size", "here.callee")).otherwise(F.col("best"))
+    known = known.select(F.col("label").alias("name"), F.col("file_path").alias("from_file"), top.alias("top"))
+    found = calls.join(known, (F.col("label") == F.col("name")) & F.col("file_path").eqNullSafe(F.col("from_file")))
+    return found.groupBy("call").agg(F.min("top")["callee"].alias("callee"))
 
 
 def expanded_modules(imports: DataFrame, aliases: DataFrame) -> DataFrame:
