@@ -3,9 +3,7 @@
 import random
 import re
 
-from pyspark.sql import functions as F
-
-from tidemark.operators import codegraph
+from tidemark.operators import codegraph, modularity
 
 
 def rows_made(spark, run):
@@ -41,3 +39,18 @@ def test_best_callees_meet_no_whole_names(spark):
     got, made = rows_made(spark, run)
     assert {r["call"]: r["callee"] for r in got} == {c: rank[2] for c, rank in want.items()} and len(got) == len(want)
     assert len(symbols) <= made <= len(symbols) + len(calls)
+
+
+def test_a_pass_of_modularity_is_two_executions(spark):
+    rng = random.Random(5)
+    pairs = [(f"b{rng.randrange(20)}", f"t{rng.randrange(40)}") for _ in range(900)]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def executions(passes):
+        before = store.executionsCount()
+        modularity.communities(edges, passes=passes, levels=1)
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        return store.executionsCount() - before
+
+    assert executions(6) - executions(2) <= 2 * 4
