@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.storage import cut
+from tidemark.operators import spread
+from tidemark.storage import stored
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -13,23 +14,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Alternates large-star and small-star steps, which need a number of rounds that grows with the
     logarithm of the graph's size, and whose edges never outnumber the given ones.  Null ends
-    and loops carry no edge; a node with a loop only is its own component.
+    and loops carry no edge; a node with a loop only is its own component.  Tasks are as many as the edges
+    ask for, and the edges of one node are never sorted in one task.
     """
     given = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-    given = cut(given.distinct())  # the edges may be dear to compute
+    given = stored(given.distinct(), "components-given")  # the edges may be dear to compute
     loops = given.where("u = v").select(F.col("u").alias("node"))
     pairs = given.where("u <> v")
     before = None
     while (state := _state(pairs)) != before:
         before = state
+        n = spread.tasks(pairs, 2 * state[0])
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        around = stored(spread.least(both, "u", "v", n).select("u", F.least("u", "m").alias("m"), "n"), "components-least")
         # Large star: neighbours above a node go to the smallest one around it.
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = spread.with_least(both.where("v > u"), around, "u", n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = stored(large.repartition(n, "u", "v").distinct(), "components-large")
         # Small star: a node and its neighbours below go to the smallest of them.
-        below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.select("u", F.col("m").alias("v")))
-        pairs = cut(small.where("u <> v").distinct())
+        below = stored(spread.least(large, "u", "v", n), "components-below")
+        small = spread.with_least(large, below, "u", n).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.select("u", F.col("m").alias("v")))
+        pairs = stored(small.where("u <> v").repartition(n, "u", "v").distinct(), "components-pairs")
     named = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = pairs.select(F.col("v").alias("node")).unionByName(loops).distinct().join(named, "node", "left_anti")
     return named.unionByName(roots.select("node", F.col("node").alias("component")))
