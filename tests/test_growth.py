@@ -3,7 +3,8 @@
 import random
 import re
 
-from tidemark.operators import codegraph, modularity
+from tidemark.operators import codegraph, graph, modularity, spread
+from tidemark.operators.components import connected_components
 
 
 def rows_made(spark, run):
@@ -54,3 +55,43 @@ def test_a_pass_of_modularity_is_two_executions(spark):
         return store.executionsCount() - before
 
     assert executions(6) - executions(2) <= 2 * 4
+
+
+def tasks_of(frame):
+    return frame.rdd.getNumPartitions()
+
+
+def test_graph_tasks_grow_with_the_edges(spark, monkeypatch):
+    monkeypatch.setattr(spread, "TASK_ROWS", 500)
+    monkeypatch.setattr(spread, "HUB_ROWS", 100)
+    rng = random.Random(7)
+    hub = [("zz", f"a{k:04}") for k in range(1500)] + [("a0000", f"b{k}") for k in range(300)]
+    chains = [(f"c{k}", f"c{k + 1}") for k in range(20)] + [(f"d{rng.randrange(50)}", f"d{rng.randrange(50)}") for _ in range(40)]
+    edges = spark.createDataFrame([*hub, *chains, ("loop", "loop")], "src string, dst string")
+    got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in map(tuple, edges.collect()):
+        low, high = sorted((find(a), find(b)))
+        top[high] = low
+    assert got == {n: find(n) for n in top}
+    labels = graph.communities(edges, rounds=2)
+    weight, want = {}, {n: n for n in top if n != "loop"}
+    for a, b in map(tuple, edges.collect()):
+        if a != b:
+            weight[a, b], weight[b, a] = weight.get((a, b), 0) + 1, weight.get((b, a), 0) + 1
+    for n in want:
+        weight[n, n] = 1
+    for _ in range(2):
+        votes = {}
+        for (a, b), w in weight.items():
+            votes.setdefault(a, {}).setdefault(want[b], 0)
+            votes[a][want[b]] += w
+        want = {n: min((-v, c) for c, v in votes[n].items())[1] for n in want}
+    assert {r["node"]: r["community"] for r in labels.collect()} == want
+    assert tasks_of(labels) >= len(hub) // 500

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators import spread
 from tidemark.storage import cut
 
 
@@ -116,12 +117,17 @@ def communities(edges: DataFrame, rounds: int = 4) -> DataFrame:
     pairs = edges.select("src", "dst").where("src <> dst")
     both = pairs.unionByName(reversed_edges(pairs))
     links = both.groupBy("src", "dst").agg(F.count("*").alias("weight"))
-    nodes = both.select("src").distinct()
+    nodes = cut(both.select("src").distinct())
     links = cut(links.unionByName(nodes.select("src", F.col("src").alias("dst"), F.lit(1).cast("long").alias("weight"))))
+    n = spread.tasks(links, links.count())
     labels = nodes.select(F.col("src").alias("node"), F.col("src").alias("community"))
     for _ in range(rounds):
-        votes = links.join(labels, links["dst"] == labels["node"]).groupBy("src", "community").agg(F.sum("weight").alias("votes"))
-        labels = cut(votes.groupBy(F.col("src").alias("node")).agg(F.min(F.struct(-F.col("votes"), "community"))["community"].alias("community")))
+        told = links.repartition(n, "dst").join(labels.repartition(n, "node").hint("shuffle_hash"), F.col("dst") == F.col("node"))
+        # The votes of a node meet by parts first, so that no task has all of a node with very many links.
+        parts = told.withColumn("salt", spread.salt("community")).repartition(n, "src", "salt")
+        votes = parts.groupBy("src", "salt", "community").agg(F.sum("weight").alias("votes"))
+        best = votes.groupBy("src", "salt").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "community")).alias("best"))
+        labels = cut(best.repartition(n, "src").groupBy(F.col("src").alias("node")).agg(F.min("best")["community"].alias("community")))
     return labels
 
 
