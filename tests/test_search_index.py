@@ -106,3 +106,11 @@ def test_nearest_by_blocks(spark, monkeypatch):
             want += [(q, k, -s, n) for n, (s, k) in enumerate(sorted(scored)[:4], 1)]
         assert sorted((r["query_id"], r["vec_id"], r["cosine"], r["rank"]) for r in got) == sorted(want)
     assert search.nearest(data.limit(0), asked).collect() == [] and search.nearest(data, asked.limit(0)).collect() == []
+
+
+def test_tasks_of_the_index_grow_with_its_blocks(spark):
+    rows = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    parts = lambda blocks: search_index._grouped(search_index._postings(search_index._counted(rows), (i := search_index.SearchIndex(spark, "", 4, blocks))), i)
+    assert "hashpartitioning" in parts(64)._jdf.queryExecution().toString()
+    n = lambda blocks: int(re.search(r"RepartitionByExpression \[[^\]]*\], (\d+)", parts(blocks)._jdf.queryExecution().toString())[1])
+    assert (n(256), n(2560), n(256000)) == (4, 40, 4000)

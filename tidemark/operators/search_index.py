@@ -34,8 +34,8 @@ from tidemark.storage import scratch_path, stored
 
 #: Documents in a block of a term that all documents have, on average.
 BLOCK_DOCS = 128
-#: Blocks whose postings one task writes, of one bucket.
-TASK_BLOCKS = 4096
+#: Blocks whose postings one task writes, of one bucket; the number of tasks grows with the documents.
+TASK_BLOCKS = 256
 #: Sums of doubles in another order may differ by less; bounds leave that much room.
 ROOM = 1e-6
 _WORD = re.compile("[a-z0-9]+")
@@ -82,8 +82,9 @@ def _postings(counted: DataFrame, index: SearchIndex) -> DataFrame:
 
 def _grouped(postings: DataFrame, index: SearchIndex) -> DataFrame:
     """Rows of a term and a block; those of a bucket meet in as many tasks as its blocks need."""
-    dealt = postings.withColumn("part", F.col("block") % max(1, index.blocks // TASK_BLOCKS))
-    tasks = min(index.buckets * max(1, index.blocks // TASK_BLOCKS), 8 * max(int(index.spark.conf.get("spark.sql.shuffle.partitions")), index.spark.sparkContext.defaultParallelism))
+    parts = -(-index.blocks // TASK_BLOCKS)
+    dealt = postings.withColumn("part", F.col("block") % parts)
+    tasks = index.buckets * parts
     dealt = dealt.repartition(tasks, "bucket", "part")
     posting = F.struct("doc_id", "tf", "size")
     best = F.max_by(F.struct("tf", "size"), F.col("tf") / (F.col("tf") + F.col("size")))
