@@ -1,11 +1,12 @@
 """Work that must grow with the input: rows that the steps of a plan make, against plain results."""
 
+import json
 import random
 import re
 
 import pytest
 
-from tidemark.operators import codegraph, graph, modularity, search, spread
+from tidemark.operators import codegraph, graph, modularity, search, spread, trees
 from tidemark.operators.components import connected_components
 from tests.test_search_index import frame, plain, texts
 
@@ -121,3 +122,14 @@ def test_word_shapes_make_a_row_a_text(spark):
     got, made = rows_made(spark, lambda: search.word_shapes(frame(spark, docs), "doc_id").collect())
     assert {r["doc_id"] for r in got} == set(range(1, 60)) and made <= len(docs)
     assert [round(x, 6) for x in got[11]["vector"] if x] == [round(v / (10 * 10 + 2 * 2) ** 0.5, 6) for v in (10, 2)]
+
+
+def test_markdown_stays_in_its_row(spark):
+    texts_ = [json.dumps({"a": {"b": k}, "t": [{"k": 1}, {"k": 2}], "l": [[1, [2]], {"x": []}]}) for k in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "id long, text string")
+    got, made = rows_made(spark, lambda: trees.json_markdown(docs, "id").collect())
+    assert len(got) == 50 and made <= 50 and "Exchange" not in trees.json_markdown(docs, "id")._jdf.queryExecution().toString()
+    assert {r["text"] for r in got if r["id"] == 7} == {"## A\n- **B:** 7\n\n## T\n\n| K |\n| --- |\n| 1 |\n| 2 |\n\n## L\n- [1, [2]]\n\n### X"}
+    rows = spark.createDataFrame([(k, f"<a><b x='{k}'><c>1</c></b><b><c>2</c></b></a>") for k in range(50)], "id long, text string")
+    got, made = rows_made(spark, lambda: trees.xml_markdown(rows, "id").collect())
+    assert len(got) == 50 and made <= 50 and {r["text"] for r in got} == {"## A\n\n| c |\n| --- |\n| 1 |\n| 2 |"}

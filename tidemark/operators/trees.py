@@ -1,8 +1,8 @@
-"""JSON and XML documents as rows of nodes, and Markdown put together from the rows.
+"""JSON and XML documents as nodes, and Markdown put together from the nodes.
 
-A document becomes one row a node, numbered in the order of the text, with its depth, its name and where its subtree
-ends.  What a node contributes to a document is a rule over its row; a subtree that is shown whole by its top (a table,
-a list inside a list) hides the nodes inside its interval; the lines are then joined in order, a document a group.
+A document becomes an array of nodes in the order of its text, each with its depth, its name and where its subtree
+ends.  What a node contributes to a document is a rule over its fields; nodes below one that is shown whole by its top (a table,
+a list inside a list) are left out; the lines are joined in order inside the document's row, so that nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -10,19 +10,18 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from xml.etree import ElementTree
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.window import Window
 
 #: node and last: the interval of the subtree; depth: nodes above; level: named ones of them; inside: kind of the parent; shown: the value as text,
-#: a container's JSON where a cell or bullet may hold it; flat: a plain value as JSON writes it, texts without quotes; columns and cells: of lists and elements that are tables.
-NODES = "node long, last long, depth int, level int, kind string, inside string, name string, title string, path string, shown string, flat string, attributes array<string>, columns array<string>, cells array<array<string>>"
+#: a container's JSON where a cell or bullet may hold it; flat: a plain value as JSON writes it, texts without quotes; head: a leaf's first segment as words; columns and cells: of lists and elements that are tables.
+NODES = "node long, last long, depth int, level int, kind string, inside string, name string, title string, path string, shown string, flat string, head string, attributes array<string>, columns array<string>, cells array<array<string>>"
 BROKEN = "broken"
 
 
@@ -30,11 +29,20 @@ def _spaced(name: str) -> str:
     return re.sub("[_-]", " ", name)
 
 
+@lru_cache(1 << 12)
 def label(name: str) -> str:
     """A member's name as words with capitals: order_key, order-key and orderKey are all Order Key."""
     return re.sub("(?<=[a-z])(?=[A-Z])", " ", _spaced(name)).strip().title() or name
 
 
+@lru_cache(1 << 12)
+def _head(path: str) -> str:
+    """The first segment of a leaf's path as words, numbers of elements too."""
+    first = (path or "value").partition(".")[0]
+    spaced = " ".join(re.sub(r"\[(\d+)\]", r" \1 ", first).replace("_", " ").split())
+    return label(spaced) if spaced else first
+
+
 def _kind(value: object) -> str:
     return "object" if isinstance(value, dict) else "list" if isinstance(value, list) else "value"
 
@@ -48,7 +56,8 @@ def _uniform(value: object) -> bool:
     return isinstance(value, list) and len({frozenset(v) if isinstance(v, dict) else None for v in value}) == 1 and isinstance(value[0], dict)
 
 
-def _json_rows(text: str) -> Iterator[dict]:
+def _json_rows(text: str, whole: bool = True) -> Iterator[dict]:
+    """The nodes of a document; without ``whole``, those below a table or a list inside a list are left out."""
     waiting = [(json.loads(text), None, None, "", 0, 0)]
     n = 0
     while waiting:
@@ -59,11 +68,16 @@ def _json_rows(text: str) -> Iterator[dict]:
             row["shown"] = _cell(value)
         if kind == "value":
             row["flat"] = value if isinstance(value, str) else json.dumps(value) if value is None or isinstance(value, bool) else str(value)
-        if _uniform(value):
+        if kind == "value" or not value:
+            row["head"] = _head(path)
+        table = _uniform(value)
+        if table:
             row["columns"] = [label(k) for k in value[0]]
             row["cells"] = [[_cell(v[k]) for k in value[0]] for v in value]
         yield row
         n += 1
+        if not whole and (table or kind == inside == "list"):
+            continue
         below = level + (name is not None)
         if kind == "object":
             waiting += [(v, k, kind, f"{path}.{k}" if path else k, depth + 1, below) for k, v in reversed(value.items())]
@@ -79,7 +93,8 @@ def _own_text(element: ElementTree.Element) -> str:
     return (element.text or "").strip()
 
 
-def _xml_rows(text: str) -> Iterator[dict]:
+def _xml_rows(text: str, whole: bool = True) -> Iterator[dict]:
+    """The nodes of a document; without ``whole``, those below a table are left out."""
     waiting = [(ElementTree.fromstring(text), None, "", 0)]
     n = 0
     while waiting:
@@ -96,7 +111,8 @@ def _xml_rows(text: str) -> Iterator[dict]:
             row["cells"] = [[t[k] for k in row["columns"]] for t in texts]
         yield row
         n += 1
-        waiting += [(c, "element", path, level + 1) for c in reversed(element)]
+        if whole or "columns" not in row:
+            waiting += [(c, "element", path, level + 1) for c in reversed(element)]
 
 
 def _close(rows: list[dict]) -> None:
@@ -110,133 +126,157 @@ def _close(rows: list[dict]) -> None:
         row["last"] = rows[-1]["node"]
 
 
-def _nodes(docs: DataFrame, key: str, text: str, parse: Callable[[str], Iterator[dict]]) -> DataFrame:
-    kind = T.StructType([docs.schema[key], *docs.sparkSession.createDataFrame([], NODES).schema])
+#: Nodes and documents that are handed to Spark at once.
+BATCH_NODES, BATCH_DOCS = 20_000, 1024
+
+
+def _nodes(docs: DataFrame, key: str, text: str, parse: Callable[[str], Iterator[dict]], fields: str = "") -> DataFrame:
+    """(key, nodes): the nodes of each document as an array of ``NODES``, or of those of the fields that are named."""
+    every = docs.sparkSession.createDataFrame([], NODES).schema
+    one = T.StructType([f for f in every if not fields or f.name in fields.split()])
+    kind = T.StructType([docs.schema[key], T.StructField("nodes", T.ArrayType(one))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(kind)
+        of_list = schema.field(1).type
+        of_node = list(of_list.value_type)
+
+        def told(keys: pa.Array, ends: list[int], rows: list[dict]) -> pa.RecordBatch:
+            nodes = pa.StructArray.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in of_node], fields=of_node)
+            return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes, type=of_list)], schema=schema)
+
         for batch in batches:
-            out: list[dict] = []
-            for one, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            start, ends, out = 0, [0], []
+            for at, value in enumerate(batch.column(1).to_pylist(), 1):
                 try:
                     rows = list(parse(value or ""))
                     _close(rows)
                 except (ValueError, RecursionError, ElementTree.ParseError):
                     rows = [{"node": 0, "last": 0, "kind": BROKEN}]
-                out += [{key: one} | r for r in rows]
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_pylist(out, schema)
-                    out = []
-            yield pa.RecordBatch.from_pylist(out, schema)
+                out += rows
+                ends.append(len(out))
+                if len(out) > BATCH_NODES or len(ends) > BATCH_DOCS or at == batch.num_rows:
+                    yield told(batch.column(0).slice(start, at - start), ends, out)
+                    start, ends, out = at, [0], []
 
     return docs.select(key, text).mapInArrow(read, kind)
 
 
+def _rows(nodes: DataFrame, key: str) -> DataFrame:
+    return nodes.select(key, F.inline("nodes"))
+
+
 def json_nodes(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The key and ``NODES`` of each value of JSON documents, members in their order; a text that isn't JSON is one row of kind ``broken``."""
-    return _nodes(docs, key, text, _json_rows)
+    return _rows(_nodes(docs, key, text, _json_rows), key)
 
 
 def xml_nodes(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The key and ``NODES`` of each element of XML documents, names without their namespaces."""
-    return _nodes(docs, key, text, _xml_rows)
+    return _rows(_nodes(docs, key, text, _xml_rows), key)
+
+
+def _broken() -> Column:
+    return F.col("nodes")[0]["kind"] == BROKEN
 
 
 def _escaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 
 
-def _heading() -> Column:
-    return F.concat(F.repeat(F.lit("#"), F.least(F.col("level") + 2, F.lit(6))), F.lit(" "), F.col("title"))
+def _heading(n: Column) -> Column:
+    return F.concat(F.repeat(F.lit("#"), F.least(n["level"] + 2, F.lit(6))), F.lit(" "), n["title"])
+
+
+def _no_lines() -> Column:
+    return F.array().cast("array<string>")
 
 
-def _table(header: Column, cell: Callable[[Column], Column]) -> Column:
+def _table(n: Column, header: Column, cell: Callable[[Column], Column]) -> Column:
     """Lines of a table between blank ones, none for a table without columns."""
     row = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-    lines = F.concat(F.array(F.lit(""), row(header), row(F.transform("columns", lambda c: F.lit("---")))), F.transform("cells", lambda r: row(F.transform(r, cell))), F.array(F.lit("")))
-    return F.when(F.size("columns") > 0, lines).otherwise(F.array().cast("array<string>"))
-
-
-def _assembled(nodes: DataFrame, key: str, lines: Column, tail: Column, hides: Column, contents: bool) -> DataFrame:
-    """(key, text): lines of the nodes that no node before them hides, in order, and ``tail`` behind a node's subtree; a single blank line at most."""
-    before = Window.partitionBy(key).orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    shown = nodes.withColumn("hidden", F.coalesce(F.max(F.when(hides, F.col("last"))).over(before) >= F.col("node"), F.lit(False))).where("NOT hidden")
-    parts = F.array(F.struct((2 * F.col("node")).alias("place"), "node", lines.alias("lines")), F.struct((2 * F.col("last") + 1).alias("place"), "node", tail.alias("lines")))
-    # The top stays without lines, too, so that each document has a row.
-    told = shown.withColumn("part", F.explode(F.filter(parts, lambda p: (F.size(p["lines"]) > 0) | (p["place"] == 0))))
-    slug = F.regexp_replace(F.regexp_replace(F.lower(F.trim("title")), r"(?U)[^\w\s-]", ""), r"(?U)[\s_]+", "-")
-    item = F.concat(F.lit("- ["), F.col("title"), F.lit("](#"), F.coalesce(F.nullif(slug, F.lit("")), F.lit("section")), F.lit(")"))
-    heads = F.exists("part.lines", lambda c: c == _heading()) & (F.col("part.place") == 2 * F.col("node"))
-    ordered = lambda rows: F.array_sort(F.collect_list(rows))
-    texts = told.groupBy(key).agg(
-        F.max(F.col("kind") == BROKEN).alias("broken"),
-        F.array_join(F.flatten(F.transform(ordered("part"), lambda p: p["lines"])), "\n").alias("body"),
-        F.array_join(F.transform(ordered(F.when(heads, F.struct("node", item.alias("item")))), lambda r: r["item"]), "\n").alias("listed"),
-    )
-    plain = F.regexp_replace(F.regexp_replace("body", r"\n{3,}", "\n\n"), r"\A\s+|\s+\z", "")
+    lines = F.concat(F.array(F.lit(""), row(header), row(F.transform(n["columns"], lambda c: F.lit("---")))), F.transform(n["cells"], lambda r: row(F.transform(r, cell))), F.array(F.lit("")))
+    return F.when(F.size(n["columns"]) > 0, lines).otherwise(_no_lines())
+
+
+def _assembled(nodes: DataFrame, key: str, lines: Callable[[Column], Column], closed: Callable[[Column], Column], contents: bool) -> DataFrame:
+    """(key, text): lines of the nodes in order, and a blank one behind the subtree of a node that is ``closed``; a single blank line at most."""
+    own = F.transform("nodes", lambda n: F.struct((2 * n["node"]).alias("place"), lines(n).alias("lines")))
+    ends = F.transform(F.filter("nodes", closed), lambda n: F.struct((2 * n["last"] + 1).alias("place"), F.array(F.lit("")).alias("lines")))
+    body = F.array_join(F.flatten(F.transform(F.array_sort(F.concat(own, ends)), lambda p: p["lines"])), "\n")
+    plain = F.regexp_replace(F.regexp_replace(body, r"\n{3,}", "\n\n"), r"\A\s+|\s+\z", "")
     if contents:
-        plain = F.concat(F.when(F.col("listed") != "", F.concat(F.lit("## Table of contents\n\n"), "listed", F.lit("\n\n"))).otherwise(""), plain)
-    return texts.select(key, F.when(~F.col("broken"), plain).alias("text"))
+        slug = lambda n: F.regexp_replace(F.regexp_replace(F.lower(F.trim(n["title"])), r"(?U)[^\w\s-]", ""), r"(?U)[\s_]+", "-")
+        item = lambda n: F.concat(F.lit("- ["), n["title"], F.lit("](#"), F.coalesce(F.nullif(slug(n), F.lit("")), F.lit("section")), F.lit(")"))
+        heads = F.filter("nodes", lambda n: F.coalesce(F.exists(lines(n), lambda c: c == _heading(n)), F.lit(False)))
+        listed = F.array_join(F.transform(heads, item), "\n")
+        plain = F.concat(F.when(listed != "", F.concat(F.lit("## Table of contents\n\n"), listed, F.lit("\n\n"))).otherwise(""), plain)
+    return nodes.select(key, F.when(~_broken(), plain).alias("text"))
 
 
 def json_markdown(docs: DataFrame, key: str, text: str = "text", contents: bool = False) -> DataFrame:
     """(key, text): objects and lists under headings, lists of objects with equal names as tables, other values as bullets.
 
-    ``key`` must be unique. A text that isn't JSON, null included, gives null.
+    A text that isn't JSON, null included, gives null.
     """
-    nodes, none = json_nodes(docs, key, text), F.array().cast("array<string>")
-    table, bullet = F.col("columns").isNotNull(), F.coalesce((F.col("inside") == "list") & (F.col("kind") != "object"), F.lit(False))
-    named, value = F.col("name").isNotNull(), F.col("kind") == "value"
-    head = F.when(named, F.array(F.lit(""), _heading())).otherwise(none)
-    own = (
-        F.when(bullet, F.array(F.concat(F.lit("- "), "shown")))
-        .when(value, F.array(F.concat(F.lit("- **"), F.coalesce("title", F.lit("Value")), F.lit(":** "), "shown")))
-        .when(table, F.concat(head, _table(F.transform("columns", _escaped), _escaped)))
-        .when(F.col("inside") == "list", F.array(F.lit("")))
-        .otherwise(head)
+    nodes = _nodes(docs, key, text, lambda t: _json_rows(t, whole=False), "node last level kind inside title shown columns cells")
+    table = lambda n: n["columns"].isNotNull()
+    bullet = lambda n: F.coalesce((n["inside"] == "list") & (n["kind"] != "object"), F.lit(False))
+    head = lambda n: F.when(n["title"].isNotNull(), F.array(F.lit(""), _heading(n))).otherwise(_no_lines())
+    own = lambda n: (
+        F.when(n["kind"] == BROKEN, _no_lines())
+        .when(bullet(n), F.array(F.concat(F.lit("- "), n["shown"])))
+        .when(n["kind"] == "value", F.array(F.concat(F.lit("- **"), F.coalesce(n["title"], F.lit("Value")), F.lit(":** "), n["shown"])))
+        .when(table(n), F.concat(head(n), _table(n, F.transform(n["columns"], _escaped), _escaped)))
+        .when(n["inside"] == "list", F.array(F.lit("")))
+        .otherwise(head(n))
     )
-    tail = F.when((F.col("kind") == "list") & ~table & ~bullet, F.array(F.lit(""))).otherwise(none)
-    return _assembled(nodes, key, F.when(F.col("kind") != BROKEN, own).otherwise(none), tail, table | bullet & (F.col("kind") == "list"), contents)
+    return _assembled(nodes, key, own, lambda n: (n["kind"] == "list") & ~table(n) & ~bullet(n), contents)
 
 
 def xml_markdown(docs: DataFrame, key: str, text: str = "text", contents: bool = False) -> DataFrame:
-    """(key, text): elements under headings with their attributes and own text, alike siblings as a table. ``key`` must be unique; broken texts give null."""
-    nodes, none = xml_nodes(docs, key, text), F.array().cast("array<string>")
-    said = F.when(F.col("shown") != "", F.array(F.lit(""), F.col("shown"))).otherwise(none)
+    """(key, text): elements under headings with their attributes and own text, alike siblings as a table. Broken texts give null."""
+    nodes = _nodes(docs, key, text, lambda t: _xml_rows(t, whole=False), "node last level kind title shown attributes columns cells")
+    said = lambda n: F.when(n["shown"] != "", F.array(F.lit(""), n["shown"])).otherwise(_no_lines())
     bars = lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))
-    table = F.when(F.col("columns").isNotNull(), _table(F.col("columns"), bars)).otherwise(none)
-    lines = F.concat(F.array(F.lit(""), _heading()), F.coalesce("attributes", none), said, table)
-    return _assembled(nodes, key, F.when(F.col("kind") != BROKEN, lines).otherwise(none), none, F.col("columns").isNotNull(), contents)
+    table = lambda n: F.when(n["columns"].isNotNull(), _table(n, n["columns"], bars)).otherwise(_no_lines())
+    lines = lambda n: F.when(n["kind"] == BROKEN, _no_lines()).otherwise(F.concat(F.array(F.lit(""), _heading(n)), F.coalesce(n["attributes"], _no_lines()), said(n), table(n)))
+    return _assembled(nodes, key, lines, lambda n: F.lit(False), contents)
 
 
-def _leaf() -> Column:
-    return (F.col("kind") == "value") | (F.col("kind") != BROKEN) & (F.col("last") == F.col("node")) & (F.col("depth") > 0)
+def _leaf(n: Column) -> Column:
+    return (n["kind"] == "value") | (n["kind"] != BROKEN) & (n["last"] == n["node"]) & (n["depth"] > 0)
 
 
-def _leaf_rows(nodes: DataFrame) -> DataFrame:
-    value = F.when(F.col("kind") == "object", F.lit("{}")).when(F.col("kind") == "list", F.lit("[]")).otherwise(F.col("flat"))
-    return nodes.withColumns({"path": F.coalesce(F.nullif("path", F.lit("")), F.lit("value")), "value": value})
+def _told(n: Column) -> tuple[Column, Column]:
+    """A leaf's path and value."""
+    value = F.when(n["kind"] == "object", F.lit("{}")).when(n["kind"] == "list", F.lit("[]")).otherwise(n["flat"])
+    return F.coalesce(F.nullif(n["path"], F.lit("")), F.lit("value")), value
 
 
 def leaves(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, node, path, value): the leaves of JSON documents by paths such as a.b[0].c; empty containers are leaves below the top, a plain document's path is ``value``."""
-    return _leaf_rows(json_nodes(docs, key, text).where(_leaf())).select(key, "node", "path", "value")
+    nodes = _nodes(docs, key, text, _json_rows, "node last depth kind path flat").select(key, F.explode(F.filter("nodes", _leaf)).alias("n"))
+    path, value = _told(F.col("n"))
+    return nodes.select(key, "n.node", path.alias("path"), value.alias("value"))
 
 
 def flat_markdown(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, text): leaves by path, those of one first segment under its heading. ``key`` must be unique; of equal paths the last counts.  Broken texts give null."""
-
-    def group_label(names: pd.Series) -> pd.Series:
-        spaced = lambda n: " ".join(re.sub(r"\[(\d+)\]", r" \1 ", n).replace("_", " ").split())
-        return names.map(lambda n: (label(spaced(n)) if spaced(n) else n), na_action="ignore")
-
-    rows = _leaf_rows(json_nodes(docs, key, text).where(_leaf() | (F.col("node") == 0)).withColumn("leaf", _leaf()))
-    split = rows.withColumns({"head": F.when(F.col("leaf"), F.substring_index("path", ".", 1)), "rest": F.expr("if(contains(path, '.'), substring(path, locate('.', path) + 1), '')")})
-    # Of equal paths the last; the top that is no leaf is a group of its own, without a head.
-    once = split.groupBy(key, "head", "rest", "path").agg(F.max_by("value", "node").alias("value"), F.max(F.col("kind") == BROKEN).alias("broken"))
-    line = F.when(F.col("rest") != "", F.concat(F.lit("- **"), "rest", F.lit(":** "), "value")).otherwise(F.concat(F.lit("- "), "value"))
-    groups = once.groupBy(key, "head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rest", "path", line.alias("line")))), lambda r: r["line"]), "\n").alias("lines"), F.max("broken").alias("broken"))
-    titled = groups.withColumn("body", F.concat(F.lit("## "), F.pandas_udf(group_label, "string")("head"), F.lit("\n"), "lines"))
-    bodies = F.array_sort(F.collect_list(F.when(F.col("head").isNotNull(), F.struct("head", "body"))))
-    texts = titled.groupBy(key).agg(F.array_join(F.transform(bodies, lambda r: r["body"]), "\n\n").alias("body"), F.max("broken").alias("broken"))
-    return texts.select(key, F.when(~F.col("broken"), F.regexp_replace("body", r"\n{3,}", "\n\n")).alias("text"))
+    """(key, text): leaves by path, those of one first segment under its heading. Of equal paths the last counts. Broken texts give null."""
+    nodes = _nodes(docs, key, text, _json_rows, "node last depth kind path flat head")
+
+    def leaf(n: Column) -> Column:
+        path, value = _told(n)
+        rest = F.when(F.contains(path, F.lit(".")), F.substring(path, F.locate(".", path) + 1, F.length(path))).otherwise("")
+        line = F.when(rest != "", F.concat(F.lit("- **"), rest, F.lit(":** "), value)).otherwise(F.concat(F.lit("- "), value))
+        return F.struct(F.substring_index(path, ".", 1).alias("first"), rest.alias("rest"), path.alias("path"), n["node"].alias("node"), n["head"].alias("head"), line.alias("line"))
+
+    found = nodes.select(key, _broken().alias("broken"), F.array_sort(F.transform(F.filter("nodes", _leaf), leaf)).alias("leaves"))
+    behind = F.slice("leaves", F.lit(2), F.greatest(F.size("leaves"), F.lit(1)))
+    once = found.withColumn("leaves", F.array_compact(F.zip_with("leaves", behind, lambda a, b: F.when(b.isNull() | (b["path"] != a["path"]), a))))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform("leaves", lambda a: a["first"]))
+    headed = lambda a: F.concat(F.lit("## "), a["head"], F.lit("\n"), a["line"])
+    # Behind the last leaf there is one more that comes before.
+    part = lambda a, b: F.when(a.isNull(), F.lit("")).when(b.isNull(), headed(a)).when(b == a["first"], F.concat(F.lit("\n"), a["line"])).otherwise(F.concat(F.lit("\n\n"), headed(a)))
+    body = F.array_join(F.zip_with("leaves", before, part), "")
+    return once.select(key, F.when(~F.col("broken"), F.regexp_replace(body, r"\n{3,}", "\n\n")).alias("text"))
