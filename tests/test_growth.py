@@ -133,3 +133,11 @@ def test_markdown_stays_in_its_row(spark):
     rows = spark.createDataFrame([(k, f"<a><b x='{k}'><c>1</c></b><b><c>2</c></b></a>") for k in range(50)], "id long, text string")
     got, made = rows_made(spark, lambda: trees.xml_markdown(rows, "id").collect())
     assert len(got) == 50 and made <= 50 and {r["text"] for r in got} == {"## A\n\n| c |\n| --- |\n| 1 |\n| 2 |"}
+
+
+def test_flat_markdown_stays_in_its_row(spark):
+    texts_ = [json.dumps({"z": k, "a_b": {"c": 1, "b": [k, None]}, "a": {"x.y": 2}, "a.x": {"y": "last"}}) for k in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "id long, text string")
+    got, made = rows_made(spark, lambda: trees.flat_markdown(docs, "id").collect())
+    assert len(got) == 50 and made <= 50 and "Exchange" not in trees.flat_markdown(docs, "id")._jdf.queryExecution().toString()
+    assert {r["text"] for r in got if r["id"] == 7} == {"## A\n- **x.y:** last\n\n## A B\n- **b[0]:** 7\n- **b[1]:** null\n- **c:** 1\n\n## Z\n- 7"}
