@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from tidemark.operators import codegraph, graph, modularity, search, spread, trees
+from tidemark.operators import codegraph, graph, modularity, schemas, search, spread, trees
 from tidemark.operators.components import connected_components
 from tests.test_search_index import frame, plain, texts
 
@@ -141,3 +141,16 @@ def test_flat_markdown_stays_in_its_row(spark):
     got, made = rows_made(spark, lambda: trees.flat_markdown(docs, "id").collect())
     assert len(got) == 50 and made <= 50 and "Exchange" not in trees.flat_markdown(docs, "id")._jdf.queryExecution().toString()
     assert {r["text"] for r in got if r["id"] == 7} == {"## A\n- **x.y:** last\n\n## A B\n- **b[0]:** 7\n- **b[1]:** null\n- **c:** 1\n\n## Z\n- 7"}
+
+
+def test_merged_schema_reads_texts_once(spark):
+    texts_ = [json.dumps({"k": k, "in": {"l": [1, None] if k % 2 else [], "o": {}}, "": {"e": 1.5}}) for k in range(300)]
+    odd = [None, "", "{", "5", "[]", "{}", ' [true] ', '{"k": 1, "k": 2}', '{"k": "s", "big": %s, "huge": %s, "f": 1.0, "e": 1e3, "neg": -0}' % ("9" * 38, "9" * 39), "[" * 70 + "]" * 70, "[" * 900 + "]" * 900, '{"a\\u00e9\\n": null} tail']
+    docs = spark.createDataFrame([(t,) for t in [*texts_, *odd]], "text string").repartition(3)
+    got, made = rows_made(spark, lambda: {r["path"]: (r["types"], r["n"], r["share"]) for r in schemas.merged_schema(docs, "text").collect()})
+    deep = {"[]" * n: ("array", 2) for n in range(2, 65)}
+    want = {"k": ("int|string", 301), "in": ("object", 300), "in.l": ("array", 300), "in.l[]": ("int|null", 300), "in.o": ("object", 300), "": ("object", 300), "e": ("float", 301), "big": ("int", 1), "huge": ("float", 1), "f": ("float", 1), "neg": ("int", 1), "a\u00e9\n": ("null", 1)}
+    want |= {"[]": ("array|bool|null", 4)} | deep
+    n_json = len(texts_) + 8
+    assert got == {p: (t, n, round(n / n_json, 6)) for p, (t, n) in want.items()}
+    assert made <= len(texts_) + len(odd)
