@@ -406,7 +406,7 @@ def resolved_hints(hints: DataFrame, symbols: DataFrame, n: int = 50) -> DataFra
 
 def top_impacted(edges: DataFrame, seeds: DataFrame, candidates: int = 300, n: int = 10) -> DataFrame:
     """(seed, n_reached): of the first ``candidates`` seeds by degree, those that reach most nodes."""
-    degree = graph.top_degree(edges.join(seeds.withColumnRenamed("node", "src"), "src", "left_semi"), candidates)
+    degree = graph.top_degree(edges, candidates, seeds)
     # The candidates are few by their limit.
     reached = graph.reach_counts(edges, [r["node"] for r in degree.select("node").collect()])
     rows = sorted(((seed, count) for seed, count in reached.items() if count), key=lambda r: (-r[1], r[0]))

@@ -56,11 +56,15 @@ def reach_counts(edges: DataFrame, seeds: list[str]) -> dict[str, int]:
     """How many other nodes each of a few hundred seeds reaches.
 
     A node carries one mask of the seeds that reach it, which is or-ed along the edges until no bit is new: a row a node, whatever the number of seeds.
+    Only seeds and nodes that something leads to hand a mask on; edges from other nodes are left behind before the first round.
     """
     spark, masks = edges.sparkSession, [f"m{k}" for k in range(-(-len(seeds) // _BITS))]
     if not seeds:
         return {}
-    step = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    links = edges.select("src", "dst").where("src <> dst")
+    led = links.select(F.col("dst").alias("src")).union(spark.createDataFrame([(seed,) for seed in seeds], "src string")).distinct()
+    # The nodes are hashed, so that the edges are not sorted.
+    step = cut(links.join(led.hint("shuffle_hash"), "src", "left_semi").distinct())
     start = [(seed, *[1 << at % _BITS if at // _BITS == k else 0 for k in range(len(masks))]) for at, seed in enumerate(seeds)]
     seen = front = cut(spark.createDataFrame(start, ", ".join(["node string", *[f"{m} long" for m in masks]])))
     while not front.isEmpty():
@@ -177,8 +181,11 @@ def roots(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
 
 
-def top_degree(edges: DataFrame, n: int) -> DataFrame:
-    return edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out_degree")).orderBy(F.desc("out_degree"), "node").limit(n)
+def top_degree(edges: DataFrame, n: int, among: DataFrame | None = None) -> DataFrame:
+    """(node, out_degree): the ``n`` nodes that most edges leave; of those of ``among`` (node), if given, which meet the counts and not the edges."""
+    degrees = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out_degree"))
+    kept = degrees if among is None else degrees.join(among.select("node").distinct(), "node", "left_semi")
+    return kept.orderBy(F.desc("out_degree"), "node").limit(n)
 
 
 def edge_shares(edges: DataFrame, rare: float = 0.05) -> DataFrame:
