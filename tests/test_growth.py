@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import codegraph, graph, modularity, schemas, search, spread, trees
+from tidemark.operators import codegraph, flows, graph, modularity, schemas, search, spread, trees
 from tidemark.operators.components import connected_components
 from tests.test_search_index import frame, plain, texts
 
@@ -183,3 +183,21 @@ def test_impact_leaves_edges_from_unreached_nodes_behind(spark):
     assert [tuple(r) for r in got] == [("n0", 12), ("n1", 11), ("t7", 11), ("n2", 10)]
     # The edges are shuffled for the degrees, for the seeds and the walk, but not in each of its rounds.
     assert shuffled <= 8 * edges.count()
+
+
+def test_walks_of_many_graphs_send_nothing_through_the_driver(spark):
+    told = [("s", "i", None, 0), ("i", "a", "then", 0), ("i", "b", "else", 1), ("a", "e", None, 0), ("b", "e", None, 0)]
+    edges = spark.createDataFrame([(k, *one, None) for k in range(40) for one in told], "graph long, src string, dst string, label string, place int, measured double")
+    kinds = [("s", "START"), ("i", "IF"), ("a", "CALL"), ("b", "CALL"), ("e", "END")]
+    nodes = spark.createDataFrame([(k, *one) for k in range(40) for one in kinds], "graph long, node string, kind string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    paths, whole = flows.control_paths(nodes, edges)
+    assert {(r["rank"], "".join(r["path"]), r["probability"]) for r in paths.collect()} == {(1, "siae", 0.5), (2, "sibe", 0.5)} and whole.where("NOT truncated").count() == 40
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    executions = store.executionsList()
+    names = set()
+    for at in range(before, executions.size()):
+        steps = store.planGraph(executions.apply(at).executionId()).allNodes()
+        names |= {steps.apply(k).name() for k in range(steps.size())}
+    assert "SortMergeJoin" in names and "BroadcastExchange" not in names

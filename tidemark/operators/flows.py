@@ -17,6 +17,11 @@ LOOPS = ("LOOP_HDR", "LOOP")
 EXITS = ("exit", "false", "break", "no_else")
 
 
+def _sorted(frame: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled and sorted whatever its size: each level of a walk would send it through the driver else."""
+    return frame.hint("merge")
+
+
 def _clamped(p: Column | float) -> Column:
     return F.greatest(F.least(F.lit(p) if isinstance(p, float) else p, F.lit(1.0)), F.lit(1e-12))
 
@@ -36,7 +41,7 @@ def edge_probabilities(nodes: DataFrame, edges: DataFrame, if_branch: float = 0.
         .when(kind == "SWITCH", 1.0 / F.col("leaving"))
         .otherwise(1.0)
     )
-    wide = edges.withColumn("leaving", leaving).join(kinds, ["graph", "src"], "left")
+    wide = edges.withColumn("leaving", leaving).join(_sorted(kinds), ["graph", "src"], "left")
     return wide.withColumn("p", F.when(F.col("measured").isNotNull(), _clamped(F.col("measured").cast("double"))).otherwise(by_kind)).drop("leaving", "src_kind")
 
 
@@ -54,19 +59,19 @@ def control_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = 100, max_
     told = edge_probabilities(nodes, edges, if_branch, loop_repeat)
     first = F.min_by("p", "place").over(Window.partitionBy("graph", "src", "dst"))
     kinds = nodes.select("graph", F.col("node").alias("src"), F.col("kind").isin(*LOOPS).alias("loops"))
-    steps = told.withColumn("p", first).join(kinds, ["graph", "src"], "left")
+    steps = told.withColumn("p", first).join(_sorted(kinds), ["graph", "src"], "left")
     exits = F.lower(F.coalesce("label", F.lit(""))).isin(*EXITS)
     steps = steps.select("graph", "src", "dst", "place", "p", F.coalesce("loops", F.lit(False)).alias("loops"), exits.alias("exits"))
     ends = nodes.where("kind = 'END'").select("graph", F.col("node").alias("dst"))
-    steps = stored(steps.join(ends.withColumn("is_end", F.lit(True)), ["graph", "dst"], "left").na.fill(False, ["is_end"]), "flow-steps")
+    steps = stored(steps.join(_sorted(ends.withColumn("is_end", F.lit(True))), ["graph", "dst"], "left").na.fill(False, ["is_end"]), "flow-steps")
 
     sure = stored(_leaving(steps, ends, max_depth), "sure-nodes")
     front = nodes.where("kind = 'START'").select("graph", F.col("node").alias("at"), F.array("node").alias("path"), F.array().cast("array<int>").alias("places"), F.lit(1.0).alias("p"))
     at_end = ends.select("graph", F.col("dst").alias("at"), F.lit(True).alias("done"))
-    front = front.join(at_end, ["graph", "at"], "left").na.fill(False, ["done"])
+    front = front.join(_sorted(at_end), ["graph", "at"], "left").na.fill(False, ["done"])
     given_up = None
     for depth in range(max_depth + 2):
-        ranked = front.join(sure, ["graph", "at"], "left").withColumn("counts", F.when(F.col("done"), F.size("places") <= max_depth).otherwise(F.coalesce(F.col("far") + depth <= max_depth, F.lit(False))).cast("int"))
+        ranked = front.join(_sorted(sure), ["graph", "at"], "left").withColumn("counts", F.when(F.col("done"), F.size("places") <= max_depth).otherwise(F.coalesce(F.col("far") + depth <= max_depth, F.lit(False))).cast("int"))
         before = Window.partitionBy("graph").orderBy("places").rowsBetween(Window.unboundedPreceding, -1)
         ranked = ranked.withColumn("kept", F.coalesce(F.sum("counts").over(before), F.lit(0)) < max_paths)
         ranked = cut(ranked.withColumn("kept", F.col("kept") & (F.size("places") <= max_depth)).drop("far", "counts"))
@@ -77,14 +82,14 @@ def control_paths(nodes: DataFrame, edges: DataFrame, max_paths: int = 100, max_
         if live.isEmpty():
             break
         visits = F.size(F.filter("path", lambda n: n == F.col("at")))
-        longer = live.withColumnRenamed("p", "so_far").drop("done").join(steps.withColumnRenamed("src", "at"), ["graph", "at"]).where(~F.col("loops") | (visits <= max_visits) | F.col("exits"))
+        longer = live.withColumnRenamed("p", "so_far").drop("done").join(_sorted(steps.withColumnRenamed("src", "at")), ["graph", "at"]).where(~F.col("loops") | (visits <= max_visits) | F.col("exits"))
         longer = longer.select("graph", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), F.concat("places", F.array("place")).alias("places"), (F.col("so_far") * F.col("p")).alias("p"), F.col("is_end").alias("done"))
         front = front.where("done").unionByName(longer)
         if depth % 16 == 15:
             given_up = cut(given_up.distinct())
     place = F.row_number().over(Window.partitionBy("graph").orderBy("places"))
     paths = front.where("done").withColumn("rank", place).where(F.col("rank") <= max_paths).select("graph", "rank", "path", F.col("p").alias("probability"))
-    whole = nodes.select("graph").distinct().join(given_up.distinct().withColumn("truncated", F.lit(True)), "graph", "left").na.fill(False, ["truncated"])
+    whole = nodes.select("graph").distinct().join(_sorted(given_up.distinct().withColumn("truncated", F.lit(True))), "graph", "left").na.fill(False, ["truncated"])
     return paths, whole
 
 
@@ -94,8 +99,8 @@ def _leaving(steps: DataFrame, ends: DataFrame, max_depth: int) -> DataFrame:
     seen = ends.select("graph", F.col("dst").alias("at"), F.lit(0).alias("far"))
     front = seen
     for far in range(1, max_depth + 1):
-        near = front.join(back, ["graph", "at"]).select("graph", F.col("before").alias("at")).distinct()
-        front = cut(near.join(seen, ["graph", "at"], "left_anti").withColumn("far", F.lit(far)))
+        near = front.join(_sorted(back), ["graph", "at"]).select("graph", F.col("before").alias("at")).distinct()
+        front = cut(near.join(_sorted(seen), ["graph", "at"], "left_anti").withColumn("far", F.lit(far)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

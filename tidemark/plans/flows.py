@@ -33,7 +33,7 @@ def flow_paths(spark, folder):
     steps = spark.sql(STEPS.replace("VARCHAR", "STRING").replace("FROM supplier", "FROM flow_suppliers"))
     nodes = steps.select("graph", "src").union(steps.select("graph", "dst")).distinct().toDF("graph", "node").withColumn("kind", F.expr(KINDS))
     paths, whole = flows.control_paths(nodes, steps, max_paths=10)
-    return paths.join(whole, "graph").select("graph", "rank", F.array_join("path", ">").alias("path"), F.round("probability", 9).alias("probability"), "truncated")
+    return paths.join(whole.hint("merge"), "graph").select("graph", "rank", F.array_join("path", ">").alias("path"), F.round("probability", 9).alias("probability"), "truncated")
 
 
 SLICE_SEEDS = "SELECT concat('c', c_custkey) AS node FROM customer WHERE c_custkey % 10 = 0"
