@@ -45,6 +45,24 @@ def rows_shuffled(spark, run):
     return run(), written() - before
 
 
+def bytes_from_python(spark, run):
+    """What ``run`` returns, and how many bytes the Python workers of its plans gave back."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    out = run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    size, found = 0.0, store.executionsList()
+    for at in range(before, found.size()):
+        one = found.apply(at).executionId()
+        values, nodes = store.executionMetrics(one), store.planGraph(one).allNodes()
+        for metrics in (nodes.apply(k).metrics() for k in range(nodes.size())):
+            for metric in (metrics.apply(k) for k in range(metrics.size())):
+                if metric.name() == "data returned from Python workers" and values.contains(metric.accumulatorId()):
+                    number, unit = re.search(r"([\d.]+) (\w*B)", str(values.apply(metric.accumulatorId())).split("\n")[-1]).groups()
+                    size += float(number) * 1024 ** ("B", "KiB", "MiB", "GiB").index(unit)
+    return out, size
+
+
 def test_best_callees_meet_no_whole_names(spark):
     rng = random.Random(3)
     symbols = [(f"{rng.choice(['a', 'bb'])}/f{k % 7}::{'same' if k % 5 else 'x'}{k}", "same" if k % 3 else f"n{k % 4}", rng.choice([f"f{k % 7}", None])) for k in range(900)]
@@ -160,6 +178,16 @@ def test_flat_markdown_stays_in_its_row(spark):
     assert {r["text"] for r in got if r["id"] == 7} == {"## A\n- **x.y:** last\n\n## A B\n- **b[0]:** 7\n- **b[1]:** null\n- **c:** 1\n\n## Z\n- 7"}
 
 
+def test_flat_markdown_hands_on_leaves_only(spark):
+    deep = lambda n, k: '{"key":' * n + str(k) + "}" * n
+    texts_ = [deep(400, k) for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "id long, text string")
+    got, size = bytes_from_python(spark, lambda: trees.flat_markdown(docs, "id").collect())
+    assert {r["id"]: r["text"] for r in got} == {k: "## Key\n- **" + ".".join(["key"] * 399) + f":** {k}" for k in range(20)}
+    # One path a document, not those of all the nodes above it, too.
+    assert 0 < size < 2 * sum(map(len, texts_))
+
+
 def test_merged_schema_reads_texts_once(spark):
     texts_ = [json.dumps({"k": k, "in": {"l": [1, None] if k % 2 else [], "o": {}}, "": {"e": 1.5}}) for k in range(300)]
     odd = [None, "", "{", "5", "[]", "{}", ' [true] ', '{"k": 1, "k": 2}', '{"k": "s", "big": %s, "huge": %s, "f": 1.0, "e": 1e3, "neg": -0}' % ("9" * 38, "9" * 39), "[" * 70 + "]" * 70, "[" * 900 + "]" * 900, '{"a\\u00e9\\n": null} tail']

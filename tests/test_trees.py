@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -101,6 +102,41 @@ def test_flat_markdown_and_leaves(spark):
     assert paths[5] == ["value"] and paths[3] == paths[4] == [] and paths[11] == ["orderKey", "_", "a-b_c.x", "a-b_c.y"]
 
 
+def plain_flat(text):
+    """The flat form, by hand for one document."""
+    try:
+        top = json.loads(text or "")
+    except ValueError:
+        return None
+    last = {}
+
+    def walk(v, path, deep):
+        for k, x in v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else []:
+            walk(x, f"{path}[{k}]" if isinstance(v, list) else f"{path}.{k}" if path else k, True)
+        if not isinstance(v, (dict, list)) or not v and deep:
+            last[path or "value"] = v if isinstance(v, str) else json.dumps(v) if v is None or isinstance(v, (bool, dict, list)) else str(v)
+
+    walk(top, "", False)
+    groups = {}
+    for path in sorted(last, key=lambda p: (p.partition(".")[0], p.partition(".")[2], p)):
+        first, _, rest = path.partition(".")
+        groups.setdefault(first, []).append(f"- **{rest}:** {last[path]}" if rest else f"- {last[path]}")
+    words = lambda n: " ".join(re.sub(r"\[(\d+)\]", r" \1 ", n).replace("_", " ").split())
+    out = "\n\n".join("\n".join(["## " + (trees.label(words(n)) if words(n) else n), *lines]) for n, lines in groups.items())
+    return re.sub(r"\n{3,}", "\n\n", out)
+
+
+def test_flat_markdown_of_odd_documents(spark, monkeypatch):
+    monkeypatch.setattr(trees, "BATCH_DOCS", 7)
+    rng = random.Random(9)
+    odd = ['{"a.":1,"a":2,"a.b":3,"a-b":4}', '{"":1,"value":2}', '{"":{"":3}}', '{".":1,"..":2}', '{"a":{"b":1},"a.b":2}', '{"a.b":2,"a":{"b":1}}', '{"a":[1],"a[0]":2}', '{"a":"\\n\\n\\n\\nx","_":{"_":1}}', '{"k":1,"k":{"é":"日"}}', '[[],{},[[]]]', "1e999", "12345678901234567890.5"]
+    texts = ["{", *JSON, *odd, *(json.dumps(odd_value(rng)) for _ in range(200)), "[" * 50_000, "{"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    want = {k: plain_flat(t) if t != "[" * 50_000 else None for k, t in enumerate(texts)}
+    assert {r["id"]: r["text"] for r in trees.flat_markdown(docs, "id").collect()} == want
+    assert trees.flat_markdown(docs.limit(0), "id").collect() == []
+
+
 def test_odd_api_documents(spark):
     old = {"swagger": "2.0", "paths": {"/p": {"post": {"security": 5, "parameters": [{"in": "formData", "type": "string"}, {"in": "formData", "name": "f"}, 7], "responses": 3}, "get": 4}, "/q": 9}, "security": 5}
     new = {"openapi": "3.0.0", "security": [7, {"k": []}], "paths": {"/n": {"put": {"requestBody": {"content": {"a/b": {"schema": {"allOf": [{"required": 5, "properties": 4}, 3, {"allOf": [{"type": "string", "required": ["z", 1]}]}]}}}}, "tags": "t"}}}}

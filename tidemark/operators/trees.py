@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from operator import itemgetter
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: node and last: the interval of the subtree; depth: nodes above; level: named ones of them; inside: kind of the parent; shown: the value as text,
-#: a container's JSON where a cell or bullet may hold it; flat: a plain value as JSON writes it, texts without quotes; head: a leaf's first segment as words; columns and cells: of lists and elements that are tables.
-NODES = "node long, last long, depth int, level int, kind string, inside string, name string, title string, path string, shown string, flat string, head string, attributes array<string>, columns array<string>, cells array<array<string>>"
+#: a container's JSON where a cell or bullet may hold it; flat: a plain value as JSON writes it, texts without quotes; columns and cells: of lists and elements that are tables.
+NODES = "node long, last long, depth int, level int, kind string, inside string, name string, title string, path string, shown string, flat string, attributes array<string>, columns array<string>, cells array<array<string>>"
 BROKEN = "broken"
 
 
@@ -36,9 +37,8 @@ def label(name: str) -> str:
 
 
 @lru_cache(1 << 12)
-def _head(path: str) -> str:
+def _head(first: str) -> str:
     """The first segment of a leaf's path as words, numbers of elements too."""
-    first = (path or "value").partition(".")[0]
     spaced = " ".join(re.sub(r"\[(\d+)\]", r" \1 ", first).replace("_", " ").split())
     return label(spaced) if spaced else first
 
@@ -68,8 +68,6 @@ def _json_rows(text: str, whole: bool = True) -> Iterator[dict]:
             row["shown"] = _cell(value)
         if kind == "value":
             row["flat"] = value if isinstance(value, str) else json.dumps(value) if value is None or isinstance(value, bool) else str(value)
-        if kind == "value" or not value:
-            row["head"] = _head(path)
         table = _uniform(value)
         if table:
             row["columns"] = [label(k) for k in value[0]]
@@ -85,6 +83,27 @@ def _json_rows(text: str, whole: bool = True) -> Iterator[dict]:
             waiting += [(value[k], None, kind, f"{path}[{k}]", depth + 1, below) for k in reversed(range(len(value)))]
 
 
+def _json_leaves(text: str) -> Iterator[tuple[int, str, str]]:
+    """The number of the node, path and value of each leaf of a document: plain values, and empty containers below the top."""
+    waiting, n = [("", json.loads(text))], 0
+    while waiting:
+        path, value = waiting.pop()
+        kind = type(value)
+        if kind is dict and value:
+            waiting += [(f"{path}.{k}" if path else k, v) for k, v in reversed(value.items())]
+        elif kind is list and value:
+            waiting += [(f"{path}[{k}]", value[k]) for k in range(len(value) - 1, -1, -1)]
+        elif n or kind is not dict and kind is not list:
+            # Numbers as Python shows them; null, truth values and empty containers as JSON writes them.
+            yield n, path or "value", value if kind is str else str(value) if kind is int or kind is float else json.dumps(value)
+        n += 1
+
+
+def _last_leaves(text: str) -> Iterable[tuple[str, str]]:
+    """Path and value of the leaves of a document; of equal paths the last counts."""
+    return {path: value for _, path, value in _json_leaves(text)}.items()
+
+
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
@@ -130,10 +149,21 @@ def _close(rows: list[dict]) -> None:
 BATCH_NODES, BATCH_DOCS = 20_000, 1024
 
 
-def _nodes(docs: DataFrame, key: str, text: str, parse: Callable[[str], Iterator[dict]], fields: str = "") -> DataFrame:
-    """(key, nodes): the nodes of each document as an array of ``NODES``, or of those of the fields that are named."""
-    every = docs.sparkSession.createDataFrame([], NODES).schema
-    one = T.StructType([f for f in every if not fields or f.name in fields.split()])
+def _columns(rows: list[tuple], fields: list[pa.Field]) -> list[pa.Array]:
+    return [pa.array(list(map(itemgetter(k), rows)), f.type) for k, f in enumerate(fields)]
+
+
+def _split_columns(rows: list[tuple], fields: list[pa.Field]) -> list[pa.Array]:
+    """Of rows of path and value: first segments, what follows their dots (null without one), headings and values. Each path is split once."""
+    paths, values = _columns(rows, [fields[0], fields[3]])
+    places = paths.dictionary_encode()
+    split = [path.partition(".") for path in places.dictionary.to_pylist()]
+    told = _columns([(first, rest if dot else None, _head(first)) for first, dot, rest in split], fields[:3])
+    return [*(column.take(places.indices) for column in told), values]
+
+
+def _parsed(docs: DataFrame, key: str, text: str, parse: Callable[[str], Iterable[tuple]], one: T.StructType, columns: Callable[[list[tuple], list[pa.Field]], list[pa.Array]] = _columns) -> DataFrame:
+    """(key, nodes): what ``parse`` gives for each text, by ``columns`` as an array of ``one``; null for a text that it refuses."""
     kind = T.StructType([docs.schema[key], T.StructField("nodes", T.ArrayType(one))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,27 +171,43 @@ def _nodes(docs: DataFrame, key: str, text: str, parse: Callable[[str], Iterator
         of_list = schema.field(1).type
         of_node = list(of_list.value_type)
 
-        def told(keys: pa.Array, ends: list[int], rows: list[dict]) -> pa.RecordBatch:
-            nodes = pa.StructArray.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in of_node], fields=of_node)
-            return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes, type=of_list)], schema=schema)
+        def told(keys: pa.Array, starts: list[int | None], rows: list[tuple]) -> pa.RecordBatch:
+            nodes = pa.StructArray.from_arrays(columns(rows, of_node), fields=of_node)
+            return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array([*starts, len(rows)], pa.int32()), nodes, type=of_list)], schema=schema)
 
         for batch in batches:
-            start, ends, out = 0, [0], []
+            start, starts, out = 0, [], []
             for at, value in enumerate(batch.column(1).to_pylist(), 1):
                 try:
                     rows = list(parse(value or ""))
-                    _close(rows)
+                    starts.append(len(out))
+                    out += rows
                 except (ValueError, RecursionError, ElementTree.ParseError):
-                    rows = [{"node": 0, "last": 0, "kind": BROKEN}]
-                out += rows
-                ends.append(len(out))
-                if len(out) > BATCH_NODES or len(ends) > BATCH_DOCS or at == batch.num_rows:
-                    yield told(batch.column(0).slice(start, at - start), ends, out)
-                    start, ends, out = at, [0], []
+                    starts.append(None)
+                if len(out) > BATCH_NODES or len(starts) >= BATCH_DOCS or at == batch.num_rows:
+                    yield told(batch.column(0).slice(start, at - start), starts, out)
+                    start, starts, out = at, [], []
 
     return docs.select(key, text).mapInArrow(read, kind)
 
 
+def _nodes(docs: DataFrame, key: str, text: str, parse: Callable[[str], Iterator[dict]], fields: str = "") -> DataFrame:
+    """(key, nodes): the nodes of each document as an array of ``NODES``, or of those of the fields that are named."""
+    every = docs.sparkSession.createDataFrame([], NODES).schema
+    one = T.StructType([f for f in every if not fields or f.name in fields.split()])
+    names = one.names
+
+    def closed(value: str) -> list[tuple]:
+        try:
+            rows = list(parse(value))
+            _close(rows)
+        except (ValueError, RecursionError, ElementTree.ParseError):
+            rows = [{"node": 0, "last": 0, "kind": BROKEN}]
+        return [tuple([r.get(name) for name in names]) for r in rows]
+
+    return _parsed(docs, key, text, closed, one)
+
+
 def _rows(nodes: DataFrame, key: str) -> DataFrame:
     return nodes.select(key, F.inline("nodes"))
 
@@ -244,39 +290,22 @@ def xml_markdown(docs: DataFrame, key: str, text: str = "text", contents: bool =
     return _assembled(nodes, key, lines, lambda n: F.lit(False), contents)
 
 
-def _leaf(n: Column) -> Column:
-    return (n["kind"] == "value") | (n["kind"] != BROKEN) & (n["last"] == n["node"]) & (n["depth"] > 0)
-
-
-def _told(n: Column) -> tuple[Column, Column]:
-    """A leaf's path and value."""
-    value = F.when(n["kind"] == "object", F.lit("{}")).when(n["kind"] == "list", F.lit("[]")).otherwise(n["flat"])
-    return F.coalesce(F.nullif(n["path"], F.lit("")), F.lit("value")), value
-
-
 def leaves(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, node, path, value): the leaves of JSON documents by paths such as a.b[0].c; empty containers are leaves below the top, a plain document's path is ``value``."""
-    nodes = _nodes(docs, key, text, _json_rows, "node last depth kind path flat").select(key, F.explode(F.filter("nodes", _leaf)).alias("n"))
-    path, value = _told(F.col("n"))
-    return nodes.select(key, "n.node", path.alias("path"), value.alias("value"))
+    one = T.StructType().add("node", "long").add("path", "string").add("value", "string")
+    return _rows(_parsed(docs, key, text, _json_leaves, one), key)
 
 
 def flat_markdown(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, text): leaves by path, those of one first segment under its heading. Of equal paths the last counts. Broken texts give null."""
-    nodes = _nodes(docs, key, text, _json_rows, "node last depth kind path flat head")
-
-    def leaf(n: Column) -> Column:
-        path, value = _told(n)
-        rest = F.when(F.contains(path, F.lit(".")), F.substring(path, F.locate(".", path) + 1, F.length(path))).otherwise("")
-        line = F.when(rest != "", F.concat(F.lit("- **"), rest, F.lit(":** "), value)).otherwise(F.concat(F.lit("- "), value))
-        return F.struct(F.substring_index(path, ".", 1).alias("first"), rest.alias("rest"), path.alias("path"), n["node"].alias("node"), n["head"].alias("head"), line.alias("line"))
-
-    found = nodes.select(key, _broken().alias("broken"), F.array_sort(F.transform(F.filter("nodes", _leaf), leaf)).alias("leaves"))
-    behind = F.slice("leaves", F.lit(2), F.greatest(F.size("leaves"), F.lit(1)))
-    once = found.withColumn("leaves", F.array_compact(F.zip_with("leaves", behind, lambda a, b: F.when(b.isNull() | (b["path"] != a["path"]), a))))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.transform("leaves", lambda a: a["first"]))
-    headed = lambda a: F.concat(F.lit("## "), a["head"], F.lit("\n"), a["line"])
-    # Behind the last leaf there is one more that comes before.
-    part = lambda a, b: F.when(a.isNull(), F.lit("")).when(b.isNull(), headed(a)).when(b == a["first"], F.concat(F.lit("\n"), a["line"])).otherwise(F.concat(F.lit("\n\n"), headed(a)))
-    body = F.array_join(F.zip_with("leaves", before, part), "")
-    return once.select(key, F.when(~F.col("broken"), F.regexp_replace(body, r"\n{3,}", "\n\n")).alias("text"))
+    one = T.StructType().add("first", "string").add("rest", "string").add("head", "string").add("value", "string")
+    # A path without a dot is before one that ends in its only dot, as nulls are before empty texts.
+    ordered = _parsed(docs, key, text, _last_leaves, one, _split_columns).select(key, F.sort_array("nodes").alias("nodes"))
+
+    def part(n: Column, at: Column) -> Column:
+        line = F.when(n["rest"] != "", F.concat(F.lit("- **"), n["rest"], F.lit(":** "), n["value"])).otherwise(F.concat(F.lit("- "), n["value"]))
+        headed = F.concat(F.lit("## "), n["head"], F.lit("\n"), line)
+        same = F.get("nodes", at - 1)["first"] == n["first"]
+        return F.when(at == 0, headed).when(same, F.concat(F.lit("\n"), line)).otherwise(F.concat(F.lit("\n\n"), headed))
+
+    return ordered.select(key, F.regexp_replace(F.array_join(F.transform("nodes", part), ""), r"\n{3,}", "\n\n").alias("text"))
