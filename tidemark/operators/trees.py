@@ -162,7 +162,7 @@ def _split_columns(rows: list[tuple], fields: list[pa.Field]) -> list[pa.Array]:
     return [*(column.take(places.indices) for column in told), values]
 
 
-def _parsed(docs: DataFrame, key: str, text: str, parse: Callable[[str], Iterable[tuple]], one: T.StructType, columns: Callable[[list[tuple], list[pa.Field]], list[pa.Array]] = _columns) -> DataFrame:
+def _parsed(docs: DataFrame, key: str, text: str, parse: Callable[[str], Iterable], one: T.StructType, columns: Callable[[list, list[pa.Field]], list[pa.Array]] = _columns) -> DataFrame:
     """(key, nodes): what ``parse`` gives for each text, by ``columns`` as an array of ``one``; null for a text that it refuses."""
     kind = T.StructType([docs.schema[key], T.StructField("nodes", T.ArrayType(one))])
 
@@ -195,17 +195,16 @@ def _nodes(docs: DataFrame, key: str, text: str, parse: Callable[[str], Iterator
     """(key, nodes): the nodes of each document as an array of ``NODES``, or of those of the fields that are named."""
     every = docs.sparkSession.createDataFrame([], NODES).schema
     one = T.StructType([f for f in every if not fields or f.name in fields.split()])
-    names = one.names
 
-    def closed(value: str) -> list[tuple]:
+    def closed(value: str) -> list[dict]:
         try:
             rows = list(parse(value))
             _close(rows)
         except (ValueError, RecursionError, ElementTree.ParseError):
             rows = [{"node": 0, "last": 0, "kind": BROKEN}]
-        return [tuple([r.get(name) for name in names]) for r in rows]
+        return rows
 
-    return _parsed(docs, key, text, closed, one)
+    return _parsed(docs, key, text, closed, one, lambda rows, fields: [pa.array([r.get(f.name) for r in rows], f.type) for f in fields])
 
 
 def _rows(nodes: DataFrame, key: str) -> DataFrame:
