@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import codegraph, flows, graph, modularity, schemas, search, spread, trees
+from tidemark.operators import codegraph, components, flows, graph, modularity, schemas, search, spread, trees
 from tidemark.operators.components import connected_components
 from tests.test_search_index import frame, plain, texts
 
@@ -136,6 +136,31 @@ def test_graph_tasks_grow_with_the_edges(spark, monkeypatch):
     assert tasks_of(labels) >= len(hub) // 500
 
 
+def test_components_shuffle_fewer_rows_than_there_are_edges(spark):
+    rng = random.Random(11)
+    pairs = [(f"p{rng.randrange(400)}", f"s{rng.randrange(90)}") for _ in range(20_000)] + [(f"q{k}", f"q{k + 1}") for k in range(50)]
+    edges = spark.createDataFrame(pairs, "src string, dst string").repartition(4)
+    got, shuffled = rows_shuffled(spark, lambda: {r["node"]: r["component"] for r in connected_components(edges.localCheckpoint()).collect()})
+    assert got == {n: "q0" if n[0] == "q" else "p0" for pair in pairs for n in pair}
+    assert shuffled - len(pairs) < len(pairs)  # dealing out the edges is a shuffle of the test's own
+
+
+@pytest.mark.parametrize("kind", ["chain", "dense", "loops"])
+def test_components_of_edges_in_many_chunks(spark, monkeypatch, kind):
+    monkeypatch.setattr(components, "CHUNK", 40)
+    monkeypatch.setattr(spread, "HUB_ROWS", 20)
+    rng = random.Random(13)
+    names = rng.sample(range(-300, 300), 400)
+    pairs = {"chain": list(zip(names, names[1:])), "dense": [(rng.choice(names), rng.choice(names)) for _ in range(420)], "loops": [(n, n) for n in names[:60]] * 2}[kind]
+    top = {n: n for pair in pairs for n in pair}
+    for _ in names:
+        for a, b in pairs:
+            top[a] = top[b] = min(top[a], top[b])
+    edges = spark.createDataFrame([*pairs, (None, 1), (2, None)], "src long, dst long").repartition(4)
+    got = connected_components(edges).collect()
+    assert {r["node"]: r["component"] for r in got} == top and len(got) == len(top)
+
+
 @pytest.mark.parametrize("block", [512, 3])
 def test_bm25_of_fresh_texts_makes_no_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(search, "BLOCK_QUERIES", block)

@@ -28,7 +28,16 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` once and go on from the written table: later reads don't compute it again."""
     path = scratch_path(frame.sparkSession, name)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    table = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what ``stored`` wrote; only for tables from which all that is still to be read has been written anew."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(frame: DataFrame) -> DataFrame:
