@@ -64,6 +64,54 @@ def test_equals_brute_force(spark, seed):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def passages(seed):
+    """Texts with a passage that most of them share, though few link."""
+    rng = random.Random(seed)
+    passage = [f"p{k}" for k in range(40)]
+    texts = [" ".join([*(f"t{d}x{k}" for k in range(10)), *passage, *(f"u{d}x{k}" for k in range(10))]) for d in range(120)]
+    texts += [text.replace("x3 ", "y ", 1) for text in texts[:30]] + [" ".join(passage), " ".join([*passage, "q1"])]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_shared_passages_make_no_large_clusters(spark, monkeypatch):
+    """Sets that only share a passage aren't dealt to blocks by the square of their number."""
+    sizes, product = [], ngram_join.linked_sets
+
+    def seen(grams, near, percent, block):
+        sizes.extend(r["count"] for r in near.groupBy("cluster").count().collect())
+        return product(grams, near, percent, block)
+
+    monkeypatch.setattr(ngram_join, "linked_sets", seen)
+    rows = passages(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, ngram_join.jaccard_components(docs, block=8).collect())) == brute(rows)
+    assert 2 <= max(sizes) <= 8
+
+
+def test_sets_of_one_short_name_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BITS", 8)
+    rows = corpus(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.jaccard_components(docs, block=16).collect())) == brute(rows)
+
+
+def test_prefixes_of_linked_sets_meet():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for percent in (50, 80, 85, 100):
+        for size in [1, 2, 5, 19, 20, 21, 100]:
+            for _ in range(40):
+                base = rng.integers(0, 2**63, 2 * size, dtype=np.uint64)
+                over = rng.integers(1, size + 1)
+                x, y = np.sort(base[:size]), np.sort(np.concatenate([base[:over], base[size : size + rng.integers(0, size + 1)]]))
+                common = np.sort(rng.choice(base, rng.integers(0, len(base) + 1), replace=False))
+                times = rng.integers(8, 12, len(common))
+                if 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y)):
+                    assert len(np.intersect1d(*(ngram_join.prefix(z, percent, common, times) for z in (x, y))))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.jaccard_components(docs).collect() == []

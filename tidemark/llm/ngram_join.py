@@ -14,7 +14,10 @@ overlap of their sets reaches a share of the union.  The matrix product is never
   little, so that they are left out of the parts at first.  Should all parts that agree be
   empty without them, then both rows have more than ``spare`` empty parts; such rows send
   the parts with the common n-grams, and the empty ones, too.  So no link is lost, whichever n-grams
-  count as common.
+  count as common.  Between tasks a hash and a set have 40 bits each beside the bucket; what falls together only so is compared in vain.
+* Sets that share a passage can be joined to clusters that grow with the table though hardly any of them link. The sets of clusters that
+  are larger than a block are dealt anew by prefixes: of linked sets each has more than ``percent`` of its n-grams in common with the other,
+  so that they share one of those left, and one more, taken from the rarest on, in an order that is the same for all sets.
 * A cluster's part of the product is computed in blocks of bounded rows and bytes a side.  Blocks of a
   large cluster hold sets of one size class, and meet blocks of the same and the neighbouring classes only.
   Overlap counts add up column by column: those that few rows hold as a sparse product, the others in slabs.
@@ -32,12 +35,13 @@ as 64-bit hashes.  Null text is empty.  A row of the input gives a row of the re
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.samples import least_count
@@ -61,6 +65,8 @@ DENSE = 1 / 32
 LARGE = 1 << 18
 #: Bytes of a shuffle's group, and of a block of sets.
 GROUP_BYTES, BLOCK_BYTES = 32 << 20, 8 << 20
+#: Bits of a hash, and of a set's name, between tasks.
+BITS = 40
 
 
 def needed(total: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -149,8 +155,8 @@ def document_sets(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFra
     return docs.select(doc_id, text).mapInArrow(trimmed(measure), f"doc_id {kind}, n_shingles long, `set` long")
 
 
-def common_grams(docs: DataFrame, size: int, text: str, rows: int, least: int = 8) -> np.ndarray:
-    """The n-grams that most sets hold, sorted: at most ``rows``, each in ``least`` sets or more.
+def common_grams(docs: DataFrame, size: int, text: str, rows: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that most sets hold, sorted, and how many do: at most ``rows``, each in ``least`` sets or more.
 
     Of every million n-grams a task hands on those that recur, so that counts are a little low.
     """
@@ -179,8 +185,10 @@ def common_grams(docs: DataFrame, size: int, text: str, rows: int, least: int =
 
     counts = docs.select(text).mapInArrow(trimmed(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counts = stored(counts.where(F.col("n") >= least), "gram-counts")
-    kept = counts.where(F.col("n") >= least_count(counts, rows)).select("gram").toPandas()
-    return np.sort(kept["gram"].to_numpy(np.int64).view(np.uint64))
+    kept = counts.where(F.col("n") >= least_count(counts, rows)).toPandas()
+    grams = kept["gram"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], kept["n"].to_numpy(np.int64)[order]
 
 
 def _firsts(value: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,13 +211,19 @@ def _groups(frame: DataFrame, bytes_: float | None, size: int) -> int:
     return max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((bytes_ or 0) // size) + 1)
 
 
-def candidate_edges(docs: DataFrame, sets: DataFrame, size: int, percent: int, text: str, common_rows: int) -> DataFrame:
-    """(src, dst) between sets of which some part agrees: each with the smallest that has the part."""
+def short_name(name: str) -> Column:
+    """The first bits of a set's hash."""
+    return F.shiftrightunsigned(name, 64 - BITS)
+
+
+def candidate_edges(docs: DataFrame, sets: DataFrame, size: int, percent: int, text: str, grams: np.ndarray) -> DataFrame:
+    """(src, dst) between the short names of sets of which some part agrees: each with the smallest that has the part. Sets of one short name are told by a loop. ``grams``: the common ones."""
     # A set sends at most a hash a part, or an n-gram, of two classes, twice where its parts run empty.
     n = F.col("n_shingles")
-    sent = sets.agg(F.sum(16.0 * 4 * F.least(n, n * (3 * (100 - percent)) / percent + 4))).first()[0]
+    sent = sets.agg(F.sum(2.0 * BITS / 8 * 4 * F.least(n, n * (3 * (100 - percent)) / percent + 4))).first()[0]
     buckets = _groups(docs, sent, GROUP_BYTES)
-    common = docs.sparkSession.sparkContext.broadcast(common_grams(docs, size, text, common_rows))
+    common = docs.sparkSession.sparkContext.broadcast(grams)
+    cut = np.uint64(max(0, (2**64 // buckets).bit_length() - BITS))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen = SizeClasses(percent), set()
@@ -222,7 +236,7 @@ def candidate_edges(docs: DataFrame, sets: DataFrame, size: int, percent: int, t
                 seen.add(own)
                 got = signatures(found, classes, common.value)
                 hashes.append(got)
-                owners.append(np.full(len(got), own, np.int64))
+                owners.append(np.full(len(got), own % 2**64 >> 64 - BITS, np.int64))
                 held += len(got)
                 if held > 1 << 20:
                     yield packed(hashes, owners)
@@ -233,33 +247,42 @@ def candidate_edges(docs: DataFrame, sets: DataFrame, size: int, percent: int, t
     def packed(hashes: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
         """A row a bucket: hashes that fall there with their first owners, and pairs of owners, which may go to any bucket."""
         value, first, pairs = _firsts(np.concatenate(hashes), np.concatenate(owners))
-        cells = _dealt((value % np.uint64(buckets)).astype(np.int32), value, first)
-        edges = _dealt((pairs[1].view(np.uint64) % np.uint64(buckets)).astype(np.int32), *pairs)
+        cells = _dealt((value % np.uint64(buckets)).astype(np.int32), (value // np.uint64(buckets) >> cut).astype(np.int64), first)
+        edges = _dealt((pairs[1] % buckets).astype(np.int32), *pairs)
         keys = sorted(cells.keys() | edges.keys())
         return pa.record_batch({"bucket": pa.array(keys, pa.int32()), "cells": pa.array([cells.get(k, b"") for k in keys], pa.binary()), "edges": pa.array([edges.get(k, b"") for k in keys], pa.binary())})
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         value, owner = _undealt(rows["cells"])
-        _, _, pairs = _firsts(value.view(np.uint64), owner)
+        _, _, pairs = _firsts(value, owner)
         pairs = _distinct_pairs(np.concatenate([pairs, np.stack(_undealt(rows["edges"]))], axis=1))
         if len(value) > LARGE:
             trim()
         return pd.DataFrame({"src": pairs[0], "dst": pairs[1]})
 
     sent_rows = docs.select(text).mapInArrow(trimmed(send), "bucket int, cells binary, edges binary").repartition(buckets, "bucket")
-    return sent_rows.groupBy("bucket").applyInPandas(meet, "src long, dst long").distinct()
+    met = sent_rows.groupBy("bucket").applyInPandas(meet, "src long, dst long")
+    name = short_name("set")
+    return met.unionByName(sets.groupBy(name.alias("src")).agg(F.count("*").alias("n")).where("n > 1").select("src", F.col("src").alias("dst")))
 
 
 def _dealt(bucket: np.ndarray, left: np.ndarray, right: np.ndarray) -> dict[int, bytes]:
-    """Two columns of 64-bit values by bucket: the left values, then the right ones."""
+    """Two columns of numbers below 2**BITS by bucket, the left ones rising: byte by byte the steps of the left values, then the right values."""
     order = np.argsort(bucket, kind="stable")
     left, right, bucket = left[order], right[order], bucket[order]
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(1, np.int64)
-    return {int(bucket[a]): left[a:b].tobytes() + right[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
+    planes = lambda values: values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].T.tobytes()
+    return {int(bucket[a]): planes(np.diff(left[a:b], prepend=0)) + planes(right[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
 
 
 def _undealt(cells: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    sides = [np.frombuffer(cell, np.int64).reshape(2, -1) for cell in cells]
+    sides = []
+    for cell in cells:
+        planes = np.frombuffer(cell, np.uint8).reshape(2, BITS // 8, -1)
+        side = np.zeros((2, planes.shape[2], 8), np.uint8)
+        side[:, :, : BITS // 8] = planes.transpose(0, 2, 1)
+        side = side.view("<i8")[:, :, 0]
+        sides.append(np.stack([np.cumsum(side[0]), side[1]]))
     whole = np.concatenate(sides, axis=1)
     return whole[0], whole[1]
 
@@ -281,8 +304,8 @@ def _filter_bits(nodes: DataFrame) -> bytes:
     return bytes(out)
 
 
-def sets_in(docs: DataFrame, nodes: DataFrame, size: int, text: str) -> DataFrame:
-    """(node, grams): the n-grams of the sets in ``nodes``, and of a few others that the filter lets through."""
+def sets_in(docs: DataFrame, nodes: DataFrame, size: int, text: str, part: Callable[[np.ndarray], np.ndarray] = lambda found: found) -> DataFrame:
+    """(node, grams): the n-grams of the sets in ``nodes``, or that ``part`` of them, and of a few others that the filter lets through."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(nodes))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +320,7 @@ def sets_in(docs: DataFrame, nodes: DataFrame, size: int, text: str) -> DataFram
                 if flags[place >> 3] >> (7 - (place & 7)) & 1:
                     seen.add(own)
                     ids.append(own)
-                    grams.append(found.tobytes())
+                    grams.append(part(found).tobytes())
                     held += len(grams[-1])
                 if held > 1 << 24:
                     yield pa.record_batch({"node": pa.array(ids, pa.int64()), "grams": pa.array(grams, pa.binary())})
@@ -307,6 +330,45 @@ def sets_in(docs: DataFrame, nodes: DataFrame, size: int, text: str) -> DataFram
     return docs.select(text).mapInArrow(trimmed(pick), "node long, grams binary")
 
 
+def prefix(found: np.ndarray, percent: int, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Of a sorted set the rarest n-grams, so many that two sets that link have one of them in common."""
+    own = np.zeros(len(found), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        own = np.where(common[at] == found, times[at], 0)
+    return found[np.argsort(own, kind="stable")[: len(found) - -(-percent * len(found) // 100) + 1]]
+
+
+def _sized(near: DataFrame, by: list[str], block: int) -> DataFrame:
+    """``by``, in how many blocks the sets of (node, cluster, n) go, and their bytes."""
+    size = 8 * F.sum("n")
+    return near.groupBy(*by).agg(F.ceil(F.greatest(F.count("*") / block, size / BLOCK_BYTES)).cast("int").alias("blocks"), size.alias("bytes"))
+
+
+def refined(docs: DataFrame, near: DataFrame, size: int, percent: int, text: str, block: int, common: np.ndarray, times: np.ndarray) -> DataFrame:
+    """(node, cluster, n), the clusters of more than a block cut into those whose sets share n-grams of their prefixes; sets that are left alone go."""
+    large = _sized(near, ["cluster"], block).where("blocks > 1").select("cluster")
+    sets = stored(near.join(large, "cluster"), "large-clusters")
+    if sets.isEmpty():
+        return near
+    told = docs.sparkSession.sparkContext.broadcast((common, times))
+    grams = sets_in(docs, sets, size, text, lambda found: prefix(found, percent, *told.value)).join(sets.select("node", "cluster"), "node")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A set with the n-grams of its prefix, which stand for themselves inside their cluster."""
+        for batch in batches:
+            for rows in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
+                n = pc.binary_length(rows.column(2)).to_numpy() // 8
+                held = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint64)
+                node, cluster = (np.repeat(rows.column(k).to_numpy(), n) for k in (0, 1))
+                yield pa.record_batch({"src": pa.array(node), "dst": pa.array(mix(held ^ mix(cluster.view(np.uint64))).view(np.int64))})
+
+    met = connected_components(grams.select("node", "cluster", "grams").mapInArrow(trimmed(link), "src long, dst long"))
+    cut = sets.join(met, "node").select("node", F.xxhash64("cluster", "component").alias("cluster"), "n")
+    cut = cut.join(cut.groupBy("cluster").agg(F.count("*").alias("sets")).where("sets > 1"), "cluster", "left_semi")
+    return stored(near.join(large, "cluster", "left_anti").select("node", "cluster", "n").unionByName(cut.select("node", "cluster", "n")), "near-clusters")
+
+
 def link_product(rows: list[np.ndarray], percent: int, split: int | None = None) -> np.ndarray:
     """Which of the rows link, from their overlap counts: all with all, or those before ``split`` with the rest."""
     a, b = (slice(None), slice(None)) if split is None else (slice(0, split), slice(split, None))
@@ -382,10 +444,8 @@ def linked_sets(grams: DataFrame, near: DataFrame, percent: int, block: int) ->
     classes.of(most)
     kind = F.size(F.filter(F.array(*[F.lit(s) for s in classes.starts]), lambda s: s <= F.col("n")))
     sized = near.withColumn("k", kind)
-    need = lambda rows, size: F.ceil(F.greatest(rows / block, size / BLOCK_BYTES)).cast("int")
-    whole = sized.groupBy("cluster").agg(need(F.count("*"), 8 * F.sum("n")).alias("blocks"))
-    large = whole.where("blocks > 1").select("cluster")
-    parts = sized.join(large, "cluster").groupBy("cluster", "k").agg(need(F.count("*"), 8 * F.sum("n")).alias("blocks"), (8 * F.sum("n")).alias("bytes"))
+    large = _sized(sized, ["cluster"], block).where("blocks > 1").select("cluster")
+    parts = _sized(sized.join(large, "cluster"), ["cluster", "k"], block)
     beside = [parts.select("cluster", (F.col("k") - step).alias("k"), F.col("blocks").alias(name)) for step, name in ((-1, "below"), (1, "above"))]
     parts = stored(parts.join(beside[0], ["cluster", "k"], "left").join(beside[1], ["cluster", "k"], "left").fillna(0, ["below", "above"]), "cluster-parts")
     small = sized.join(large, "cluster", "left_anti").agg(F.sum(8 * F.col("n"))).first()[0] or 0
@@ -430,9 +490,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, doc_id
     sets = stored(document_sets(docs, size, doc_id, text), "document-sets")
     # From here on a set goes by its hash, and in the end by the smallest doc_id that has it.
     named = stored(sets.where("`set` IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("name"), F.min("n_shingles").alias("n_shingles")), "set-names")
-    near = connected_components(candidate_edges(docs, named, size, percent, text, common_rows))
-    near = near.select("node", F.col("component").alias("cluster")).join(named.select(F.col("set").alias("node"), F.col("n_shingles").alias("n")), "node")
-    near = stored(near, "near-clusters")
+    common, times = common_grams(docs, size, text, common_rows)
+    near = connected_components(candidate_edges(docs, named, size, percent, text, common))
+    near = near.select(F.col("node").alias("short"), F.col("component").alias("cluster")).join(named.select(F.col("set").alias("node"), F.col("n_shingles").alias("n"), short_name("set").alias("short")), "short").drop("short")
+    near = refined(docs, stored(near, "near-clusters"), size, percent, text, block, common, times)
     grams = sets_in(docs, near, size, text).groupBy("node").agg(F.first("grams").alias("grams"))
     linked = stored(linked_sets(grams, near, percent, block), "linked-sets")
     ends = linked.join(named.select(F.col("set").alias("src"), F.col("name").alias("u")), "src").join(named.select(F.col("set").alias("dst"), F.col("name").alias("v")), "dst")
