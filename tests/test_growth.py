@@ -145,6 +145,19 @@ def test_components_shuffle_fewer_rows_than_there_are_edges(spark):
     assert shuffled - len(pairs) < len(pairs)  # dealing out the edges is a shuffle of the test's own
 
 
+def test_rounds_of_communities_shuffle_the_links_once(spark):
+    rng = random.Random(17)
+    pairs = [(f"p{rng.randrange(300)}", f"s{rng.randrange(60)}") for _ in range(4000)]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    links, nodes = 2 * len(set(pairs)), len({n for pair in pairs for n in pair})
+    tables = spark.catalog.listTables()
+    (first, one), (again, two) = (rows_shuffled(spark, lambda r=r: graph.communities(edges, rounds=r).collect()) for r in (1, 2))
+    assert one <= 2 * len(pairs) + 10 and len(first) == len(again) == nodes
+    # A round sends a vote a link and node, what its 16 parts found, and the labels.
+    assert two - one <= links + (1 + 16 + 1) * nodes
+    assert spark.catalog.listTables() == tables
+
+
 @pytest.mark.parametrize("kind", ["chain", "dense", "loops"])
 def test_components_of_edges_in_many_chunks(spark, monkeypatch, kind):
     monkeypatch.setattr(components, "CHUNK", 40)

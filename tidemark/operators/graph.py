@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import spread
-from tidemark.storage import cut
+from tidemark.storage import bucketed, cut, discard, stored
 
 
 def relation_counts(edges: DataFrame) -> DataFrame:
@@ -120,18 +120,28 @@ def communities(edges: DataFrame, rounds: int = 4) -> DataFrame:
     """
     pairs = edges.select("src", "dst").where("src <> dst")
     both = pairs.unionByName(reversed_edges(pairs))
-    links = both.groupBy("src", "dst").agg(F.count("*").alias("weight"))
-    nodes = cut(both.select("src").distinct())
-    links = cut(links.unionByName(nodes.select("src", F.col("src").alias("dst"), F.lit(1).cast("long").alias("weight"))))
-    n = spread.tasks(links, links.count())
-    labels = nodes.select(F.col("src").alias("node"), F.col("src").alias("community"))
-    for _ in range(rounds):
-        told = links.repartition(n, "dst").join(labels.repartition(n, "node").hint("shuffle_hash"), F.col("dst") == F.col("node"))
-        # The votes of a node meet by parts first, so that no task has all of a node with very many links.
-        parts = told.withColumn("salt", spread.salt("community")).repartition(n, "src", "salt")
-        votes = parts.groupBy("src", "salt", "community").agg(F.sum("weight").alias("votes"))
-        best = votes.groupBy("src", "salt").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "community")).alias("best"))
-        labels = cut(best.repartition(n, "src").groupBy(F.col("src").alias("node")).agg(F.min("best")["community"].alias("community")))
+    n = spread.tasks(pairs, 2 * pairs.count())
+    # Every round reads the links by dst, so that they are written in buckets of it and never shuffled again.
+    links = bucketed(both.repartition(n, "dst").groupBy("dst", "src").agg(F.count("*").alias("weight")), "community-links", n, "dst")
+    labels = links.select(F.col("dst").alias("node"), F.col("dst").alias("community")).distinct()
+    for k in range(rounds):
+        if k:
+            last = labels
+            around = links.join(labels.repartition(n, "node").hint("shuffle_hash"), F.col("dst") == F.col("node")).select("src", "community", "weight")
+            told = around.unionByName(labels.select(F.col("node").alias("src"), "community", F.lit(1).cast("long").alias("weight")))
+            # The votes of a node meet by parts first, so that no task has all of a node with very many links.
+            parts = told.withColumn("salt", spread.salt("community")).repartition(n, "src", "salt")
+            votes = parts.groupBy("src", "salt", "community").agg(F.sum("weight").alias("votes"))
+            best = votes.groupBy("src", "salt").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "community")).alias("best"))
+            labels = stored(best.repartition(n, "src").groupBy(F.col("src").alias("node")).agg(F.min("best")["community"].alias("community")), "community-labels")
+            discard(last)
+        else:
+            # As yet each link is the only one that leads to its label.
+            own = F.struct(F.lit(-1).cast("long").alias("votes"), F.col("dst").alias("community"))
+            best = F.least(F.min(F.struct((-F.col("weight")).alias("votes"), F.col("src").alias("community"))), own)
+            labels = stored(links.groupBy("dst").agg(best.alias("best")).select(F.col("dst").alias("node"), F.col("best.community").alias("community")), "community-labels")
+    if rounds:
+        discard(links)
     return labels
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,11 +34,31 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def bucketed(frame: DataFrame, name: str, n: int, by: str) -> DataFrame:
+    """As ``stored``, in ``n`` buckets of a column: joins and sums by it don't shuffle the table."""
+    path, spark = scratch_path(frame.sparkSession, name), frame.sparkSession
+    called = path.rsplit("/", 1)[-1].replace("-", "_")
+    frame.write.bucketBy(n, by).sortBy(by).option("path", path).saveAsTable(called)
+    table = spark.table(called)
+    table.stored_at, table.called = path, called
+    _clean(spark)
+    return table
+
+
 def discard(table: DataFrame) -> None:
-    """Delete what ``stored`` wrote; only for tables from which all that is still to be read has been written anew."""
+    """Delete what ``stored`` or ``bucketed`` wrote; only for tables from which all that is still to be read has been written anew."""
     spark = table.sparkSession
+    if "called" in vars(table):
+        spark.sql(f"DROP TABLE {table.called}")
     path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _clean(spark)
+
+
+def _clean(spark: SparkSession) -> None:
+    """Spark deletes the files of shuffles that nothing needs any more when the driver collects its garbage, for which this asks."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def cut(frame: DataFrame) -> DataFrame:
